@@ -5,12 +5,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash
+from . import bpe, langid, lm, packing, pii, quality_classifier, simhash
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality_classifier.classify(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -19,11 +24,32 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op6_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_near_dedup, op3_best_fit_packing, op10_bpe_codec)
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_simhash_near_dedup,
+        op3_best_fit_packing,
+        op4_lm_scoring,
+        op6_pii_deobfuscation,
+        op7_language_id,
+        op10_bpe_codec,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
