@@ -4,8 +4,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, packing, pii, quality_classifier, simhash
+from . import ann, bpe, langid, lm, packing, pii, quality_classifier, simhash
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,6 +29,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op6_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_simhash_near_dedup,
         op3_best_fit_packing,
         op4_lm_scoring,
+        op5_approximate_neighbours,
         op6_pii_deobfuscation,
         op7_language_id,
         op10_bpe_codec,
