@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, lm, packing, pii, quality_classifier, simhash
+from . import ann, bpe, embedding_dedup, langid, lm, packing, pii, quality_classifier, simhash
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -41,6 +41,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_approximate_neighbours,
         op6_pii_deobfuscation,
         op7_language_id,
+        op8_embedding_near_dedup,
         op10_bpe_codec,
     )
 }
