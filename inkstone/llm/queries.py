@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, langid, lm, packing, pii, quality_classifier, simhash
+from . import ann, bpe, embedding_dedup, langid, licenses, lm, packing, pii, quality_classifier, simhash
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -45,6 +45,10 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY))
 
@@ -60,7 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_pii_deobfuscation,
         op7_language_id,
         op8_embedding_near_dedup,
+        op9_license_scan,
         op10_bpe_codec,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_license_scan": licenses.scan_sql()}
