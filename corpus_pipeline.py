@@ -12,29 +12,37 @@ from inkstone.llm import langid, packing, pii, quality_classifier, simhash
 from inkstone.llm.common import Scratch, table
 
 
+def _whole(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, and the whole row as _row, whatever names its columns have."""
+    return docs.select(*columns, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; null texts, those without letters and rejected ones go."""
-    found = langid.identify(docs, langid.fit(docs))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    found = langid.identify(_whole(docs, "text"), langid.fit(docs))
+    return found.where(~F.col("rejected")).select("_row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier predicts to be of label 1."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
-    return quality_classifier.score(docs, model).where(F.col("predicted") == 1).select(*docs.columns)
+    return quality_classifier.score(_whole(docs, "text"), model).where("predicted = 1").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id; of rows that repeat it, one."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each group of near duplicates the document of the smallest id. Of rows that repeat its id and text one stays;
+    rows without an id, which no group can be named after, go."""
+    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    kept = _whole(docs, "doc_id", "text").join(first, "doc_id")
+    again = kept.where("rows > 1").dropDuplicates(["doc_id", "text"])
+    return kept.where("rows = 1").union(again).select("_row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars follows the text."""
     clean = pii.redacted(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
