@@ -1 +1,3 @@
+"""Registered queries."""
 
+from . import layout_queries  # noqa: F401
