@@ -14,13 +14,14 @@ SQUASH = rf"trim(regexp_replace(%s, '{W}+', ' ', 'g'))"
 
 @query(oracle(f"""WITH
 cut AS (SELECT paper_id, page, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS content
-        FROM (SELECT paper_id, page, string_split(text, chr(10)) AS parts FROM page_records WHERE text IS NOT NULL)),
+        FROM (SELECT source AS paper_id, doc_id AS page, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)),
 signed AS (SELECT *, regexp_replace(lower({SQUASH % 'content'}), '[0-9]+', '#', 'g') AS sig FROM cut),
 often AS (SELECT paper_id, sig FROM signed WHERE regexp_matches(sig, '[a-z]') GROUP BY 1, 2 HAVING count(DISTINCT page) >= 3)
-SELECT paper_id, page, line::INT AS line, sig FROM signed JOIN often USING (paper_id, sig)""", "page_records"))
+SELECT paper_id, page, line::INT AS line, sig FROM signed JOIN often USING (paper_id, sig)"""))
 def recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a paper that stand on three pages or more, digits apart."""
-    rows = L.lines(Relations(spark, sf_dir).view("page_records"), ["paper_id", "page"])
+    """Lines of a source that stand in three of its documents or more, digits apart."""
+    pages = Relations(spark, sf_dir).table("documents").where("source is not null")
+    rows = L.lines(pages.select(F.col("source").alias("paper_id"), F.col("doc_id").alias("page"), "text"), ["paper_id", "page"])
     signed = rows.withColumn("sig", T.signature(F.col("content"))).where(F.col("sig").rlike("[a-z]"))
     return L.recurring(signed, ["paper_id", "sig"], "page", 3).select("paper_id", "page", "line", "sig")
 
