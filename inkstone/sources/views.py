@@ -63,6 +63,7 @@ class Relations:
     def sql(self, text: str) -> DataFrame:
         """The select's rows, its tables read from the folder; no name is registered in the session."""
         used = {name: self.table(name) for name in TABLES if f" {name}" in text}
+        text = text.replace("{", "{{").replace("}", "}}")
         for name in used:
             text = _named(text, name)
         return self.spark.sql(text, **used)
