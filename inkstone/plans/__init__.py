@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from . import extract_queries, layout_queries, ranking_queries  # noqa: F401
+from . import check_queries, extract_queries, layout_queries, ranking_queries  # noqa: F401
