@@ -217,3 +217,47 @@ def greedy_ranges(lines: DataFrame, keys: list[str], most_bytes: int = 48_000, m
 
     folded = lines.groupBy(*keys).agg(F.aggregate(sizes, F.from_json(F.lit("[]"), kind), step).alias("r"))
     return folded.select(*keys, F.posexplode("r").alias("range", "x")).select(*keys, "range", "x.first", "x.last", "x.bytes")
+
+
+def assignments(roster: DataFrame, objects: DataFrame) -> DataFrame:
+    """(reviewer, item_id): the remit of each, and every distinct object of the kind that a reviewer covers."""
+    remit = roster.select("reviewer", F.lit("assigned_remit").alias("item_id"))
+    return remit.union(objects.distinct().join(F.broadcast(roster), F.col("kind") == F.col("covers")).select("reviewer", "item_id"))
+
+
+def roster_status(roster: DataFrame, outputs: DataFrame, reasons: DataFrame) -> DataFrame:
+    """(name, findings, status, reason) of every reviewer, with defaults where there is no output or reason."""
+    counts = outputs.groupBy("name").agg(F.count("*").alias("_n"))
+    out = roster.select("name").join(counts, "name", "left").join(reasons.select("name", F.col("reason").alias("_r")), "name", "left")
+    return out.select(
+        "name", F.coalesce("_n", F.lit(0)).alias("findings"), F.when(F.col("_n").isNull(), "no output").otherwise("ok").alias("status"),
+        F.coalesce("_r", F.lit("selected by reviewer applicability routing")).alias("reason"),
+    )
+
+
+def finding_errors(findings: DataFrame, roles: DataFrame) -> DataFrame:
+    """(paper_id, id, errors) of findings (reviewer, id, severity, confidence, assessment, summary, page, quote, url) that
+    break the contract: unknown reviewer, repeated id, values outside their domains, blank texts, quotes without a page."""
+    known = findings.join(F.broadcast(roles.select("reviewer", F.lit(True).alias("_known"))), "reviewer", "left")
+    times = findings.groupBy("paper_id", "id").agg(F.count("*").alias("_times"))
+    both = known.join(times, ["paper_id", "id"])
+    c = F.col
+    outside = lambda name, *values: ~F.coalesce(c(name).isin(*values), F.lit(False))
+    rules = {
+        "reviewer": c("_known").isNull(), "duplicate id": c("_times") > 1, "severity": outside("severity", "low", "medium", "high"),
+        "confidence": outside("confidence", "low", "medium", "high"), "assessment": outside("assessment", "yes", "no", "partially", "cannot_verify"),
+        "summary": F.trim(F.coalesce("summary", F.lit(""))) == "", "page": c("quote").isNotNull() & c("page").isNull(),
+        "url": c("url").isNotNull() & ~c("url").rlike("^https://[^\\s]+$"),
+    }
+    return _violations(both, ["paper_id", "id"], rules)
+
+
+def verification_errors(checked: DataFrame) -> DataFrame:
+    """(id, errors) of second looks at findings (id, outcome, n_evidence, packet_sha, expected_sha)."""
+    c = F.col
+    rules = {
+        "outcome": ~F.coalesce(c("outcome").isin("confirmed", "narrowed", "rejected", "unresolved"), F.lit(False)),
+        "evidence": (c("outcome") != "unresolved") & (c("n_evidence") <= 0),
+        "packet": ~c("packet_sha").eqNullSafe(c("expected_sha")),
+    }
+    return _violations(checked, ["id"], rules)
