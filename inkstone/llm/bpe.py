@@ -11,7 +11,6 @@ import json
 from collections.abc import Iterable
 from functools import cached_property
 from hashlib import sha256
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,8 +25,11 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 #: Characters of Unicode's property White_Space (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: Bytes of a word that the rank array takes; characters of a chunk that is kept; chunks that a worker keeps.
-SHORT, KEPT_CHARS, KEPT = 32, 48, 400_000
+SHORT, KEPT_CHARS, KEPT = 32, 48, 700_000
 _NONE = np.int32(2**31 - 1)
+_SLOT_BITS = 20
+#: A letters' chunk that ends with one of these is two words.
+_ENDS = frozenset(",.;:!?")
 _SPACED = tuple(" " + c for c in WHITE)
 
 
@@ -54,57 +56,68 @@ class Codec:
                 self.id_of_byte[letter[token]] = i
         self.width = 1 + max(self.bytes_of)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        keys = np.array([ids[a] * self.width + ids[b] for a, b in merges], np.int64)
-        order = np.argsort(keys)
-        self.pair = keys[order]
-        self.rank = order.astype(np.int32)
-        self.merged = np.array([ids[a + b] for a, b in merges], np.int32)  # by rank
+        self.pair = np.array([ids[a] * self.width + ids[b] for a, b in merges], np.int64)  # by rank
+        self.merged = np.array([ids[a + b] for a, b in merges], np.int32)
+        slot = self._slot(self.pair)
+        self.at_slot = np.zeros(1 << _SLOT_BITS, np.int32)
+        self.at_slot[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
+        self.shared = np.bincount(slot, minlength=1 << _SLOT_BITS) > 1
+        self.byte_ranks = self._pair_ranks(np.repeat(self.id_of_byte, 256), np.tile(self.id_of_byte, 256)).reshape(256, 256)
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in self.special) + ")") if self.special else None
-        self.after_space: dict[str, tuple[int, ...]] = {}
-        self.at_start: dict[str, tuple[int, ...]] = {}
+        self.after_space: dict[str, bytes] = {}
+        self.at_start: dict[str, bytes] = {}
 
     @cached_property
     def ranks(self) -> dict[int, int]:
-        return dict(zip(self.pair.tolist(), self.rank.tolist(), strict=True))
+        return {k: r for r, k in enumerate(self.pair.tolist())}
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
 
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of token ids, by a table of hashes; few slots hold several pairs, which a dictionary tells apart."""
         key = left.astype(np.int64) * self.width + right
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where((self.pair[at] == key) & (left >= 0) & (right >= 0), self.rank[at], _NONE)
+        slot = self._slot(key)
+        found = self.at_slot[slot]
+        hit = (self.pair[found] == key) & (left >= 0) & (right >= 0)
+        out = np.where(hit, found, _NONE)
+        for i in np.flatnonzero(~hit & self.shared[slot] & (left >= 0) & (right >= 0)).tolist():
+            out[i] = self.ranks.get(int(key[i]), _NONE)
+        return out
 
-    def merge_short(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Token ids of words of 1 to SHORT bytes."""
-        out: list[tuple[int, ...]] = [()] * len(words)
+    def merge_short(self, words: list[bytes]) -> list[bytes]:
+        """Token ids, four bytes each, of words of 1 to SHORT bytes."""
+        out = [b""] * len(words)
         size = np.fromiter(map(len, words), np.int64, len(words))
         for low, high in ((0, 6), (6, 10), (10, 16), (16, SHORT)):
             rows = np.flatnonzero((size > low) & (size <= high))
             for i in range(0, len(rows), 20_000):
-                some = rows[i : i + 20_000]
-                for k, ids in zip(some.tolist(), self._merge_matrix([words[k] for k in some.tolist()], high), strict=True):
+                some = rows[i : i + 20_000].tolist()
+                for k, ids in zip(some, self._merge_matrix([words[k] for k in some], size[some], high), strict=True):
                     out[k] = ids
         return out
 
-    def _merge_matrix(self, words: list[bytes], width: int) -> list[tuple[int, ...]]:
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+    def _merge_matrix(self, words: list[bytes], sizes: np.ndarray, width: int) -> list[bytes]:
+        raw = np.array(words, f"S{width}").view(np.uint8).reshape(len(words), width)
         columns = np.arange(width)
-        parts = np.where(columns < sizes[:, None], self.id_of_byte[raw], -1).astype(np.int32)
-        parts = np.c_[parts, np.full(len(words), -1, np.int32)]
-        ranks = self._pair_ranks(parts[:, :-1], parts[:, 1:])
+        filled = columns < sizes[:, None]
+        parts = np.c_[np.where(filled, self.id_of_byte[raw], -1), np.full(len(words), -1)].astype(np.int32)
+        ranks = np.full((len(words), width), _NONE, np.int32)
+        ranks[:, :-1] = np.where(filled[:, 1:], self.byte_ranks[raw[:, :-1], raw[:, 1:]], _NONE)
         done, todo = parts.copy(), np.arange(len(words))
         while len(todo):
             at = ranks.argmin(axis=1)
-            row = np.arange(len(todo))
-            best = ranks[row, at]
+            best = ranks[np.arange(len(todo)), at]
             go = best < _NONE
             if not go.all():
                 done[todo[~go]] = parts[~go]
                 todo, parts, ranks, at, best = todo[go], parts[go], ranks[go], at[go], best[go]
-                row = np.arange(len(todo))
                 if not len(todo):
                     break
-            later = columns >= at[:, None] + 1
+            row = np.arange(len(todo))
+            later = columns > at[:, None]
             parts[:, :-1] = np.where(later, parts[:, 1:], parts[:, :-1])
             ranks[:, :-1] = np.where(later[:, :-1], ranks[:, 1:], ranks[:, :-1])
             parts[:, -1] = -1
@@ -114,10 +127,11 @@ class Codec:
             ranks[row, at] = self._pair_ranks(new, parts[row, at + 1])
             before = at > 0
             ranks[row[before], at[before] - 1] = self._pair_ranks(parts[row[before], at[before] - 1], new[before])
-        counts = (done >= 0).sum(axis=1).tolist()
-        return [tuple(r[:n]) for r, n in zip(done.tolist(), counts, strict=True)]
+        data, step = done.astype("<u4").tobytes(), 4 * (width + 1)
+        ends = (4 * (done >= 0).sum(axis=1)).tolist()
+        return [data[i * step : i * step + n] for i, n in enumerate(ends)]
 
-    def merge_long(self, word: bytes) -> tuple[int, ...]:
+    def merge_long(self, word: bytes) -> bytes:
         parts = self.id_of_byte[np.frombuffer(word, np.uint8)].tolist()
         n, rank = len(parts), self.ranks
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
@@ -136,20 +150,29 @@ class Codec:
             for x, y in ((before[i], i), (i, after[i])):
                 if x >= 0 and y >= 0 and (r := rank.get(parts[x] * self.width + parts[y])) is not None:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
-        return tuple(p for p in parts if p >= 0)
+        return np.array([p for p in parts if p >= 0], "<u4").tobytes()
 
-    def _learn(self, chunks: set[str], space: str, into: dict[str, tuple[int, ...]]) -> None:
+    def _learn(self, chunks: set[str], space: str, into: dict[str, bytes]) -> None:
         """Token ids of chunks, each of which no word crosses the border of."""
-        split = self.split.findall
-        spelled = {c: split(space + c) for c in chunks if not c.isalpha()}
-        words = list({space + c for c in chunks if c not in spelled}.union(*spelled.values()))
+        split, tailed, spelled = self.split.findall, [], {}
+        plain = {c for c in chunks if c.isalpha()}
+        for c in chunks - plain:
+            if c[-1:] in _ENDS and c[:-1].isalpha():
+                tailed.append(c)
+            else:
+                spelled[c] = split(space + c)
+        plain.update(c[:-1] for c in tailed if c[:-1] not in into)
+        words = list({space + c for c in plain}.union(_ENDS, *spelled.values()))
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         short = [i for i, b in enumerate(raw) if len(b) <= SHORT]
         ids = dict(zip((words[i] for i in short), self.merge_short([raw[i] for i in short]), strict=True))
         ids |= {words[i]: self.merge_long(b) for i, b in enumerate(raw) if len(b) > SHORT}
-        for c in chunks:
-            found = spelled.get(c)
-            into[c] = ids[space + c] if found is None else tuple(chain.from_iterable(map(ids.__getitem__, found)))
+        for c in plain:
+            into[c] = ids[space + c]
+        for c in tailed:
+            into[c] = into[c[:-1]] + ids[c[-1]]
+        for c, found in spelled.items():
+            into[c] = b"".join(map(ids.__getitem__, found))
 
     def _chunks(self, text: str) -> list[str]:
         """The text cut at each space that a character other than white space follows; the spaces are left out."""
@@ -159,15 +182,19 @@ class Codec:
 
     def encode_batch(self, texts: Iterable[str | None]) -> list[list[int]]:
         """Token ids of whole texts, without truncation; null counts as empty; special tokens in a text are found."""
+        return [np.frombuffer(ids, "<u4").tolist() for ids in self.encode_bytes(texts)]
+
+    def encode_bytes(self, texts: Iterable[str | None]) -> list[bytes]:
+        """The same ids as little-endian unsigned 32-bit integers."""
         collecting = gc.isenabled()
-        gc.disable()  # millions of new tuples, none in a cycle
+        gc.disable()  # millions of new objects, none in a cycle
         try:
-            return self._encode_batch(texts)
+            return self._encode_bytes(texts)
         finally:
             if collecting:
                 gc.enable()
 
-    def _encode_batch(self, texts: Iterable[str | None]) -> list[list[int]]:
+    def _encode_bytes(self, texts: Iterable[str | None]) -> list[bytes]:
         rows, first, later = [], set(), set()
         for text in texts:
             row = []
@@ -180,26 +207,28 @@ class Codec:
                     first.add(chunks[0])
                     later.update(chunks[1:])
             rows.append(row)
+        dropped = []
         for need, space, known in ((first, "", self.at_start), (later, " ", self.after_space)):
             new = need - known.keys()
             if len(known) + len(new) > KEPT:
                 known.clear()
                 new = need
             self._learn(new, space, known)
+            dropped.append((known, [c for c in new if len(c) > KEPT_CHARS]))
         start, known = self.at_start, self.after_space.__getitem__
         out = []
         for row in rows:
-            ids: list[int] = []
+            parts: list[bytes] = []
             for piece in row:
                 if isinstance(piece, str):
-                    ids.append(self.special[piece])
+                    parts.append(np.uint32(self.special[piece]).tobytes())
                 else:
-                    ids += start[piece[0]]
-                    ids += chain.from_iterable(map(known, piece[1:]))
-            out.append(ids)
-        for kept in (self.at_start, self.after_space):
-            for c in [c for c in (first if kept is self.at_start else later) if len(c) > KEPT_CHARS]:
-                kept.pop(c, None)
+                    parts.append(start[piece[0]])
+                    parts += map(known, piece[1:])
+            out.append(b"".join(parts))
+        for known, long in dropped:
+            for c in long:
+                known.pop(c, None)
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -242,7 +271,7 @@ def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids", into: str = "
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
-        return pd.Series([codec_of(data.value).decode(() if x is None else x.tolist()) for x in ids], dtype=object)
+        return pd.Series([codec_of(data.value).decode(() if x is None else x) for x in ids], dtype=object)
 
     return rows.withColumn(into, text(F.col(ids_col)))
 

@@ -87,14 +87,13 @@ def pieces_of(docs: DataFrame, vocabulary: str, max_tokens: int = 1024, end_id:
     @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
     def cut(texts: pd.Series) -> pd.Series:
         rows = []
-        for ids in codec_of(data.value).encode_batch(texts):
-            ids.append(end_id)
-            flat = np.array(ids, "<u4")
-            head = len(flat) % max_tokens or max_tokens
-            ends = [*range(head, len(flat) + 1, max_tokens)]
+        for ids in codec_of(data.value).encode_bytes(texts):
+            flat = ids + np.uint32(end_id).tobytes()
+            total = len(flat) // 4
+            ends = [*range(total % max_tokens or max_tokens, total + 1, max_tokens)]
             rows.append(
                 [
-                    {"piece": k, "start": b, "length": e - b, "ids_crc32": zlib.crc32(flat[b:e].tobytes())}
+                    {"piece": k, "start": b, "length": e - b, "ids_crc32": zlib.crc32(flat[4 * b : 4 * e])}
                     for k, (b, e) in enumerate(zip([0, *ends[:-1]], ends, strict=True))
                 ]
             )
