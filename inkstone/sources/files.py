@@ -45,7 +45,7 @@ def csv_cells(spark: SparkSession, path: str) -> DataFrame:
     """(path, row, col, value): every cell of CSV tables, rows and columns from 1, quoted cells unquoted. A file is one
     partition's text, as its rows have no numbers of their own."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split(F.rtrim(F.regexp_replace("value", "\r\n?", "\n")), "\n")).alias("row", "line"))
+    lines = files.select("path", F.posexplode(F.split(F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "^\ufeff|\n+$", ""), "\n")).alias("row", "line"))
     cell = r'(?:^|,)(?:"((?:[^"]|"")*)"|([^,]*))'
     quoted, plain = (F.regexp_extract_all("line", F.lit(cell), k) for k in (1, 2))
     both = F.zip_with(quoted, plain, lambda q, p: F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).otherwise(p))
