@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from . import check_queries, extract_queries, layout_queries, ranking_queries, state_queries  # noqa: F401
+from . import check_queries, document_queries, extract_queries, layout_queries, ranking_queries, state_queries  # noqa: F401
