@@ -21,8 +21,10 @@ class Settings:
 
     texts: int = 1500
     pieces: int = 8
-    piece_bytes: int = 512
-    dictionary_bytes: int = 65_536
+    piece_bytes: int = 1024
+    dictionary_bytes: int = 112_640
+    #: Bytes added to a text's size before its difference is shared out, so that short texts' whole bytes weigh less.
+    shrink: int = 50
     level: int = 3
     threshold: float = 0.3
 
@@ -60,12 +62,13 @@ def _compressors(model: Model) -> list[zstandard.ZstdCompressor]:
 
 
 def size_difference(model: Model, text: str | None) -> float:
-    """Compressed bytes with the bad dictionary less those with the good one, by the text's bytes; 0 for empty texts."""
+    """Compressed bytes with the bad dictionary less those with the good one, by the text's bytes and `shrink` more; 0 for empty
+    texts."""
     data = (text or "").encode("utf-8", "surrogatepass")
     if not data:
         return 0.0
     bad, good = (c.compress for c in _compressors(model))
-    return sum(len(bad(p)) - len(good(p)) for p in pieces(data, model.settings.piece_bytes)) / len(data)
+    return sum(len(bad(p)) - len(good(p)) for p in pieces(data, model.settings.piece_bytes)) / (len(data) + model.settings.shrink)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
