@@ -22,6 +22,7 @@ Span = tuple[str, int, int]
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_DOTTED = re.compile(r"[0-9]\.[0-9]")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
@@ -58,7 +59,13 @@ _TOKEN = re.compile(
     rf"|(?P<digits>\b(?:plus[\s-]{{1,3}})?(?:{_WORD})(?:[\s,.-]{{1,3}}(?:{_WORD}|[0-9]))+\b)",
     re.IGNORECASE,
 )
-_CUE = re.compile(rf"{_GLYPH}|\s@\s|\bdot\b|[\[({{<]\s{{0,2}}(?:dot|\.|at|@)\s{{0,2}}[\])}}>]|(?:{_WORD})[\s,.-]{{1,3}}(?:{_WORD}|[0-9])", re.IGNORECASE)
+_ANY_GLYPH = re.compile(_GLYPH)
+_DOT = re.compile(r"\bdot\b")
+_BRACKETED = re.compile(r"[\[({<]\s{0,2}(?:dot|\.|at|@)\s{0,2}[\])}>]")
+_APART = re.compile(r"\s@\s")
+_RUN = re.compile(rf"\b(?:{_WORD})[\s,.-]{{1,3}}(?:{_WORD}|[0-9])")
+_ALONE = frozenset(DIGIT_WORDS)
+_JOINED = tuple(w + mark for w in DIGIT_WORDS for mark in ",.-")
 _ONE = re.compile(rf"{_WORD}|[0-9]|plus", re.IGNORECASE)
 
 
@@ -95,7 +102,8 @@ def find(text: str) -> list[Span]:
     if "@" in text:
         out += [("email", a, b) for a, b in _emails(text)]
     if _DIGITS.search(text):
-        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(map(_octet, m[0].split(".")))]
+        if _DOTTED.search(text):
+            out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(map(_octet, m[0].split(".")))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 13:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -144,9 +152,19 @@ def _back(places: list[tuple[int, int, int]], start: int, end: int) -> tuple[int
     return a, b, one or two or bisect_right(places, (start, 1 << 62, 0)) < bisect_right(places, (end - 1, 1 << 62, 0))
 
 
+def cued(text: str) -> bool:
+    """Whether anything in the text could be a disguise: quick searches, since most texts have none."""
+    if not text.isascii() and _ANY_GLYPH.search(text):
+        return True
+    low = text.lower()
+    if "dot" in low and _DOT.search(low) or _BRACKETED.search(low) or "@" in low and _APART.search(low):
+        return True
+    return (not _ALONE.isdisjoint(low.split()) or any(x in low for x in _JOINED)) and bool(_RUN.search(low))
+
+
 def find_disguised(text: str, plain: list[Span]) -> list[Span]:
     """Identifiers that only the rewritten text shows, beside the plain ones that none may overlap."""
-    if not _CUE.search(text):
+    if not cued(text):
         return []
     new, places = rewrite(text)
     if not places:
