@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
 
 
 def registry(files: DataFrame) -> DataFrame:
@@ -114,21 +115,23 @@ def guarded_selection(roster: DataFrame, selection: DataFrame) -> DataFrame:
     return some.where(~c("optional") | unsure | theory | F.array_contains("selected", c("name"))).select("paper_id", "name")
 
 
-def terminals(decisions: DataFrame, spark_tables: dict | None = None, depth: int = 64) -> DataFrame:
+def terminals(decisions: DataFrame, depth: int = 64) -> DataFrame:
     """(id, terminal, steps, error) of merged decisions (id, disposition, destination): the end of each merge chain, by
-    doubling, so a chain of n takes log n joins; a chain that ends nowhere or in a ring has an error and no terminal."""
-    now = decisions.select("id", "disposition", F.when(F.col("disposition") == "merged", F.col("destination")).alias("next"))
-    start = now.select("id", F.col("next").alias("at")).where("at is not null").withColumn("steps", F.lit(1).cast("long"))
-    jump = start
+    doubling, so a chain of n takes log n joins, each on a checkpointed table; chains are followed for `depth` steps at
+    least, and one that ends nowhere, in a rejection or in a ring has an error and no terminal."""
+    c = F.col
+    merged = decisions.where(c("disposition") == "merged")
+    jump = cut(merged.select("id", c("destination").alias("at"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moved")))
     for _ in range(max(1, depth.bit_length())):
-        far = jump.select(F.col("id").alias("at"), F.col("at").alias("far"), F.col("steps").alias("more"))
-        jump = jump.join(far, "at", "left").select(
-            "id", F.coalesce("far", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")
-        )
-    ends = decisions.select(F.col("id").alias("at"), F.col("disposition").alias("_d"))
+        far = jump.select(c("id").alias("at"), c("at").alias("far"), c("steps").alias("more"))
+        on = F.coalesce("far", "at").alias("at"), (c("steps") + F.coalesce("more", F.lit(0))).alias("steps"), c("far").isNotNull().alias("moved")
+        jump = cut(jump.join(far, "at", "left").select("id", *on))
+        if jump.where("moved").isEmpty():
+            break
+    ends = decisions.select(c("id").alias("at"), c("disposition").alias("_d"))
     out = jump.join(ends, "at", "left")
-    error = F.when(F.col("_d").isNull(), "unknown destination").when(F.col("_d") == "merged", "cycle").when(F.col("_d") == "rejected", "rejected")
-    return out.select("id", error.alias("error"), F.when(error.isNull(), F.col("at")).alias("terminal"), F.when(error.isNull(), F.col("steps")).alias("steps"))
+    error = F.when(c("_d").isNull(), "unknown destination").when(c("_d") == "merged", "cycle").when(c("_d") == "rejected", "rejected")
+    return out.select("id", error.alias("error"), F.when(error.isNull(), c("at")).alias("terminal"), F.when(error.isNull(), c("steps")).alias("steps"))
 
 
 def report_errors(reports: DataFrame, headings: list[str], least: int = 2000) -> DataFrame:

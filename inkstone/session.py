@@ -1,8 +1,9 @@
 """Session settings for local runs; on a cluster the submitter's settings stay in force."""
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "inkstone", cpus: int | None = None) -> SparkSession:
@@ -19,3 +20,12 @@ def local_session(app: str = "inkstone", cpus: int | None = None) -> SparkSessio
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows checkpointed under spark.checkpoint.dir, so that a loop's plan doesn't grow; a folder of our own is set only
+    where the session names none."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="inkstone-"))
+    return df.checkpoint()
