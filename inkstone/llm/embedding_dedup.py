@@ -2,10 +2,12 @@
 greedy search from medoids that spreads through all vectors in range; recall is audited in every cell, links verified.
 
 Equal vectors are reduced to one before anything is compared. A vector belongs to the shards of its `overlap` nearest
-centres. A shard over `most` rows is dealt to blocks, and every two of its blocks make a cell, so a task holds 2 x most
+centres, or of more: sampled queries are compared with all vectors, which tells how many centres a vector needs for their
+links to share a shard, and the number is raised again until what was found of those links is enough. A shard over `most` rows is dealt to blocks, and every two of its blocks make a cell, so a task holds 2 x most
 rows at most and no pair of a shard is left out. A task sends on a count and a tree edge for a row, never its pairs.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +41,11 @@ class Settings:
     #: Rows of a cell whose links are counted by brute force; a cell below this share of them is compared wholly.
     audited: int = 16
     recall: float = 0.98
+    #: Queries compared with all vectors; the share of their links that must have a shard in common, as of `recall` that
+    #: found must be, over all links and in the mean of queries; links of a batch whose shards are looked at.
+    asked: int = 2048
+    shared: float = 0.995
+    looked: int = 4000
 
 
 def build(x: np.ndarray, s: Settings) -> list[np.ndarray]:
@@ -235,6 +242,62 @@ def cell_links(rows: pd.DataFrame, s: Settings) -> pd.DataFrame:
     return pd.DataFrame({"vec_id": ids, "n": counts, "parent": up})
 
 
+def ranks(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """For each row the places of all centres, nearest first."""
+    return np.argsort(-(x @ centre.T), axis=1, kind="stable")
+
+
+def audit(reps: DataFrame, queries: pd.DataFrame, centre: np.ndarray, s: Settings) -> pd.DataFrame:
+    """(query, need, n, w) of the queries' links with all vectors of reps: n links by brute force whose two lists of nearest
+    centres first meet at `need` centres, w of them by copies. need is -1 where a batch had more links than are looked at."""
+    raw = matrix(queries["embedding"])
+    ids = queries["vec_id"].to_numpy()
+    size = np.linalg.norm(raw, axis=1)
+    shipped = reps.sparkSession.sparkContext.broadcast((raw, size, ids, centre, ranks(raw, centre).astype(np.int16)))
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        raw, size, ids, centre, order = shipped.value
+        steps = np.arange(len(centre))
+        for batch in batches:
+            x, own = matrix(batch["embedding"]), batch["vec_id"].to_numpy()
+            q, v = np.nonzero((raw @ x.T) / (size[:, None] * np.linalg.norm(x, axis=1)) >= s.threshold)
+            q, v = (a[ids[q] != own[v]] for a in (q, v))
+            need = np.full(len(q), -1)
+            some = np.sort(np.random.default_rng(len(q)).choice(len(q), min(s.looked, len(q)), replace=False))
+            place = np.empty((len(x), len(centre)), np.int16)
+            np.put_along_axis(place, ranks(x, centre), steps[None].astype(np.int16), 1)
+            for i in range(0, len(some), 500):
+                at = some[i : i + 500]
+                need[at] = np.maximum(place[v[at][:, None], order[q[at]]], steps).min(axis=1) + 1
+            found = pd.DataFrame({"query": ids[q], "need": need, "n": 1, "w": batch["copies"].to_numpy(np.int64)[v]})
+            yield found.groupby(["query", "need"], as_index=False).sum()
+
+    rows = reps.select("vec_id", "embedding", "copies").mapInPandas(compared, "query long, need int, n long, w long")
+    return rows.groupBy("query", "need").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).toPandas()
+
+
+def overlap_for(links: pd.DataFrame, centres: int, s: Settings) -> int:
+    """Centres of a vector, `overlap` at least, at which enough of the audited links share a shard."""
+    known = links[links["need"] > 0]
+    if not len(known):
+        return min(s.overlap, centres)
+    met = np.zeros((known["query"].nunique(), centres + 1))
+    np.add.at(met, (pd.factorize(known["query"])[0], known["need"].to_numpy()), known["n"].to_numpy())
+    met = met.cumsum(axis=1)
+    over_all, mean = met.sum(axis=0) / met[:, -1].sum(), (met / met[:, -1:]).mean(axis=0)
+    return min(centres, max(s.overlap, int((np.minimum(over_all, mean) >= s.shared).argmax())))
+
+
+def enough(links: pd.DataFrame, counts: DataFrame, s: Settings) -> bool:
+    """Whether the found counts (vec_id, n) hold `recall` of the audited links, over all and in the mean of queries."""
+    true = links.groupby("query")["w"].sum()
+    if not len(true):
+        return True
+    asked = counts.sparkSession.createDataFrame([(int(i),) for i in true.index], "vec_id long")
+    found = counts.join(F.broadcast(asked), "vec_id").toPandas().set_index("vec_id")["n"].reindex(true.index).fillna(0)
+    return found.sum() >= s.recall * true.sum() and (found / true).mean() >= s.recall
+
+
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """(vec_id, n_links, component_id, kept), a row for each row of the table.
 
@@ -254,11 +317,32 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     if not len(data):
         return _answer(every, None)
     data /= np.linalg.norm(data, axis=1, keepdims=True)
-    centre = spark.sparkContext.broadcast(centroids(data, max(1, min(s.centres, round(number / s.shard)))))
+    centre = centroids(data, max(1, min(s.centres, round(number / s.shard))))
+    queries = reps.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", F.lit("audit")), "vec_id").limit(s.asked).toPandas()
+    true = audit(reps, queries, centre, s)
+    overlap = overlap_for(true, len(centre), s)
+    while True:
+        found = scratch.write(_found(reps, centre, overlap, s, scratch))
+        counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
+        if overlap == len(centre) or enough(true, counts, s):
+            break
+        overlap = min(2 * overlap, len(centre))
+        scratch.drop(found)
+    parts = connected_components(found.where("parent is not null").select(F.col("vec_id").alias("a"), F.col("parent").alias("b")), scratch)
+    per_rep = reps.join(counts, "vec_id").join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    answer = per_rep.select(
+        "embedding", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")
+    )
+    return _answer(every, some.distinct().join(answer, "embedding").select("vec_id", "n_links", "component_id"))
+
+
+def _found(reps: DataFrame, centre: np.ndarray, overlap: int, s: Settings, scratch: Scratch) -> DataFrame:
+    """(vec_id, n, parent) of the cells of shards, a vector in those of its `overlap` nearest centres."""
+    shipped = reps.sparkSession.sparkContext.broadcast(centre)
 
     @F.pandas_udf("array<int>")
     def nearest(vectors: pd.Series) -> pd.Series:
-        near = np.argsort(-(matrix(vectors) @ centre.value.T), axis=1, kind="stable")[:, : s.overlap]
+        near = ranks(matrix(vectors), shipped.value)[:, :overlap]
         return pd.Series(list(np.sort(near, axis=1).astype(np.int32)))
 
     dealt = scratch.write(reps.withColumn("shards", nearest("embedding")))
@@ -281,15 +365,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     lists = cells(dealt).groupBy(*key).applyInPandas(graph, "vec_id long, near array<long>")
     united = lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     full = scratch.write(dealt.join(united, "vec_id"))
-    found = cells(full).groupBy(*key).applyInPandas(lambda g: cell_links(g, s), "vec_id long, n long, parent long")
-    found = scratch.write(found)
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    parts = connected_components(found.where("parent is not null").select(F.col("vec_id").alias("a"), F.col("parent").alias("b")), scratch)
-    per_rep = reps.join(counts, "vec_id").join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    answer = per_rep.select(
-        "embedding", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")
-    )
-    return _answer(every, some.distinct().join(answer, "embedding").select("vec_id", "n_links", "component_id"))
+    return cells(full).groupBy(*key).applyInPandas(lambda g: cell_links(g, s), "vec_id long, n long, parent long")
 
 
 def _answer(every: DataFrame, found: DataFrame | None) -> DataFrame:

@@ -100,3 +100,19 @@ def test_anisotropic_codes_prefer_small_parallel_error():
     approximate = ann.scan(aware, x[:5], codes[:, ::2] << 4 | codes[:, 1::2])
     back = aware.centres[np.arange(codes.shape[1]), codes].reshape(50, -1)
     assert np.allclose(approximate, x[:5] @ back.T, atol=1e-4)
+
+
+def test_links_across_many_shards(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    both = np.r_[x, 0.905 * x + math.sqrt(1 - 0.905**2) * side]
+    both = both[rng.permutation(len(both))]
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(both)], "vec_id long, embedding array<double>")
+    true = (both @ both.T >= 0.9).sum(1) - 1
+    rows = embedding_dedup.near_duplicates(frame, settings=embedding_dedup.Settings(shard=10, sample=150)).collect()
+    links = np.array([r["n_links"] for r in sorted(rows, key=lambda r: r["vec_id"])])
+    assert (links <= true).all() and links.sum() >= 0.98 * true.sum()
