@@ -1,10 +1,13 @@
 """Licence scans by sentence rules: normalised sentences map to identifiers of known licence sentences, and a document's
 identifiers, in order, are matched against rules that are ordered sequences of identifiers.
 
-Only built-in functions: sentences of all texts meet a small fixed table in a broadcast join, so what is shuffled is the
-few known sentences. The same rules give the SQL statement of the scan.
+Only built-in functions, and what is shuffled is the few known sentences. A known sentence may be wrapped over lines and
+hold : and ; between its words. The same rules give the SQL statement of the scan, which knows a sentence only where none
+of these stands within it; on texts without such sentences both give the same rows.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,25 +55,37 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("all-rights-reserved", "Proprietary", ("RESERVED",)),
 )
 
-#: A sentence ends at a line's end, at ; or : and at . ! ? before white space or the text's end.
+#: The SQL's sentences end at a line's end, at ; or : and at . ! ? before white space or the text's end.
 _BREAK = r"[.!?]+([ \t\r]|$)|[.!?]*\n+|[;:]"
+#: No sentence goes over . ! ? before white space or the text's end, nor over an empty line.
+_STOP = r"[.!?]+([ \t\r\n]|$)|\n[ \t\r]*\n"
+#: Every known sentence holds one of these.
+_CUE = r"(?i)licen|permission|copyright|warranty|redistribut|reserved|cc[^a-z0-9]+by"
+_LONGEST = sorted((words for some in SENTENCES.values() for words in some), key=len, reverse=True)
+#: A known sentence in a text whose lines and parts at : and ; are set off by |.
+_KNOWN = r"(?<=\|)(?:" + "|".join(re.sub(" ", "[ |]", words) for words in _LONGEST) + r")(?=\|)"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-
-
-def sentences(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """keys, place (from 0) and words: the normalised sentences of whole texts; null texts have none."""
-    cut = F.split(F.regexp_replace(F.col(text_col), _BREAK, "\n"), "\n")
-    return docs.select(*keys, F.posexplode(cut).alias("place", "sentence")).select(*keys, "place", normalised(F.col("sentence")).alias("words"))
+def marked(block: Column) -> Column:
+    """Normalised words of what stands between two stops; |, also at both ends, is a line's end, : or ;."""
+    parts = F.translate(F.lower(block), "|:;\n", " |||")
+    words = F.regexp_replace(F.concat(F.lit("|"), parts, F.lit("|")), "[^a-z0-9|]+", " ")
+    return F.regexp_replace(words, r" ?\|[ |]*", "|")
 
 
 def known_sentences(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """keys, place and sentence_id of the sentences that the fixed table holds."""
+    """keys, place and sentence_id of the sentences that the fixed table holds, in whole texts; null texts have none.
+
+    Of known sentences that begin at one place the longest counts, and none that begins within another.
+    """
     rows = [(words, name) for name, some in SENTENCES.items() for words in some]
     fixed = docs.sparkSession.createDataFrame(rows, "words string, sentence_id string")
-    return sentences(docs, keys, text_col).join(F.broadcast(fixed), "words").select(*keys, "place", "sentence_id")
+    blocks = docs.where(F.col(text_col).rlike(_CUE)).select(*keys, F.posexplode(F.split(F.col(text_col), _STOP)).alias("block", "part"))
+    found = blocks.where(F.col("part").rlike(_CUE)).select(
+        *keys, "block", F.posexplode(F.regexp_extract_all(marked(F.col("part")), F.lit(_KNOWN), F.lit(0))).alias("k", "sentence")
+    )
+    words = F.translate("sentence", "|", " ").alias("words")
+    return found.select(*keys, F.struct("block", "k").alias("place"), words).join(F.broadcast(fixed), "words").select(*keys, "place", "sentence_id")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

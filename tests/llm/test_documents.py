@@ -349,3 +349,58 @@ def test_licenses(spark, awkward):
         7: (2, "MIT-NAME,RESERVED", "all-rights-reserved,mit-name", "MIT,Proprietary"),
     }
     assert licenses.scan(empty(spark, awkward)).count() == 0
+
+
+LICENSE_TEXTS = {
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+""",
+    "gpl-3.0-header": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+""",
+    "bsd-2-clause,bsd-3-clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+    "apache-2.0-header,apache-2.0-name": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+""",
+    "mit-name": "// SPDX-License-Identifier: MIT\nint x;",
+    "apache-2.0-name": "# SPDX-License-Identifier: Apache-2.0\r\nimport x",
+    "gpl-3.0-name": "/* SPDX-License-Identifier: GPL-3.0-only */",
+    "cc-by-4.0-name": "Words.\nThis work is licensed\nunder CC-BY 4.0",
+}
+
+
+def test_licenses_as_they_are_written(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(LICENSE_TEXTS.values())], "doc_id long, text string")
+    got = {r["doc_id"]: r["rules"] for r in licenses.scan(docs).collect()}
+    assert got == dict(enumerate(LICENSE_TEXTS))
+    assert all(re.search(licenses._CUE, words) for some in licenses.SENTENCES.values() for words in some)
+    apart = spark.createDataFrame([(1, "Licensed under the.\nGNU General Public License. Version 3"), (2, "the MIT\n\nlicense")], "doc_id long, text string")
+    assert licenses.scan(apart).count() == 0
