@@ -32,9 +32,8 @@ class Settings:
     hidden: int = 32
     lanes: int = 64
     window: int = 32
-    #: Each round trains replicas on a thirty-second of the training documents and averages their weights.
-    rounds: int = 2
-    slices: int = 32
+    #: Each round trains replicas on one of the slices of the training documents and averages their weights.
+    slices: int = 8
     replica_tokens: int = 1_500_000
     rate: float = 0.004
     #: Scoring: documents side by side, tokens of a window, characters that a task gathers first.
@@ -332,7 +331,7 @@ def vocabulary_of(counts: DataFrame, settings: Settings) -> Vocabulary:
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, settings: Settings) -> Weights:
-    """Weights trained on a fixed share of the training documents, so on the more the larger the corpus.
+    """Weights trained on all training documents, each once: a round for each slice of them.
 
     A round's documents are dealt to replicas of replica_tokens or so each; replicas train apart from the same weights,
     and means of weights, by tokens, are taken on executors first. The driver gets eight means at most.
@@ -341,7 +340,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, settings: Settings) -> Weight
     shipped = spark.sparkContext.broadcast(vocabulary)
     network = Network(vocabulary.head_counts(), settings)
     replicas = max(1, round(vocabulary.tokens / settings.slices / settings.replica_tokens))
-    for turn in range(settings.rounds):
+    for turn in range(settings.slices):
         start = spark.sparkContext.broadcast(_pack(network.weights))
 
         def replica(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:

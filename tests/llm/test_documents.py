@@ -262,6 +262,14 @@ def test_language_model(spark, awkward):
     assert lm.score_documents(empty(spark, docs)).count() == 0
 
 
+def test_language_model_learns_from_every_slice(spark):
+    """Only documents that the first two of 32 slices of ids do not hold."""
+    ids = spark.range(1600).where("pmod(xxhash64(id, 'train'), 32) > 1")
+    docs = ids.selectExpr("id AS doc_id", "repeat('a b c d ', 12) AS text")
+    got = lm.score_documents(docs, lm.Settings(window=8, lanes=16, rate=0.02)).where("held_out").toPandas()
+    assert got.score.sum() > 0.6 * got.base_score.sum()
+
+
 def test_language_model_sums_to_one_and_carries_state():
     s = lm.Settings(head=20, class_words=6, embedding=3, hidden=4)
     network = lm.Network(np.arange(30, 9, -1), s)
