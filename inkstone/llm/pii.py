@@ -2,13 +2,14 @@
 output character the source characters that it stands for; identifiers found in the rewritten text map back to spans.
 
 Offsets are code points. Plain patterns are found in the text as it is; what only the rewritten text shows is added where
-it overlaps no plain span. Rewriting is local to a disguise, so texts without one cost a search and no more.
+it lies in no plain span. Rewriting is local to a disguise, so texts without one cost a search and no more.
 """
 
 import re
 import string
 from bisect import bisect_right
 from hashlib import sha256
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,7 +48,8 @@ def _glyphs() -> dict[str, str]:
     return HOMOGLYPHS | wide | scripts | dict.fromkeys(INVISIBLE, "")
 
 
-#: Last labels that end a disguised address; two letters are a country's (fixed values).
+#: Last labels that end an address disguised by bare words or spaces, which prose has too; two letters are a country's
+#: (fixed values). Brackets and glyphs prove a disguise, whatever the ending.
 LAST_LABEL = re.compile(r"\.(?:com|org|net|edu|gov|mil|int|info|biz|app|dev|name|[a-z]{2})\Z", re.IGNORECASE)
 GLYPHS = _glyphs()
 _GLYPH = "[" + "".join(map(re.escape, GLYPHS)) + "]"
@@ -59,13 +61,14 @@ _TOKEN = re.compile(
     rf"|(?P<digits>\b(?:plus[\s-]{{1,3}})?(?:{_WORD})(?:[\s,.-]{{1,3}}(?:{_WORD}|[0-9]))+\b)",
     re.IGNORECASE,
 )
-_ANY_GLYPH = re.compile(_GLYPH)
+_ANY_GLYPH = re.compile(_GLYPH, re.IGNORECASE)
 _DOT = re.compile(r"\bdot\b")
-_BRACKETED = re.compile(r"[\[({<]\s{0,2}(?:dot|\.|at|@)\s{0,2}[\])}>]")
+_BRACKETED = re.compile(r"[\[({<]\s{0,2}(?:dot|\.|(?:at|@)\s{0,2}[\])}>])")
 _APART = re.compile(r"\s@\s")
-_RUN = re.compile(rf"\b(?:{_WORD})[\s,.-]{{1,3}}(?:{_WORD}|[0-9])")
-_ALONE = frozenset(DIGIT_WORDS)
-_JOINED = tuple(w + mark for w in DIGIT_WORDS for mark in ",.-")
+_ENDING = re.compile(r"\.\s{1,2}(?:com|org|net|edu|gov)\b")
+_RUNS = {w: re.compile(rf"{w}[\s,.-]{{1,3}}(?:{_WORD}|[0-9])") for w in DIGIT_WORDS}
+#: Letters that match s or i without regard to case, but are not so in lower case.
+_FOLDED = re.compile("[ſıİ]")
 _ONE = re.compile(rf"{_WORD}|[0-9]|plus", re.IGNORECASE)
 
 
@@ -153,29 +156,32 @@ def _back(places: list[tuple[int, int, int]], start: int, end: int) -> tuple[int
 
 
 def cued(text: str) -> bool:
-    """Whether anything in the text could be a disguise: quick searches, since most texts have none."""
-    if not text.isascii() and _ANY_GLYPH.search(text):
+    """Whether anything in the text could be a disguise: quick searches, since most texts have none; True wherever _TOKEN
+    finds something."""
+    if not text.isascii() and (_ANY_GLYPH.search(text) or _FOLDED.search(text)):
         return True
     low = text.lower()
-    if "dot" in low and _DOT.search(low) or _BRACKETED.search(low) or "@" in low and _APART.search(low):
+    if "dot" in low and _DOT.search(low) or _BRACKETED.search(low) or "@" in low and _APART.search(low) or _ENDING.search(low):
         return True
-    return (not _ALONE.isdisjoint(low.split()) or any(x in low for x in _JOINED)) and bool(_RUN.search(low))
+    return any(w in low and run.search(low) for w, run in _RUNS.items())
 
 
 def find_disguised(text: str, plain: list[Span]) -> list[Span]:
-    """Identifiers that only the rewritten text shows, beside the plain ones that none may overlap."""
+    """Identifiers that only the rewritten text shows, beside the plain ones that none may lie in."""
     if not cued(text):
         return []
     new, places = rewrite(text)
     if not places:
         return []
     taken = sorted((a, b) for _, a, b in plain)
+    reach = list(accumulate((b for _, b in taken), max))
     out = []
     for kind, start, end in find(new):
         a, b, changed = _back(places, start, end)
-        i = bisect_right(taken, (b - 1, 1 << 62))
-        if changed and b > a and not any(y > a for x, y in taken[max(0, i - 3) : i]):
-            if kind != "email" or LAST_LABEL.search(new[start:end]):
+        i = bisect_right(taken, (a, 1 << 62))
+        if changed and b > a and not (i and reach[i - 1] >= b):
+            proved = _BRACKETED.search(text[a:b].lower()) or _ANY_GLYPH.search(text, a, b)
+            if kind != "email" or proved or LAST_LABEL.search(new[start:end]):
                 out.append((kind, a, b))
     return out
 

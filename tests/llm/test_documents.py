@@ -412,3 +412,35 @@ def test_licenses_as_they_are_written(spark):
     assert all(re.search(licenses._CUE, words) for some in licenses.SENTENCES.values() for words in some)
     apart = spark.createDataFrame([(1, "Licensed under the.\nGNU General Public License. Version 3"), (2, "the MIT\n\nlicense")], "doc_id long, text string")
     assert licenses.scan(apart).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "spans", "clean"),
+    [
+        ("jоhn@example.com", "email:0:16,email:2:16", "<EMAIL>"),
+        ("at a@b.cоm.", "email:3:8,email:3:10", "at <EMAIL>."),
+        ("bob [at] mail [dot] online", "email:0:26", "<EMAIL>"),
+        ("bоb@mail.example", "email:0:16,email:2:16", "<EMAIL>"),
+        ("bob@example . com", "email:0:17", "<EMAIL>"),
+        ("call (plus one two zero two five five five zero one four seven)", "phone:6:62", "call (<PHONE>)"),
+        ("jоhn@example.com and 10.0.0.1", "email:0:16,email:2:16,ip:21:29", "<EMAIL> and <IP>"),
+    ],
+)
+def test_whole_disguises(text, spans, clean):
+    base = pii.find(text)
+    every = base + pii.find_disguised(text, base)
+    assert sorted(pii.spell(every).split(",")) == sorted(spans.split(",")) and pii.redact(text, every) == clean
+
+
+def test_quick_searches_miss_no_disguise():
+    rnd = random.Random(3)
+    parts = [
+        *"ab1@.,-()[]{}<> \t\n", " ", "  ", "at", "AT", "dot", "Dot", "one", "Two", "seven", "ſix", "nıne", "plus", "com", "org", "о", "Υ", "\u200b", "\u00a0", "é", "K",
+    ]
+    hits = 0
+    for _ in range(60_000):
+        text = "".join(rnd.choices(parts, k=rnd.randint(1, 12)))
+        if pii._TOKEN.search(text):
+            hits += 1
+            assert pii.cued(text), text
+    assert hits > 5000
