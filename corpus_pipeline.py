@@ -5,14 +5,14 @@ and reads it again, so a lost executor costs a stage at most.
 """
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm import langid, packing, pii, quality_classifier, simhash
 from inkstone.llm.common import Scratch, table
 
 
-def _whole(docs: DataFrame, *columns: str) -> DataFrame:
+def _whole(docs: DataFrame, *columns: str | Column) -> DataFrame:
     """The named columns, and the whole row as _row, whatever names its columns have."""
     return docs.select(*columns, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
 
@@ -30,13 +30,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id. Of rows that repeat its id and text one stays;
-    rows without an id, which no group can be named after, go."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = _whole(docs, "doc_id", "text").join(first, "doc_id")
-    again = kept.where("rows > 1").dropDuplicates(["doc_id", "text"])
-    return kept.where("rows = 1").union(again).select("_row.*")
+    """Of each group of near duplicates one row: that of the smallest id, of equal ids that of the smallest digest of the
+    text; rows without an id come last, so a group of them alone keeps one too."""
+    key = F.struct(
+        F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")
+    )
+    groups = simhash.near_duplicates(docs.select(key.alias("key"), "text"), "key")
+    first = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("_rows"))
+    kept = _whole(docs, key.alias("_key")).join(first, "_key")
+    again = kept.where("_rows > 1").dropDuplicates(["_key"])
+    return kept.where("_rows = 1").union(again).select("_row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,13 @@ def test_stages(spark, tmp_path):
     again = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, again, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_keep_a_row_of_each_group(spark, tmp_path):
+    rnd = random.Random(8)
+    a, b, c, d = (" ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (5, a), (None, a), (None, b), (None, c), (None, c), (5, d), (5, d)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in out.collect())) == sorted([(1, a), (0, b), (0, c), (5, d)])
