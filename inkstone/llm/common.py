@@ -8,8 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that goes to Python; with long texts this bounds a worker's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch that goes to Python; a batch holds one row at least, however long its text is.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -18,7 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches in rows and bytes, so that many long texts don't fill a worker. The setting stays in the session:
+    plans that are run after the call that made them need it too."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def bucket_of(doc_id: Column, n: int) -> Column:
@@ -29,14 +32,17 @@ def bucket_of(doc_id: Column, n: int) -> Column:
 class Scratch:
     """Tables written under spark.checkpoint.dir, which all executors share.
 
-    Writing a table cuts lineage: a lost executor costs a re-read, not a recomputation. A folder of its own is set only
-    where the session names none. drop() removes a table that nothing reads any more, and the rest goes when Python ends.
+    Writing a table cuts lineage: a lost executor costs a re-read, not a recomputation. Where the session names no folder a
+    temporary one is set in local mode alone; on a cluster that is an error, as executors share no local disk. drop()
+    removes a table that nothing reads any more, and the rest goes when Python ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="inkstone-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/inkstone-{uuid.uuid4().hex}"
