@@ -35,7 +35,7 @@ def text_strategy(two_columns: Column, fidelity: Column, landscape: Column, simi
 
 
 def issue_class(explicit: Column, category: Column, assessment: Column, role: Column) -> Column:
-    """The class told, if it is one; else by assessment, category and the reviewer's role."""
+    """The class told, if it is one; else by assessment, category and the rater's role."""
     c = T.squash(F.lower(F.coalesce(category, F.lit(""))))
     has = lambda *words: c.rlike("|".join(words))
     return (

@@ -62,12 +62,12 @@ def sensitive(name: Column) -> Column:
 
 
 def acceptance_errors(reviews: DataFrame) -> DataFrame:
-    """(reviewer, paper_id, errors) of reviews (run_status, version, state, scope, missing_checks, checks, n_findings,
+    """(rater, paper_id, errors) of reviews (run_status, version, state, scope, missing_checks, checks, n_findings,
     limitations) that can't count as completed."""
     c = F.col
     return _violations(
         reviews,
-        ["paper_id", "reviewer"],
+        ["paper_id", "rater"],
         {
             "status": ~F.coalesce(c("run_status").isin("ok", "cannot_verify"), F.lit(False)),
             "version": ~c("version").eqNullSafe(F.lit(1)),
@@ -97,7 +97,7 @@ def coverage_errors(required: DataFrame, covered: DataFrame) -> DataFrame:
 
 
 def selection_errors(roster: DataFrame, selected: DataFrame, skipped: DataFrame) -> DataFrame:
-    """(name, error): optional reviewers neither selected nor skipped, both, more than once, or not in the roster."""
+    """(name, error): optional raters neither selected nor skipped, both, more than once, or not in the roster."""
     told = selected.select("name", F.lit(1).alias("s")).unionByName(skipped.select("name", F.lit(0).alias("s")))
     counts = told.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("s").alias("ways"))
     both = counts.join(roster.where("enabled and optional").select("name", F.lit(True).alias("known")), "name", "full_outer")
@@ -106,8 +106,8 @@ def selection_errors(roster: DataFrame, selected: DataFrame, skipped: DataFrame)
 
 
 def guarded_selection(roster: DataFrame, selection: DataFrame) -> DataFrame:
-    """(paper_id, name): mandatory reviewers, the selected ones, all where the paper's type or the confidence is unsure,
-    and the theory reviewer of theory papers."""
+    """(paper_id, name): mandatory raters, the selected ones, all where the paper's type or the confidence is unsure,
+    and the theory rater of theory papers."""
     c = F.col
     unsure = c("paper_type").isin("mixed", "unknown") | ~c("confidence").eqNullSafe(F.lit("high"))
     theory = (c("paper_type") == "theory") & (c("name") == "theory_logic_auditor")
@@ -223,31 +223,31 @@ def greedy_ranges(lines: DataFrame, keys: list[str], most_bytes: int = 48_000, m
 
 
 def assignments(roster: DataFrame, objects: DataFrame) -> DataFrame:
-    """(reviewer, item_id): the remit of each, and every distinct object of the kind that a reviewer covers."""
-    remit = roster.select("reviewer", F.lit("assigned_remit").alias("item_id"))
-    return remit.union(objects.distinct().join(F.broadcast(roster), F.col("kind") == F.col("covers")).select("reviewer", "item_id"))
+    """(rater, item_id): the remit of each, and every distinct object of the kind that a rater covers."""
+    remit = roster.select("rater", F.lit("assigned_remit").alias("item_id"))
+    return remit.union(objects.distinct().join(F.broadcast(roster), F.col("kind") == F.col("covers")).select("rater", "item_id"))
 
 
 def roster_status(roster: DataFrame, outputs: DataFrame, reasons: DataFrame) -> DataFrame:
-    """(name, findings, status, reason) of every reviewer, with defaults where there is no output or reason."""
+    """(name, findings, status, reason) of every rater, with defaults where there is no output or reason."""
     counts = outputs.groupBy("name").agg(F.count("*").alias("_n"))
     out = roster.select("name").join(counts, "name", "left").join(reasons.select("name", F.col("reason").alias("_r")), "name", "left")
     return out.select(
         "name", F.coalesce("_n", F.lit(0)).alias("findings"), F.when(F.col("_n").isNull(), "no output").otherwise("ok").alias("status"),
-        F.coalesce("_r", F.lit("selected by reviewer applicability routing")).alias("reason"),
+        F.coalesce("_r", F.lit("selected by rater applicability routing")).alias("reason"),
     )
 
 
 def finding_errors(findings: DataFrame, roles: DataFrame) -> DataFrame:
-    """(paper_id, id, errors) of findings (reviewer, id, severity, confidence, assessment, summary, page, quote, url) that
-    break the contract: unknown reviewer, repeated id, values outside their domains, blank texts, quotes without a page."""
-    known = findings.join(F.broadcast(roles.select("reviewer", F.lit(True).alias("_known"))), "reviewer", "left")
+    """(paper_id, id, errors) of findings (rater, id, severity, confidence, assessment, summary, page, quote, url) that
+    break the contract: unknown rater, repeated id, values outside their domains, blank texts, quotes without a page."""
+    known = findings.join(F.broadcast(roles.select("rater", F.lit(True).alias("_known"))), "rater", "left")
     times = findings.groupBy("paper_id", "id").agg(F.count("*").alias("_times"))
     both = known.join(times, ["paper_id", "id"])
     c = F.col
     outside = lambda name, *values: ~F.coalesce(c(name).isin(*values), F.lit(False))
     rules = {
-        "reviewer": c("_known").isNull(), "duplicate id": c("_times") > 1, "severity": outside("severity", "low", "medium", "high"),
+        "rater": c("_known").isNull(), "duplicate id": c("_times") > 1, "severity": outside("severity", "low", "medium", "high"),
         "confidence": outside("confidence", "low", "medium", "high"), "assessment": outside("assessment", "yes", "no", "partially", "cannot_verify"),
         "summary": F.trim(F.coalesce("summary", F.lit(""))) == "", "page": c("quote").isNotNull() & c("page").isNull(),
         "url": c("url").isNotNull() & ~c("url").rlike("^https://[^\\s]+$"),

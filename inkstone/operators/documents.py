@@ -172,9 +172,9 @@ def manifest_counts(items: DataFrame, keys: list[str], kind: str = "kind") -> Da
 
 
 def ledger(covered: DataFrame) -> DataFrame:
-    """(paper_id, reviewers): each paper's reviewers with their items, nested and sorted."""
-    items = covered.groupBy("paper_id", "reviewer").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    return items.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("reviewer", "items"))).alias("reviewers"))
+    """(paper_id, raters): each paper's raters with their items, nested and sorted."""
+    items = covered.groupBy("paper_id", "rater").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    return items.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("rater", "items"))).alias("raters"))
 
 
 def zipped(left: DataFrame, right: DataFrame, keys: list[str], place: str) -> DataFrame:

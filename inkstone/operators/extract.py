@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.matching import spans
+from ..functions.matching import of_rank, spans
 
 # Patterns of citations in order of precedence, numbers, cross-references and marks of lists' borders.
 CITATIONS = (
@@ -17,6 +17,8 @@ CITATIONS = (
     r"\b[A-Z][A-Za-z'`\-]+(?:\s+et al\.)?\s*\((?:19|20)\d{2}[a-z]?\)",
     r"\[[0-9,\-\s]+\]",
 )
+#: Every citation holds a year after a bracket or comma, or a bracket of digits.
+CITATION_CUE = r"(?:19|20)\d{2}|\[[0-9,\-\s]+\]"
 NUMBER = (
     r"(?<![\w.])(?:[$€£]\s*)?[-−]?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+\.\d+|\.\d+|\d+)"
     r"(?:\s?(?:%|pp|bps|bp|percent|percentage points|million|billion|trillion|k|m|bn))?(?![\w.])"
@@ -33,6 +35,19 @@ LIST_END = (
 )
 CAPTION = r"(?i)^\s*(Table|Figure|Fig\.)\s+((?:[A-Z]\.?)?\d+(?:\.\d+)?[A-Za-z]?)(?:\s*:\s*(.+?))?\s*$"
 CAPTION_CAPITALS = r"^\s*(TABLE|FIGURE|FIG\.)\s+((?:[A-Z]\.?)?\d+(?:\.\d+)?[A-Za-z]?)\s+([A-Z][^\n]{2,}?)\s*$"
+HEADING_WORDS = r"(?i)^(?:(?:abstract|introduction|conclusion|references|bibliography|appendix(?:es)?|online appendix)|[IVXLC]+\.\s+[A-Z].{0,120})$"
+HEADING_LETTERED = r"^(?:[A-Z]\s+[A-Z].{0,120}|[A-Z]\.\d+(?:\.\d+)*\s+[A-Z].{0,120})$"
+HEADING_NUMBER = r"^[1-9](?:\.\d+){0,4}$"
+LINE_NUMBER = r"[-−]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
+NOTE_START = r"(?i)^Notes?\s*:"
+SPLIT_WORDS = {
+    "table": "table", "tables": "table", "figure": "figure", "figures": "figure", "section": "section", "sections": "section",
+    "appendix": "appendix", "appendices": "appendix", "equation": "equation", "equations": "equation",
+}
+#: A line that begins in lower case can head a section only with one of these.
+LOWER_START = (
+    r"^(?!(?i:abstract|introduction|conclusion|references|bibliography|appendix|online|for online|main|additional|figures|tables|[a-z]\s))\p{Ll}"
+)
 ENTRY_START = (
     r"^\s*(?:\[\d+\]\s*)?(?:[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ'`.\-]+|(?:[Vv]an|[Vv]on|[Dd]e|[Dd]el|[Dd]a|[Dd]i|[Ll]e|[Ll]a)"
     r"\s+[A-ZÀ-ÖØ-Þ]?[A-Za-zÀ-ÖØ-öø-ÿ'`.\-]+)(?:,|\s+and\s+).{2,}"
@@ -78,16 +93,17 @@ def _located(pages: DataFrame, found: Column, window: int) -> DataFrame:
 
 def citations(pages: DataFrame) -> DataFrame:
     """Citations of each page: a pattern's match stands unless it starts in a reference list or overlaps one of an earlier
-    pattern. The precedence is fixed, so the plan is: one anti join with the lists, then a fold over a page's matches."""
-    parts = [F.transform(spans(F.col("text"), p), lambda m, i=i: F.struct(F.lit(i).alias("rank"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"))) for i, p in enumerate(CITATIONS)]
+    pattern. The precedence is fixed, so the plan is: one pass of all patterns over pages that a built-in test lets through,
+    one join with the lists, and for each pattern those of its matches that no kept one overlaps (a pattern's own do not)."""
     ranges = list_ranges(pages).groupBy("paper_id", "page").agg(F.collect_list(F.struct("range_start", "range_end")).alias("ranges"))
-    every = pages.withColumn("found", F.concat(*parts)).where(F.size("found") > 0).join(ranges, ["paper_id", "page"], "left")
+    some = pages.where(F.col("text").rlike(CITATION_CUE)).withColumn("found", spans(F.col("text"), *CITATIONS)).where(F.size("found") > 0)
+    every = some.join(ranges, ["paper_id", "page"], "left")
     listed = lambda m: F.exists("ranges", lambda r: (m["start"] >= r["range_start"]) & (m["start"] < r["range_end"]))
-    free = F.filter("found", lambda m: ~F.coalesce(listed(m), F.lit(False)))
-    clash = lambda kept, m: F.exists(kept, lambda k: F.greatest(k["start"], m["start"]) < F.least(k["end"], m["end"]))
-    kind = "array<struct<rank:int,start:int,end:int,match:string>>"
-    kept = F.aggregate(free, F.from_json(F.lit("[]"), kind), lambda a, m: F.when(clash(a, m), a).otherwise(F.concat(a, F.array(m)).cast(kind)))
-    rows = every.select("paper_id", "page", "text", F.explode(kept).alias("m"))
+    every = every.withColumn("found", F.filter("found", lambda m: ~F.coalesce(listed(m), F.lit(False)))).withColumn("kept", of_rank(F.col("found"), 0))
+    for k in range(1, len(CITATIONS)):
+        free = lambda m: ~F.exists("kept", lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"]))
+        every = every.withColumn("kept", F.concat("kept", F.filter(of_rank(F.col("found"), k), free)))
+    rows = every.select("paper_id", "page", "text", F.explode("kept").alias("m"))
     start, end = F.col("m.start"), F.col("m.end")
     return rows.select(
         "paper_id", "page", "m.match", start.alias("match_start"), end.alias("match_end"), "m.rank",
@@ -96,72 +112,158 @@ def citations(pages: DataFrame) -> DataFrame:
 
 
 def numbers(pages: DataFrame) -> DataFrame:
-    out = _located(pages, spans(F.col("text"), NUMBER, re.IGNORECASE), 80)
+    out = _located(pages, spans(F.col("text"), NUMBER, flags=re.IGNORECASE), 80)
     return out.withColumn("number", F.trim("match")).drop("groups", "match")
 
 
-def crossrefs(pages: DataFrame) -> DataFrame:
-    """Cross-references once for each page, kind and label: those of series first, then single ones, then captions."""
-    series = pages.select("paper_id", "page", F.explode(spans(F.col("text"), SERIES, re.IGNORECASE)).alias("m"))
+def crossrefs(pages: DataFrame, raw: str = "text") -> DataFrame:
+    """Cross-references once for each page, kind and label: those of series first, then single ones, then supported caption
+    lines of the column `raw` (the page's text before it is normalised)."""
+    found = pages.select("paper_id", "page", F.explode(spans(F.col("text"), SERIES, CROSSREF, flags=re.IGNORECASE)).alias("m"))
+    series = found.where("m.rank = 0")
     labels = series.select(
         "paper_id", "page", F.col("m.groups")["kind"].alias("kind"), F.col("m.match").alias("reference_text"),
         (F.col("m.end") - F.length(F.col("m.groups")["labels"])).alias("base"),
         F.explode(spans(F.col("m.groups")["labels"], rf"\(?(?P<label>{LABEL})\)?")).alias("l"), F.lit(0).alias("source"),
-    ).select("paper_id", "page", "kind", "reference_text", (F.col("base") + F.col("l.start")).alias("at"), F.col("l.groups")["label"].alias("label"), "source")
-    single = pages.select("paper_id", "page", F.explode(spans(F.col("text"), CROSSREF, re.IGNORECASE)).alias("m")).select(
+    ).select("paper_id", "page", "kind", "reference_text", (F.col("base") + F.col("l.start") + F.col("l.match").startswith("(").cast("int")).alias("at"), F.col("l.groups")["label"].alias("label"), "source")
+    single = found.where("m.rank = 1").select(
         "paper_id", "page", F.col("m.groups")["kind"].alias("kind"), F.col("m.match").alias("reference_text"), F.col("m.start").alias("at"),
         F.coalesce(F.col("m.groups")["label"], F.col("m.groups")["inside"]).alias("label"), F.lit(1).alias("source"),
     )
-    every = labels.unionByName(single).where(T.valid_crossref_label(F.col("kind"), F.col("label")))
-    every = every.withColumn("kind", T.crossref_kind(F.col("kind")))
-    first = every.groupBy("paper_id", "page", "kind", "label").agg(F.min(F.struct("source", "at", "reference_text")).alias("m"))
+    told = labels.unionByName(single).where(T.valid_crossref_label(F.col("kind"), F.col("label"))).withColumn("kind", T.crossref_kind(F.col("kind")))
+    below = _caption_lines(pages.select("paper_id", "page", F.col(raw).alias("text")), capitals=False).select(
+        "paper_id", "page", "kind", F.concat_ws(" ", F.initcap("kind"), "label").alias("reference_text"), "at", "label", F.lit(2).alias("source")
+    )
+    first = told.unionByName(below).groupBy("paper_id", "page", "kind", "label").agg(F.min(F.struct("source", "at", "reference_text")).alias("m"))
     return first.select("paper_id", "page", "kind", "label", "m.source", "m.at", "m.reference_text")
 
 
 def split_words(pages: DataFrame) -> DataFrame:
     """Cross-references whose word is split over a page's end: a line that ends in letters and a hyphen, and one of the
-    next page's first twenty lines that goes on with the rest and a label; the first that makes a known word."""
+    next page's first twenty lines that goes on with the rest and a label. The first that makes a known word decides; a
+    reference that the page has otherwise, or on an earlier such line, is none."""
     cut = pages.select("paper_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    cut = cut.withColumn("content", F.trim("content"))
+    cut = cut.withColumn("content", F.trim("content")).withColumn("line", F.col("line") + 1)
     left = cut.select("paper_id", "page", "line", F.regexp_extract("content", r"\b([A-Za-z]{2,})-$", 1).alias("left")).where("left <> ''")
     full = cut.where("content <> ''")
     order = Window.partitionBy("paper_id", "page").orderBy("line")
     heads = full.withColumn("k", F.row_number().over(order)).where("k <= 20")
     pattern = rf"^([a-z]{{2,}})\s+({LABEL})(?![A-Za-z])"
     right = heads.select("paper_id", (F.col("page") - 1).alias("page"), "k", F.regexp_extract("content", pattern, 1).alias("right"), F.regexp_extract("content", pattern, 2).alias("label"))
-    word = F.lower(F.concat("left", "right"))
-    both = left.join(right.where("right <> ''"), ["paper_id", "page"]).withColumn("kind", T.crossref_kind(word))
-    known = both.where(F.col("kind").isin("table", "figure", "section", "appendix", "equation") & T.valid_crossref_label(F.col("kind"), F.col("label")))
-    best = known.groupBy("paper_id", "page", "line").agg(F.min(F.struct("k", "kind", "label")).alias("m"))
-    return best.select("paper_id", "page", "line", "m.kind", "m.label")
+    known = F.create_map(*[F.lit(v) for pair in SPLIT_WORDS.items() for v in pair])
+    both = left.join(right.where("right <> ''"), ["paper_id", "page"]).withColumn("kind", F.try_element_at(known, F.lower(F.concat("left", "right"))))
+    sound = both.where(F.col("kind").isNotNull() & T.valid_crossref_label(F.col("kind"), F.col("label")))
+    best = sound.groupBy("paper_id", "page", "line").agg(F.min(F.struct("k", "kind", "label")).alias("m")).select("paper_id", "page", "line", "m.kind", "m.label")
+    fresh = best.join(crossrefs(pages).select("paper_id", "page", "kind", "label"), ["paper_id", "page", "kind", "label"], "left_anti")
+    return fresh.groupBy("paper_id", "page", "kind", "label").agg(F.min("line").alias("line")).select("paper_id", "page", "line", "kind", "label")
+
+
+def is_caption(line: Column) -> Column:
+    """Whether a line has a caption's form: a label with a colon or alone, or capitals without a colon."""
+    return line.rlike(CAPTION) | line.rlike(CAPTION_CAPITALS)
+
+
+def panel_label(line: Column) -> Column:
+    """The label, in lower case, of a line that begins a table's panel; null for others."""
+    label = F.lower(F.regexp_extract(T.squash(line), r"(?i)^\s*Panel\s+([A-Za-z0-9]+)\s*(?::|\b)", 1))
+    return F.when(label != "", label)
+
+
+def table_or_axis_line(line: Column) -> Column:
+    """Whether a line is a table's or an axis's: a row of sample sizes, several panels' letters, a category repeated after
+    numbers, a caption, or three numbers among eight words at most."""
+    s = T.squash(line)
+    return F.coalesce(
+        s.rlike(rf"(?i)^N(?:\s+{LINE_NUMBER}){{2,}}$")
+        | (F.regexp_count(s, F.lit(r"(?:^|\s)[A-Z]\s+(?=[A-Z][A-Za-z])")) >= 2)
+        | s.rlike(r"(?i)^\d+(?:\.\d+)?\s+(?<label>[A-Za-z][A-Za-z-]*)(?:\s+\d+(?:\.\d+)?\s+\k<label>)+$")
+        | is_caption(s)
+        | ((F.regexp_count(s, F.lit(LINE_NUMBER)) >= 3) & (F.regexp_count(s, F.lit("[A-Za-z]+")) <= 8)),
+        F.lit(False),
+    )
 
 
 def is_heading(line: Column) -> Column:
-    """Whether a line can head a section: numbered 1 to 9, an appendix, a reference list, or two to twelve capital words."""
+    """Whether a line can head a section: a list's start or end, an appendix, a bare name such as Introduction, a roman or
+    lettered number, a number from 1 to 9 with a title of twelve words at most, or two to twelve different capital words.
+
+    Most lines of prose fail the quick tests, so that the dear ones are left out."""
     s = T.squash(line)
     words = F.size(F.split(s, " "))
-    title = F.regexp_extract(s, r"^[1-9](?:\.[0-9]+)*\s+([A-Z].*)$", 1)
+    title = F.regexp_extract(s, r"^[0-9]+(?:\.[0-9]+)*\s+([A-Z].*)$", 1)
     capitals = F.regexp_extract_all(s, F.lit("([A-Z]+)"), 1)
-    numbers_in = F.size(F.regexp_extract_all(s, F.lit("([0-9]+(?:[.][0-9]+)?)"), 1))
-    words_in = F.size(F.regexp_extract_all(s, F.lit("([A-Za-z]+)"), 1))
-    bad = (
-        (s == "") | (F.length(s) > 140) | s.rlike(r"[.,;:]$") | s.rlike(r"[=<>≤≥≈≠‰]") | s.rlike(r"^(?:[A-Z]\s+){3,}[A-Z](?:\s|$)")
-        | s.rlike(r"^(?:[A-Z]\s+)+[A-Z]$") | s.rlike(r"^(?:[A-Z]\.\s*){2,}") | s.rlike(r"(?i)^(?:EDITED|REVIEWED|APPROVED)\s+BY$")
-        | s.rlike(CAPTION) | s.rlike(CAPTION_CAPITALS) | ((numbers_in >= 3) & (words_in <= 8)) | (s.rlike(APPENDIX_START) & (s.contains(",") | (words > 12)))
+    spaced = s.rlike(r"^(?:[A-Z]\s+){3,}[A-Z](?:\s|$)") | s.rlike(r"^(?:[A-Z]\s+)+[A-Z]$") | s.rlike(r"^(?:[A-Z]\.\s*){2,}")
+    refused = (
+        spaced | s.rlike(r"(?i)^(?:EDITED|REVIEWED|APPROVED)\s+BY$") | s.rlike(r"[=<>≤≥≈≠‰]")
+        | (s.rlike(APPENDIX_START) & (s.contains(",") | (words > 12))) | table_or_axis_line(s)
     )
-    numbered = (title != "") & (F.size(F.split(title, " ")) <= 12) & ~title.rlike(r"\.\s+\S") & ~title.rlike(r"^(?:NOK|USD|EUR|GBP)\b")
-    shout = (s == F.upper(s)) & s.rlike("[A-Z]") & words.between(2, 12) & (F.size(F.array_distinct(capitals)) == F.size(capitals))
-    good = s.rlike(LIST_END) | s.rlike(LIST_START) | s.rlike(APPENDIX_START) | numbered | shout
-    return F.coalesce(~bad & good, F.lit(False))
+    numbered = s.rlike(r"^0*[1-9](?:\.[0-9]+)*\s") & (F.size(F.split(title, " ")) <= 12) & ~title.rlike(r"\.\s+\S") & ~title.rlike(r"^(?:NOK|USD|EUR|GBP)\b")
+    shout = (s == F.upper(s)) & s.rlike(r"\p{Lu}") & words.between(2, 12) & (F.size(F.array_distinct(capitals)) == F.size(capitals))
+    small_roman = s.rlike(r"(?i)^[IVXLC]+\.\s+") & ~s.rlike(r"^[IVXLC]+\.\s+")
+    accepted = (
+        F.when(s.rlike(LIST_END) | s.rlike(LIST_START) | s.rlike(APPENDIX_START), True)
+        .when(small_roman, False)
+        .when(s.rlike(HEADING_WORDS) | s.rlike(HEADING_LETTERED), True)
+        .when(title != "", numbered)
+        .otherwise(shout)
+    )
+    plausible = F.length(s).between(1, 140) & ~s.rlike(r"[.,;:]$") & ~s.rlike(LOWER_START)
+    return F.coalesce(F.when(plausible, ~refused & accepted), F.lit(False))
 
 
-def sections(pages: DataFrame) -> DataFrame:
+def continues_heading(heading: Column, line: Column) -> Column:
+    """Whether a line goes on with a heading: short, no heading or table line itself, after a colon or in lower case."""
+    s = T.squash(line)
+    good = F.length(s).between(1, 80) & (F.rtrim(heading).endswith(":") | s.rlike(r"^\p{Ll}"))
+    return F.coalesce(F.when(good, ~is_heading(s) & ~table_or_axis_line(s) & ~s.rlike("^[0-9]+$")), F.lit(False))
+
+
+def numbered_headings(lines: DataFrame) -> DataFrame:
+    """(paper_id, page, number, title): bold numbers with the nearest bold title to their right on the same height, from
+    positioned lines (paper_id, page, line, content, x0, y0, x1, y1, bold)."""
+    c = F.col
+    bold = lines.where("bold").withColumn("content", T.squash(F.col("content")))
+    numbers = bold.where(c("content").rlike(HEADING_NUMBER)).alias("n")
+    good = F.length("content").between(1, 120) & c("content").rlike(r"^\p{Lu}") & ~c("content").rlike(r"[.,;:]$") & ~is_caption(c("content"))
+    titles = bold.where(good).alias("t")
+    gap = c("t.x0") - c("n.x1")
+    near = (c("n.paper_id") == c("t.paper_id")) & (c("n.page") == c("t.page")) & (F.abs(c("t.y0") - c("n.y0")) <= 1.5) & gap.between(0, 42)
+    both = numbers.join(titles, near)
+    key = [c(f"n.{k}").alias(k) for k in ("paper_id", "page", "line")]
+    best = both.groupBy(*key, c("n.content").alias("number")).agg(F.min(F.struct(gap.alias("gap"), c("t.line").alias("at"), c("t.content").alias("title"))).alias("m"))
+    return best.select("paper_id", "page", "number", "m.title")
+
+
+def sections(pages: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
     """(paper_id, heading, start_page, start_line, end_page, end_line): a heading's section ends where the next begins,
-    a line before it (unknown on a first line); the last ends on the paper's last page. Headings alone are sorted."""
-    rows = pages.select("paper_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    heads = rows.where(is_heading(F.col("content"))).select("paper_id", "page", (F.col("line") + 1).alias("line"), T.squash(F.col("content")).alias("heading"))
+    a line before it (unknown on a first line); the last ends on the paper's last page. A heading takes in the next line,
+    or the one after a blank line, if that goes on with it. numbered (paper_id, page, number, title) tells of numbers
+    that stand on a line of their own before their title. Lines are tested within their page; headings alone are sorted."""
+    rows = pages.select("paper_id", "page", F.split("text", "\n", -1).alias("lines"))
+    if numbered is not None:
+        some = numbered.groupBy("paper_id", "page").agg(F.collect_set(F.struct("number", "title")).alias("numbered"))
+        rows = rows.join(some, ["paper_id", "page"], "left")
+    lines, told = F.col("lines"), F.col("numbered")
+
+    def row(x: Column, i: Column) -> Column:
+        after = F.coalesce(F.get(lines, i + 1), F.lit(""))
+        after = F.when(T.squash(after) == "", F.coalesce(F.get(lines, i + 2), F.lit(""))).otherwise(after)
+        heading = T.squash(x)
+        plain = F.when(is_heading(x), F.concat(heading, F.when(continues_heading(heading, after), F.concat(F.lit(" "), T.squash(after))).otherwise("")))
+        if numbered is None:
+            return F.struct((i + 1).alias("line"), plain.alias("heading"))
+        full = lambda some: F.filter(F.transform(some, T.squash), lambda y: y != "")
+        follows = F.get(full(F.slice(lines, i + 2, F.size(lines))), F.lit(0))
+        own = F.when(heading.rlike(HEADING_NUMBER), F.filter(told, lambda n: (n["number"] == heading) & (n["title"] == follows)))
+        before = F.get(F.reverse(full(F.slice(lines, 1, i))), F.lit(0))
+        taken = F.exists(told, lambda n: (n["title"] == heading) & (n["number"] == before))
+        joined = F.when(F.size(own) > 0, F.concat_ws(" ", heading, follows)).when(F.coalesce(taken, F.lit(False)), F.lit(None)).otherwise(plain)
+        return F.struct((i + 1).alias("line"), joined.alias("heading"))
+
+    heads = rows.select("paper_id", "page", F.explode(F.filter(F.transform(lines, row), lambda h: h["heading"].isNotNull())).alias("h"))
     last = pages.groupBy("paper_id").agg(F.max("page").alias("_last"))
     order = Window.partitionBy("paper_id").orderBy("page", "line")
+    heads = heads.select("paper_id", "page", "h.line", "h.heading")
     out = heads.withColumn("_p", F.lead("page").over(order)).withColumn("_l", F.lead("line").over(order)).join(last, "paper_id")
     return out.select(
         "paper_id", "heading", F.col("page").alias("start_page"), F.col("line").alias("start_line"),
@@ -170,50 +272,90 @@ def sections(pages: DataFrame) -> DataFrame:
 
 
 def reference_entries(pages: DataFrame) -> DataFrame:
-    """(paper_id, entry, start_page, start_line, content): lines of reference lists folded into entries. A line opens one
-    if it begins like an author and isn't indented, or repeats the author of an entry that has its year. The test needs
-    the entry so far, so it is a fold over a paper, which bounds a group."""
-
-    start, appendix, end = (re.compile(p) for p in (LIST_START, APPENDIX_START, LIST_END))
+    """(paper_id, entry, start_page, start_line, content): lines after a paper's first list start, up to an appendix, a
+    closing section or a caption, folded into entries; page numbers are left out. A line opens an entry if it begins like
+    an author and isn't indented, or repeats the author of an entry that has its year. The test needs the entry so far,
+    so it is a fold over a paper, which bounds a group."""
+    start, appendix, end, caption, capitals = (re.compile(p) for p in (LIST_START, APPENDIX_START, LIST_END, CAPTION, CAPTION_CAPITALS))
     author, repeated, year = re.compile(ENTRY_START), re.compile(REPEATED_AUTHOR), re.compile(YEAR)
+    closes = (appendix, end, caption, capitals)
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        inside, entries = False, []
-        for page, text in group.sort_values("page")[["page", "text"]].itertuples(index=False):
-            for k, line in enumerate((text or "").split("\n"), 1):
-                clean = " ".join(line.split())
-                if not inside:
-                    inside = bool(start.match(clean))
-                    continue
-                if appendix.match(clean) or end.match(clean):
-                    inside = False
-                elif clean:
-                    opens = not line.startswith((" ", "\t")) and author.match(clean)
-                    again = entries and year.search(" ".join(entries[-1][2])) and repeated.match(clean)
-                    if opens or again or not entries:
-                        entries.append([page, k, [clean]])
-                    else:
-                        entries[-1][2].append(clean)
+        some = group.sort_values("page")
+        lines = [(page, k, line) for page, text in zip(some["page"], some["text"], strict=True) for k, line in enumerate((text or "").split("\n"), 1)]
+        begin = next((i for i, x in enumerate(lines) if start.match(x[2].strip())), len(lines))
+        entries: list[tuple[int, int, list[str]]] = []
+        for page, k, line in lines[begin + 1 :]:
+            clean = line.strip()
+            if any(p.match(clean) for p in closes):
+                break
+            if not clean or clean.isdigit():
+                continue
+            opens = not line.startswith((" ", "\t")) and author.match(clean)
+            if not entries or opens or (repeated.match(clean) and year.search(" ".join(entries[-1][2]))):
+                entries.append((page, k, []))
+            entries[-1][2].append(clean)
         rows = [(group["paper_id"].iloc[0], i, p, k, " ".join(parts)) for i, (p, k, parts) in enumerate(entries, 1)]
         return pd.DataFrame(rows, columns=["paper_id", "entry", "start_page", "start_line", "content"])
 
     found = pages.where(F.col("text").rlike(r"(?im)^\s*(references|bibliography)\s*$")).select("paper_id").distinct()
     some = pages.join(found, "paper_id", "left_semi").select("paper_id", "page", "text")
-    return some.groupBy("paper_id").applyInPandas(fold, "paper_id string, entry int, start_page int, start_line int, content string")
+    out = some.groupBy("paper_id").applyInPandas(fold, "paper_id string, entry int, start_page int, start_line int, content string")
+    return out.withColumn("content", T.join_hyphens(F.array("content")))
+
+
+def _caption_lines(pages: DataFrame, capitals: bool) -> DataFrame:
+    """(paper_id, page, kind, label, title, line, at) of supported caption lines: with a title, or a figure's bare label that
+    a note follows before the next caption. at is the line's offset."""
+    lines = F.col("lines")
+
+    def row(x: Column, i: Column) -> Column:
+        s = T.squash(x)
+        marks = F.transform(F.slice(lines, i + 2, F.size(lines)), lambda y: F.when(is_caption(T.squash(y)), "caption").when(T.squash(y).rlike(NOTE_START), "note"))
+        noted = F.get(F.filter(marks, lambda m: m.isNotNull()), F.lit(0)) == "note"
+        part = lambda p, k: F.regexp_extract(s, p, k)
+        plain = part(CAPTION, 2) != ""
+        kind = F.when(plain, part(CAPTION, 1)).otherwise(part(CAPTION_CAPITALS, 1))
+        title = F.trim(F.when(plain, part(CAPTION, 3)).otherwise(part(CAPTION_CAPITALS, 3)))
+        figure = F.lower(kind) != "table"
+        good = plain | (part(CAPTION_CAPITALS, 2) != "") if capitals else plain
+        return F.when(
+            good & ((title != "") | F.when(figure, noted)),
+            F.struct(
+                F.when(figure, "figure").otherwise("table").alias("kind"), F.when(plain, part(CAPTION, 2)).otherwise(part(CAPTION_CAPITALS, 2)).alias("label"),
+                title.alias("title"), (i + 1).alias("line"), (F.length(F.array_join(F.slice(lines, 1, i), "\n")) + F.least(i, F.lit(1))).alias("at"),
+            ),
+        )
+
+    cue = F.col("text").rlike(r"(?im)^\s*(?:table|figure|fig\.)\s+(?:[a-z]\.?)?\d")
+    rows = pages.where(cue).select("paper_id", "page", F.split("text", "\n", -1).alias("lines"))
+    found = rows.select("paper_id", "page", F.explode(F.filter(F.transform(lines, row), lambda h: h.isNotNull())).alias("h"))
+    return found.select("paper_id", "page", "h.*")
 
 
 def captions(pages: DataFrame) -> DataFrame:
-    """(paper_id, page, kind, label, title, line) of caption lines, the first for each kind and label of a page."""
-    rows = pages.select("paper_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    mixed, shout = F.col("content").rlike(CAPTION), F.col("content").rlike(CAPTION_CAPITALS)
-    part = lambda k: F.when(mixed, F.regexp_extract("content", CAPTION, k)).otherwise(F.regexp_extract("content", CAPTION_CAPITALS, k))
-    some = rows.where(mixed | shout).select(
-        "paper_id", "page", F.when(F.lower(part(1)) == "table", "table").otherwise("figure").alias("kind"), part(2).alias("label"), part(3).alias("title"), (F.col("line") + 1).alias("line")
-    )
+    """(paper_id, page, kind, label, title, line) of supported captions, the first for each kind and label of a page."""
+    some = _caption_lines(pages, capitals=True)
     first = some.groupBy("paper_id", "page", "kind", "label").agg(F.min(F.struct("line", "title")).alias("m"))
     return first.select("paper_id", "page", "kind", "label", "m.title", "m.line")
 
 
+def titles_below(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, line, title and same_row: captions of a bare label whose title is the next line: of the same block and size,
+    on the same row, or under a bold label at the same left edge. lines are (line, content, x0, y0, x1, y1, size, bold, block)."""
+    order = Window.partitionBy(*keys).orderBy("line")
+    parts = ("content", "x0", "y0", "x1", "y1", "size", "block")
+    rows = lines.withColumn("content", T.squash(F.col("content"))).withColumns({f"_{p}": F.lead(p).over(order) for p in parts})
+    c = F.col
+    alike = (c("block") == c("_block")) & (F.abs(c("size") - c("_size")) <= 0.5)
+    beside = alike & (F.abs(c("y0") - c("_y0")) <= 1.5) & (c("_x0") - c("x1")).between(0, 30)
+    under = c("bold") & (F.abs(c("x0") - c("_x0")) <= 4) & (c("_y0") - c("y1")).between(-1, 12)
+    title = c("_content")
+    fits = F.length(title).between(1, 220) & title.rlike("[A-Za-z]") & ~is_caption(title) & ~title.rlike(r"(?i)^(?:Notes?\s*:|Panel\b)") & ~table_or_axis_line(title)
+    bare = c("content").rlike(CAPTION) & (F.trim(F.regexp_extract("content", CAPTION, 3)) == "")
+    return rows.where(bare & alike & (beside | under) & fits).select(*keys, "line", title.alias("title"), F.coalesce(beside, F.lit(False)).alias("same_row"))
+
+
 def trailing_cells(c: Column) -> Column:
     """struct(label, cells): the cells that a table line ends with, and what stands before them."""
     tail = F.regexp_extract(c, rf"((?:(?:^|\s+){CELL}(?=\s|$))+)\s*$", 1)

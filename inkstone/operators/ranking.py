@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Points, order of classes, sections, areas by reviewer and the two limits.
+# Points, order of classes, sections, areas by rater and the two limits.
 SEVERITY_POINTS = {"high": 60, "medium": 35, "low": 10}
 CONFIDENCE_POINTS = {"high": 15, "medium": 8, "low": 0}
 CLASS_POINTS = {"manuscript_issue": 15, "reference_integrity": 4, "bibliography_maintenance": -12, "copyedit_issue": -45}
@@ -23,7 +23,7 @@ def look_up(c: Column, values: dict, default=None) -> Column:
 
 
 def priority(severity: Column, confidence: Column, issue_class: Column) -> Column:
-    """Points of severity, confidence and class; how many reviewers agree adds nothing."""
+    """Points of severity, confidence and class; how many raters agree adds nothing."""
     points = look_up(severity, SEVERITY_POINTS, 0) + look_up(confidence, CONFIDENCE_POINTS, 0) + look_up(issue_class, CLASS_POINTS, 0)
     for name, (high, other) in CLASS_POINTS_BY_SEVERITY.items():
         points = points + F.when(issue_class == name, F.when(severity == "high", high).otherwise(other)).otherwise(0)
@@ -64,13 +64,13 @@ def number(findings: DataFrame, paper: str, key: str) -> DataFrame:
 
 
 def merge_group(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """What a group of findings comes to: stronger severity and assessment, weaker confidence, reviewers, classes."""
+    """What a group of findings comes to: stronger severity and assessment, weaker confidence, raters, classes."""
     best = lambda c, ranks, pick: pick(F.struct(look_up(F.col(c), ranks, ranks.get("medium", 0)).alias("r"), F.col(c).alias("v")))["v"]
     return findings.groupBy(*keys).agg(
         best("severity", SEVERITY_RANK, F.max).alias("severity"),
         best("assessment", ASSESSMENT_RANK, F.max).alias("assessment"),
         best("confidence", CONFIDENCE_RANK, F.min).alias("confidence"),
-        F.array_join(F.array_sort(F.collect_set("reviewer")), ",").alias("reviewers"),
+        F.array_join(F.array_sort(F.collect_set("rater")), ",").alias("raters"),
         F.count("*").alias("n_findings"),
     )
 

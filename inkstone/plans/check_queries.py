@@ -118,12 +118,12 @@ def merge_terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.terminals(rows)
 
 
-REVIEWS = """SELECT doc_id AS paper_id, CASE doc_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS reviewer, CASE doc_id % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'cannot_verify' ELSE 'ok' END AS run_status,
+REVIEWS = """SELECT doc_id AS paper_id, CASE doc_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS rater, CASE doc_id % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'cannot_verify' ELSE 'ok' END AS run_status,
 CASE WHEN doc_id % 19 = 0 THEN NULL ELSE 1 END AS version, CASE doc_id % 8 WHEN 0 THEN 'partial' WHEN 1 THEN 'not_applicable' ELSE 'complete' END AS state, lang AS scope,
 CAST(doc_id % 2 AS INT) AS n_findings, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'some' END AS limitations, doc_id FROM documents"""
 
 
-@query(f"""WITH r AS ({REVIEWS}), e AS (SELECT paper_id, reviewer, array_to_string(list_filter([CASE WHEN run_status = 'failed' THEN 'status' END, CASE WHEN version IS NULL THEN 'version' END,
+@query(f"""WITH r AS ({REVIEWS}), e AS (SELECT paper_id, rater, array_to_string(list_filter([CASE WHEN run_status = 'failed' THEN 'status' END, CASE WHEN version IS NULL THEN 'version' END,
 CASE WHEN state = 'partial' THEN 'state' END, CASE WHEN trim(coalesce(scope, '')) = '' THEN 'scope' END, CASE WHEN doc_id % 9 = 0 THEN 'missing checks' END, CASE WHEN doc_id % 14 = 0 THEN 'no checks' END,
 CASE WHEN state = 'not_applicable' AND (n_findings > 0 OR run_status <> 'ok') THEN 'inapplicable' END, CASE WHEN run_status = 'cannot_verify' AND limitations = '' THEN 'limitations' END], lambda x: x IS NOT NULL), ',') AS errors FROM r)
 SELECT * FROM e WHERE errors <> ''""")

@@ -52,11 +52,11 @@ def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.manifest_counts(Relations(spark, sf_dir).view("boxes"), ["page"])
 
 
-@query(oracle("""SELECT paper_id, string_agg(reviewer || ':' || items, ';' ORDER BY reviewer) AS ledger FROM (SELECT paper_id, reviewer, string_agg(DISTINCT page::VARCHAR, ',' ORDER BY page::VARCHAR) AS items
+@query(oracle("""SELECT paper_id, string_agg(rater || ':' || items, ';' ORDER BY rater) AS ledger FROM (SELECT paper_id, rater, string_agg(DISTINCT page::VARCHAR, ',' ORDER BY page::VARCHAR) AS items
 FROM findings WHERE page IS NOT NULL GROUP BY 1, 2) GROUP BY 1""", "findings"))
 def coverage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = Relations(spark, sf_dir).view("findings").where("page is not null").withColumn("item_id", F.col("page").cast("string"))
-    line = F.transform("reviewers", lambda r: F.concat(r["reviewer"], F.lit(":"), F.array_join(r["items"], ",")))
+    line = F.transform("raters", lambda r: F.concat(r["rater"], F.lit(":"), F.array_join(r["items"], ",")))
     return D.ledger(found).select("paper_id", F.array_join(line, ";").alias("ledger"))
 
 

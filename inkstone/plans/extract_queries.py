@@ -1,4 +1,5 @@
-"""Queries on extractors, with their SQL where it has no look-around to do."""
+"""Queries on extractors, with their SQL. What the SQL's regular expressions lack (look-around, back-references, offsets)
+is put as words of a line, marks at borders, and lengths of what stands before a match."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import extract as X
 from ..operators import layout as L
 from ..sources.views import Relations, oracle
+from .layout_queries import SQUASH
 from .registry import query
 
 
@@ -13,29 +15,21 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Relations(spark, sf_dir).view("marked_pages")
 
 
-@query()
-def citation_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.citations(_pages(spark, sf_dir)).drop("context")
-
-
-@query()
-def number_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.numbers(_pages(spark, sf_dir))
-
-
-@query()
-def crossref_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.crossrefs(_pages(spark, sf_dir))
+def _located(name: str, source: str, text: str, pattern: str, clean: str = "%s") -> str:
+    """A common table expression (paper_id, page, text, start, match) of a pattern's matches in a column of a source; `clean`
+    takes border marks away from what is measured."""
+    measured = clean % "array_to_string(parts[1:i - 1], '')"
+    return rf"""{name}_p AS (SELECT paper_id, page, text, string_split(regexp_replace({text}, '{pattern}', chr(3) || '\1' || chr(4), 'g'), chr(3)) AS parts FROM {source}),
+{name}_i AS (SELECT *, unnest(range(2, len(parts) + 1)) AS i FROM {name}_p WHERE len(parts) > 1),
+{name} AS (SELECT paper_id, page, text, length({measured}) - (i - 2) AS start, {clean % "split_part(parts[i], chr(4), 1)"} AS match FROM {name}_i)"""
 
 
-@query()
-def split_crossrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.split_words(_pages(spark, sf_dir))
+LINE_OF = "CAST(length(left(text, %s)) - length(replace(left(text, %s), chr(10), '')) + 1 AS INT)"
 
 
-@query()
-def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.sections(_pages(spark, sf_dir))
+def _context(start: str, end: str, window: int) -> str:
+    low = f"greatest(0, {start} - {window})"
+    return SQUASH % f"substring(text, {low} + 1, {end} + {window} - {low})"
 
 
 RANGES = r"""WITH cut AS (SELECT paper_id, page, length(text) AS size, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS content
@@ -54,20 +48,170 @@ def reference_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.list_ranges(_pages(spark, sf_dir))
 
 
-@query()
-def reference_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.reference_entries(_pages(spark, sf_dir))
+NAME, AUTHORS, AGAIN = r"[A-Z][A-Za-z''`\-]+", r"(?:\s+(?:and|&)\s+[A-Z][A-Za-z''`\-]+)?(?:\s+et al\.)?", r"(?:\s*,\s*(?:19|20)\d\d[a-z]?)+"
+YEAR = r"(?:19|20)\d\d[a-z]?"
+CITED = (
+    rf"(\({NAME}{AUTHORS},\s*{YEAR}{AGAIN}(?:;\s*[^)]*)?\))", rf"(\b{NAME}(?:\s+et al\.)?\s*\({YEAR}{AGAIN}\))",
+    rf"(\({NAME}{AUTHORS},\s*{YEAR}(?:;\s*[^)]*)?\))", rf"(\b{NAME}(?:\s+et al\.)?\s*\({YEAR}\))", r"(\[[0-9,\-\s]+\])",
+)
+_OVERLAP = "o.paper_id = f.paper_id AND o.page = f.page AND o.start < f.stop AND f.start < o.stop"
+_KEPT = ", ".join(
+    f"k{k} AS (SELECT * FROM k{k - 1} UNION ALL SELECT * FROM free f WHERE rank = {k} AND NOT EXISTS (SELECT 1 FROM k{k - 1} o WHERE {_OVERLAP}))" for k in range(1, 5)
+)
+
+
+@query(oracle(f"""WITH {", ".join(_located(f"c{k}", "marked_pages", "text", p) for k, p in enumerate(CITED))},
+ranges AS ({RANGES}), found AS ({" UNION ALL ".join(f"SELECT *, {k} AS rank, start + length(match) AS stop FROM c{k}" for k in range(5))}),
+free AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM ranges r WHERE r.paper_id = f.paper_id AND r.page = f.page AND f.start >= range_start AND f.start < range_end)),
+k0 AS (SELECT * FROM free WHERE rank = 0), {_KEPT}
+SELECT paper_id, page, match, CAST(start AS INT) AS match_start, CAST(stop AS INT) AS match_end, CAST(rank AS INT) AS rank, {LINE_OF % ("start", "start")} AS line_number,
+ {_context("start", "stop", 100)} AS context FROM k4""", "marked_pages"))
+def citation_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.citations(_pages(spark, sf_dir))
+
+
+#: Borders of words and dots: \x01 after every other character, \x02 before it.
+_BORDERED = r"chr(1) || regexp_replace(text, '([^\p{L}\p{N}_.])', chr(2) || '\1' || chr(1), 'g') || chr(2)"
+_AMOUNT = (
+    r"(?i)\x01((?:\x02[$€£]\x01(?:\x02\s\x01)*)?(?:\x02[-−]\x01)?(?:\d{1,3}(?:\x02,\x01\d{3})+(?:\.\d+)?|\d+\.\d+|\.\d+|\d+)"
+    r"(?:(?:\x02\s\x01)?(?:\x02%\x01|pp|bps|bp|percent|percentage\x02 \x01points|million|billion|trillion|k|m|bn))?)\x02"
+)
+_UNBORDERED = r"regexp_replace(%s, '[\x01\x02]', '', 'g')"
+
+
+@query(oracle(f"""WITH b AS (SELECT paper_id, page, text, {_BORDERED} AS marked FROM marked_pages), {_located("n", "b", "marked", _AMOUNT, _UNBORDERED)}
+SELECT paper_id, page, CAST(start AS INT) AS match_start, CAST(start + length(match) AS INT) AS match_end, {LINE_OF % ("start", "start")} AS line_number,
+ {_context("start", "start + length(match)", 80)} AS context, trim(match) AS number FROM n""", "marked_pages"))
+def number_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.numbers(_pages(spark, sf_dir))
+
+
+_KINDS = r"Tables?|Figures?|Figs?\.|Sections?|Appendices|Appendixes|Appendix|Eqs?\.|Equations?"
+_LABEL = r"(?:[A-Z]\.?)?\d+(?:\.\d+)*[A-Za-z]?|[A-Z](?:\.\d+)*"
+#: The same with \x02 before every character that is no letter.
+_MARKED_KINDS = _KINDS.replace(r"\.", r"\x02\.")
+_MARKED_LABEL = r"(?:[A-Z](?:\x02\.)?)?(?:\x02\d)+(?:\x02\.(?:\x02\d)+)*[A-Za-z]?|[A-Z](?:\x02\.(?:\x02\d)+)*"
+_SERIES = rf"(?i)(\b(?:{_KINDS})\s+\(?(?:{_LABEL})\)?(?:\s*(?:,|and|or|to|through|[-–—])\s*\(?(?:{_LABEL})\)?)+)"
+_SINGLE = rf"(?i)(\b(?:{_MARKED_KINDS})(?:\x02\s)+(?:\x02\((?:{_MARKED_LABEL})\x02\)|(?:{_MARKED_LABEL})))\x02"
+_KIND_OF = """CASE WHEN k LIKE 'table%' THEN 'table' WHEN k LIKE 'fig%' THEN 'figure' WHEN k LIKE 'sect%' THEN 'section' WHEN k LIKE 'app%' THEN 'appendix' ELSE 'equation' END"""
+_SOUND = r"""CASE kind WHEN 'appendix' THEN regexp_matches(label, '^[A-Z](\.?[0-9]+(\.[0-9]+)*)?$') WHEN 'section' THEN regexp_matches(label, '^([A-Z]\.?)?[0-9]+(\.[0-9]+)*[A-Za-z]?$|^[A-Z]$')
+ WHEN 'equation' THEN regexp_matches(label, '^[0-9]+(\.[0-9]+)*[A-Za-z]?$|^[A-Z]\.?[0-9]+(\.[0-9]+)*$') ELSE regexp_matches(label, '^([A-Z]\.?)?[0-9]+(\.[0-9]+)*[A-Za-z]?$') END"""
+#: A line's kind word, label and rest if it begins like a caption.
+_PARTS = r"regexp_extract(%s, '^((?i)table|figure|fig\.) ([a-zA-Z]?\.?[0-9]+(?:\.[0-9]+)?[A-Za-z]?)(.*)$', ['k', 'l', 'r'])"
 
 
-@query(oracle(r"""WITH cut AS (SELECT paper_id, page, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS content FROM (SELECT *, string_split(text, chr(10)) AS parts FROM marked_pages)),
-m AS (SELECT *, regexp_extract(content, '(?i)^\s*(Table|Figure|Fig\.)\s+((?:[A-Z]\.?)?\d+(?:\.\d+)?[A-Za-z]?)(?:\s*:\s*(.+?))?\s*$', ['k', 'l', 't']) AS g,
- regexp_extract(content, '^\s*(TABLE|FIGURE|FIG\.)\s+((?:[A-Z]\.?)?\d+(?:\.\d+)?[A-Za-z]?)\s+([A-Z][^\n]{2,}?)\s*$', ['k', 'l', 't']) AS h FROM cut),
-s AS (SELECT paper_id, page, line, CASE WHEN g.l <> '' THEN g ELSE h END AS x FROM m WHERE g.l <> '' OR h.l <> '')
-SELECT paper_id, page, CASE WHEN lower(x.k) = 'table' THEN 'table' ELSE 'figure' END AS kind, x.l AS label, arg_min(x.t, line) AS title, min(line) AS line FROM s GROUP BY ALL""", "marked_pages"))
+def _is_plain_caption(c: str) -> str:
+    return rf"({c}.l <> '' AND NOT starts_with({c}.l, '.') AND ({c}.r = '' OR regexp_matches({c}.r, '^ ?: ?[^ ]')))"
+
+
+def _is_caption(c: str) -> str:
+    return rf"({_is_plain_caption(c)} OR ({c}.l <> '' AND NOT starts_with({c}.l, '.') AND {c}.k = upper({c}.k) AND regexp_matches({c}.r, '^ [A-Z]..') AND NOT regexp_matches({c}.l, '^[a-z]')))"
+
+
+LINES = f"""lines AS (SELECT paper_id, page, line, s, {_PARTS % "s"} AS c, length(array_to_string(parts[1:line - 1], chr(10))) + least(line - 1, 1) AS pos
+ FROM (SELECT paper_id, page, parts, line, {SQUASH % "parts[line]"} AS s FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS line FROM (SELECT paper_id, page, string_split(text, chr(10)) AS parts FROM marked_pages)))),
+noted AS (SELECT *, min(CASE WHEN {_is_caption("c")} THEN line END) OVER later AS next_caption, min(CASE WHEN regexp_matches(s, '(?i)^notes? ?:') THEN line END) OVER later AS next_note
+ FROM lines WINDOW later AS (PARTITION BY paper_id, page ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+captioned AS (SELECT paper_id, page, CASE WHEN lower(c.k) = 'table' THEN 'table' ELSE 'figure' END AS kind, c.l AS label, trim(regexp_replace(c.r, '^ ?:', '')) AS title, line, pos, {_is_plain_caption("c")} AS plain
+ FROM noted WHERE {_is_caption("c")} AND (c.r <> '' OR (lower(c.k) <> 'table' AND next_note < coalesce(next_caption, next_note + 1))))"""
+CROSSREFS = rf"""{LINES}, {_located("series", "marked_pages", "text", _SERIES)}, b AS (SELECT paper_id, page, text, regexp_replace(text, '([^A-Za-z])', chr(2) || '\1', 'g') || chr(2) AS marked FROM marked_pages),
+{_located("single", "b", "marked", _SINGLE, r"replace(%s, chr(2), '')")},
+tail AS (SELECT paper_id, page, start AS base, match AS whole, lower(regexp_extract(match, '^[A-Za-z]+')) AS k, regexp_replace(match, '^\S+\s+', '') AS text FROM series),
+{_located("member", "(SELECT paper_id, page, text, text AS t FROM (SELECT DISTINCT paper_id, page, text FROM tail))", "t", rf"(\(?(?:{_LABEL})\)?)")},
+told AS (SELECT t.paper_id, t.page, {_KIND_OF} AS kind, trim(m.match, '()') AS label, 0 AS source, base + length(whole) - length(t.text) + m.start + CASE WHEN starts_with(m.match, '(') THEN 1 ELSE 0 END AS pos, whole AS reference_text
+ FROM tail t JOIN member m ON t.paper_id = m.paper_id AND t.page = m.page AND t.text = m.text
+ UNION ALL SELECT paper_id, page, {_KIND_OF}, label, 1, start, match FROM (SELECT *, lower(regexp_extract(match, '^[A-Za-z]+')) AS k, regexp_extract(match, '\(?([A-Za-z0-9.]+)\)?$', 1) AS label FROM single)),
+every AS (SELECT * FROM told WHERE {_SOUND} UNION ALL SELECT paper_id, page, kind, label, 2, pos, CASE kind WHEN 'table' THEN 'Table ' ELSE 'Figure ' END || label FROM captioned WHERE plain),
+crossed AS (SELECT paper_id, page, kind, label, CAST(source AS INT) AS source, CAST(pos AS INT) AS "at", reference_text FROM every QUALIFY row_number() OVER (PARTITION BY paper_id, page, kind, label ORDER BY source, pos) = 1)"""
+
+
+@query(oracle(f"WITH {CROSSREFS} SELECT * FROM crossed", "marked_pages"))
+def crossref_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.crossrefs(_pages(spark, sf_dir))
+
+
+@query(oracle(rf"""WITH {CROSSREFS}, ends AS (SELECT paper_id, page, line, regexp_extract(s, '(?:^|[^A-Za-z0-9_])([A-Za-z]+)-$', 1) AS l FROM lines),
+starts AS (SELECT paper_id, page - 1 AS page, k, regexp_extract(s, '^([a-z][a-z]+)\s+((?:[A-Z]\.?)?[0-9]+(?:\.[0-9]+)*[A-Za-z]?|[A-Z](?:\.[0-9]+)*)(?:[^A-Za-z]|$)', ['r', 'label']) AS x
+ FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, page ORDER BY line) AS k FROM lines WHERE s <> '') WHERE k <= 20),
+words AS (SELECT e.paper_id, e.page, e.line, k, x.label, CASE lower(l || x.r) WHEN 'tables' THEN 'table' WHEN 'table' THEN 'table' WHEN 'figure' THEN 'figure' WHEN 'figures' THEN 'figure' WHEN 'section' THEN 'section'
+ WHEN 'sections' THEN 'section' WHEN 'appendix' THEN 'appendix' WHEN 'appendices' THEN 'appendix' WHEN 'equation' THEN 'equation' WHEN 'equations' THEN 'equation' END AS kind
+ FROM ends e JOIN starts s ON e.paper_id = s.paper_id AND e.page = s.page WHERE length(l) >= 2 AND x.r <> ''),
+best AS (SELECT * FROM words WHERE kind IS NOT NULL AND {_SOUND} QUALIFY row_number() OVER (PARTITION BY paper_id, page, line ORDER BY k) = 1)
+SELECT paper_id, page, CAST(min(line) AS INT) AS line, kind, label FROM best b WHERE NOT EXISTS (SELECT 1 FROM crossed c WHERE c.paper_id = b.paper_id AND c.page = b.page AND c.kind = b.kind AND c.label = b.label)
+GROUP BY paper_id, page, kind, label""", "marked_pages"))
+def split_crossrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.split_words(_pages(spark, sf_dir))
+
+
+@query(oracle(f"""WITH {LINES} SELECT paper_id, page, kind, label, title, CAST(line AS INT) AS line FROM captioned QUALIFY row_number() OVER (PARTITION BY paper_id, page, kind, label ORDER BY line) = 1""", "marked_pages"))
 def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.captions(_pages(spark, sf_dir))
 
 
+_NUMERAL = r"[-−]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?"
+
+
+def _table_line(s: str, w: str, c: str) -> str:
+    """Whether the squashed line s of words w with caption parts c is a table's or an axis's."""
+    pairs = f"list_transform(range(1, len({w}) // 2 + 1), lambda i: lower({w}[2 * i]))"
+    return rf"""(regexp_matches({s}, '^(?i)n( {_NUMERAL}){{2,}}$') OR {_is_caption(c)}
+ OR len(list_filter(range(1, len({w})), lambda i: regexp_matches({w}[i], '^[A-Z]$') AND regexp_matches({w}[i + 1], '^[A-Z][A-Za-z]'))) >= 2
+ OR (len({w}) >= 4 AND len({w}) % 2 = 0 AND len(list_distinct({pairs})) = 1 AND regexp_matches({w}[2], '^[A-Za-z][A-Za-z-]*$')
+  AND len(list_filter(range(1, len({w}) // 2 + 1), lambda i: NOT regexp_matches({w}[2 * i - 1], '^[0-9]+(\.[0-9]+)?$'))) = 0)
+ OR (len(regexp_extract_all({s}, '{_NUMERAL}')) >= 3 AND len(regexp_extract_all({s}, '[A-Za-z]+')) <= 8))"""
+
+
+def _heading(s: str, w: str, c: str) -> str:
+    """Whether the squashed line s of words w with caption parts c heads a section."""
+    letters = lambda n: f"len(list_filter({w}{n}, lambda x: NOT regexp_matches(x, '^[A-Z]$'))) = 0"
+    appendix = f"regexp_matches({s}, '^(?i)([a-z] )?(online )?appendix\\b')"
+    title = f"regexp_extract({s}, '^[0-9]+(?:\\.[0-9]+)* ([A-Z].*)$', 1)"
+    return rf"""(length({s}) BETWEEN 1 AND 140 AND right({s}, 1) NOT IN ('.', ',', ';', ':') AND NOT (len({w}) >= 2 AND {letters("")}) AND NOT (len({w}) >= 4 AND {letters("[1:4]")})
+ AND NOT regexp_matches({s}, '^[A-Z]\. ?[A-Z]\.') AND lower({s}) NOT IN ('edited by', 'reviewed by', 'approved by') AND NOT regexp_matches({s}, '[=<>≤≥≈≠‰]')
+ AND NOT ({appendix} AND (contains({s}, ',') OR len({w}) > 12)) AND NOT {_table_line(s, w, c)}
+ AND CASE WHEN {appendix} OR lower({s}) IN ('references', 'bibliography')
+   OR regexp_matches({s}, '^(?i)(for online publication only:?|([a-z] )?((main|additional) )?(figures( and tables)?|tables( and figures)?))$') THEN TRUE
+  WHEN regexp_matches({s}, '^(?i)[ivxlc]+\. ') AND NOT regexp_matches({s}, '^[IVXLC]+\. ') THEN FALSE
+  WHEN lower({s}) IN ('abstract', 'introduction', 'conclusion', 'appendixes') OR regexp_matches({s}, '^(?i)[ivxlc]+\. [a-z].{{0,120}}$') OR regexp_matches({s}, '^[A-Z](\.[0-9]+)+ [A-Z].{{0,120}}$')
+   OR regexp_matches({s}, '^[A-Z] [A-Z].{{0,120}}$') THEN TRUE
+  WHEN {title} <> '' THEN TRY_CAST(regexp_extract({s}, '^[0-9]+') AS INT) BETWEEN 1 AND 9 AND len(string_split({title}, ' ')) <= 12 AND NOT regexp_matches({title}, '\. +[^ ]')
+   AND NOT regexp_matches({title}, '^(NOK|USD|EUR|GBP)\b')
+  ELSE {s} = upper({s}) AND regexp_matches({s}, '\p{{Lu}}') AND len({w}) BETWEEN 2 AND 12
+   AND len(list_distinct(regexp_extract_all({s}, '[A-Z]+'))) = len(regexp_extract_all({s}, '[A-Z]+')) END)"""
+
+
+@query(oracle(rf"""WITH {LINES}, f AS (SELECT paper_id, page, line, s, string_split(s, ' ') AS w, c, CASE WHEN n1 = '' THEN coalesce(n2, '') ELSE n1 END AS n
+  FROM (SELECT *, coalesce(lead(s) OVER o, '') AS n1, lead(s, 2) OVER o AS n2 FROM lines WINDOW o AS (PARTITION BY paper_id, page ORDER BY line))),
+g AS (SELECT *, string_split(n, ' ') AS nw, {_PARTS % "n"} AS nc FROM f),
+h AS (SELECT paper_id, page, line, s || CASE WHEN length(n) BETWEEN 1 AND 80 AND regexp_matches(n, '^\p{{Ll}}') AND NOT {_heading("n", "nw", "nc")} AND NOT {_table_line("n", "nw", "nc")} THEN ' ' || n ELSE '' END AS heading
+ FROM g WHERE {_heading("s", "w", "c")}), l AS (SELECT paper_id, max(page) AS last FROM marked_pages GROUP BY 1)
+SELECT h.paper_id, heading, page AS start_page, CAST(line AS INT) AS start_line, coalesce(lead(page) OVER o, last) AS end_page,
+ CAST(CASE WHEN lead(line) OVER o > 1 THEN lead(line) OVER o - 1 END AS INT) AS end_line FROM h JOIN l ON h.paper_id = l.paper_id WINDOW o AS (PARTITION BY h.paper_id ORDER BY page, line)""", "marked_pages"))
+def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.sections(_pages(spark, sf_dir))
+
+
+_AUTHOR = r"^(\[[0-9]+\]\s*)?([A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ''`.\-]+|([Vv]an|[Vv]on|[Dd]e|[Dd]el|[Dd]a|[Dd]i|[Ll]e|[Ll]a)\s+[A-Za-zÀ-ÖØ-öø-ÿ''`.\-]+)(,|\s+and\s+)..+"
+_TRIMMED = "trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11))"
+
+
+@query(oracle(rf"""WITH cut AS (SELECT paper_id, page, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS x FROM (SELECT paper_id, page, string_split(text, chr(10)) AS parts FROM marked_pages)),
+t AS (SELECT *, {_TRIMMED} AS s, {SQUASH % "x"} AS q FROM cut), b AS (SELECT paper_id, min((page, line)) AS begins FROM t WHERE lower(s) IN ('references', 'bibliography') GROUP BY 1),
+a AS (SELECT t.*, {_PARTS % "q"} AS c FROM t JOIN b ON t.paper_id = b.paper_id AND (t.page, t.line) > begins),
+z AS (SELECT paper_id, min((page, line)) AS ends FROM a WHERE regexp_matches(s, '^(?i)([a-z]\s+)?(online )?appendix\b') OR {_is_caption("c")}
+ OR regexp_matches(s, '^(?i)(for online publication only:?|([a-z]\s+)?((main|additional)\s+)?(figures(\s+and\s+tables)?|tables(\s+and\s+figures)?))$') GROUP BY 1),
+r AS (SELECT a.paper_id, page, line, s, row_number() OVER (PARTITION BY a.paper_id ORDER BY page, line) AS k, NOT regexp_matches(x, '^[ \t]') AND regexp_matches(s, '{_AUTHOR}') AS opens,
+ regexp_matches(s, '^(?i)(and\s*,|(,\s*)+(and\s+)?)..+') AS again, regexp_matches(s, '\b(19|20)[0-9][0-9][A-Za-z]?\b') AS dated
+ FROM a LEFT JOIN z ON a.paper_id = z.paper_id WHERE s <> '' AND NOT regexp_matches(s, '^[0-9]+$') AND (ends IS NULL OR (page, line) < ends)),
+w AS (SELECT paper_id, k, 1 AS entry, dated FROM r WHERE k = 1 UNION ALL
+ SELECT r.paper_id, r.k, w.entry + CASE WHEN r.opens OR (r.again AND w.dated) THEN 1 ELSE 0 END, CASE WHEN r.opens OR (r.again AND w.dated) THEN r.dated ELSE r.dated OR w.dated END
+ FROM w JOIN r ON r.paper_id = w.paper_id AND r.k = w.k + 1)
+SELECT r.paper_id, CAST(entry AS INT) AS entry, CAST(arg_min(page, r.k) AS INT) AS start_page, CAST(arg_min(line, r.k) AS INT) AS start_line,
+ regexp_replace(string_agg(s, ' ' ORDER BY r.k), '([A-Za-zÀ-ÖØ-öø-ÿ])-\s+([A-Za-zÀ-ÖØ-öø-ÿ])', '\1-\2', 'g') AS content FROM r JOIN w ON r.paper_id = w.paper_id AND r.k = w.k GROUP BY r.paper_id, entry""", "marked_pages"))
+def reference_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.reference_entries(_pages(spark, sf_dir))
+
+
 def _table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     money = "CONCAT(o_orderpriority, ' ', CAST(o_orderkey % 97 AS STRING), '.5 (', CAST(o_custkey % 13 AS STRING), ')', IF(o_orderkey % 5 = 0, ' 12%', ''))"
     return Relations(spark, sf_dir).table("orders").selectExpr("o_custkey AS table_id", "o_orderkey AS line", f"{money} AS content")
@@ -81,10 +225,10 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table_rows(_table_lines(spark, sf_dir), ["table_id"]).withColumn("cells", F.array_join("cells", "|"))
 
 
-@query("""SELECT page_id, array_to_string(list_distinct([rtrim(url, '.,;:')]), ',') AS urls, 'see ' || url AS section FROM pages WHERE url LIKE 'http%' AND url NOT LIKE '%(%'""")
+@query(r"""SELECT page_id, regexp_replace(regexp_extract(url, 'https?://[^\s<>"\]]+'), '[.,;:]+$', '') AS urls, 'see ' || url AS section FROM pages WHERE regexp_matches(url, '^https?://[^\s<>"\]()]')""")
 def report_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of a report that names each page twice, once in brackets, and its section of sources."""
-    pages = Relations(spark, sf_dir).table("pages").where("url like 'http%' and url not like '%(%'")
+    pages = Relations(spark, sf_dir).table("pages").where(F.col("url").rlike(r'^https?://[^\s<>"\]()]'))
     report = F.concat(F.lit("# Report\n## Sources\nsee "), "url", F.lit("\n## Rest\n("), "url", F.lit(").\n"))
     return pages.select("page_id", F.array_join(X.urls(report), ",").alias("urls"), X.report_section(report, "Sources").alias("section"))
 

@@ -13,7 +13,7 @@ SCORE = """CASE severity WHEN 'high' THEN 60 WHEN 'medium' THEN 35 WHEN 'low' TH
   WHEN 'parser_artifact' THEN CASE WHEN severity = 'high' THEN 10 ELSE -18 END WHEN 'cannot_verify' THEN CASE WHEN severity = 'high' THEN 12 ELSE -5 END ELSE 0 END"""
 ROUTE = """CASE WHEN issue_type = 'copyedit_issue' THEN 'grammar_appendix' WHEN issue_type = 'parser_artifact' THEN 'parser_appendix'
 WHEN issue_type = 'cannot_verify' OR assessment = 'cannot_verify' THEN 'cannot_verify' WHEN issue_type = 'reference_integrity' THEN 'reference_integrity'
-WHEN issue_type = 'bibliography_maintenance' THEN 'bibliography_appendix' WHEN reviewer = 'login' THEN 'literature'
+WHEN issue_type = 'bibliography_maintenance' THEN 'bibliography_appendix' WHEN rater = 'literature' THEN 'literature'
 WHEN issue_type = 'manuscript_issue' AND confidence = 'high' AND score >= 55 THEN 'highest_priority' ELSE 'additional' END"""
 SCORED = f"scored AS (SELECT *, {SCORE} AS score FROM findings), routed AS (SELECT *, {ROUTE} AS section FROM scored)"
 
@@ -22,7 +22,7 @@ def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     found = Relations(spark, sf_dir).view("findings")
     scored = found.withColumn("score", R.priority(c("severity"), c("confidence"), c("issue_type")))
-    return scored.withColumn("section", R.route(c("issue_type"), c("assessment"), c("confidence"), c("score"), c("reviewer") == "login"))
+    return scored.withColumn("section", R.route(c("issue_type"), c("assessment"), c("confidence"), c("score"), c("rater") == "literature"))
 
 
 @query(oracle(f"WITH {SCORED} SELECT paper_id, id, score, section FROM routed", "findings"))
@@ -52,7 +52,7 @@ def class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle("""SELECT paper_id, issue_type, page, arg_max(severity, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS severity,
 arg_max(assessment, CASE assessment WHEN 'yes' THEN 1 WHEN 'cannot_verify' THEN 2 WHEN 'partially' THEN 3 ELSE 4 END) AS assessment,
 arg_min(confidence, CASE confidence WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS confidence,
-string_agg(DISTINCT reviewer, ',' ORDER BY reviewer) AS reviewers, count(*) AS n_findings FROM findings GROUP BY 1, 2, 3""", "findings"))
+string_agg(DISTINCT rater, ',' ORDER BY rater) AS raters, count(*) AS n_findings FROM findings GROUP BY 1, 2, 3""", "findings"))
 def merged_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merge_group(Relations(spark, sf_dir).view("findings"), ["paper_id", "issue_type", "page"])
 

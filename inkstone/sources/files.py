@@ -72,7 +72,7 @@ def table_scan(primary: DataFrame, fallback: DataFrame, page: list[str]) -> Data
 
 
 def roster(rows: DataFrame) -> DataFrame:
-    """Reviewers with defaults for what is left out: stage, policy, search, enabled."""
+    """Raters with defaults for what is left out: stage, policy, search, enabled."""
     defaults = {"stage": "review", "selection_policy": "mandatory", "search": False, "enabled": True}
     for name, value in defaults.items():
         rows = rows.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in rows.columns else F.lit(value))

@@ -86,9 +86,9 @@ def test_repairs(spark):
 
 def test_contract(spark):
     rows = [("p", "1", "r", "high", "low", "no", "s", 1, "q", None), ("p", "2", "x", "dire", "low", "no", " ", None, "q", "http://a"), ("p", "2", "r", "high", "low", "no", "s", None, None, "https://a.org")]
-    frame = spark.createDataFrame(rows, "paper_id string, id string, reviewer string, severity string, confidence string, assessment string, summary string, page int, quote string, url string")
-    got = sorted(r["errors"] for r in C.finding_errors(frame, spark.createDataFrame([("r",)], "reviewer string")).collect())
-    assert got == ["duplicate id", "reviewer,duplicate id,severity,summary,page,url"]
+    frame = spark.createDataFrame(rows, "paper_id string, id string, rater string, severity string, confidence string, assessment string, summary string, page int, quote string, url string")
+    got = sorted(r["errors"] for r in C.finding_errors(frame, spark.createDataFrame([("r",)], "rater string")).collect())
+    assert got == ["duplicate id", "rater,duplicate id,severity,summary,page,url"]
     second = spark.createDataFrame([(1, "confirmed", 0, "a", "a"), (2, "maybe", 1, "a", "b"), (3, "unresolved", 0, "a", "a")], "id int, outcome string, n_evidence int, packet_sha string, expected_sha string")
     assert {r["id"]: r["errors"] for r in C.verification_errors(second).collect()} == {1: "evidence", 2: "outcome,packet"}
     gate = spark.createDataFrame([("parser_artifact", "high", "high"), ("parser_artifact", "medium", "low"), ("copyedit_issue", "high", "high")], "i string, s string, c string")
