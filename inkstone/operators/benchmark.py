@@ -127,12 +127,58 @@ def usage(log: DataFrame, job: str = "job", line: str = "line") -> DataFrame:
     )
 
 
-def blind_packet(jobs: DataFrame, seed: int, per_bucket: int = 100_000) -> DataFrame:
-    """jobs with sample_id: an order by hashes that hides profiles, numbered without gaps. Buckets of hashes are counted
-    first and numbered apart, so no task holds all jobs."""
-    buckets = max(1, jobs.count() // per_bucket)
-    mark = jobs.withColumn("_h", F.xxhash64(F.lit(seed), "job")).withColumn("_b", F.pmod("_h", F.lit(buckets).cast("bigint")))
-    counts = mark.groupBy("_b").agg(F.count("*").alias("_n"))
+def cost_usage(log: DataFrame, job: str = "job", document: str = "document") -> DataFrame:
+    """(job, status, input_uncached, input_cached, input_cache_write, output, input_total) of jobs whose log is one JSON
+    document with usage; whole numbers from 0 on in all four counters, or unavailable with none."""
+    names = ("input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "output_tokens")
+    whole = lambda n: F.get_json_object(document, f"$.usage.{n}")
+    read = log.select(job, *[F.when(whole(n).rlike("^[0-9]+$"), whole(n).try_cast("long")).alias(n) for n in names])
+    sound = F.forall(F.array(*names), lambda x: x.isNotNull())
+    only = lambda c: F.when(sound, c)
+    uncached, cached, written, out = (F.col(n) for n in names)
+    return read.select(
+        job, F.when(sound, "reported").otherwise("unavailable").alias("status"), only(uncached).alias("input_uncached"), only(cached).alias("input_cached"),
+        only(written).alias("input_cache_write"), only(out).alias("output"), only(uncached + cached + written).alias("input_total"),
+    )
+
+
+def config_errors(configs: DataFrame, items: DataFrame, truth: DataFrame, efforts: tuple[str, ...] = ("low", "medium", "high", "xhigh", "max")) -> DataFrame:
+    """(config, subject, error), each once, of benchmark plans: configs (config, format, repeats, timeout_minutes); items
+    (config, kind of profile or case, id, model, effort, roles, pdf_sha, parsed_sha); truth (config, case, issue_key, source,
+    roles, weight, status), of which the confirmed are held to the rules."""
+    c = F.col
+    told = lambda df, subject, rules: df.select("config", subject.alias("subject"), F.explode(F.array_compact(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(n)) for n, r in rules.items()]))).alias("error"))
+    kinds = items.groupBy("config").agg(F.count_if(c("kind") == "profile").alias("_profiles"), F.count_if(c("kind") == "case").alias("_cases"))
+    whole = configs.join(kinds, "config", "left")
+    none = F.lit(None).cast("string")
+    out = told(whole, none, {
+        "format": ~c("format").eqNullSafe(F.lit(1)), "repeats": ~F.coalesce(c("repeats").between(1, 10), F.lit(False)),
+        "timeout": ~F.coalesce((c("timeout_minutes") > 0) & (c("timeout_minutes") <= 120), F.lit(False)), "nothing to compare": (F.coalesce("_profiles", F.lit(0)) == 0) | (F.coalesce("_cases", F.lit(0)) == 0),
+    })
+    times = items.groupBy("config", "kind", "id").agg(F.count("*").alias("_n"))
+    rows = items.join(times, ["config", "kind", "id"], "left")
+    profile, case = c("kind") == "profile", c("kind") == "case"
+    out = out.unionByName(told(rows, c("id"), {
+        "identifier": ~F.coalesce(c("id").rlike(r"^[a-z0-9][a-z0-9-]{0,79}$"), F.lit(False)), "duplicate": c("_n") > 1, "model": profile & (F.trim(F.coalesce("model", F.lit(""))) == ""),
+        "effort": profile & ~F.coalesce(c("effort").isin(*efforts), F.lit(False)), "roles": case & (F.coalesce(F.size("roles"), F.lit(0)) < 1) | case & (F.size(F.array_distinct("roles")) < F.size("roles")),
+        "source": case & ~c("pdf_sha").eqNullSafe(c("parsed_sha")),
+    }))
+    known = truth.where("status = 'confirmed'")
+    again = known.groupBy("config", "case", "issue_key").agg(F.count("*").alias("_n"))
+    rows = known.join(again, ["config", "case", "issue_key"], "left")
+    out = out.unionByName(told(rows, c("issue_key"), {
+        "reference repeated": c("_n") > 1, "reference scope": (F.trim(F.coalesce("source", F.lit(""))) == "") | (F.coalesce(F.size("roles"), F.lit(0)) < 1),
+        "weight": ~F.coalesce((c("weight") > 0) & (c("weight") <= 5), F.lit(False)),
+    }))
+    return out.distinct()
+
+
+def blind_packet(jobs: DataFrame, seed: int, digits: int | None = None, per_bucket: int = 100_000) -> DataFrame:
+    """jobs with sample_id: an order by digests of seed and job that hides profiles, numbered without gaps. The digests' first
+    digits part the jobs into buckets in that order, which are counted first and numbered apart, so no task holds all jobs."""
+    digits = digits if digits is not None else max(0, (jobs.count() // per_bucket).bit_length() + 3) // 4
+    mark = jobs.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("job").cast("string")), 256)).withColumn("_b", F.substring("_h", 1, digits))
+    counts = mark.groupBy("_b").agg(F.count("*").alias("_n"))  # a row for each prefix
     base = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select("_b", base.alias("_base"))
     place = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "job")) + F.col("_base")

@@ -3,21 +3,38 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import findings as N
 from ..functions import text as T
-from ..session import cut
+from ..session import cut, release
 
 
-def registry(files: DataFrame) -> DataFrame:
-    """files (paper_sha, path, content, page) with their content's digest and an id that path, digest and page fix."""
-    digest = F.sha2(F.coalesce("content", F.lit("")), 256)
-    out = files.withColumn("sha256", digest)
-    key = F.concat_ws("\n", "paper_sha", "path", "sha256", F.coalesce(F.col("page").cast("string"), F.lit("")))
-    return out.withColumn("id", F.concat(F.lit("OBJ-"), F.substring(F.sha2(key, 256), 1, 24)))
+# Types of papers, parts of secrets' names, places of private files.
+PAPER_TYPES = ("empirical_causal", "empirical_descriptive", "theory", "methods", "literature_review", "mixed", "unknown")
+SECRET_PARTS = ("TOKEN", "SECRET", "PASSWORD", "PASSWD", "CREDENTIAL", "AUTH")
+SECRET_FILE = r"(?i)(?:^|[._/-])(?:api[_-]?key|token|secret|password|passwd|credential|auth)(?:[._/-]|$)"
+PRIVATE_PARTS, PRIVATE_STARTS = ("/raw/",), ("inputs/", "outputs/", "work/")
 
 
-def cells(rows: DataFrame, keys: list[str], values: str) -> DataFrame:
-    """keys, row, col and value: every cell of a table's rows, columns from 1."""
-    return rows.select(*keys, F.posexplode(values).alias("col", "value")).withColumn("col", F.col("col") + 1)
+def registry(files: DataFrame) -> DataFrame:
+    """Objects (paper_sha, path, sha256, page, kind, locator, value, content, id) of files (paper_sha, path, content, page,
+    and cells, the rows of a table's cells): each file as a text_span over all its characters, or an image_region where it
+    is a .png, and every table cell by row and column from 1. The id is fixed by paper, path, digest and locator; a page
+    that is not told is that of the path's page_ number."""
+    c = F.col
+    digest = F.sha2(F.coalesce("content", F.lit("")), 256)
+    numbered = F.regexp_extract("path", r"page_([0-9]+)", 1).try_cast("int")
+    rows = files.withColumn("sha256", digest).withColumn("page", F.coalesce("page", numbered))
+    image = c("path").endswith(".png")
+    whole = rows.select(
+        "paper_sha", "path", "sha256", "page", F.when(image, "image_region").otherwise("text_span").alias("kind"),
+        F.when(image, "entire").otherwise(F.concat(F.lit("0-"), F.length("content").cast("string"))).alias("locator"), F.lit(None).cast("string").alias("value"), F.when(~image, c("content")).alias("content"),
+    )
+    if "cells" in files.columns:
+        each = rows.select("paper_sha", "path", "sha256", "page", F.posexplode("cells").alias("row", "c")).select("*", F.posexplode("c").alias("col", "value"))
+        locator = F.concat(F.lit("r"), (c("row") + 1).cast("string"), F.lit("c"), (c("col") + 1).cast("string"))
+        whole = whole.unionByName(each.select("paper_sha", "path", "sha256", "page", F.lit("table_cell").alias("kind"), locator.alias("locator"), "value", c("value").alias("content")))
+    key = F.concat_ws("\n", "paper_sha", "path", "sha256", "locator")
+    return whole.withColumn("id", F.concat(F.lit("OBJ-"), F.substring(F.sha2(key, 256), 1, 24)))
 
 
 def source_errors(sources: DataFrame, objects: DataFrame) -> DataFrame:
@@ -54,11 +71,57 @@ def confined(path: Column) -> Column:
 
 
 def sensitive(name: Column) -> Column:
-    """Whether an upper-case name says that its value is a secret."""
-    parts = F.split(F.upper(name), "[^A-Z]+")
-    one = F.exists(parts, lambda p: p.isin("TOKEN", "SECRET", "PASSWORD", "PASSWD", "CREDENTIAL", "CREDENTIALS"))
-    line = F.concat(F.lit("_"), F.array_join(parts, "_"), F.lit("_"))
-    return one | line.contains("_API_KEY_") | line.contains("_APIKEY_")
+    """Whether an upper-case name says that its value is a secret: it has a secret's part that RE does not follow, or API
+    before KEY."""
+    parts = F.filter(F.split(F.replace(name, F.lit("-"), F.lit("_")), "_"), lambda p: p != "")
+    places = F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0)))
+    after = lambda i: F.coalesce(F.get(parts, i + 1), F.lit(""))
+    secret = lambda i: F.get(parts, i).isin(*SECRET_PARTS) & (after(i) != "RE") | (F.get(parts, i) == "API") & (after(i) == "KEY")
+    return F.coalesce((name == F.upper(name)) & F.exists(places, secret), F.lit(False))
+
+
+def secret_lines(text: Column) -> Column:
+    """Names, in order, that lines of a text assign to and that are secrets' names."""
+    names = F.transform(F.split(text, "\n"), lambda x: F.regexp_extract(x, r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_-]*)\s*[:=]", 1))
+    return F.filter(names, lambda n: (n != "") & sensitive(n))
+
+
+def suspicious_files(files: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
+    """(path, why) of files (path, content) whose name speaks of a secret or that assign to one, but for the allowed."""
+    some = files.where(~F.col("path").isin(*allowed)) if allowed else files
+    why = F.when(F.col("path").rlike(SECRET_FILE), "name").when(F.size(secret_lines(F.col("content"))) > 0, "assignment")
+    return some.select("path", why.alias("why")).where("why is not null")
+
+
+def private_path(path: Column, allowed: tuple[str, ...] = ()) -> Column:
+    """Whether a shared path lies where private files do."""
+    inside = lambda test, parts: [test(path, p) for p in parts]
+    some = [*inside(lambda c, p: c.startswith(p), PRIVATE_STARTS), *inside(lambda c, p: c.contains(p), PRIVATE_PARTS)]
+    out = some[0]
+    for s in some[1:]:
+        out = out | s
+    return F.coalesce(out & ~path.isin(*allowed) if allowed else out, F.lit(False))
+
+
+def plausible_report(report: Column, empty_run: Column, title: str, headings: tuple[str, ...], scopes: tuple[str, ...], least: int = 2000) -> Column:
+    """Whether a text can be a run's report: long enough unless the run had nothing to report, with its title first, every
+    heading, and one of the scope's."""
+    text = F.trim(report)
+    out = (F.coalesce(empty_run, F.lit(False)) | (F.length(text) >= least)) & text.startswith(title)
+    for h in headings:
+        out = out & text.contains(h)
+    scoped = text.contains(scopes[0])
+    for h in scopes[1:]:
+        scoped = scoped | text.contains(h)
+    return F.coalesce(out & scoped, F.lit(False))
+
+
+def empty_runs(outputs: DataFrame, findings: DataFrame) -> DataFrame:
+    """(run, empty): whether every rater's output (run, name, run_status, finding_count) is sound and none found anything."""
+    c = F.col
+    fine = outputs.groupBy("run").agg(F.bool_and(F.coalesce((c("run_status") == "ok") & (c("finding_count") == 0), F.lit(False))).alias("fine"))
+    some = findings.select("run").distinct().withColumn("_found", F.lit(True))
+    return fine.join(some, "run", "left").select("run", (c("fine") & c("_found").isNull()).alias("empty"))
 
 
 def acceptance_errors(reviews: DataFrame) -> DataFrame:
@@ -81,28 +144,29 @@ def acceptance_errors(reviews: DataFrame) -> DataFrame:
     )
 
 
-def coverage_errors(required: DataFrame, covered: DataFrame) -> DataFrame:
-    """(paper_id, item_id, error): required items that none covers, items covered twice or without need, finding links
-    that the status contradicts. Counts are pre-aggregated; then one full join."""
-    times = covered.groupBy("paper_id", "item_id").agg(
-        F.count("*").alias("n"), F.bool_or((F.col("status") == "linked_finding") != (F.col("n_findings") > 0)).alias("at_odds")
-    )
-    need = required.select("paper_id", "item_id").distinct().withColumn("needed", F.lit(True))
-    both = times.join(need, ["paper_id", "item_id"], "full_outer")
-    error = F.array(
-        F.when(F.col("n").isNull(), "missing"), F.when(F.col("needed").isNull(), "not required"),
-        F.when(F.col("n") > 1, "duplicate"), F.when(F.col("at_odds"), "link"),
-    )
-    return both.select("paper_id", "item_id", F.explode(F.filter(error, lambda e: e.isNotNull())).alias("error"))
-
-
-def selection_errors(roster: DataFrame, selected: DataFrame, skipped: DataFrame) -> DataFrame:
-    """(name, error): optional raters neither selected nor skipped, both, more than once, or not in the roster."""
-    told = selected.select("name", F.lit(1).alias("s")).unionByName(skipped.select("name", F.lit(0).alias("s")))
-    counts = told.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("s").alias("ways"))
-    both = counts.join(roster.where("enabled and optional").select("name", F.lit(True).alias("known")), "name", "full_outer")
-    error = F.when(F.col("n").isNull(), "unaccounted").when(F.col("known").isNull(), "unknown").when(F.col("ways") > 1, "both").when(F.col("n") > 1, "duplicate")
-    return both.select("name", error.alias("error")).where("error is not null")
+def selection_errors(roster: DataFrame, selections: DataFrame, told: DataFrame, mode: str = "applicability") -> DataFrame:
+    """(paper_id, subject, error), each once, of selections (paper_id, about, paper_type, confidence, mode) with what is told
+    of raters (paper_id, name, reason, selected), against a roster (name, enabled, optional)."""
+    c = F.col
+    outside = lambda name, values: ~F.coalesce(c(name).isin(*values), F.lit(False))
+    own = {
+        "paper": ~c("about").eqNullSafe(c("paper_id")), "paper type": outside("paper_type", PAPER_TYPES),
+        "confidence": outside("confidence", ("high", "medium", "low")), "mode": ~c("mode").eqNullSafe(F.lit(mode)),
+    }
+    every = lambda rules: F.explode(F.array_compact(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(n)) for n, r in rules.items()])))
+    out = selections.select("paper_id", F.lit(None).cast("string").alias("subject"), every(own).alias("error"))
+    known = roster.select("name", F.coalesce(c("enabled") & c("optional"), F.lit(False)).alias("_open"), F.coalesce(~c("optional"), F.lit(False)).alias("_mandatory"))
+    counts = told.groupBy("paper_id", "name").agg(
+        F.count_if("selected").alias("s"), F.count_if(~c("selected")).alias("k"), F.bool_or(F.trim(F.coalesce("reason", F.lit(""))) == "").alias("bare")
+    ).join(known, "name", "left")
+    named = {
+        "no reason": c("bare"), "mandatory": (c("s") > 0) & c("_mandatory"), "not in roster": ~F.coalesce("_open", F.lit(False)), "selected twice": c("s") > 1,
+        "skipped twice": c("k") > 1, "selected and skipped": (c("s") > 0) & (c("k") > 0),
+    }
+    out = out.unionByName(counts.select("paper_id", c("name").alias("subject"), every(named).alias("error")))
+    due = selections.select("paper_id").join(known.where("_open").select("name"))  # a roster is a fixed list of a score of names
+    missing = due.join(told.select("paper_id", "name").distinct(), ["paper_id", "name"], "left_anti")
+    return out.unionByName(missing.select("paper_id", c("name").alias("subject"), F.lit("unaccounted").alias("error"))).distinct()
 
 
 def guarded_selection(roster: DataFrame, selection: DataFrame) -> DataFrame:
@@ -115,17 +179,19 @@ def guarded_selection(roster: DataFrame, selection: DataFrame) -> DataFrame:
     return some.where(~c("optional") | unsure | theory | F.array_contains("selected", c("name"))).select("paper_id", "name")
 
 
-def terminals(decisions: DataFrame, depth: int = 64) -> DataFrame:
+def terminals(decisions: DataFrame) -> DataFrame:
     """(id, terminal, steps, error) of merged decisions (id, disposition, destination): the end of each merge chain, by
-    doubling, so a chain of n takes log n joins, each on a checkpointed table; chains are followed for `depth` steps at
-    least, and one that ends nowhere, in a rejection or in a ring has an error and no terminal."""
+    doubling, so a chain of n takes log n joins, each on a checkpointed table. Chains are followed until none moves, or
+    for as many steps as there are merges, after which what still moves is a ring. One that ends nowhere, in a rejection
+    or in a ring has an error and no terminal."""
     c = F.col
     merged = decisions.where(c("disposition") == "merged")
     jump = cut(merged.select("id", c("destination").alias("at"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moved")))
-    for _ in range(max(1, depth.bit_length())):
+    for _ in range(jump.count().bit_length() + 1):
         far = jump.select(c("id").alias("at"), c("at").alias("far"), c("steps").alias("more"))
         on = F.coalesce("far", "at").alias("at"), (c("steps") + F.coalesce("more", F.lit(0))).alias("steps"), c("far").isNotNull().alias("moved")
-        jump = cut(jump.join(far, "at", "left").select("id", *on))
+        before, jump = jump, cut(jump.join(far, "at", "left").select("id", *on))
+        release(before)
         if jump.where("moved").isEmpty():
             break
     ends = decisions.select(c("id").alias("at"), c("disposition").alias("_d"))
@@ -134,14 +200,6 @@ def terminals(decisions: DataFrame, depth: int = 64) -> DataFrame:
     return out.select("id", error.alias("error"), F.when(error.isNull(), c("at")).alias("terminal"), F.when(error.isNull(), c("steps")).alias("steps"))
 
 
-def report_errors(reports: DataFrame, headings: list[str], least: int = 2000) -> DataFrame:
-    """(report_id, errors) of reports that are short, lack a heading, or repeat the tools' own notes."""
-    rules = {f"no {h}": ~F.concat(F.lit("\n"), F.col("report")).contains(f"\n## {h}") for h in headings}
-    rules["short"] = F.length("report") < least
-    rules["process note"] = F.col("report").rlike(r"(?i)\b(?:no files were (?:written|edited)|local checks|session)\b")
-    return _violations(reports, ["report_id"], rules)
-
-
 def rendered(blocks: DataFrame) -> DataFrame:
     """(paper_id, report): blocks in order, a heading where the section changes. A report is a paper's, which bounds it."""
     order = Window.partitionBy("paper_id").orderBy("place")
@@ -205,29 +263,27 @@ def archive_errors(members: DataFrame, most: int = 20_000, most_bytes: int = 2_0
 
 
 def greedy_ranges(lines: DataFrame, keys: list[str], most_bytes: int = 48_000, most_lines: int = 800) -> DataFrame:
-    """keys, range, first, last: lines packed in order into ranges of so many bytes and lines at most. The reset of the
-    running sum is a fold over a document's line sizes (numbers, not texts)."""
-    sizes = F.array_sort(F.collect_list(F.struct("line", (F.octet_length("content") + 1).alias("n"))))
-    kind = "array<struct<first:int,last:int,bytes:long>>"
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        fits = (last["bytes"] + x["n"] <= most_bytes) & (x["line"] - last["first"] < most_lines)
-        grown = F.struct(last["first"].alias("first"), x["line"].alias("last"), (last["bytes"] + x["n"]).alias("bytes"))
-        new = F.struct(x["line"].alias("first"), x["line"].alias("last"), x["n"].cast("long").alias("bytes"))
-        more = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown)).cast(kind)
-        return F.when(F.coalesce(fits, F.lit(False)), more).otherwise(F.concat(done, F.array(new)).cast(kind))
-
-    folded = lines.groupBy(*keys).agg(F.aggregate(sizes, F.from_json(F.lit("[]"), kind), step).alias("r"))
+    """keys, range, first, last, bytes: lines packed in order into ranges of so many bytes and lines at most; a longer line is
+    a range of its own. The reset of the running sum is a fold over a document's line sizes (numbers, not texts), whose list
+    of closed ranges is touched only where one closes."""
+    sizes = F.array_sort(F.collect_list(F.struct("line", (F.octet_length("content") + 1).cast("long").alias("n"))))
+    one = "struct<first:int,last:int,bytes:long>"
+    state = f"struct<done:array<{one}>,now:{one}>"
+    start = F.from_json(F.lit('{"done": []}'), state)
+
+    def step(s: Column, x: Column) -> Column:
+        now = s["now"]
+        fits = F.coalesce((now["bytes"] + x["n"] <= most_bytes) & (x["line"] - now["first"] < most_lines), F.lit(False))
+        grown = F.struct(now["first"].alias("first"), x["line"].alias("last"), (now["bytes"] + x["n"]).alias("bytes"))
+        fresh = F.struct(x["line"].alias("first"), x["line"].alias("last"), x["n"].alias("bytes"))
+        done = F.when(fits | now.isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(now)))
+        return F.struct(done.alias("done"), F.when(fits, grown).otherwise(fresh).alias("now")).cast(state)
+
+    ends = lambda s: F.concat(s["done"], F.array(s["now"]))
+    folded = lines.groupBy(*keys).agg(F.aggregate(sizes, start, step, ends).alias("r"))
     return folded.select(*keys, F.posexplode("r").alias("range", "x")).select(*keys, "range", "x.first", "x.last", "x.bytes")
 
 
-def assignments(roster: DataFrame, objects: DataFrame) -> DataFrame:
-    """(rater, item_id): the remit of each, and every distinct object of the kind that a rater covers."""
-    remit = roster.select("rater", F.lit("assigned_remit").alias("item_id"))
-    return remit.union(objects.distinct().join(F.broadcast(roster), F.col("kind") == F.col("covers")).select("rater", "item_id"))
-
-
 def roster_status(roster: DataFrame, outputs: DataFrame, reasons: DataFrame) -> DataFrame:
     """(name, findings, status, reason) of every rater, with defaults where there is no output or reason."""
     counts = outputs.groupBy("name").agg(F.count("*").alias("_n"))
@@ -238,29 +294,65 @@ def roster_status(roster: DataFrame, outputs: DataFrame, reasons: DataFrame) ->
     )
 
 
-def finding_errors(findings: DataFrame, roles: DataFrame) -> DataFrame:
-    """(paper_id, id, errors) of findings (rater, id, severity, confidence, assessment, summary, page, quote, url) that
-    break the contract: unknown rater, repeated id, values outside their domains, blank texts, quotes without a page."""
-    known = findings.join(F.broadcast(roles.select("rater", F.lit(True).alias("_known"))), "rater", "left")
-    times = findings.groupBy("paper_id", "id").agg(F.count("*").alias("_times"))
-    both = known.join(times, ["paper_id", "id"])
-    c = F.col
+def finding_errors(findings: DataFrame, roster: DataFrame, sources: DataFrame, links: DataFrame) -> DataFrame:
+    """(paper_id, rater, id, error), each once, of findings (paper_id, rater, id, issue_type, category, severity, confidence,
+    assessment, finding_summary, page, page_label, section, text_quote, precision, cannot_verify_reason, numeric_check) that
+    break the contract, with their sources (paper_id, rater, id, source_id, url, path, page) and links (paper_id, rater, id,
+    link, source_id; a null source_id is an empty link), against a roster (rater, id_prefix) and the paper's pages
+    (findings.page_count)."""
+    c, key = F.col, ["paper_id", "rater", "id"]
+    blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
     outside = lambda name, *values: ~F.coalesce(c(name).isin(*values), F.lit(False))
+    known = findings.join(roster.select("rater", "id_prefix"), "rater", "left")
+    times = findings.groupBy(*key).agg(F.count("*").alias("_times"))
+    have = sources.groupBy(*key).agg(F.count("*").alias("_sources"))
+    rows = known.join(times, key, "left").join(have, key, "left")
+    unverifiable = N.unverifiable_in_contract(c("assessment"), c("issue_type"), c("category"))
+    placed = F.coalesce(c("page").cast("string"), c("page_label"), c("section"), c("text_quote")).isNotNull()
     rules = {
-        "rater": c("_known").isNull(), "duplicate id": c("_times") > 1, "severity": outside("severity", "low", "medium", "high"),
-        "confidence": outside("confidence", "low", "medium", "high"), "assessment": outside("assessment", "yes", "no", "partially", "cannot_verify"),
-        "summary": F.trim(F.coalesce("summary", F.lit(""))) == "", "page": c("quote").isNotNull() & c("page").isNull(),
-        "url": c("url").isNotNull() & ~c("url").rlike("^https://[^\\s]+$"),
+        "rater": c("id_prefix").isNull(), "duplicate id": c("_times") > 1, "id": c("id_prefix").isNotNull() & ~F.regexp(c("id"), F.concat(F.lit("^"), "id_prefix", F.lit("-[0-9]{3}$"))),
+        "issue type": blank(c("issue_type")), "severity": outside("severity", "low", "medium", "high"), "confidence": outside("confidence", "low", "medium", "high"),
+        "assessment": outside("assessment", "yes", "no", "partially", "cannot_verify"), "summary": blank(c("finding_summary")), "precision": blank(c("precision")),
+        "placed but missing": (c("precision") == "missing") & placed, "exact but nowhere": (c("precision") == "exact") & ~placed,
+        "page": ~c("page").between(1, c("page_count")), "no reason": unverifiable & blank(c("cannot_verify_reason")), "no sources": ~unverifiable & c("_sources").isNull(),
+        "no numeric check": (c("rater") == "numerical_auditor") & ~c("issue_type").eqNullSafe(F.lit("parser_artifact")) & ~unverifiable & blank(c("numeric_check")),
+        "empty numeric check": c("numeric_check").rlike(r'^\{\s*(?:"[^"]*"\s*:\s*(?:null|""|\[\])\s*,?\s*)*\}$'),
+    }
+    told = lambda df, some: df.select(*key, F.explode(F.array_compact(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(n)) for n, r in some.items()]))).alias("error"))
+    pages = findings.groupBy("paper_id").agg(F.max("page_count").alias("page_count"))
+    sound = {
+        "source url": c("url").isNotNull() & ~c("url").rlike(r"^https://[^\s]+$"), "source path": c("path").isNotNull() & ~confined(c("path")),
+        "source place": c("url").isNull() & c("path").isNull(), "source page": ~c("page").between(1, c("page_count")),
     }
-    return _violations(both, ["paper_id", "id"], rules)
+    out = told(rows, rules).unionByName(told(sources.join(pages, "paper_id", "left"), sound))
+    bare = links.where(c("source_id").isNull()).select(*key, F.lit("empty link").alias("error"))
+    loose = links.where(c("source_id").isNotNull()).join(sources.select(*key, "source_id"), [*key, "source_id"], "left_anti").select(*key, F.lit("link to unknown source").alias("error"))
+    return out.unionByName(bare).unionByName(loose).distinct()
 
 
-def verification_errors(checked: DataFrame) -> DataFrame:
-    """(id, errors) of second looks at findings (id, outcome, n_evidence, packet_sha, expected_sha)."""
+def verification_errors(verifications: DataFrame, chosen: DataFrame, results: DataFrame, evidence: DataFrame, objects: DataFrame) -> DataFrame:
+    """(packet, subject, error), each once, of second looks: verifications (packet, version, status, packet_sha, expected_sha);
+    results (packet, id, outcome, reason, strongest_alternative, observation, diagnosis, remedy, editor_fidelity,
+    editor_reason, surviving_claim) for the ids that were chosen (packet, id); evidence (packet, id, object_id,
+    correspondence, quote) against objects (object_id, content)."""
     c = F.col
-    rules = {
-        "outcome": ~F.coalesce(c("outcome").isin("confirmed", "narrowed", "rejected", "unresolved"), F.lit(False)),
-        "evidence": (c("outcome") != "unresolved") & (c("n_evidence") <= 0),
-        "packet": ~c("packet_sha").eqNullSafe(c("expected_sha")),
-    }
-    return _violations(checked, ["id"], rules)
+    blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
+    told = lambda df, subject, rules: df.select("packet", subject.alias("subject"), F.explode(F.array_compact(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(n)) for n, r in rules.items()]))).alias("error"))
+    whole = {"version": ~c("version").eqNullSafe(F.lit(1)), "status": ~c("status").eqNullSafe(F.lit("complete")), "packet": ~c("packet_sha").eqNullSafe(c("expected_sha"))}
+    out = told(verifications, F.lit(None).cast("string"), whole)
+    have = evidence.groupBy("packet", "id").agg(F.count("*").alias("_n"), F.bool_or(c("correspondence") == "unresolved").alias("_open"))
+    times = results.groupBy("packet", "id").agg(F.count("*").alias("_times"))
+    wanted = chosen.select("packet", "id").distinct().withColumn("_chosen", F.lit(True))
+    rows = results.join(times, ["packet", "id"]).join(have, ["packet", "id"], "left").join(wanted, ["packet", "id"], "left")
+    own = {
+        "outcome": ~F.coalesce(c("outcome").isin("confirmed", "narrowed", "rejected", "unresolved"), F.lit(False)), "not chosen": c("_chosen").isNull(), "duplicate": c("_times") > 1,
+        "account": blank(c("reason")) | blank(c("strongest_alternative")) | blank(c("observation")) | blank(c("diagnosis")) | blank(c("remedy")),
+        "fidelity": ~F.coalesce(c("editor_fidelity").isin("faithful", "not_faithful", "unresolved", "not_applicable"), F.lit(False)), "fidelity reason": blank(c("editor_reason")),
+        "surviving claim": (c("outcome") == "narrowed") & blank(c("surviving_claim")), "evidence": (c("outcome") != "unresolved") & (F.coalesce("_n", F.lit(0)) == 0),
+        "unavailable evidence": (c("outcome") != "unresolved") & c("_open"),
+    }
+    out = out.unionByName(told(rows, c("id"), own))
+    missing = wanted.join(results.select("packet", "id"), ["packet", "id"], "left_anti").select("packet", c("id").alias("subject"), F.lit("missing").alias("error"))
+    both = evidence.join(objects.select("object_id", "content", F.lit(True).alias("_known")), "object_id", "left")
+    bad = told(both, c("id"), {"unknown object": c("_known").isNull(), "quote": (c("correspondence") == "text") & c("_known").isNotNull() & ~T.quote_stands(c("quote"), c("content"))})
+    return out.unionByName(missing).unionByName(bad).distinct()

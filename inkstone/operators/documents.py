@@ -54,28 +54,87 @@ def continues_caption(title: Column, line: Column, gap: Column, wrapped: Column)
 
 
 def continued_captions(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, start and title: captions with the lines that go on with them. A line's test needs the title so far, so the
-    lines after a caption are folded, a page at a time; lines are (line, content, y0, y1, block)."""
-    rows = F.array_sort(F.collect_list(F.struct("line", "content", "y0", "y1", "block")))
-    kind = "array<struct<start:int,title:string,y1:double,block:int,open:boolean>>"
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        begins = x["content"].rlike(X.CAPTION) | x["content"].rlike(X.CAPTION_CAPITALS)
-        goes = F.coalesce(last["open"], F.lit(False)) & continues_caption(last["title"], x["content"], x["y0"] - last["y1"], x["block"] == last["block"])
-        new = F.struct(x["line"].alias("start"), T.squash(x["content"]).alias("title"), x["y1"].alias("y1"), x["block"].alias("block"), F.lit(True).alias("open"))
-        longer = F.struct(last["start"].alias("start"), F.concat_ws(" ", last["title"], T.squash(x["content"])).alias("title"), x["y1"].alias("y1"), x["block"].alias("block"), F.lit(True).alias("open"))
-        closed = F.struct(last["start"].alias("start"), last["title"].alias("title"), last["y1"].alias("y1"), last["block"].alias("block"), F.lit(False).alias("open"))
-        head = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        return (
-            F.when(begins, F.concat(done, F.array(new)).cast(kind))
-            .when(goes, F.concat(head, F.array(longer)).cast(kind))
-            .when(F.size(done) > 0, F.concat(head, F.array(closed)).cast(kind))
-            .otherwise(done)
-        )
-
-    folded = lines.groupBy(*keys).agg(F.aggregate(rows, F.from_json(F.lit("[]"), kind), step).alias("c"))
-    return folded.select(*keys, F.explode("c").alias("c")).select(*keys, "c.start", "c.title")
+    """keys, start and title: captions with the lines that go on with them, of lines (line, content, y0, y1, block). A line's
+    test needs the title so far, so the lines from a caption to the next are folded, each such stretch on its own."""
+    order = Window.partitionBy(*keys).orderBy("line")
+    begins = X.is_caption(F.col("content")).cast("int")
+    rows = lines.withColumn("_run", F.sum(begins).over(order)).where("_run > 0")
+    some = F.array_sort(F.collect_list(F.struct("line", "content", "y0", "y1", "block")))
+    state = "struct<title:string,y1:double,block:int,open:boolean>"
+    first = F.get("r", F.lit(0))
+    start = F.struct(T.squash(first["content"]).alias("title"), first["y1"].alias("y1"), first["block"].alias("block"), F.lit(True).alias("open")).cast(state)
+
+    def step(s: Column, x: Column) -> Column:
+        goes = s["open"] & continues_caption(s["title"], x["content"], x["y0"] - s["y1"], x["block"] == s["block"])
+        longer = F.struct(F.concat_ws(" ", s["title"], T.squash(x["content"])).alias("title"), x["y1"].alias("y1"), x["block"].alias("block"), F.lit(True).alias("open"))
+        closed = F.struct(s["title"].alias("title"), s["y1"].alias("y1"), s["block"].alias("block"), F.lit(False).alias("open"))
+        return F.when(goes, longer.cast(state)).otherwise(closed.cast(state))
+
+    one = rows.groupBy(*keys, "_run").agg(some.alias("r"))
+    title = F.aggregate(F.slice("r", 2, F.size("r")), start, step, lambda s: s["title"])
+    return one.select(*keys, first["line"].alias("start"), title.alias("title"))
+
+
+def column_bounds(x0: Column, x1: Column, width: Column, height: Column) -> Column:
+    """struct(low, high): the column of a page that a caption's lines stand in: all of it on landscape pages and for captions
+    over the middle or of 55 per cent of the width, else the caption's half."""
+    whole = (width > height) | ((x0 < width / 2) & (width / 2 < x1)) | (x1 - x0 >= width * 0.55)
+    left = (x0 + x1) / 2 < width / 2
+    low = F.when(whole | left, F.lit(24.0)).otherwise(width / 2 + 4)
+    high = F.when(whole | ~left, width - 24).otherwise(width / 2 - 4)
+    return F.struct(low.alias("low"), high.alias("high"))
+
+
+def table_regions(rows: DataFrame, captions: DataFrame) -> DataFrame:
+    """(page, caption, side, n_rows, y0, y1) of the table that a caption (page, box, x0, y0, x1, y1, width, height) belongs to:
+    the rows (page, box, x0, y0, x1, y1, content) of its column below it, or if there is none there, above it.
+
+    Below, rows follow as far as gaps allow: sixty points to the first and to a panel's, thirty to others, eighteen after
+    two rows with cells to one that has fewer than two; a caption, a note, and such a row that is a heading, end it. Above,
+    gaps are of thirty points to the first and twenty-two to others, within 380 points, up to a caption or heading. Either
+    side needs two rows with cells. A page bounds the walk, which is a fold over rows' measures.
+    """
+    c = F.col
+    cells = F.size(X.trailing_cells(c("content"))["cells"])
+    marked = rows.select(
+        "page", "box", "x0", "y0", "x1", "y1", cells.alias("cells"), X.panel_label(c("content")).isNotNull().alias("panel"), X.is_caption(c("content")).alias("caption"),
+        X.is_heading(c("content")).alias("heading"), T.squash(c("content")).rlike(X.NOTE_START).alias("note"),
+    )
+    edges = captions.withColumn("b", column_bounds(c("x0"), c("x1"), c("width"), c("height"))).select("page", c("box").alias("cap"), c("y0").alias("top"), c("y1").alias("bottom"), "b")
+    both = marked.join(edges, "page").where(((c("x0") + c("x1")) / 2).between(c("b.low"), c("b.high")) & (c("box") != c("cap")))
+    state = "struct<at:double,n:int,numeric:int,top:double,bottom:double,open:boolean>"
+
+    def walk(side: str) -> DataFrame:
+        below = side == "below"
+        some = both.where(c("y0") >= c("bottom") - 1) if below else both.where(c("y1") <= c("top") + 1)
+        place = c("y0") if below else -c("y0")
+        listed = F.array_sort(F.collect_list(F.struct(place.alias("place"), "box", "y0", "y1", "cells", "panel", "caption", "heading", "note")))
+        edge = F.first("bottom" if below else "top")
+        start = F.struct(edge.alias("at"), F.lit(0).alias("n"), F.lit(0).alias("numeric"), F.lit(None).alias("top"), F.lit(None).alias("bottom"), F.lit(True).alias("open")).cast(state)
+
+        def step(s: Column, r: Column) -> Column:
+            gap = r["y0"] - s["at"] if below else s["at"] - r["y1"]
+            some_yet = s["n"] > 0
+            if below:
+                wide = gap > F.when(~some_yet | r["panel"], 60.0).otherwise(30.0)
+                loose = some_yet & (s["numeric"] >= 2) & (r["cells"] < 2) & ((gap > 18) | r["heading"]) & ~r["panel"]
+                ends = wide | r["caption"] | r["note"] | loose
+            else:
+                far = F.col("_top") - r["y0"] > 380
+                ends = (gap > F.when(some_yet, 22.0).otherwise(30.0)) | far | (some_yet & (r["caption"] | (r["heading"] & (r["cells"] == 0) & ~r["panel"])))
+            taken = F.struct(
+                (r["y1"] if below else r["y0"]).alias("at"), (s["n"] + 1).alias("n"), (s["numeric"] + (r["cells"] > 0).cast("int")).alias("numeric"),
+                F.least(s["top"], r["y0"]).alias("top"), F.greatest(s["bottom"], r["y1"]).alias("bottom"), F.lit(True).alias("open"),
+            )
+            closed = F.struct(*[s[k].alias(k) for k in ("at", "n", "numeric", "top", "bottom")], F.lit(False).alias("open"))
+            return F.when(~s["open"] | (gap < -8), s).when(ends, closed.cast(state)).otherwise(taken.cast(state))
+
+        one = some.groupBy("page", "cap").agg(listed.alias("r"), start.alias("s"), F.first("top").alias("_top"))
+        done = one.select("page", "cap", F.aggregate("r", c("s"), step).alias("w")).where("w.numeric >= 2")
+        return done.select("page", c("cap").alias("caption"), F.lit(side).alias("side"), c("w.n").alias("n_rows"), c("w.top").alias("y0"), c("w.bottom").alias("y1"))
+
+    below = walk("below")
+    return below.unionByName(walk("above").join(below.select("page", "caption"), ["page", "caption"], "left_anti"))
 
 
 def rows_below(rows: DataFrame, captions: DataFrame, first_gap: float = 60.0, gap: float = 30.0) -> DataFrame:

@@ -1,6 +1,7 @@
 """Repairs of extracted text: known font glyphs, and accents that stand apart from their letters."""
 
 import unicodedata
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,3 +51,45 @@ def accent_repairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
     sure = pairs.groupBy(*keys, "accent", "letter").agg(F.bool_and(accent_fits("a", "b")).alias("ok")).where("ok")
     out = sure.select(*keys, F.concat("accent", "letter").alias("find"), composed("accent", "letter").alias("put"))
     return out.where((F.col("put").isNotNull()) & (F.length("put") == 1))
+
+
+def align(source: str, target: str, repairs: list[tuple[int, str]], least: float = 0.9) -> tuple[str, int]:
+    """The target with the source's repairs (place, put) at the characters that correspond to their places, and how many
+    there are; the target as it is where the two are less alike than `least`."""
+    matcher = SequenceMatcher(None, source, target, autojunk=False)
+    if not repairs or matcher.ratio() < least:
+        return target, 0
+    blocks = [b for b in matcher.get_matching_blocks() if b.size]
+    put = {}
+    for place, new in repairs:
+        block = next((b for b in blocks if b.a <= place < b.a + b.size), None)
+        if block:
+            put[block.b + place - block.a] = new
+    return "".join(put.get(i, c) for i, c in enumerate(target)), len(put)
+
+
+def aligned_repairs(source: Column, target: Column, repairs: Column) -> Column:
+    """struct(text, applied) of align() for each row; repairs are structs of place and put."""
+
+    @F.pandas_udf("text string, applied int")
+    def aligned(sources: pd.Series, targets: pd.Series, some: pd.Series) -> pd.DataFrame:
+        rows = [align(a or "", b or "", [(r["place"], r["put"]) for r in (x if x is not None else ())]) for a, b, x in zip(sources, targets, some, strict=True)]
+        return pd.DataFrame(rows, columns=["text", "applied"])
+
+    return aligned(source, target, repairs)
+
+
+def repaired_words(words: DataFrame, repairs: DataFrame, keys: list[str], slack: float = 0.75) -> DataFrame:
+    """words (keys, word, x0, y0, x1, y1, label) with `label` repaired and `repaired`: repairs (keys, x0, y0, x1, y1, find, put)
+    whose middle lies in a word's box take the place of its text if they spell all of it, from left to right."""
+    c = F.col
+    x, y = (c("r.x0") + c("r.x1")) / 2, (c("r.y0") + c("r.y1")) / 2
+    inside = x.between(c("w.x0") - slack, c("w.x1") + slack) & y.between(c("w.y0") - slack, c("w.y1") + slack)
+    same = [c(f"w.{k}") == c(f"r.{k}") for k in keys]
+    near = words.alias("w").join(repairs.alias("r"), [*same, inside])
+    listed = F.array_sort(F.collect_list(F.struct(c("r.x0").alias("x0"), c("r.y0").alias("y0"), c("r.find").alias("find"), c("r.put").alias("put"))))
+    found = near.groupBy(*[c(f"w.{k}").alias(k) for k in keys], c("w.word").alias("word")).agg(listed.alias("_r"))
+    spelled = lambda part: F.array_join(F.transform("_r", lambda r: r[part]), "")
+    out = words.join(found, [*keys, "word"], "left")
+    fits = F.coalesce(spelled("find") == c("label"), F.lit(False))
+    return out.withColumn("repaired", F.when(fits, F.size("_r")).otherwise(0)).withColumn("label", F.when(fits, spelled("put")).otherwise(c("label"))).drop("_r")

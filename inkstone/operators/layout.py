@@ -1,5 +1,7 @@
 """Layout: recurring artifacts, page-label runs, caption and region joins, line groups, merged rectangles."""
 
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,30 +116,30 @@ def coverage(images: DataFrame, keys: list[str], page_area: float) -> DataFrame:
 
 def line_groups(words: DataFrame, keys: list[str], gap: float = 3.0) -> DataFrame:
     """keys, line_no, x0, y0, x1, y1 and content: words by height, one joins the row if it is within `gap` of the mean
-    height of the row so far. A fold over a page's words, which a page bounds; rows that follow are folded natively."""
-    words = words.withColumn("_w", F.struct("y0", "x0", "x1", "y1", F.col("label").alias("word")))
-    sorted_words = F.sort_array(F.collect_list("_w"))
-    row = "struct<mean:double,n:int,words:array<struct<y0:double,x0:double,x1:double,y1:double,word:string>>>"
-    start = F.from_json(F.lit("[]"), f"array<{row}>")
-
-    def step(rows: Column, w: Column) -> Column:
-        last = F.get(rows, F.size(rows) - 1)
-        joined = F.struct(
-            ((last["mean"] * last["n"] + w["y0"]) / (last["n"] + 1)).alias("mean"),
-            (last["n"] + 1).alias("n"),
-            F.concat(last["words"], F.array(w)).alias("words"),
-        )
+    height of the row so far. A word farther than that below the one before it opens a row whatever the mean is, so only
+    the words between two such places, few, are folded."""
+    order = Window.partitionBy(*keys).orderBy("y0", "x0", "x1", "y1", "label")
+    rows = words.withColumn("_new", F.coalesce(F.col("y0") - F.lag("y0").over(order) > gap, F.lit(True)).cast("int"))
+    rows = rows.withColumn("_run", F.sum("_new").over(order))
+    sorted_words = F.sort_array(F.collect_list(F.struct("y0", "x0", "x1", "y1", F.col("label").alias("word"))))
+    word = "struct<y0:double,x0:double,x1:double,y1:double,word:string>"
+    start = F.from_json(F.lit("[]"), f"array<struct<mean:double,n:int,words:array<{word}>>>")
+
+    def step(done: Column, w: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        joined = F.struct(((last["mean"] * last["n"] + w["y0"]) / (last["n"] + 1)).alias("mean"), (last["n"] + 1).alias("n"), F.concat(last["words"], F.array(w)).alias("words"))
         fresh = F.struct(w["y0"].alias("mean"), F.lit(1).alias("n"), F.array(w).alias("words"))
         near = F.coalesce(F.abs(w["y0"] - last["mean"]) <= gap, F.lit(False))
-        grown = F.concat(F.slice(rows, 1, F.greatest(F.size(rows) - 1, F.lit(0))), F.array(joined))
-        return F.when(near, grown.cast(f"array<{row}>")).otherwise(F.concat(rows, F.array(fresh)).cast(f"array<{row}>"))
+        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))
+        kind = f"array<struct<mean:double,n:int,words:array<{word}>>>"
+        return F.when(near, grown.cast(kind)).otherwise(F.concat(done, F.array(fresh)).cast(kind))
 
-    folded = words.groupBy(*keys).agg(F.aggregate(sorted_words, start, step).alias("rows"))
-    each = folded.select(*keys, F.posexplode("rows").alias("line_no", "r"))
+    folded = rows.groupBy(*keys, "_run").agg(F.aggregate(sorted_words, start, step).alias("rows"))
+    each = folded.select(*keys, "_run", F.posexplode("rows").alias("_k", "r"))
     by_x = F.array_sort(F.transform("r.words", lambda w: F.struct(w["x0"].alias("x0"), w["word"].alias("word"))))
     return each.select(
         *keys,
-        (F.col("line_no") + 1).alias("line_no"),
+        F.row_number().over(Window.partitionBy(*keys).orderBy("_run", "_k")).alias("line_no"),
         F.array_min("r.words.x0").alias("x0"),
         F.array_min("r.words.y0").alias("y0"),
         F.array_max("r.words.x1").alias("x1"),
@@ -177,6 +179,17 @@ def merged_regions(boxes: DataFrame, page: str = "page", least: float = 12.0, ga
     return big.groupBy(page).applyInPandas(fold, "page int, region int, x0 double, y0 double, x1 double, y1 double")
 
 
+def line_similarity(raw: Column, sorted_text: Column) -> Column:
+    """Ratcliff-Obershelp similarity of two texts' lines that are not blank, in order; 1 where both have none."""
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        lines = lambda x: [" ".join(y.split()) for y in (x or "").split("\n") if y.strip()]
+        return pd.Series([SequenceMatcher(None, lines(x), lines(y), autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+
+    return ratio(raw, sorted_text)
+
+
 def remove_artifacts(text: Column, artifacts: Column) -> Column:
     """The text without each artifact text: its first whole occurrence, one after the other."""
 

@@ -13,6 +13,17 @@ SEVERITY_RANK = {"low": 1, "medium": 2, "high": 3}
 CONFIDENCE_RANK = {"low": 1, "medium": 2, "high": 3}
 ASSESSMENT_RANK = {"yes": 1, "cannot_verify": 2, "partially": 3, "no": 4}
 TOP_SCORE, TOP_COUNT = 55, 8
+AREAS = {
+    "crossref_auditor": "Cross-reference", "source_consistency_auditor": "Source consistency", "numerical_auditor": "Numerical", "claim_evidence_auditor": "Claim/evidence",
+    "identification_auditor": "Identification", "robustness_auditor": "Robustness", "sample_construction_auditor": "Sample construction",
+    "abstract_conclusion_consistency_auditor": "Abstract/conclusion consistency", "limitations_external_validity_auditor": "External validity", "model_equation_auditor": "Model/equation",
+    "theory_logic_auditor": "Theory logic", "literature_auditor": "Literature", "data_availability_replication_auditor": "Replication", "institutional_context_auditor": "Institutional context",
+    "power_multiple_testing_auditor": "Power/multiple testing", "design_randomization_auditor": "Experimental design", "economic_magnitude_auditor": "Economic magnitude",
+}
+CLASS_AREAS = {
+    "reference_integrity": "Reference integrity", "bibliography_maintenance": "Bibliography maintenance", "parser_artifact": "Parser/preprocessing", "cannot_verify": "Cannot verify",
+    "copyedit_issue": "Grammar/copyediting",
+}
 
 
 def look_up(c: Column, values: dict, default=None) -> Column:
@@ -64,7 +75,7 @@ def number(findings: DataFrame, paper: str, key: str) -> DataFrame:
 
 
 def merge_group(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """What a group of findings comes to: stronger severity and assessment, weaker confidence, raters, classes."""
+    """What a group of findings comes to: stronger severity and assessment, weaker confidence, sorted raters, their number."""
     best = lambda c, ranks, pick: pick(F.struct(look_up(F.col(c), ranks, ranks.get("medium", 0)).alias("r"), F.col(c).alias("v")))["v"]
     return findings.groupBy(*keys).agg(
         best("severity", SEVERITY_RANK, F.max).alias("severity"),
@@ -75,6 +86,79 @@ def merge_group(findings: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def merged_findings(findings: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """keys and the lists of each group, its findings (rater, id, category, finding_summary, claim_text, page, quote,
+    evidence_summary, cannot_verify_reason, suggested_fix) in the order: of the first one summary, claim, page and quote;
+    sources; different raters, categories, pages and quotes as they first come; and, with rater and id, the evidence,
+    reasons and fixes that are told. A group is what raters say of one matter, which bounds it."""
+    parts = ("rater", "id", "category", "finding_summary", "claim_text", "page", "quote", "evidence_summary", "cannot_verify_reason", "suggested_fix")
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.struct(*parts).alias("f"))))
+    one = findings.groupBy(*keys).agg(F.transform(rows, lambda x: x["f"]).alias("f"))
+    first = lambda part: F.get("f", F.lit(0))[part]
+    different = lambda part: F.array_distinct(F.array_compact(F.transform("f", lambda x: x[part])))
+    told = lambda part: F.transform(F.filter("f", lambda x: x[part] != ""), lambda x: F.struct(x["rater"].alias("rater"), x["id"].alias("id"), x[part].alias("text")))
+    return one.select(
+        *keys, *[first(p).alias(p) for p in ("finding_summary", "claim_text", "page", "quote")],
+        F.transform("f", lambda x: F.struct(x["rater"].alias("rater"), x["id"].alias("id"))).alias("sources"),
+        different("rater").alias("raters"), different("category").alias("categories"), different("page").alias("pages"), different("quote").alias("quotes"),
+        told("evidence_summary").alias("evidence"), told("cannot_verify_reason").alias("reasons"), told("suggested_fix").alias("fixes"),
+    )
+
+
+def area(issue_class: Column, raters: Column) -> Column:
+    """Where a finding belongs: for issues of the paper by the first of the listed raters, else by class."""
+    by_rater = F.coalesce(*[F.when(F.array_contains(raters, name), F.lit(where)) for name, where in AREAS.items()], F.lit("Manuscript"))
+    return F.when(issue_class == "manuscript_issue", by_rater).otherwise(F.coalesce(look_up(issue_class, CLASS_AREAS), F.lit("Other")))
+
+
+def brief(findings: DataFrame, sections: dict[str, str]) -> DataFrame:
+    """(paper_id, brief): an editor's brief of canonical findings (paper_id, canonical_id, severity, confidence, issue_class,
+    score, section, area, location, problem, source_ids): how many there are by class, severity and confidence; the ranked
+    candidates, the additional ones, what the body must cover, where each goes, and the rows of the map. `sections` names
+    each route's section. The texts of a paper's findings meet in one row, which a paper bounds."""
+    c = F.col
+    short = F.when(F.length("problem") > 120, F.concat(F.rtrim(F.substring("problem", 1, 117)), F.lit("..."))).otherwise(c("problem"))
+    rows = findings.withColumn("issue", short).withColumn("to", look_up(c("section"), sections, "Additional Findings"))
+    line = lambda *columns: F.concat(F.lit("| "), F.concat_ws(" | ", *[markdown_cell(c(x)) for x in columns]), F.lit(" |"))
+    covered = c("severity").isin("high", "medium") & c("issue_class").isin("manuscript_issue", "cannot_verify", "reference_integrity")
+    tables = {
+        "Machine-Ranked Candidate Findings": (("canonical_id", "severity", "confidence", "issue"), ("Canonical ID", "Severity", "Confidence", "Issue"), c("section") == "highest_priority", -c("score")),
+        "Additional Findings Candidates": (("area", "canonical_id", "location", "issue"), ("Area", "Canonical ID", "Location", "Issue"), c("section") == "additional", F.lit(0)),
+        "Required Body Coverage Audit": (("canonical_id", "issue_class", "severity", "location", "issue"), ("Canonical ID", "Class", "Severity", "Location", "Issue"), covered, F.lit(0)),
+        "Section Routing Guidance": (("canonical_id", "to", "location"), ("Canonical ID", "Recommended section", "Location"), F.lit(True), F.lit(0)),
+        "Traceability Map Rows": (("to", "issue", "canonical_id", "source_ids"), ("Report section", "Finding", "Canonical ID", "Source finding IDs"), F.lit(True), F.lit(0)),
+    }
+    listed = {}
+    for k, (columns, _, which, first) in enumerate(tables.values()):
+        found = F.collect_list(F.when(F.coalesce(which, F.lit(False)), F.struct(first.alias("first"), c("canonical_id").alias("key"), line(*columns).alias("line"))))
+        listed[f"t{k}"] = F.transform(F.array_sort(found), lambda x: x["line"])
+    counts = {n: F.count_if(c(n[0]) == n[1]) for n in [(col, v) for col in ("severity", "confidence") for v in ("high", "medium", "low")]}
+    of_class = {k: F.count_if(c("issue_class") == k) for k in CLASS_ORDER}
+    one = rows.groupBy("paper_id").agg(
+        F.count("*").alias("n"), *[x.alias("_".join(n)) for n, x in counts.items()], *[x.alias(f"class_{k}") for k, x in of_class.items()], *[x.alias(n) for n, x in listed.items()]
+    )
+    told = lambda names, prefix: F.concat_ws(", ", *[F.concat(F.lit(f"{n} "), c(f"{prefix}_{n}").cast("string")) for n in names])
+    summary = F.concat(
+        F.lit("## Run Summary\n\n- findings: "), c("n").cast("string"), F.lit("\n- classes: "), told(CLASS_ORDER, "class"),
+        F.lit("\n- severities: "), told(("high", "medium", "low"), "severity"), F.lit("\n- confidences: "), told(("high", "medium", "low"), "confidence"),
+    )
+    parts = [F.lit("# Editor Brief"), summary]
+    for k, (heading, (_, heads, _, _)) in enumerate(tables.items()):
+        top = f"| {' | '.join(heads)} |\n| {' | '.join('---' for _ in heads)} |\n"
+        table = F.when(F.size(f"t{k}") > 0, F.concat(F.lit(top), F.array_join(f"t{k}", "\n"))).otherwise("_None._")
+        parts += [F.lit(f"## {heading}"), table]
+    return one.select("paper_id", F.concat(F.concat_ws("\n\n", *parts), F.lit("\n")).alias("brief"))
+
+
+def bounded_input(documents: DataFrame, most_bytes: int = 1_000_000) -> DataFrame:
+    """(paper_id, serialization, document): the first of a paper's forms pretty, minified and file_backed that is within the
+    bound; null and `too large` where none is, as nothing is cut."""
+    forms = ("pretty", "minified", "file_backed")
+    fits = [F.when(F.octet_length(f) <= most_bytes, F.struct(F.lit(f.replace("_", "-")).alias("s"), F.col(f).alias("d"))) for f in forms]
+    first = F.coalesce(*fits)
+    return documents.select("paper_id", F.coalesce(first["s"], F.lit("too large")).alias("serialization"), first["d"].alias("document"))
+
+
 def markdown_cell(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\s+", " "))
 

@@ -56,20 +56,23 @@ def turn_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.round("cosine", 6).alias("cosine"), "shared")
 
 
-@query()
-def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings that are one, by the order-dependent greedy rule; papers of forty findings here. Tested on fixtures."""
-    found = Relations(spark, sf_dir).view("findings").withColumnRenamed("issue_type", "issue_class")
-    return S.clusters(found.withColumn("paper_id", F.concat_ws("-", "paper_id", F.floor(F.col("id") / 280))))
-
-
 FILES = "SELECT doc_id, lang AS paper_sha, CONCAT('pages/', CAST(doc_id AS VARCHAR(20)), '.txt') AS path, text AS content, CAST(doc_id % 40 + 1 AS INT) AS page FROM documents WHERE lang IS NOT NULL"
 
 
-@query(f"""WITH f AS ({FILES}) SELECT path, sha256(coalesce(content, '')) AS sha256,
-'OBJ-' || left(sha256(paper_sha || chr(10) || path || chr(10) || sha256(coalesce(content, '')) || chr(10) || page), 24) AS id FROM f""")
+@query(f"""WITH f AS (SELECT paper_sha, path, content, page, [] AS rows FROM ({FILES}) UNION ALL SELECT 'part', 'tables/table_' || p_partkey || '.csv', p_partkey || ',' || p_size, NULL, [[p_partkey::VARCHAR, p_size::VARCHAR]] FROM part
+ UNION ALL SELECT 'part', 'figures/page_' || p_partkey || '.png', 'image', NULL, [] FROM part WHERE p_size % 5 = 0),
+o AS (SELECT paper_sha, path, coalesce(page, TRY_CAST(regexp_extract(path, 'page_([0-9]+)', 1) AS INT)) AS page, sha256(coalesce(content, '')) AS sha256, CASE WHEN path LIKE '%.png' THEN 'image_region' ELSE 'text_span' END AS kind, CASE WHEN path LIKE '%.png' THEN 'entire' ELSE '0-' || length(content) END AS locator, NULL AS value FROM f
+ UNION ALL SELECT paper_sha, path, page, sha256(content), 'table_cell', 'r1c' || c, rows[1][c] FROM f, range(1, 3) r(c) WHERE len(rows) > 0)
+SELECT path, page, sha256, kind, locator, value, 'OBJ-' || left(sha256(paper_sha || chr(10) || path || chr(10) || sha256 || chr(10) || coalesce(locator, '')), 24) AS id FROM o""")
 def source_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.registry(Relations(spark, sf_dir).sql(FILES)).select("path", "sha256", "id")
+    """One registry of documents' texts, tables' texts and cells, and images."""
+    data = Relations(spark, sf_dir)
+    c, none = F.col, F.lit(None).cast("array<array<string>>")
+    texts = data.sql(FILES).select("paper_sha", "path", "content", "page", none.alias("cells"))
+    part = data.table("part").select(F.col("p_partkey").cast("string").alias("k"), F.col("p_size").cast("string").alias("n"), "p_size")
+    tables = part.select(F.lit("part"), F.concat(F.lit("tables/table_"), "k", F.lit(".csv")), F.concat_ws(",", "k", "n"), F.lit(None).cast("int"), F.array(F.array("k", "n")))
+    images = part.where("p_size % 5 = 0").select(F.lit("part"), F.concat(F.lit("figures/page_"), "k", F.lit(".png")), F.lit("image"), F.lit(None).cast("int"), none)
+    return C.registry(texts.union(tables).union(images)).select("path", "page", "sha256", "kind", "locator", "value", c("id"))
 
 
 @query(f"""WITH f AS ({FILES}) SELECT doc_id AS source_id, array_to_string(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'path differs' END, CASE WHEN doc_id % 11 = 0 THEN 'page differs' END,
@@ -77,7 +80,7 @@ def source_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
  WHERE doc_id % 5 <> 0 AND (doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0) UNION ALL SELECT doc_id, 'unknown object' FROM f WHERE doc_id % 5 = 0""")
 def source_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources perturbed by their ids' remainders; quotes are texts up to their first word's end."""
-    objects = C.registry(Relations(spark, sf_dir).sql(FILES))
+    objects = C.registry(Relations(spark, sf_dir).sql(FILES)).withColumn("doc_id", F.regexp_extract("path", "([0-9]+)", 1).cast("long"))
     c = F.col
     quote = F.concat(F.regexp_extract("content", r"^\s*(\S+)", 1), F.when(c("doc_id") % 13 == 0, "¤").otherwise(""))
     sources = objects.select(
@@ -106,7 +109,7 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE d AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN 'merged' WHEN o_orderkey % 5 = 0 THEN 'rejected' ELSE 'included' END AS disposition,
  CASE WHEN o_orderkey % 101 = 0 THEN o_orderkey ELSE o_orderkey + 1 END AS destination FROM orders),
 w AS (SELECT id AS start, destination AS pos, 1 AS steps FROM d WHERE disposition = 'merged' UNION ALL
- SELECT start, destination, steps + 1 FROM w JOIN d ON d.id = w.pos AND d.disposition = 'merged' WHERE steps < 64 AND destination <> pos),
+ SELECT start, destination, steps + 1 FROM w JOIN d ON d.id = w.pos AND d.disposition = 'merged' WHERE steps < 400 AND destination <> pos),
 e AS (SELECT start, arg_max(pos, steps) AS pos, max(steps)::BIGINT AS steps FROM w GROUP BY 1)
 SELECT start AS o_orderkey, CASE WHEN d.disposition IS NULL THEN 'unknown destination' WHEN d.disposition = 'merged' THEN 'cycle' WHEN d.disposition = 'rejected' THEN 'rejected' END AS error,
  CASE WHEN d.disposition = 'included' THEN pos END AS terminal, CASE WHEN d.disposition = 'included' THEN steps END AS steps FROM e LEFT JOIN d ON d.id = e.pos)""")
@@ -134,29 +137,6 @@ def acceptance_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.acceptance_errors(rows.withColumn("checks", some(F.col("doc_id") % 14 == 0, [" "], ["x"])))
 
 
-COVERED = """SELECT user_id % 50 AS paper_id, event_id % 23 AS item_id, CASE WHEN event_id % 5 = 0 THEN 'linked_finding' ELSE 'checked' END AS status, CASE WHEN event_id % 15 = 0 THEN 1 ELSE 0 END AS n_findings FROM events WHERE event_id % 9 = 0"""
-
-
-@query(f"""WITH c AS ({COVERED}), need AS (SELECT p.n_nationkey AS paper_id, i.n_nationkey AS item_id FROM nation p, nation i WHERE i.n_nationkey < 20),
-t AS (SELECT paper_id, item_id, count(*) AS n, bool_or((status = 'linked_finding') <> (n_findings > 0)) AS o FROM c GROUP BY 1, 2),
-b AS (SELECT coalesce(t.paper_id, need.paper_id) AS paper_id, coalesce(t.item_id, need.item_id) AS item_id, n, o, need.item_id IS NOT NULL AS needed FROM t FULL JOIN need ON t.paper_id = need.paper_id AND t.item_id = need.item_id)
-SELECT paper_id, item_id, unnest(list_filter([CASE WHEN n IS NULL THEN 'missing' END, CASE WHEN NOT needed THEN 'not required' END, CASE WHEN n > 1 THEN 'duplicate' END, CASE WHEN o THEN 'link' END], lambda x: x IS NOT NULL)) AS error FROM b""")
-def coverage_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = Relations(spark, sf_dir)
-    keys = data.table("nation").select(F.col("n_nationkey").cast("long").alias("k"))
-    need = keys.select(F.col("k").alias("paper_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("item_id"))
-    return C.coverage_errors(need, data.sql(COVERED))
-
-
-@query("""SELECT name, error FROM (SELECT 'r' || n_nationkey AS name, CASE WHEN n_nationkey % 5 = 0 THEN 'unaccounted' WHEN n_nationkey % 5 = 1 THEN 'both' END AS error FROM nation WHERE n_nationkey < 20
-UNION ALL SELECT 'r' || n_nationkey, 'unknown' FROM nation WHERE n_nationkey >= 20 AND n_nationkey % 5 <> 0) WHERE error IS NOT NULL""")
-def selection_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    nation = Relations(spark, sf_dir).table("nation").select(F.concat(F.lit("r"), k).alias("name"), "n_nationkey")
-    roster = nation.where(k < 20).select("name", F.lit(True).alias("enabled"), F.lit(True).alias("optional"))
-    return C.selection_errors(roster, nation.where((k % 5).isin(1, 2, 3)), nation.where((k % 5).isin(1, 4)))
-
-
 @query("""SELECT user_id AS paper_id, r.name FROM (SELECT DISTINCT user_id, user_id % 4 AS t FROM events) e, (VALUES ('intake', FALSE), ('theory_logic_auditor', TRUE), ('crossref_auditor', TRUE), ('literature_auditor', TRUE)) r(name, optional)
 WHERE NOT optional OR t = 0 OR (t = 1 AND r.name = 'theory_logic_auditor') OR r.name = 'literature_auditor'""")
 def guarded_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,9 +186,13 @@ def archive_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.archive_errors(members, 20, 3_000_000)
 
 
-@query()
+@query("""WITH RECURSIVE cut AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS line, unnest(parts) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)),
+l AS (SELECT doc_id, line, strlen(content) + 1 AS n, sum(strlen(content) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS cum FROM cut),
+e AS (SELECT a.doc_id, a.line AS first, max(b.line) AS last, arg_max(b.cum, b.line) - a.cum + a.n AS bytes FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.line BETWEEN a.line AND a.line + 79 AND (b.line = a.line OR b.cum - a.cum + a.n <= 4800) GROUP BY a.doc_id, a.line, a.cum, a.n),
+w AS (SELECT doc_id, 0 AS range, first, last, bytes FROM e WHERE first = 1 UNION ALL SELECT e.doc_id, w.range + 1, e.first, e.last, e.bytes FROM w JOIN e ON e.doc_id = w.doc_id AND e.first = w.last + 1)
+SELECT doc_id, CAST(range AS INT) AS range, CAST(first AS INT) AS first, CAST(last AS INT) AS last, CAST(bytes AS BIGINT) AS bytes FROM w""")
 def bundle_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' lines in ranges of 4,800 bytes or 80 lines; a fold, tested against a loop."""
+    """Documents' lines in ranges of 4,800 bytes or 80 lines."""
     return C.greedy_ranges(L.lines(Relations(spark, sf_dir).table("documents").where("text is not null"), ["doc_id"]), ["doc_id"], 4800, 80)
 
 

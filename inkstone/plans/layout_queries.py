@@ -35,10 +35,10 @@ def slug_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH p AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(173), ''), chr(160), ' '),
   '\r\n|\r', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, sha256(regexp_replace(t, '^{W}+|{W}+$', '', 'g') || chr(10)) AS page_sha, sha256({SQUASH % 't'}) AS inline_sha,
- trim(regexp_replace(lower(left(t, 300)), '[^a-z0-9.%]+', ' ', 'g')) AS comparable,
+ sha256(trim(regexp_replace(lower(t), '[^a-z0-9.%]+', ' ', 'g'))) AS comparable,
  CASE WHEN length({SQUASH % 't'}) > 60 THEN rtrim(left({SQUASH % 't'}, 57)) || '...' ELSE {SQUASH % 't'} END AS short FROM p""")
 def page_text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normal, inline, comparable and shortened forms of each text (the comparable form of its first 300 characters)."""
+    """Normal, inline, comparable and shortened forms of each text."""
     docs = Relations(spark, sf_dir).table("documents").where("text is not null").select("doc_id", "text")
     page = T.page_text(F.col("text"))
     inline = T.squash(page)
@@ -46,7 +46,7 @@ def page_text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.sha2(page, 256).alias("page_sha"),
         F.sha2(inline, 256).alias("inline_sha"),
-        T.comparable(F.substring(F.regexp_replace(page, r"\n$", ""), 1, 300)).alias("comparable"),
+        F.sha2(T.comparable(page), 256).alias("comparable"),
         T.shorten(inline, 60).alias("short"),
     )
 
@@ -160,13 +160,22 @@ def image_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.coverage(_boxes(spark, sf_dir, "figure"), ["page"], 480000.0)
 
 
-@query()
+@query(oracle("""WITH RECURSIVE w AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, x0, x1, y1, label) AS k FROM boxes),
+g AS (SELECT page, k, y0 AS mean, 1 AS n, 1 AS row FROM w WHERE k = 1 UNION ALL SELECT w.page, w.k, CASE WHEN abs(w.y0 - g.mean) <= 3 THEN (g.mean * g.n + w.y0) / (g.n + 1) ELSE w.y0 END, CASE WHEN abs(w.y0 - g.mean) <= 3 THEN g.n + 1 ELSE 1 END,
+ CASE WHEN abs(w.y0 - g.mean) <= 3 THEN g.row ELSE g.row + 1 END FROM g JOIN w ON w.page = g.page AND w.k = g.k + 1)
+SELECT page, CAST(row AS INT) AS line_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(label, ' ' ORDER BY x0, label) AS content FROM w JOIN g USING (page, k) GROUP BY page, row""", "boxes"))
 def line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that words form by a running mean height; a fold, tested against a loop."""
+    """Lines that words form by a running mean height."""
     return L.line_groups(Relations(spark, sf_dir).view("boxes"), ["page"])
 
 
-@query()
+#: Boxes that all hold their cell's middle, on pages of six cells far apart.
+NEAR = """SELECT CAST(floor(l_orderkey / 16) AS INT) AS page, l_partkey % 3 * 180.0 + 10 + l_suppkey % 10 * 4 AS x0, floor(l_partkey % 6 / 3) * 300.0 + 10 + l_linenumber % 5 * 4 AS y0,
+ l_partkey % 3 * 180.0 + 70 + l_quantity / 2 AS x1, floor(l_partkey % 6 / 3) * 300.0 + 60 + l_quantity AS y1, l_partkey % 6 AS cell FROM lineitem"""
+
+
+@query(f"""SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY x0, y0, x1, y1) AS INT) AS region, x0, y0, x1, y1 FROM (SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM ({NEAR}) GROUP BY page, cell)""")
 def merged_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figure boxes merged by nearness until none are near; a closure, tested against a loop."""
-    return L.merged_regions(_boxes(spark, sf_dir, "figure"))
+    """Boxes merged by nearness until none are near: here one of each cell of a page."""
+    double = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    return L.merged_regions(Relations(spark, sf_dir).sql(NEAR).select("page", *double))

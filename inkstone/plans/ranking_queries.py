@@ -148,8 +148,8 @@ def usage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.usage(Relations(spark, sf_dir).sql(LOG))
 
 
-@query()
+@query(f"""SELECT sample_id AS job, 's' || lpad(CAST(row_number() OVER (ORDER BY sha256('20260924:' || sample_id)) AS VARCHAR), 6, '0') AS sample_id FROM ({SAMPLES})""")
 def blind_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples in a hidden order, numbered; tested for gaps."""
+    """Samples in a hidden order, numbered."""
     samples = Relations(spark, sf_dir).sql(_sql(SAMPLES))
-    return B.blind_packet(samples.withColumnRenamed("sample_id", "job").select("job"), 20260924)
+    return B.blind_packet(samples.withColumnRenamed("sample_id", "job").select("job"), 20260924, 1)

@@ -85,20 +85,6 @@ def issue_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Relations(spark, sf_dir).table("events").select(F.lit("issue").alias("kind"), c("event_id").alias("id"), out.alias("issue_class"))
 
 
-@query("""SELECT rater, item_id FROM (SELECT r.rater, 'assigned_remit' AS item_id FROM (VALUES ('numerical'), ('equation'), ('prose')) r(rater)
-UNION ALL SELECT 'numerical', 'table-' || p_partkey FROM part WHERE p_size % 9 = 0 UNION ALL SELECT DISTINCT 'equation', 'equation-' || p_size FROM part WHERE p_size % 9 = 1)""")
-def coverage_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each rater must cover: the remit, every display object for some roles, every distinct equation for others."""
-    part = Relations(spark, sf_dir).table("part")
-    size = F.col("p_size")
-    objects = part.where(size % 9 <= 1).select(
-        F.when(size % 9 == 0, "display").otherwise("equation").alias("kind"),
-        F.when(size % 9 == 0, F.concat(F.lit("table-"), "p_partkey")).otherwise(F.concat(F.lit("equation-"), size)).alias("item_id"),
-    )
-    roster = spark.createDataFrame([("numerical", "display"), ("equation", "equation"), ("prose", None)], "rater string, covers string")
-    return C.assignments(roster, objects)
-
-
 @query("""SELECT r.name, coalesce(o.n, 0) AS findings, CASE WHEN o.n IS NULL THEN 'no output' ELSE 'ok' END AS status, coalesce(s.reason, 'selected by rater applicability routing') AS reason
 FROM (SELECT 'r' || n_nationkey AS name, n_nationkey FROM nation) r LEFT JOIN (SELECT 'r' || (user_id % 30) AS name, count(*) AS n FROM events WHERE user_id % 3 = 0 GROUP BY 1) o USING (name)
 LEFT JOIN (SELECT 'r' || n_nationkey AS name, n_name AS reason FROM nation WHERE n_nationkey % 2 = 0) s USING (name)""")

@@ -1,7 +1,9 @@
 """Session settings for local runs; on a cluster the submitter's settings stay in force."""
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,10 +24,37 @@ def local_session(app: str = "inkstone", cpus: int | None = None) -> SparkSessio
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which all executors share. Where it names none, a temporary
+    one serves in local mode; on a cluster, whose executors share no local disk, that is an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="inkstone-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows checkpointed under spark.checkpoint.dir, so that a loop's plan doesn't grow; a folder of our own is set only
-    where the session names none."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="inkstone-"))
-    return df.checkpoint()
+    """The rows written as a table in the shared folder and read again, so that a loop's plan doesn't grow and each step is
+    computed once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/inkstone-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Removes a table that cut() wrote and nothing reads any more; the others go when Python ends."""
+    _remove(df.sparkSession, df.cut_path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)

@@ -89,5 +89,5 @@ def oracle(body: str, *views: str) -> str:
     head = ",\n".join(f"{v} AS ({VIEWS[v]})" for v in views)
     if not head:
         return body
-    body = body.strip()
+    body = body.strip().replace("WITH RECURSIVE ", "WITH ", 1)
     return f"WITH RECURSIVE {head}{', ' + body[4:] if body.startswith('WITH') else ' ' + body}"

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from inkstone.functions import text as T
 from inkstone.operators import benchmark as B
 from inkstone.operators import checks as C
+from inkstone.operators import coverage as V
+from inkstone.operators import editorial as E
 from inkstone.operators import extract as X
 from inkstone.operators import layout as L
+from inkstone.operators import lifecycle as Y
 from inkstone.operators import numeric as N
 from inkstone.operators import ranking as R
 from inkstone.operators import resolve as S
@@ -353,7 +356,50 @@ def test_state_and_checks(spark):
     assert one(spark, L.remove_artifacts(F.col("c"), F.array(F.lit("HEAD"), F.lit("x"))), c="HEAD text HEAD") == " text HEAD"
 
 
-def test_reports(spark):
-    frame = spark.createDataFrame([(1, "# R\n## Summary\n" + "x" * 50), (2, "no files were written")], "report_id int, report string")
-    got = {r["report_id"]: r["errors"] for r in C.report_errors(frame, ["Summary"], 40).collect()}
-    assert got == {2: "no Summary,short,process note"}
+def test_long_chains_and_rings(spark):
+    chain = [(i, "merged", i + 1) for i in range(200)] + [(200, "included", None)] + [(1000 + i, "merged", 1000 + (i + 1) % 7) for i in range(7)]
+    got = {r["id"]: (r["terminal"], r["steps"], r["error"]) for r in C.terminals(spark.createDataFrame(chain, "id long, disposition string, destination long")).collect()}
+    assert all(got[i] == (200, 200 - i, None) for i in range(200)) and all(got[1000 + i] == (None, None, "cycle") for i in range(7))
+
+
+def test_prose(spark):
+    cases = {
+        "plain\nwords": [], "# Head": ["boundary in prose"], "a\n---": ["boundary in prose"], "### deeper": [], "| a |\n| --- |\n| b |": [], "| a | b |\n| --- |": ["table without delimiters"],
+        "| a |": ["table without delimiters"], "x\n| a\\|b | c |\n| :-: | --- |": ["table without delimiters"], "| a\\|b | c |\n| :---: | --- |": [],
+    }
+    frame = spark.createDataFrame([(t,) for t in cases], "t string").select("t", E.prose_errors(F.col("t")).alias("e"))
+    assert {r["t"]: r["e"] for r in frame.collect()} == cases
+
+
+def test_traceability_rows(spark):
+    text = "## Appendix: Traceability Map\nwords\n| Canonical ID | x | Source finding IDs |\n| --- | --- | --- |\n| CANON-001 | CANON-009 | a:NA-001; b:AB-002 |\n| none | | |\n\nend | CANON-003 |\n| CANON-004 | | |"
+    rows = one(spark, E.map_rows(F.col("c")), c=text)
+    assert [(r["ids"], r["sources"]) for r in rows] == [(["CANON-001"], ["a:NA-001", "b:AB-002"]), ([], [])] and one(spark, E.map_rows(F.col("c")), c="nothing") == []
+
+
+def test_coverage_rules(spark):
+    key = "paper_id string, rater string, item_id string"
+    records = [
+        ("p", "r", "claim:1", "checked", "c", ["O1"], None, True, "did", "central", [], "full"), ("p", "r", "claim:2", "not_applicable", None, [], None, True, "did", "x", [], "full"),
+        ("p", "r", "odd", "linked_finding", None, ["O9"], "r", True, "did", "x", ["F9"], "sampled"), ("p", "r", "must", "not_checked", None, [], "why", None, None, "x", ["F1"], "sampled"),
+    ]
+    frame = spark.createDataFrame(records, f"{key}, status string, claim string, source_object_ids array<string>, reason string, attempted boolean, check_performed string, importance string, finding_ids array<string>, scope string")
+    required = spark.createDataFrame([("p", "r", "must", ["O1"]), ("p", "r", "left", [])], f"{key}, object_ids array<string>")
+    objects, findings = spark.createDataFrame([("p", "O1")], "paper_id string, id string"), spark.createDataFrame([("p", "r", "F1")], "paper_id string, rater string, id string")
+    done = spark.createDataFrame([("p", "r", "complete"), ("p", "s", "complete")], "paper_id string, rater string, state string")
+    got = sorted((r["item_id"] or "", r["error"]) for r in V.coverage_errors(frame, required, objects, findings, done).collect())
+    assert got == sorted([
+        ("claim:2", "claim without evidence"), ("claim:2", "exclusion without reason"), ("odd", "unknown item"), ("odd", "unknown object"), ("odd", "unknown finding"), ("must", "assigned objects omitted"),
+        ("must", "contradicts completion"), ("must", "finding link"), ("left", "unaddressed"), ("", "no ledger"),
+    ])
+
+
+def test_repairs_and_leases(spark):
+    rows = [("r", k, s, 2) for k, s in enumerate(["a", "a", "Bad", "b", "c", "b"])] + [("s", 0, "a", 0), ("s", 1, "a", -1)]
+    got = {(r["run"], r["place"]): (r["number"], r["refused"]) for r in Y.repair_grants(spark.createDataFrame(rows, "run string, place int, stage string, cap int")).collect()}
+    assert [got["r", k] for k in range(6)] == [(1, None), (None, "stage repaired before"), (None, "invalid"), (2, None), (None, "cap reached"), (None, "stage repaired before")]
+    assert got["s", 0] == (None, "cap reached") and got["s", 1] == (None, "invalid")
+    frame = spark.createDataFrame([(None, None, None), ("a", None, "b"), (None, "b", "a"), ("a", "b", None), ("z", None, None)], "e string, s string, p string")
+    r = frame.select(Y.resolved_choice(F.col("e"), F.col("s"), F.col("p"), ("a", "b"), "a").alias("r")).collect()
+    assert [(x["r"]["choice"], x["r"]["error"]) for x in r] == [("a", None), ("a", None), ("b", None), (None, "differs from saved run"), (None, "unknown explicit choice")]
+    assert [one(spark, Y.portable(F.col("c"), F.lit("/a/b/")), c=c) for c in ("/a/b/c/d", "/a/bc", "/a/b")] == ["c/d", "/a/bc", "."]

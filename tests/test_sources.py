@@ -1,6 +1,7 @@
 """Readers, writers, streams and contract checks on small files and rows."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from inkstone.functions import predicates as P
 from inkstone.operators import benchmark as B
 from inkstone.operators import checks as C
 from inkstone.operators import glyphs as G
-from inkstone.sources import files
+from inkstone.sources import files, reports
 from inkstone.streaming import tasks
 
 
@@ -85,11 +86,41 @@ def test_repairs(spark):
 
 
 def test_contract(spark):
-    rows = [("p", "1", "r", "high", "low", "no", "s", 1, "q", None), ("p", "2", "x", "dire", "low", "no", " ", None, "q", "http://a"), ("p", "2", "r", "high", "low", "no", "s", None, None, "https://a.org")]
-    frame = spark.createDataFrame(rows, "paper_id string, id string, rater string, severity string, confidence string, assessment string, summary string, page int, quote string, url string")
-    got = sorted(r["errors"] for r in C.finding_errors(frame, spark.createDataFrame([("r",)], "rater string")).collect())
-    assert got == ["duplicate id", "rater,duplicate id,severity,summary,page,url"]
-    second = spark.createDataFrame([(1, "confirmed", 0, "a", "a"), (2, "maybe", 1, "a", "b"), (3, "unresolved", 0, "a", "a")], "id int, outcome string, n_evidence int, packet_sha string, expected_sha string")
-    assert {r["id"]: r["errors"] for r in C.verification_errors(second).collect()} == {1: "evidence", 2: "outcome,packet"}
+    columns = "paper_id string, rater string, id string, issue_type string, category string, severity string, confidence string, assessment string, finding_summary string, page int, page_label string, section string, text_quote string, precision string, cannot_verify_reason string, numeric_check string, page_count int"
+    fine = ("p", "numerical_auditor", "N-001", "other", "c", "high", "low", "no", "s", 1, None, None, None, "exact", None, '{"kind": "arithmetic"}', 9)
+    odd = ("p", "numerical_auditor", "N-01", None, "c", "dire", "", "cannot_verify", " ", 10, None, None, None, "missing", None, '{"a": null, "b": []}', 9)
+    frame = spark.createDataFrame([fine, odd], columns)
+    sources = spark.createDataFrame([("p", "numerical_auditor", "N-001", "s1", None, "pages/1.txt", 1)], "paper_id string, rater string, id string, source_id string, url string, path string, page int")
+    links = spark.createDataFrame([("p", "numerical_auditor", "N-001", 0, "s1"), ("p", "numerical_auditor", "N-01", 0, "s9")], "paper_id string, rater string, id string, link int, source_id string")
+    got = C.finding_errors(frame, spark.createDataFrame([("numerical_auditor", "N")], "rater string, id_prefix string"), sources, links).collect()
+    assert {r["error"] for r in got if r["id"] == "N-001"} == set()
+    assert {r["error"] for r in got} == {"id", "issue type", "severity", "confidence", "summary", "placed but missing", "page", "no reason", "empty numeric check", "link to unknown source"}
     gate = spark.createDataFrame([("parser_artifact", "high", "high"), ("parser_artifact", "medium", "low"), ("copyedit_issue", "high", "high")], "i string, s string, c string")
     assert [r["g"] for r in gate.select(P.parser_gate(F.col("i"), F.col("s"), F.col("c")).alias("g")).collect()] == ["blocker", "warning", None]
+
+
+def test_reports_as_html(spark):
+    report = "# A title\n\nHello **bold** and *thin* `a|b` [here](https://a.org/x_(1)) [bad](javascript:x) \\*star\\*\n- item\n\n| h1 | h2 |\n| --- | :---: |\n| 1 | `a|b` |\n| odd |\n\n```\ncode <x>\n```\n***\n" + "x" * 60
+    page = reports.to_html(report)
+    for part in ("<h1>A title</h1>", "<b>bold</b>", "<i>thin</i>", "<code>a|b</code>", '<a href="https://a.org/x_(1)">here</a> (https://a.org/x_(1))', "[bad](javascript:x)", "*star*", '<p class="item">- item</p>',
+                 '<p class="cell row-start"><b>h1:</b> 1</p>', '<p class="cell"><b>h2:</b> <code>a|b</code></p>', "<p>| odd |</p>", '<p class="literal">code &lt;x&gt;</p>', "<hr>"):
+        assert part in page
+    assert reports.visible(page).endswith("x" * 60) and "javascript" not in re.findall('href="([^"]*)"', page)
+    rows = reports.rendered(spark.createDataFrame([(1, report), (2, None), (3, "x" * 5_000_001)], "id int, report string")).collect()
+    assert {r["id"]: (r["html"] is None, r["error"]) for r in rows} == {1: (False, None), 2: (True, None), 3: (True, "too large")}
+    assert reports.cells("| a | b\\|c |") == ["a", "b\\|c"] and reports.cells("") == [""]
+
+
+def test_pages_of_a_reader(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"x")
+    word = lambda x, y, t, line, k: dict(x0=x, y0=y, x1=x + 5, y1=y + 9, label=t, block=0, line=line, word=k)
+    pages = [{"page": 1, "width": 600.0, "height": 800.0, "raw_text": "b a\nc", "words": [word(0.0, 30.0, "c", 1, 0), word(9.0, 10.0, "a", 0, 1), word(0.0, 10.0, "b", 0, 0)], "blocks": None, "images": [dict(xref=7, width=2, height=3, boxes=None)]}, {"page": 2, "raw_text": "only raw"}]
+    found = files.page_parts(spark, str(tmp_path), lambda data: pages)
+    assert [r["sorted_text"] for r in files.sorted_text(found).orderBy("page").collect()] == ["b a\nc", "only raw"]
+    assert [(r["image_id"], r["xref"], r["boxes"]) for r in files.image_inventory(found).collect()] == [("page_001_image_01", 7, [])]
+
+
+def test_trailing_text_is_no_json(spark):
+    texts = ['{"a": 1}', '{"a": 1} x', "1, 2", "1] , [2", "1}", '1, "b": 2', "[1]", "null", "", "NaN", '"s"']
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["t"] for r in frame.where(files.strict_json(F.col("t")).isNotNull()).collect()] == ['{"a": 1}', "[1]", "null", '"s"']
