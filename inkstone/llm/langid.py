@@ -3,8 +3,9 @@
 Every order of n-gram lies in one sorted array of 64-bit codes for all languages, with a row of log-probabilities and
 of back-off weights for each code. A text is folded (lower case, runs of other characters than letters as one space),
 each of its characters is looked up at the longest known context, and the language of lowest mean cross-entropy wins.
-A temperature, fitted on texts left out of the counts, turns the entropies into a probability; a text is rejected if
-its best entropy is beyond what nearly all such texts have.
+Texts left out of the counts calibrate: a temperature turns the entropies into a probability, and for windows of each
+length an entropy is set that lies beyond what their own language gives and before what the other languages give, that is,
+what a language that was not learned would; a text beyond the one of the longest such window it holds is rejected.
 """
 
 import zlib
@@ -16,22 +17,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, small_batches
+from .common import bucket_of, small_batches, whole_sample
 
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of what is learned from: texts of each language (the smallest hashes of ids), a quarter of which
-    calibrate, and letters of each, taken from the middle of longer texts."""
+    """Bounds of what is learned from: languages (the most frequent), whole texts of each (the smallest hashes of ids), a
+    quarter of which calibrate, and their characters together."""
 
+    languages: int = 512
     texts: int = 400
-    letters: int = 2000
+    characters: int = 4_000_000
     order: int = 4
-    discount: float = 0.75
     block: int = 1 << 19
-    #: Rejected are entropies over the highest calibration entropy by this many nats a letter.
+    #: Letters of the windows that the temperature is fitted on.
+    window: int = 60
+    #: Windows whose entropies set what is rejected: letters, doubled up to the last; windows needed; the tail's share that
+    #: is measured, and the share of windows of known language that may be beyond its end; how far from there towards the
+    #: lowest tenth of what other languages give the limit lies; nats beyond the tail's end where there is no other language.
+    shortest: int = 8
+    longest: int = 4096
+    windows: int = 100
+    tail: float = 0.1
+    miss: float = 1e-4
+    towards: float = 0.75
     slack: float = 1.0
 
 
@@ -80,7 +91,8 @@ class Model:
     log_back: list[np.ndarray]
     log_floor: np.ndarray
     temperature: float = 1.0
-    highest: float = np.inf
+    #: (letters, highest entropy) by rising letters; texts of fewer letters than the first are not rejected.
+    highest: tuple[tuple[int, float], ...] = ()
 
 
 def _find(keys: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,9 +121,9 @@ def _all_grams(texts: list[np.ndarray], order: int) -> list[tuple[np.ndarray, ..
 
 
 def train(texts: dict[str, list[np.ndarray]], settings: Settings) -> Model:
-    """Counts at the highest order, numbers of left neighbours below, absolute discounts interpolated down to a uniform
-    share for unknown letters."""
-    languages, order, d = tuple(sorted(texts)), settings.order, settings.discount
+    """Counts at the highest order, numbers of left neighbours below, discounts interpolated down to a uniform share for
+    unknown letters. A discount is estimated for each language and order from how many n-grams come once and twice."""
+    languages, order = tuple(sorted(texts)), settings.order
     found = [_all_grams(texts[x], order) for x in languages]
     letters = len(np.unique(np.concatenate([f[0][0] for f in found])))
     keys, log_p, log_back = [], [], []
@@ -130,6 +142,8 @@ def train(texts: dict[str, list[np.ndarray]], settings: Settings) -> Model:
                 neighbours, times = np.unique(f[n + 1][2], return_counts=True)
                 place, there = _find(neighbours, codes)
                 count = np.where(there, times[place], 1)
+            once, twice = int((count == 1).sum()), int((count == 2).sum())
+            d = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
             groups, inverse, kinds = np.unique(context, return_inverse=True, return_counts=True)
             total = np.bincount(inverse, weights=count)
             mine, _ = _find(every, codes)
@@ -207,51 +221,88 @@ def entropies(model: Model, texts: list[str], block: int) -> tuple[np.ndarray, n
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:  # noqa: B008
     """Learns from text and lang of rows where both are known and the id's crc32 modulo 5 is not 0; None without any.
 
-    The driver gets a count for each language, at most about 2 x texts ids of each, and texts x letters characters.
+    The driver gets a count for each of `languages` languages, and of each some thousand ids with sizes and `characters`
+    characters of text.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
+    rows = docs.where("text is not null and lang is not null and doc_id is not null").select("lang", "doc_id", "text")
     rows = rows.where(bucket_of(F.col("doc_id"), 5) != 0)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    often = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages)
+    counts = {r["lang"]: r["n"] for r in often.collect()}
     if not counts:
         return None
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = spark.createDataFrame(
-        [(x, int(min(1.0, 1.5 * settings.texts / n) * (1 << 30))) for x, n in counts.items()], "lang string, below long"
-    )
-    some = rows.withColumn("mark", mark).join(F.broadcast(share), "lang").where("mark < below")
-    ids = sorted(some.select("lang", "mark", "doc_id").distinct().collect())
-    chosen: dict[str, list] = {}
-    for r in ids:
-        if len(own := chosen.setdefault(r["lang"], [])) < settings.texts:
-            own.append((r["lang"], r["doc_id"]))
-    kept = spark.createDataFrame([x for own in chosen.values() for x in own], some.select("lang", "doc_id").schema)
-    size = settings.letters
-    middle = F.expr(f"substring(text, greatest(1, cast((length(text) - {size}) / 2 as int)), {size})")
-    texts = rows.join(F.broadcast(kept), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min(middle).alias("text"))
+    known = rows.select("lang", "doc_id").where(F.col("lang").isin(*counts)) if len(counts) == settings.languages else rows.select("lang", "doc_id")
+    texts = whole_sample(rows.select("doc_id", "text"), known, counts, "lang", settings.texts, settings.characters)
     learn: dict[str, list[np.ndarray]] = {}
-    judge: list[tuple[str, str]] = []
+    judge: list[tuple[str, np.ndarray]] = []
     for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["doc_id"])):
+        codes = fold(r["text"])
+        if len(codes) < 3:
+            continue
         if zlib.crc32(f"judge {r['doc_id']}".encode()) % 4 == 0:
-            judge.append((r["lang"], r["text"]))
-        elif len(codes := fold(r["text"])) > 2:
+            judge.append((r["lang"], codes))
+        else:
             learn.setdefault(r["lang"], []).append(codes)
     if not learn:
         return None
-    model = train(learn, settings)
-    judge = [x for x in judge if x[0] in learn]
-    short, _ = entropies(model, [x[1][:60] for x in judge], settings.block)
-    whole, number = entropies(model, [x[1] for x in judge], settings.block)
-    if not (number > 2).any():
+    return calibrated(train(learn, settings), [x for x in judge if x[0] in learn], settings)
+
+
+def calibrated(model: Model, judge: list[tuple[str, np.ndarray]], settings: Settings) -> Model:
+    """The model with a temperature and the highest entropies, from whole folded texts of known language, each cut into
+    windows side by side."""
+    if not judge:
         return model
-    truth = np.array([model.languages.index(x[0]) for x in judge])
-    losses = {}
-    for heat in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0):
-        p = _softmax(-heat * short)[np.arange(len(truth)), truth]
-        losses[heat] = -np.log(p + 1e-9).mean()
-    highest = float(whole.min(axis=1)[number > 2].max()) + settings.slack
-    return replace(model, temperature=min(losses, key=losses.get), highest=highest)
+    truth = np.array([model.languages.index(x) for x, _ in judge])
+    losses = [_window_losses(model, codes) for _, codes in judge]
+    means, owner = _window_means(losses, settings.window)
+    chosen = model.temperature
+    if len(means):
+        right = np.arange(len(means)), truth[owner]
+        chosen = min((2.0**k for k in range(8)), key=lambda heat: -np.log(_softmax(-heat * means)[right] + 1e-9).mean())
+    highest, letters = [], settings.shortest
+    while letters <= settings.longest:
+        means, owner = _window_means(losses, letters)
+        if len(means) >= settings.windows:
+            highest.append((letters, _limit(means, truth[owner], settings)))
+        letters *= 2
+    return replace(model, temperature=chosen, highest=tuple(highest))
+
+
+def _limit(means: np.ndarray, truth: np.ndarray, settings: Settings) -> float:
+    """The entropy beyond which windows of one length are rejected."""
+    low = np.sort(means.min(axis=1))
+    tail = max(1, round(settings.tail * len(low)))
+    start = float(low[-tail - 1])
+    end = start + float((low[-tail:] - start).mean()) * float(np.log(settings.tail / settings.miss))
+    if means.shape[1] < 2:
+        return end + settings.slack
+    others = means.copy()
+    others[np.arange(len(others)), truth] = np.inf
+    foreign = float(np.quantile(others.min(axis=1), 0.1))
+    return end + settings.towards * max(foreign - end, 0.0)
+
+
+def _window_losses(model: Model, codes: np.ndarray) -> np.ndarray:
+    """Nats of each letter of a folded text in each language."""
+    order = len(model.keys)
+    return -log_likelihoods(model, np.r_[np.full(order, 32, np.uint32), codes])
+
+
+def _window_means(losses: list[np.ndarray], letters: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean losses of windows of so many letters, side by side over whole texts, and the text of each."""
+    means = [x[: len(x) // letters * letters].reshape(-1, letters, x.shape[1]).mean(axis=1) for x in losses]
+    return np.concatenate(means), np.repeat(np.arange(len(means)), [len(m) for m in means])
+
+
+def beyond(model: Model, number: np.ndarray, entropy: np.ndarray) -> np.ndarray:
+    """Whether texts of so many letters have a higher entropy than the model takes from known languages."""
+    if not model.highest:
+        return np.zeros(len(number), bool)
+    letters, limit = (np.array(x) for x in zip(*model.highest, strict=True))
+    at = np.searchsorted(letters, number, side="right") - 1
+    return (at >= 0) & (entropy > limit[np.maximum(at, 0)])
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -281,7 +332,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", setti
         out["lang_pred"] = np.where(there, np.array(known.languages, object)[at], UNKNOWN)
         out["score"] = np.where(there, sure[np.arange(len(at)), at], 0.0)
         out["entropy"] = np.where(there, low, np.nan)
-        out["rejected"] = ~there | (low > known.highest)
+        out["rejected"] = ~there | beyond(known, number, low)
         return out
 
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "entropy", "rejected", "_best")]

@@ -1,7 +1,6 @@
 """Compression classifier: two zstandard dictionaries, trained on good and on bad labelled text, compress a whole text in
 pieces; the difference of the compressed sizes as a share of the text's bytes becomes a calibrated probability."""
 
-import zlib
 from dataclasses import dataclass
 from functools import cache
 
@@ -11,18 +10,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, small_batches
+from .common import bucket_of, small_batches, whole_sample
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of what is learned from: labelled texts of each class (the smallest hashes of ids), a third of which
-    calibrate, and pieces of each of the others, spread over the whole text."""
+    """Bounds of what is learned from: labelled whole texts of each class (the smallest hashes of ids), a third of which
+    calibrate, and their characters together."""
 
     texts: int = 1500
-    pieces: int = 8
+    characters: int = 32_000_000
     piece_bytes: int = 1024
-    dictionary_bytes: int = 112_640
+    dictionary_bytes: int = 400_000
     #: Bytes added to a text's size before its difference is shared out, so that short texts' whole bytes weigh less.
     shrink: int = 50
     level: int = 3
@@ -88,9 +87,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B008
     """Learns from documents whose label is 0 or 1 and whose id's crc32 modulo 5 is not 0.
 
-    The driver gets at most 2 x texts x pieces x piece_bytes bytes of text, and a number for each calibration text.
-    Labels without a document, null labels and null ids are passed over; of contradicting labels the lower holds.
-    Without labelled text of one class the score is the same for all texts.
+    The driver gets the texts that are not for calibration, 2 x characters at most, and a number for each of the others.
+    Labels without a text, null labels and null ids are passed over before the bounds are applied; of contradicting labels
+    the lower holds. Without labelled text of one class the score is the same for all texts.
     """
     small_batches(docs.sparkSession)
     known = (
@@ -99,35 +98,19 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         .agg(F.min("quality").cast("int").alias("y"))
     )
     number = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    chosen = None
-    for y in (0, 1):
-        some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.texts)
-        chosen = some if chosen is None else chosen.union(some)
-    chosen = chosen.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit("calibrates")), F.lit(3)) == 0)
-    texts = docs.where("text is not null and text <> ''").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    texts = texts.dropDuplicates(["doc_id"])
-
-    @F.pandas_udf("array<binary>")
-    def some_pieces(ids: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for i, text in zip(ids, values, strict=True):
-            cut = pieces(text.encode("utf-8", "surrogatepass"), settings.piece_bytes)
-            if len(cut) > settings.pieces:
-                at = np.random.default_rng(zlib.crc32(str(i).encode())).choice(len(cut), settings.pieces, replace=False)
-                cut = [cut[k] for k in sorted(at)]
-            out.append(cut)
-        return pd.Series(out)
-
-    gathered = texts.where("not calibrates").select("doc_id", "y", some_pieces("doc_id", "text").alias("p")).collect()
+    if set(number) != {0, 1}:
+        return _constant(number, settings)
+    rows = docs.where("text is not null and text <> ''").select("doc_id", "text")
+    texts = whole_sample(rows, known, number, "y", settings.texts, settings.characters)
+    texts = texts.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit("calibrates")), F.lit(3)) == 0)
+    gathered = sorted(texts.where("not calibrates").select("doc_id", "y", "text").collect(), key=lambda r: r["doc_id"])
     trained: list[bytes | None] = []
     for y in (0, 1):
-        samples = [bytes(p) for r in sorted(gathered, key=lambda r: r["doc_id"]) if r["y"] == y for p in r["p"]]
+        samples = [p for r in gathered if r["y"] == y for p in pieces(r["text"].encode("utf-8", "surrogatepass"), settings.piece_bytes)]
         size = min(settings.dictionary_bytes, sum(map(len, samples)) // 4)
         trained.append(zstandard.train_dictionary(size, samples).as_bytes() if size >= 1024 and len(samples) >= 16 else None)
     if None in trained:
-        total = sum(number.values())
-        share = (number.get(1, 0) + 1) / (total + 2)
-        return Model(None, None, 0.0, float(np.log(share / (1 - share))), settings)
+        return _constant(number, settings)
     raw = Model(trained[0], trained[1], 0.0, 0.0, settings)
     measured = texts.where("calibrates").select("y", _difference(docs, raw)("text").alias("x")).collect()
     y = np.array([r["y"] for r in measured], float)
@@ -137,6 +120,12 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     return Model(trained[0], trained[1], max(slope, 0.0), offset, settings)
 
 
+def _constant(number: dict[int, int], settings: Settings) -> Model:
+    """The model that gives every text the share of label 1, where there is too little to learn from."""
+    share = (number.get(1, 0) + 1) / (sum(number.values()) + 2)
+    return Model(None, None, 0.0, float(np.log(share / (1 - share))), settings)
+
+
 def _difference(docs: DataFrame, model: Model):
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
