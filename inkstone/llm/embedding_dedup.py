@@ -1,10 +1,12 @@
 """Near duplicates of embeddings: robust-pruned graphs of overlapping cluster shards, their adjacency lists united, and a
-greedy search from medoids that spreads through all vectors in range; recall is audited in every cell, links verified.
+greedy search from medoids that spreads through all vectors in range; recall is audited against all vectors, links verified.
 
 Equal vectors are reduced to one before anything is compared. A vector belongs to the shards of its `overlap` nearest
 centres, or of more: sampled queries are compared with all vectors, which tells how many centres a vector needs for their
 links to share a shard, and the number is raised again until what was found of those links is enough. A shard over `most` rows is dealt to blocks, and every two of its blocks make a cell, so a task holds 2 x most
-rows at most and no pair of a shard is left out. A task sends on a count and a tree edge for a row, never its pairs.
+rows at most and no pair of a shard is left out. A pair belongs to the first shard that both its vectors belong to, and to
+its one cell; what the search finds there, and nothing else, is counted and joined. A task sends on a count and a tree
+edge for a row, never its pairs. A cell is small, so its lists are pruned from its whole similarity matrix.
 """
 
 from collections.abc import Iterator
@@ -17,16 +19,18 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches
 from .components import connected_components
-from .vectors import centroids, distinct, matrix, sample, usable
+from .vectors import distinct, fit_centres, lengths, matrix, usable
 
 
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.9
-    #: Vectors that the centres are fitted on (the smallest hashes of ids); rows of a shard; most centres and rows.
+    #: Vectors that the centres are fitted on (the smallest hashes of ids); rows of a shard; centres fitted in one level,
+    #: and in two; rows of a cell's half.
     sample: int = 16_384
     shard: int = 1500
-    centres: int = 4096
+    flat: int = 4096
+    centres: int = 65_536
     most: int = 3000
     overlap: int = 3
     #: Of the graph: edges of a row, candidates for them, how much closer a neighbour must be to hide another.
@@ -224,7 +228,6 @@ def cell_links(rows: pd.DataFrame, s: Settings) -> pd.DataFrame:
     for i, own in enumerate(lists):
         adjacency[i, : len(own)] = own
     linked = links(matrix(rows["embedding"]), adjacency, s)
-    parent = tree(linked)
     here = int(rows["shard"].iloc[0])
     member: dict[int, list[int]] = {}
     for i, shards in enumerate(rows["shards"]):
@@ -236,15 +239,18 @@ def cell_links(rows: pd.DataFrame, s: Settings) -> pd.DataFrame:
     if rows["low"].iloc[0] != rows["high"].iloc[0]:
         block = rows["block"].to_numpy()
         linked &= block[:, None] != block[None]
-    counts = linked @ rows["copies"].to_numpy(np.int64)
+    counts, parent = linked @ rows["copies"].to_numpy(np.int64), tree(linked)
     up = pd.array(np.where(parent >= 0, ids[parent], 0), dtype="Int64")
     up[parent < 0] = None
     return pd.DataFrame({"vec_id": ids, "n": counts, "parent": up})
 
 
-def ranks(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    """For each row the places of all centres, nearest first."""
-    return np.argsort(-(x @ centre.T), axis=1, kind="stable")
+def places(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """For each row the place of every centre among the nearest, from 0."""
+    near = np.argsort(-(x @ centre.T), axis=1, kind="stable")
+    out = np.empty(near.shape, np.int32)
+    np.put_along_axis(out, near, np.arange(len(centre), dtype=np.int32)[None], 1)
+    return out
 
 
 def audit(reps: DataFrame, queries: pd.DataFrame, centre: np.ndarray, s: Settings) -> pd.DataFrame:
@@ -253,22 +259,20 @@ def audit(reps: DataFrame, queries: pd.DataFrame, centre: np.ndarray, s: Setting
     raw = matrix(queries["embedding"])
     ids = queries["vec_id"].to_numpy()
     size = np.linalg.norm(raw, axis=1)
-    shipped = reps.sparkSession.sparkContext.broadcast((raw, size, ids, centre, ranks(raw, centre).astype(np.int16)))
+    shipped = reps.sparkSession.sparkContext.broadcast((raw, size, ids, centre))
+    step = max(1, 2_000_000 // len(centre))
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw, size, ids, centre, order = shipped.value
-        steps = np.arange(len(centre))
+        raw, size, ids, centre = shipped.value
         for batch in batches:
             x, own = matrix(batch["embedding"]), batch["vec_id"].to_numpy()
             q, v = np.nonzero((raw @ x.T) / (size[:, None] * np.linalg.norm(x, axis=1)) >= s.threshold)
             q, v = (a[ids[q] != own[v]] for a in (q, v))
             need = np.full(len(q), -1)
             some = np.sort(np.random.default_rng(len(q)).choice(len(q), min(s.looked, len(q)), replace=False))
-            place = np.empty((len(x), len(centre)), np.int16)
-            np.put_along_axis(place, ranks(x, centre), steps[None].astype(np.int16), 1)
-            for i in range(0, len(some), 500):
-                at = some[i : i + 500]
-                need[at] = np.maximum(place[v[at][:, None], order[q[at]]], steps).min(axis=1) + 1
+            for i in range(0, len(some), step):
+                at = some[i : i + step]
+                need[at] = np.maximum(places(raw[q[at]], centre), places(x[v[at]], centre)).min(axis=1) + 1
             found = pd.DataFrame({"query": ids[q], "need": need, "n": 1, "w": batch["copies"].to_numpy(np.int64)[v]})
             yield found.groupby(["query", "need"], as_index=False).sum()
 
@@ -301,23 +305,38 @@ def enough(links: pd.DataFrame, counts: DataFrame, s: Settings) -> bool:
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """(vec_id, n_links, component_id, kept), a row for each row of the table.
 
-    A vector that is null, zero, of another length than most, or holds null or non-finite components links with nothing:
-    0 links, a component of its own, kept. A null id has neither component nor verdict. Repeated rows of one id count as
-    one vector. An empty table gives no rows.
+    A vector that is null, zero, or holds null or non-finite components links with nothing: 0 links, a component of its
+    own, kept. Vectors of different lengths do not link. A null id has 0 links and neither component nor verdict. Rows
+    that repeat an id and a vector count as one vector; an id with several vectors gets a row for each, judged by it. An
+    empty table gives no rows.
     """
-    s = settings
     spark = rows.sparkSession
     small_batches(spark)
     scratch = Scratch(spark)
     some = scratch.write(usable(rows, id_col, vector_col))
-    reps = scratch.write(distinct(some, 1).select("vec_id", "embedding", "copies"))
-    number = reps.count()
-    data = sample(reps, s.sample)
-    every = rows.select(F.col(id_col).cast("long").alias("vec_id"))
-    if not len(data):
-        return _answer(every, None)
-    data /= np.linalg.norm(data, axis=1, keepdims=True)
-    centre = centroids(data, max(1, min(s.centres, round(number / s.shard))))
+    every = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
+    found = None
+    for n in lengths(some):
+        one = _linked(some.where(F.size("embedding") == n), settings, scratch)
+        found = one if found is None else found.union(one)
+    if found is not None:
+        every = every.join(found, "embedding", "left")
+    else:
+        every = every.withColumns({c: F.lit(None).cast("long") for c in ("n_links", "component_id")})
+    known = F.col("vec_id").isNotNull()
+    out = every.select(
+        "vec_id", F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        F.when(known, F.coalesce("component_id", "vec_id")).alias("component_id"),
+    )
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def _linked(some: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
+    """(embedding, n_links, component_id) of the different vectors, all of one length."""
+    # A vector has a number of its own here, as several may have one id.
+    reps = distinct(some, 1).select(F.monotonically_increasing_id().alias("vec_id"), F.col("vec_id").alias("least"), "embedding", "copies")
+    reps = scratch.write(reps)
+    centre = fit_centres(reps, reps.count(), s.shard, s.sample, s.flat, s.centres)
     queries = reps.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", F.lit("audit")), "vec_id").limit(s.asked).toPandas()
     true = audit(reps, queries, centre, s)
     overlap = overlap_for(true, len(centre), s)
@@ -329,11 +348,10 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         overlap = min(2 * overlap, len(centre))
         scratch.drop(found)
     parts = connected_components(found.where("parent is not null").select(F.col("vec_id").alias("a"), F.col("parent").alias("b")), scratch)
-    per_rep = reps.join(counts, "vec_id").join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    answer = per_rep.select(
-        "embedding", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")
-    )
-    return _answer(every, some.distinct().join(answer, "embedding").select("vec_id", "n_links", "component_id"))
+    joined = reps.join(counts, "vec_id").join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    joined = scratch.write(joined.withColumn("component", F.coalesce("component", "vec_id")).drop("vec_id"))
+    smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    return joined.join(smallest, "component").select("embedding", (F.col("n") + F.col("copies") - 1).alias("n_links"), "component_id")
 
 
 def _found(reps: DataFrame, centre: np.ndarray, overlap: int, s: Settings, scratch: Scratch) -> DataFrame:
@@ -342,7 +360,8 @@ def _found(reps: DataFrame, centre: np.ndarray, overlap: int, s: Settings, scrat
 
     @F.pandas_udf("array<int>")
     def nearest(vectors: pd.Series) -> pd.Series:
-        near = ranks(matrix(vectors), shipped.value)[:, :overlap]
+        near = -(matrix(vectors) @ shipped.value.T)
+        near = np.argpartition(near, overlap - 1, axis=1)[:, :overlap] if overlap < near.shape[1] else np.argsort(near, axis=1)
         return pd.Series(list(np.sort(near, axis=1).astype(np.int32)))
 
     dealt = scratch.write(reps.withColumn("shards", nearest("embedding")))
@@ -366,12 +385,3 @@ def _found(reps: DataFrame, centre: np.ndarray, overlap: int, s: Settings, scrat
     united = lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     full = scratch.write(dealt.join(united, "vec_id"))
     return cells(full).groupBy(*key).applyInPandas(lambda g: cell_links(g, s), "vec_id long, n long, parent long")
-
-
-def _answer(every: DataFrame, found: DataFrame | None) -> DataFrame:
-    if found is None:
-        found = every.sparkSession.createDataFrame([], "vec_id long, n_links long, component_id long")
-    out = every.join(found, "vec_id", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
-    )
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -12,13 +12,14 @@ _GOOD = (
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, embedding) of rows with an id and a proper vector of the most frequent length (the smallest of equals)."""
+    """(vec_id, embedding) of rows with an id and a proper vector, of any length."""
     some = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
-    some = some.where("vec_id is not null and embedding is not null").where(_GOOD)
-    sizes = some.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("m")).collect()
-    if not sizes:
-        return some
-    return some.where(F.size("embedding") == min((-r["m"], r["n"]) for r in sizes)[1])
+    return some.where("vec_id is not null and embedding is not null").where(_GOOD)
+
+
+def lengths(some: DataFrame) -> list[int]:
+    """Lengths of the vectors; a table has a few. Vectors of different lengths have no measure in common."""
+    return sorted(r["n"] for r in some.select(F.size("embedding").alias("n")).distinct().collect())
 
 
 def distinct(some: DataFrame, keep: int) -> DataFrame:
@@ -57,3 +58,38 @@ def centroids(data: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         size = np.linalg.norm(total, axis=1, keepdims=True)
         centre = np.where(size > 0, total / np.where(size > 0, size, 1), centre)
     return centre
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def fit_centres(reps: DataFrame, number: int, per: int, size: int, flat: int = 4096, most: int = 65_536) -> np.ndarray:
+    """Unit centres, one for each `per` of the `number` vectors, `most` at most, on the driver.
+
+    Up to `flat` centres are fitted there on a sample of `size` vectors. More are fitted in two levels: of the square root
+    of their number on that sample, and, for each of these, on executors, on a sample of the vectors nearest to it.
+    """
+    want = max(1, min(round(number / per), most))
+    data = unit(sample(reps, size))
+    if want <= flat:
+        return centroids(data, want)
+    top = centroids(data, round(want**0.5))
+    each = -(-want // len(top))
+    shipped = reps.sparkSession.sparkContext.broadcast(top)
+
+    @F.pandas_udf("int")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        return pd.Series((unit(matrix(vectors)) @ shipped.value.T).argmax(axis=1).astype(np.int32))
+
+    share = min(1.0, 64.0 * want / number)
+    mark = F.pmod(F.xxhash64("vec_id", F.lit("centres")), F.lit(1 << 30))
+    some = reps.where(mark < int(share * (1 << 30))).select("vec_id", "embedding").withColumn("cell", nearest("embedding"))
+    order = Window.partitionBy("cell").orderBy(F.xxhash64("vec_id"), "vec_id")
+    some = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= size)
+
+    def local(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"centre": list(centroids(unit(matrix(group.sort_values("vec_id")["embedding"])), each))})
+
+    found = some.groupBy("cell").applyInPandas(local, "centre array<double>").toPandas()
+    return np.stack(sorted(found["centre"], key=tuple))
