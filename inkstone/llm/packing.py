@@ -1,8 +1,10 @@
 """Vector best-fit packing of tokenised documents into sequences.
 
-A sequence has residual capacities of tokens, documents and attention cost (sum of squared lengths). A piece goes to
-the sequence where it fits under all three and the weighted score is lowest: of what the residual leaves over ("norm"),
-or of demand times residual ("dot"). Pieces come longest first. Pieces of one length are alike, so the driver plans on
+A sequence has residual capacities of tokens, documents and attention cost. Attention runs over each piece alone, in tiles,
+so a piece costs the square of its length in whole tiles: one that fills a sequence costs all there is, while some hundred
+short ones use up the tiles, or the documents, before the tokens. A piece goes to the sequence where it fits under all
+three and the weighted score is lowest: of what the residual leaves over ("norm", its weighted length), or of demand times
+residual ("dot"). Pieces come longest first. Pieces of one length are alike, so the driver plans on
 the counts of lengths alone (max_tokens of them at most), in whole runs of equal sequences, and the executors rank the
 pieces of each length and read their places off the plan.
 """
@@ -22,12 +24,18 @@ from .common import Scratch, small_batches
 @dataclass(frozen=True)
 class Capacity:
     tokens: int = 1024
-    documents: int = 1024
+    documents: int = 64
     attention: int = 1024 * 1024
-    #: Weights of the three residuals, each as a share of its capacity; the last two settle ties of tokens.
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)
+    tile: int = 64
+    #: Weights of the three residuals, each as a share of its capacity.
+    weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
     score: str = "norm"
 
+    def need(self, length: int) -> np.ndarray:
+        """Tokens, documents and attention cost of a piece."""
+        padded = min(-(-length // self.tile) * self.tile, max(self.tokens, length))
+        return np.array([length, 1, padded * padded], float)
+
 
 def plan(counts: dict[int, int], room: Capacity) -> pd.DataFrame:
     """Places for pieces by length: rows (length, first, count, sequence, each, offset), without overlap.
@@ -52,14 +60,14 @@ def plan(counts: dict[int, int], room: Capacity) -> pd.DataFrame:
         runs[where[key]].append((first, n))
 
     for length in sorted(counts, reverse=True):
-        need = np.array([length, 1, length * length], float)
+        need = room.need(length)
         if (need > whole).any():
             raise ValueError(f"a piece of {length} tokens fits no empty sequence")
         rank, left = 0, counts[length]
         while left:
             usable = np.fromiter(map(bool, runs), bool, len(runs)) & (free >= need).all(axis=1) if runs else np.zeros(0, bool)
             if usable.any():
-                rest = (free - need) @ weight if room.score == "norm" else free @ (weight * need)
+                rest = (((free - need) * weight) ** 2).sum(axis=1) if room.score == "norm" else free @ (weight**2 * need)
                 kind = int(np.where(usable, rest, np.inf).argmin())
                 residual = free[kind].copy()
                 first, n = runs[kind].pop()
