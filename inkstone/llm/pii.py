@@ -57,6 +57,7 @@ _WORD = "|".join(DIGIT_WORDS)
 _TOKEN = re.compile(
     rf"(?P<glyph>{_GLYPH})"
     r"|(?P<at>\s{0,3}[\[({<]\s{0,2}(?:at|AT|At|@)\s{0,2}[\])}>]\s{0,3}|(?<=[A-Za-z0-9])\s{1,2}@\s{1,2}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\s{1,3}(?:at|AT)\s{1,3}(?=[A-Za-z0-9-]{1,63}(?:\s{1,3}(?:dot|DOT)\s|\s{0,3}[\[({<]\s{0,2}(?:dot|DOT|Dot|\.))))"
+    r"|(?P<bare>(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,3}\.(?:com|org|net|edu|gov)\b))"
     r"|(?P<dot>\s{0,3}[\[({<]\s{0,2}(?:dot|DOT|Dot|\.)\s{0,2}[\])}>]\s{0,3}|(?<=[A-Za-z0-9])\s{1,3}(?:dot|DOT)\s{1,3}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\s{1,2}\.\s{1,2}(?=(?:com|org|net|edu|gov)\b))"
     rf"|(?P<digits>\b(?:plus[\s-]{{1,3}})?(?:{_WORD})(?:[\s,.-]{{1,3}}(?:{_WORD}|[0-9]))+\b)",
     re.IGNORECASE,
@@ -65,6 +66,12 @@ _ANY_GLYPH = re.compile(_GLYPH, re.IGNORECASE)
 _DOT = re.compile(r"\bdot\b")
 _BRACKETED = re.compile(r"[\[({<]\s{0,2}(?:dot|\.|(?:at|@)\s{0,2}[\])}>])")
 _APART = re.compile(r"\s@\s")
+_BARE = re.compile(r"[a-z0-9]\s{1,3}at\s{1,3}[a-z0-9-]{1,63}\.")
+#: An address whose only disguise is a bare `at`, as prose has it too ("look at example.com"): its local part must be more
+#: than a word, or a word that announces an address must stand before it (fixed values).
+_ONLY_AT = re.compile(r"(?P<local>[A-Za-z0-9._%+-]+)\s{1,3}at\s{1,3}[A-Za-z0-9.-]+", re.IGNORECASE)
+_MORE = re.compile(r"[0-9._%+-]")
+_ANNOUNCED = re.compile(r"\b(?:e-?mail(?:ed)?|mail|contact|reach(?: me)?|write(?: to)?|address(?: is)?)\W{1,4}(?:me |us |to |is )?\Z", re.IGNORECASE)
 _ENDING = re.compile(r"\.\s{1,2}(?:com|org|net|edu|gov)\b")
 _RUNS = {w: re.compile(rf"{w}[\s,.-]{{1,3}}(?:{_WORD}|[0-9])") for w in DIGIT_WORDS}
 #: Letters that match s or i without regard to case, but are not so in lower case.
@@ -130,7 +137,7 @@ def rewrite(text: str) -> tuple[str, list[tuple[int, int, int]]]:
         elif kind == "digits":
             new = "".join(DIGIT_WORDS.get(w.lower(), "+" if w.lower() == "plus" else w) for w in _ONE.findall(m[0]))
         else:
-            new = "@" if kind == "at" else "."
+            new = "." if kind == "dot" else "@"
         out += (text[source : m.start()], new)
         size += m.start() - source
         places.append((size, m.start(), m.end()))
@@ -161,6 +168,8 @@ def cued(text: str) -> bool:
     if not text.isascii() and (_ANY_GLYPH.search(text) or _FOLDED.search(text)):
         return True
     low = text.lower()
+    if "at" in low and _BARE.search(low):
+        return True
     if "dot" in low and _DOT.search(low) or _BRACKETED.search(low) or "@" in low and _APART.search(low) or _ENDING.search(low):
         return True
     return any(w in low and run.search(low) for w, run in _RUNS.items())
@@ -181,11 +190,17 @@ def find_disguised(text: str, plain: list[Span]) -> list[Span]:
         i = bisect_right(taken, (a, 1 << 62))
         if changed and b > a and not (i and reach[i - 1] >= b):
             proved = _BRACKETED.search(text[a:b].lower()) or _ANY_GLYPH.search(text, a, b)
-            if kind != "email" or proved or LAST_LABEL.search(new[start:end]):
+            if kind != "email" or proved or LAST_LABEL.search(new[start:end]) and not _prose(text, a, b):
                 out.append((kind, a, b))
     return out
 
 
+def _prose(text: str, start: int, end: int) -> bool:
+    """Whether a span is a word, a bare `at` and a domain that nothing says is an address."""
+    only = _ONLY_AT.fullmatch(text, start, end)
+    return bool(only) and not _MORE.search(only["local"]) and not _ANNOUNCED.search(text[max(0, start - 24) : start])
+
+
 def spell(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
