@@ -1,9 +1,9 @@
 """Licence scans by sentence rules: normalised sentences map to identifiers of known licence sentences, and a document's
 identifiers, in order, are matched against rules that are ordered sequences of identifiers.
 
-Only built-in functions, and what is shuffled is the few known sentences. A known sentence may be wrapped over lines and
-hold : and ; between its words. The same rules give the SQL statement of the scan, which knows a sentence only where none
-of these stands within it; on texts without such sentences both give the same rows.
+Only built-in functions within a row, so nothing is shuffled. A known sentence may be wrapped over lines, stand behind
+comment marks, and hold : and ; between its words. The same rules give the SQL statement of the scan, which knows a sentence
+only where none of these stands within it; on texts without such sentences both give the same rows.
 """
 
 import re
@@ -13,46 +13,108 @@ from pyspark.sql import functions as F
 
 # Known licence sentences, lower-cased, other characters than letters and digits as one space.
 SENTENCES: dict[str, tuple[str, ...]] = {
-    "MIT-NAME": (
-        "released under the mit license", "licensed under the mit license", "mit license", "the mit license",
-        "this project is licensed under the mit license", "spdx license identifier mit",
-    ),
+    "MIT-NAME": ("released under the mit license", "licensed under the mit license", "mit license", "the mit license", "this project is licensed under the mit license"),
     "MIT-GRANT": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",),
     "MIT-NOTICE": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
-    "APACHE2-NAME": (
-        "licensed under the apache license version 2 0", "apache license version 2 0", "licensed under the apache license version 2 0 the license",
-        "spdx license identifier apache 2 0",
-    ),
+    "MIT-AS-IS": ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",),
+    "APACHE2-NAME": ("licensed under the apache license version 2 0", "apache license version 2 0", "licensed under the apache license version 2 0 the license"),
     "APACHE2-COMPLY": ("you may not use this file except in compliance with the license",),
-    "APACHE2-COPY": ("you may obtain a copy of the license at", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    "GPL3-NAME": (
-        "this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3",
-        "gnu general public license version 3", "spdx license identifier gpl 3 0 only",
-    ),
+    "APACHE2-COPY": ("you may obtain a copy of the license at", "you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at https www apache org licenses license 2 0"),
+    "APACHE2-TITLE": ("apache license version 2 0 january 2004", "apache license version 2 0 january 2004 http www apache org licenses"),
+    "APACHE2-GRANT": ("subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form",),
+    "GPL3-NAME": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    "GPL2-NAME": ("this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
     "GPL-FREE": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
-    "GPL-HOPE": ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",),
+    "GPL2-FREE": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",),
+    "LGPL21-FREE": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",),
+    "LGPL3-FREE": ("this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
+    "AGPL3-FREE": ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
+    "GPL-HOPE": (
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+        "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    ),
+    "GPL3-TITLE": ("gnu general public license version 3 29 june 2007",),
+    "GPL2-TITLE": ("gnu general public license version 2 june 1991",),
+    "GPL3-COPYLEFT": ("the gnu general public license is a free copyleft license for software and other kinds of works",),
+    "GPL2-FREEDOM": ("the licenses for most software are designed to take away your freedom to share and change it",),
+    "LGPL3-TITLE": ("gnu lesser general public license version 3 29 june 2007",),
+    "LGPL3-TEXT": ("this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below",),
+    "MPL2-FORM": ("this source code form is subject to the terms of the mozilla public license v",),
+    "MPL2-COPY": ("if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    "MPL2-TITLE": ("mozilla public license version 2 0",),
     "BSD-GRANT": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
     "BSD-SOURCE": ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",),
     "BSD-BINARY": ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",),
-    "BSD-NAMES": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
+    "BSD-NAMES": (
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "neither the name of the copyright holders nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    "ISC-GRANT": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
+    "UNLICENSE-DOMAIN": ("this is free and unencumbered software released into the public domain",),
+    "UNLICENSE-FREE": ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",),
+    "ZLIB-AS-IS": ("this software is provided as is without any express or implied warranty",),
+    "ZLIB-GRANT": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",),
+    "BOOST-GRANT": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",),
     "CCBYNC4-NAME": ("licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 international license"),
     "CCBY4-NAME": ("licensed under cc by 4 0", "this work is licensed under cc by 4 0", "cc by 4 0"),
     "RESERVED": ("all rights reserved",),
 }
 
-# Rules by rising precedence within a licence; identifiers in the order in which they must follow.
-RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
-    ("mit-name", "MIT", ("MIT-NAME",)),
-    ("mit-text", "MIT", ("MIT-GRANT", "MIT-NOTICE")),
-    ("apache-2.0-name", "Apache-2.0", ("APACHE2-NAME",)),
-    ("apache-2.0-header", "Apache-2.0", ("APACHE2-NAME", "APACHE2-COMPLY", "APACHE2-COPY")),
-    ("gpl-3.0-name", "GPL-3.0", ("GPL3-NAME",)),
-    ("gpl-3.0-header", "GPL-3.0", ("GPL-FREE", "GPL-HOPE")),
-    ("bsd-2-clause", "BSD-2-Clause", ("BSD-GRANT", "BSD-SOURCE", "BSD-BINARY")),
-    ("bsd-3-clause", "BSD-3-Clause", ("BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-NAMES")),
-    ("cc-by-nc-4.0-name", "CC-BY-NC-4.0", ("CCBYNC4-NAME",)),
-    ("cc-by-4.0-name", "CC-BY-4.0", ("CCBY4-NAME",)),
-    ("all-rights-reserved", "Proprietary", ("RESERVED",)),
+# Names that a line of the form `SPDX-License-Identifier: name` may hold, and the licence that each tells.
+SPDX = {
+    "MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0", "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "LGPL-2.1-only": "LGPL-2.1",
+    "LGPL-2.1-or-later": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0", "AGPL-3.0-only": "AGPL-3.0", "AGPL-3.0-or-later": "AGPL-3.0", "MPL-2.0": "MPL-2.0",
+    "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "ISC": "ISC", "Unlicense": "Unlicense", "Zlib": "Zlib", "BSL-1.0": "BSL-1.0", "CC-BY-4.0": "CC-BY-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0",
+}
+for _name, _licence in SPDX.items():
+    _words = "spdx license identifier " + re.sub("[^a-z0-9]+", " ", _name.lower())
+    SENTENCES[f"SPDX-{_licence}"] = (*SENTENCES.get(f"SPDX-{_licence}", ()), _words)
+
+# Rules (name, licence, identifiers in the order in which they must follow, one that must not come right
+# after). Of a licence's rules that match the last listed here counts.
+RULES: tuple[tuple[str, str, tuple[str, ...], str | None], ...] = (
+    ("mit-name", "MIT", ("MIT-NAME",), None),
+    ("mit-spdx", "MIT", ("SPDX-MIT",), None),
+    ("mit-text", "MIT", ("MIT-GRANT", "MIT-NOTICE"), None),
+    ("apache-2.0-name", "Apache-2.0", ("APACHE2-NAME",), None),
+    ("apache-2.0-spdx", "Apache-2.0", ("SPDX-Apache-2.0",), None),
+    ("apache-2.0-header", "Apache-2.0", ("APACHE2-NAME", "APACHE2-COMPLY", "APACHE2-COPY"), None),
+    ("apache-2.0-text", "Apache-2.0", ("APACHE2-TITLE", "APACHE2-GRANT"), None),
+    ("gpl-2.0-name", "GPL-2.0", ("GPL2-NAME",), None),
+    ("gpl-2.0-spdx", "GPL-2.0", ("SPDX-GPL-2.0",), None),
+    ("gpl-2.0-header", "GPL-2.0", ("GPL2-FREE", "GPL-HOPE"), None),
+    ("gpl-2.0-text", "GPL-2.0", ("GPL2-TITLE", "GPL2-FREEDOM"), None),
+    ("gpl-3.0-name", "GPL-3.0", ("GPL3-NAME",), None),
+    ("gpl-3.0-spdx", "GPL-3.0", ("SPDX-GPL-3.0",), None),
+    ("gpl-3.0-header", "GPL-3.0", ("GPL-FREE", "GPL-HOPE"), None),
+    ("gpl-3.0-text", "GPL-3.0", ("GPL3-TITLE", "GPL3-COPYLEFT"), None),
+    ("lgpl-2.1-spdx", "LGPL-2.1", ("SPDX-LGPL-2.1",), None),
+    ("lgpl-2.1-header", "LGPL-2.1", ("LGPL21-FREE", "GPL-HOPE"), None),
+    ("lgpl-3.0-spdx", "LGPL-3.0", ("SPDX-LGPL-3.0",), None),
+    ("lgpl-3.0-header", "LGPL-3.0", ("LGPL3-FREE", "GPL-HOPE"), None),
+    ("lgpl-3.0-text", "LGPL-3.0", ("LGPL3-TITLE", "LGPL3-TEXT"), None),
+    ("agpl-3.0-spdx", "AGPL-3.0", ("SPDX-AGPL-3.0",), None),
+    ("agpl-3.0-header", "AGPL-3.0", ("AGPL3-FREE", "GPL-HOPE"), None),
+    ("mpl-2.0-name", "MPL-2.0", ("MPL2-TITLE",), None),
+    ("mpl-2.0-spdx", "MPL-2.0", ("SPDX-MPL-2.0",), None),
+    ("mpl-2.0-header", "MPL-2.0", ("MPL2-FORM", "MPL2-COPY"), None),
+    ("bsd-2-clause-spdx", "BSD-2-Clause", ("SPDX-BSD-2-Clause",), None),
+    ("bsd-2-clause", "BSD-2-Clause", ("BSD-GRANT", "BSD-SOURCE", "BSD-BINARY"), "BSD-NAMES"),
+    ("bsd-3-clause-spdx", "BSD-3-Clause", ("SPDX-BSD-3-Clause",), None),
+    ("bsd-3-clause", "BSD-3-Clause", ("BSD-GRANT", "BSD-SOURCE", "BSD-BINARY", "BSD-NAMES"), None),
+    ("isc-spdx", "ISC", ("SPDX-ISC",), None),
+    ("isc-text", "ISC", ("ISC-GRANT",), None),
+    ("unlicense-spdx", "Unlicense", ("SPDX-Unlicense",), None),
+    ("unlicense-text", "Unlicense", ("UNLICENSE-DOMAIN", "UNLICENSE-FREE"), None),
+    ("zlib-spdx", "Zlib", ("SPDX-Zlib",), None),
+    ("zlib-text", "Zlib", ("ZLIB-AS-IS", "ZLIB-GRANT"), None),
+    ("boost-spdx", "BSL-1.0", ("SPDX-BSL-1.0",), None),
+    ("boost-text", "BSL-1.0", ("BOOST-GRANT",), None),
+    ("cc-by-nc-4.0-name", "CC-BY-NC-4.0", ("CCBYNC4-NAME",), None),
+    ("cc-by-nc-4.0-spdx", "CC-BY-NC-4.0", ("SPDX-CC-BY-NC-4.0",), None),
+    ("cc-by-4.0-name", "CC-BY-4.0", ("CCBY4-NAME",), None),
+    ("cc-by-4.0-spdx", "CC-BY-4.0", ("SPDX-CC-BY-4.0",), None),
+    ("all-rights-reserved", "Proprietary", ("RESERVED",), None),
 )
 
 #: The SQL's sentences end at a line's end, at ; or : and at . ! ? before white space or the text's end.
@@ -60,7 +122,7 @@ _BREAK = r"[.!?]+([ \t\r]|$)|[.!?]*\n+|[;:]"
 #: No sentence goes over . ! ? before white space or the text's end, nor over an empty line.
 _STOP = r"[.!?]+([ \t\r\n]|$)|\n[ \t\r]*\n"
 #: Every known sentence holds one of these.
-_CUE = r"(?i)licen|permission|copyright|warranty|redistribut|reserved|cc[^a-z0-9]+by"
+_CUE = r"(?i)licen|permission|copyright|warranty|redistribut|reserved|unencumbered|anyone is|of the mpl|cc[^a-z0-9]+by"
 _LONGEST = sorted((words for some in SENTENCES.values() for words in some), key=len, reverse=True)
 #: A known sentence in a text whose lines and parts at : and ; are set off by |.
 _KNOWN = r"(?<=\|)(?:" + "|".join(re.sub(" ", "[ |]", words) for words in _LONGEST) + r")(?=\|)"
@@ -73,64 +135,62 @@ def marked(block: Column) -> Column:
     return F.regexp_replace(words, r" ?\|[ |]*", "|")
 
 
-def known_sentences(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """keys, place and sentence_id of the sentences that the fixed table holds, in whole texts; null texts have none.
+def sentence_ids(text: Column) -> Column:
+    """Identifiers, in order, of the sentences of a whole text that the fixed table holds; an empty list for null texts.
 
     Of known sentences that begin at one place the longest counts, and none that begins within another.
     """
-    rows = [(words, name) for name, some in SENTENCES.items() for words in some]
-    fixed = docs.sparkSession.createDataFrame(rows, "words string, sentence_id string")
-    blocks = docs.where(F.col(text_col).rlike(_CUE)).select(*keys, F.posexplode(F.split(F.col(text_col), _STOP)).alias("block", "part"))
-    found = blocks.where(F.col("part").rlike(_CUE)).select(
-        *keys, "block", F.posexplode(F.regexp_extract_all(marked(F.col("part")), F.lit(_KNOWN), F.lit(0))).alias("k", "sentence")
-    )
-    words = F.translate("sentence", "|", " ").alias("words")
-    return found.select(*keys, F.struct("block", "k").alias("place"), words).join(F.broadcast(fixed), "words").select(*keys, "place", "sentence_id")
+    fixed = F.create_map(*[F.lit(x) for name, some in SENTENCES.items() for words in some for x in (words, name)])
+    blocks = F.filter(F.split(text, _STOP), lambda b: b.rlike(_CUE))
+    found = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(marked(b), F.lit(_KNOWN), F.lit(0))))
+    names = F.transform(found, lambda x: F.element_at(fixed, F.translate(x, "|", " ")))
+    return F.coalesce(F.when(text.rlike(_CUE), names), F.array().cast("array<string>"))
+
+
+def _pattern(parts: tuple[str, ...], unless: str | None) -> str:
+    """What a line of identifiers, each after and before a comma, must hold for a rule."""
+    return "," + ",(?:[^,]+,)*".join(parts) + "," + (f"(?!{unless},)" if unless else "")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_sentences, sentence_ids, rules, licenses) of the ids with a known sentence, lists joined by commas.
+    """(doc_id, n_sentences, sentence_ids, rules, licenses) of the rows with a known sentence, lists joined by commas.
 
-    sentence_ids are in the order of the text, each once where it first stands; a rule matches if its identifiers follow
-    each other in that order, others between them or not. rules and licenses are sorted. Texts without a known sentence,
-    null ones too, have no row; rows of one id are scanned as one; null ids are passed over. Before sentences of an id
-    meet they are reduced to the first place of each identifier, so a text of one sentence over and over is small.
+    sentence_ids are in the order of the text, each as often as it comes, but a run of one as one; a rule matches if its
+    identifiers follow each other in that order, others between them or not. Of a licence's matching rules only the one of
+    highest precedence is told. rules and licenses are sorted. Texts without a known sentence, null ones too, have no row;
+    repeated rows have a row each, and a null id is kept; an empty table gives no rows.
     """
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    found = known_sentences(named, ["doc_id"])
-    first = found.groupBy("doc_id", "sentence_id").agg(F.min("place").alias("place"), F.count("*").alias("n"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("place", "sentence_id"))), lambda s: s["sentence_id"])
-    by_doc = first.groupBy("doc_id").agg(F.sum("n").alias("n_sentences"), ordered.alias("ids"))
-    line = by_doc.withColumn("sentence_ids", F.array_join("ids", ","))
+    every = docs.select(F.col(id_col).alias("doc_id"), sentence_ids(F.col(text_col)).alias("ids")).where(F.size("ids") > 0)
+    runs = F.filter("ids", lambda x, i: (i == 0) | (x != F.get("ids", i - 1)))
+    line = every.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join(runs, ",").alias("sentence_ids"))
     padded = F.concat(F.lit(","), "sentence_ids", F.lit(","))
     hits = [
-        F.when(padded.rlike("," + ",(?:[^,]+,)*".join(parts) + ","), F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("name")))
-        for rule, name, parts in RULES
+        F.when(padded.rlike(_pattern(parts, unless)), F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("name"), F.lit(k).alias("k")))
+        for k, (rule, name, parts, unless) in enumerate(RULES)
     ]
-    matched = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    listed = lambda part: F.array_join(F.array_sort(F.array_distinct(F.transform("m", lambda h: h[part]))), ",")
-    return line.withColumn("m", matched).select(
-        "doc_id", "n_sentences", "sentence_ids", listed("rule").alias("rules"), listed("name").alias("licenses")
-    )
+    matched = line.withColumn("m", F.array_compact(F.array(*hits)))
+    best = F.filter("m", lambda h: ~F.exists("m", lambda o: (o["name"] == h["name"]) & (o["k"] > h["k"])))
+    listed = lambda part: F.array_join(F.array_sort(F.array_distinct(F.transform(best, lambda h: h[part]))), ",")
+    return matched.select("doc_id", "n_sentences", "sentence_ids", listed("rule").alias("rules"), listed("name").alias("licenses"))
 
 
 def scan_sql() -> str:
-    """DuckDB SQL for scan() over the table documents."""
+    """DuckDB SQL for scan() over the table documents; what must not come after is put as all that may."""
     fixed = ", ".join(f"('{words}', '{name}')" for name, some in SENTENCES.items() for words in some)
-    rules = ", ".join(f"('{rule}', '{name}', '{',' + ',([^,]+,)*'.join(parts) + ','}')" for rule, name, parts in RULES)
+    after = lambda unless: "($|(" + "|".join(n.replace(".", "[.]") for n in SENTENCES if n != unless) + "),)" if unless else ""
+    plain = lambda parts: "," + ",([^,]+,)*".join(p.replace(".", "[.]") for p in parts) + ","
+    rules = ", ".join(f"({k}, '{rule}', '{name}', '{plain(parts) + after(unless)}')" for k, (rule, name, parts, unless) in enumerate(RULES))
     return rf"""
-    WITH fixed(words, sentence_id) AS (VALUES {fixed}), rules(rule, name, pattern) AS (VALUES {rules}),
-    cut AS (SELECT doc_id, string_split(regexp_replace(text, '{_BREAK}', chr(10), 'g'), chr(10)) AS parts
-            FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-    sentences AS (SELECT doc_id, unnest(range(len(parts))) AS place, unnest(parts) AS sentence FROM cut),
-    found AS (SELECT doc_id, place, sentence_id FROM sentences JOIN fixed
+    WITH fixed(words, sentence_id) AS (VALUES {fixed}), rules(k, rule, name, pattern) AS (VALUES {rules}),
+    cut AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(text, '{_BREAK}', chr(10), 'g'), chr(10)) AS parts
+            FROM documents WHERE text IS NOT NULL),
+    sentences AS (SELECT r, doc_id, unnest(range(len(parts))) AS place, unnest(parts) AS sentence FROM cut),
+    found AS (SELECT r, doc_id, place, sentence_id FROM sentences JOIN fixed
               ON fixed.words = trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g'))),
-    firsts AS (SELECT doc_id, sentence_id, min(place) AS place, count(*) AS n FROM found GROUP BY ALL),
-    lines AS (SELECT doc_id, sum(n)::BIGINT AS n_sentences, string_agg(sentence_id, ',' ORDER BY place, sentence_id) AS sentence_ids
-              FROM firsts GROUP BY doc_id),
-    hits AS (SELECT doc_id, rule, name FROM lines JOIN rules ON regexp_matches(',' || sentence_ids || ',', pattern)),
-    named AS (SELECT doc_id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules,
-              string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM hits GROUP BY doc_id)
+    marked AS (SELECT *, sentence_id IS DISTINCT FROM lag(sentence_id) OVER (PARTITION BY r ORDER BY place) AS fresh FROM found),
+    lines AS (SELECT r, doc_id, count(*)::BIGINT AS n_sentences, string_agg(sentence_id, ',' ORDER BY place) FILTER (fresh) AS sentence_ids FROM marked GROUP BY r, doc_id),
+    hits AS (SELECT r, rule, name FROM lines JOIN rules ON regexp_matches(',' || sentence_ids || ',', pattern) QUALIFY k = max(k) OVER (PARTITION BY r, name)),
+    named AS (SELECT r, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM hits GROUP BY r)
     SELECT doc_id, n_sentences, sentence_ids, coalesce(rules, '') AS rules, coalesce(licenses, '') AS licenses
-    FROM lines LEFT JOIN named USING (doc_id)
+    FROM lines LEFT JOIN named USING (r)
     """
