@@ -78,7 +78,8 @@ def test_simhash_matches_brute_force(spark, awkward):
     assert simhash.near_duplicates(empty(spark, awkward)).count() == 0
 
 
-def test_golay_keys_lose_no_link():
+@pytest.mark.parametrize("parts", [5, 6, 7])
+def test_golay_keys_lose_no_link(parts):
     column, error = simhash._golay()
     assert len(set(error.tolist())) == 2048 and sorted(map(int.bit_count, error.tolist()))[-1] == 3
     rng = np.random.default_rng(0)
@@ -89,9 +90,14 @@ def test_golay_keys_lose_no_link():
             two[i] ^= np.int64(1) << np.int64(b)
     keys = [[set() for _ in one], [set() for _ in one]]
     for side, values in enumerate((one, two)):
-        for at, key in zip(*simhash.fuzzy_keys(values), strict=True):
+        for at, key in zip(*simhash.fuzzy_keys(values, parts), strict=True):
             keys[side][at].add(int(key))
     assert all(a & b for a, b in zip(*keys, strict=True))
+    assert max(map(max, keys[0])) < 1 << 62
+
+
+def test_segments_follow_the_number_of_fingerprints():
+    assert [simhash.segments_for(n) for n in (0, 10**6, 10**9, 10**11)] == [5, 5, 6, 7]
 
 
 def test_forest_and_blocks_join_all_links(spark, monkeypatch):
@@ -118,6 +124,55 @@ def test_forest_and_blocks_join_all_links(spark, monkeypatch):
     links = simhash.fingerprint_links(frame, scratch)
     found = {r["node"]: r["component"] for r in connected_components(links, scratch).collect()}
     assert {v: found.get(v, v) for v in values} == classes(near)
+    found = {r["node"]: r["component"] for r in connected_components(simhash.fingerprint_links(frame, scratch, 6), scratch).collect()}
+    assert {v: found.get(v, v) for v in values} == classes(near)
+
+
+@pytest.fixture(scope="module")
+def copies(spark):
+    """Forty texts, each with near copies at several distances, exact copies and rows that repeat."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choices("abcdefghijkl", k=rnd.randint(2, 8)))
+    rows = []
+    for i in range(40):
+        base = [word() for _ in range(rnd.choice((60, 150, 400)))]
+        for k in range(rnd.choice((1, 2, 25))):
+            words = list(base)
+            for _ in range(rnd.randint(0, 2) * len(base) // 150):
+                words[rnd.randrange(len(words))] = word()
+            rows.append((1000 * i + k, " ".join(words)))
+    rows += [(90_000, None), (90_001, ""), (90_002, " \n"), (90_003, "one"), (90_004, "ONE"), rows[3], rows[3]]
+    rnd.shuffle(rows)
+    return rows
+
+
+def test_similar_texts_like_all_pairs(spark, copies):
+    texts = {}
+    for i, text in sorted(copies, key=lambda r: r[0]):
+        texts.setdefault(i, text)
+    sets = {i: set(map(tuple, zip(*([(t or "").lower().split()[k:] for k in range(5)])))) or {tuple((t or "").lower().split())} for i, t in texts.items()}
+    want, stand = {}, []
+    for i in sorted(sets):
+        near = [j for j in stand if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        want[i] = near[0] if near else i
+        stand += [] if near else [i]
+    frame = spark.createDataFrame(copies, "key long, text string")
+    for rule in (simhash.Rule(), simhash.Rule(texts=4), simhash.Rule(characters=4000)):
+        got = simhash.similar(frame, "key", rule=rule).collect()
+        assert len(got) == len(copies)
+        assert sum(r["leader"] == want[r["key"]] for r in got) >= 0.98 * len(got)
+        for r in got:
+            assert r["leader"] == r["key"] or len(sets[r["key"]] & sets[r["leader"]]) >= 0.8 * len(sets[r["key"]] | sets[r["leader"]])
+    assert {r["key"]: r["leader"] for r in got if r["key"] >= 90_000} == {90_000: 90_000, 90_001: 90_000, 90_002: 90_000, 90_003: 90_003, 90_004: 90_003}
+    assert simhash.similar(spark.createDataFrame([], "key long, text string"), "key").count() == 0
+
+
+def test_similarity_of_sets():
+    a, b = np.arange(10, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
+    assert simhash.jaccard(a, b, 0.8) == 0.9 and simhash.jaccard(a, b[:5], 0.8) == 0.0 and simhash.jaccard(a[:0], b[:0], 0.8) == 1.0
+    assert len(simhash.shingle_set("a b c d e f", 5)) == 2 and len(simhash.shingle_set("a b", 5)) == 1 and len(simhash.shingle_set(None, 5)) == 0
+    prints = simhash.word_prints(b"a b c d".split(), 3)
+    assert len(set(prints)) == 3 and prints == simhash.word_prints(b"d c b a a".split(), 3) and simhash.word_prints([], 2) == [0, 0]
 
 
 def test_components_of_chains_and_none(spark):
@@ -177,8 +232,10 @@ def test_packing_places_everything(spark, awkward):
 def test_best_fit_obeys_every_capacity():
     rnd = random.Random(5)
     counts = {n: rnd.randint(1, 60) for n in range(1, 101)}
-    for room in (packing.Capacity(100, 100, 10_000), packing.Capacity(100, 4, 3000, (1.0, 0.5, 0.5), "dot"), packing.Capacity(100, 3, 10_000)):
-        some = {n: c for n, c in counts.items() if n * n <= room.attention}
+    bound = [set() for _ in range(3)]
+    plain = packing.Capacity(100, 100, 10_000, 1)
+    for room in (plain, packing.Capacity(100, 4, 3000, 1, (1.0, 0.5, 0.5), "dot"), packing.Capacity(100, 3, 10_000, 1), packing.Capacity(100, 16, 10_000, 25), packing.Capacity(100, 5, 10_000, 10, (1.0, 0.2, 0.2))):
+        some = {n: c for n, c in counts.items() if room.need(n)[2] <= room.attention}
         used, seen = {}, {}
         for r in packing.plan(some, room).itertuples():
             for k in range(r.count):
@@ -188,9 +245,14 @@ def test_best_fit_obeys_every_capacity():
         for own in used.values():
             own.sort()
             assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
-            assert sum(n for _, n in own) <= room.tokens and len(own) <= room.documents and sum(n * n for _, n in own) <= room.attention
+            use = sum(room.need(n) for _, n in own)
+            assert (use <= (room.tokens, room.documents, room.attention)).all() and use[0] == sum(n for _, n in own) and use[1] == len(own)
+            for k, most in enumerate((room.tokens, room.documents, room.attention)):
+                if use[k] == most:
+                    bound[k].add(room)
+    assert all(bound) and packing.Capacity().need(1024)[2] == packing.Capacity().attention and packing.Capacity().need(3)[2] == 64 * 64
     total = sum(n * c for n, c in counts.items())
-    places = packing.plan(counts, packing.Capacity(100, 100, 10_000))
+    places = packing.plan(counts, plain)
     sequences = (places.sequence + (places["count"] - 1) // places.each).max() + 1
     assert sequences <= -(-total // 100) * 1.02 + 2
 
@@ -243,7 +305,7 @@ def test_language_model(spark, awkward):
             w = chain[w] if rnd.random() < 0.9 else rnd.choice("abcd")
         rows.append((i, " ".join(words) + (" rare%d" % i if i % 50 == 0 else "")))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    settings = lm.Settings(slices=4, window=8, lanes=16, rate=0.02, known=8)
+    settings = lm.Settings(slices=4, window=8, lanes=16, rate=0.02, known=8, groups=64, replica_tokens=4000, fan=2)
     got = lm.score_documents(docs, settings).toPandas().set_index("doc_id")
     learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
     counts = {}
@@ -262,35 +324,49 @@ def test_language_model(spark, awkward):
     assert lm.score_documents(empty(spark, docs)).count() == 0
 
 
-def test_language_model_learns_from_every_slice(spark):
-    """Only documents that the first two of 32 slices of ids do not hold."""
-    ids = spark.range(1600).where("pmod(xxhash64(id, 'train'), 32) > 1")
-    docs = ids.selectExpr("id AS doc_id", "repeat('a b c d ', 12) AS text")
-    got = lm.score_documents(docs, lm.Settings(window=8, lanes=16, rate=0.02)).where("held_out").toPandas()
-    assert got.score.sum() > 0.6 * got.base_score.sum()
+def test_language_model_learns_from_every_row(spark):
+    """One id for half of the rows, null for the others: slices and replicas still share them evenly."""
+    docs = spark.range(1600).selectExpr("if(id % 2 = 0, 8, NULL) AS doc_id", "repeat('a b c d ', 12) AS text")
+    s = lm.Settings(window=8, lanes=16, rate=0.02, slices=4)
+    counts = lm.count_words(docs)
+    rows = lm.encode(docs, lm.vocabulary_of(counts, s), s).groupBy("slice").count().collect()
+    assert sorted(r["slice"] for r in rows) == [0, 1, 2, 3] and min(r["count"] for r in rows) > 300
+    got = lm.score_documents(docs, s).toPandas()
+    assert not got.held_out.any() and got.score.sum() > 0.6 * got.base_score.sum()
 
 
-def test_language_model_sums_to_one_and_carries_state():
-    s = lm.Settings(head=20, class_words=6, embedding=3, hidden=4)
+def test_language_model_sums_to_one_and_carries_state(spark):
+    s = lm.Settings(head=14, groups=7, class_words=6, embedding=3, hidden=4)
     network = lm.Network(np.arange(30, 9, -1), s)
     rng = np.random.default_rng(0)
     network.weights = {k: v + rng.normal(0, 0.3, v.shape) for k, v in network.weights.items()}
     state = rng.normal(0, 1, (1, 4))
     assert np.exp(network.log_p(np.repeat(state, 21, 0), np.arange(21))).sum() == pytest.approx(1)
+    texts = spark.createDataFrame([(i, f"w{i} x{i % 9} y z z z") for i in range(60)], "doc_id long, text string")
+    counts = lm.count_words(texts)
+    known = lm.vocabulary_of(counts, s)
+    words = {r["word"]: r["n"] for r in counts.collect()}
+    assert (known.tokens, known.types) == (sum(words.values()), len(words))
+    share = np.exp(network.log_p(np.repeat(state, 21, 0), np.arange(21)))
+    total = share[14 + np.arange(7)] @ (1 / known.smoothed_rest)
+    for w, n in words.items():
+        sign = int(known.signs([bytes(w)], known.places([bytes(w)]))[0])
+        total += share[sign] * (1 if sign < 14 else (n + 1) / known.smoothed_rest[sign - 14])
+    assert total == pytest.approx(1)
     documents = [rng.integers(0, 21, n).astype(np.int32) for n in (1, 5, 700, 33)]
     together = network.score(documents)
-    apart = [lm.Network(np.arange(30, 9, -1), lm.Settings(head=20, class_words=6, embedding=3, hidden=4, score_window=1, score_lanes=1), network.weights).score([d])[0] for d in documents]
+    apart = [lm.Network(np.arange(30, 9, -1), lm.Settings(head=14, groups=7, class_words=6, embedding=3, hidden=4, score_window=1, score_lanes=1), network.weights).score([d])[0] for d in documents]
     assert together == pytest.approx(apart, rel=1e-4)
     ids, keep = rng.integers(0, 21, (7, 3)), np.ones((7, 3))
     keep[0] = keep[3, 1] = 0
     valid = np.ones((7, 3), bool)
-    _, grad = network.gradient(ids, keep, valid, np.zeros((3, 4)))
+    _, grad = network.gradient(ids, keep, valid, np.zeros((4, 3)))
     for name, w in network.weights.items():
         at = tuple(rng.integers(0, d) for d in w.shape)
         old, slopes = w[at], []
         for step in (1e-4, -1e-4):
             w[at] = old + step
-            slopes.append(network.gradient(ids, keep, valid, np.zeros((3, 4)))[0])
+            slopes.append(network.gradient(ids, keep, valid, np.zeros((4, 3)))[0])
         w[at] = old
         assert grad[name][at] == pytest.approx((slopes[0] - slopes[1]) / 2e-4, abs=2e-3)
 
@@ -324,6 +400,10 @@ def test_plain_identifiers_like_the_patterns():
         ("４１１１１１１１１１１１１１１１", [("card", "４１１１１１１１１１１１１１１１")]),
         ("ip 10 dot 2 dot 3 dot 4", [("ip", "10 dot 2 dot 3 dot 4")]),
         ("look at the dot here, at home", []),
+        ("john.smith at example.com", [("email", "john.smith at example.com")]),
+        ("email: john at mail.example.org", [("email", "john at mail.example.org")]),
+        ("Look at example.com, or write to ann at example.net", [("email", "ann at example.net")]),
+        ("available at example.com", []),
         ("one two three at the end", []),
     ],
 )
@@ -347,16 +427,17 @@ def test_licenses(spark, awkward):
     grant, notice = licenses.SENTENCES["MIT-GRANT"][0], licenses.SENTENCES["MIT-NOTICE"][0]
     rows = [
         (1, f"Title\n{grant.upper()}:\nThe Above {notice[10:]}."), (2, f"{notice}. {grant}."), (3, "Licensed under the Apache License, Version 2.0."),
-        (4, None), (5, ""), (6, "MIT License\nMIT License\n" * 500), (None, "MIT License"), (7, "Released under the MIT License. Other words. All rights reserved."),
+        (4, None), (5, ""), (6, "MIT License\nMIT License\n" * 500), (None, "MIT License"), (7, "Released under the MIT License. Other words. All rights reserved."), (8, f"{notice}. {grant}. {notice}."),
     ]
     docs = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "doc_id long, text string, place int, words string, sentence_id string")
     got = {r["doc_id"]: (r["n_sentences"], r["sentence_ids"], r["rules"], r["licenses"]) for r in licenses.scan(docs).collect()}
     assert got == {
-        1: (2, "MIT-GRANT,MIT-NOTICE", "mit-text", "MIT"), 2: (2, "MIT-NOTICE,MIT-GRANT", "", ""),
+        1: (2, "MIT-GRANT,MIT-NOTICE", "mit-text", "MIT"), 2: (2, "MIT-NOTICE,MIT-GRANT", "", ""), None: (1, "MIT-NAME", "mit-name", "MIT"),
         3: (1, "APACHE2-NAME", "apache-2.0-name", "Apache-2.0"), 6: (1000, "MIT-NAME", "mit-name", "MIT"),
-        7: (2, "MIT-NAME,RESERVED", "all-rights-reserved,mit-name", "MIT,Proprietary"),
+        7: (2, "MIT-NAME,RESERVED", "all-rights-reserved,mit-name", "MIT,Proprietary"), 8: (3, "MIT-NOTICE,MIT-GRANT,MIT-NOTICE", "mit-text", "MIT"),
     }
     assert licenses.scan(empty(spark, awkward)).count() == 0
+    assert licenses.scan(docs.union(docs.where("doc_id = 3"))).where("doc_id = 3").count() == 2
 
 
 LICENSE_TEXTS = {
@@ -380,7 +461,7 @@ copies or substantial portions of the Software.
  * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
  * GNU General Public License for more details.
 """,
-    "bsd-2-clause,bsd-3-clause": """Redistribution and use in source and binary forms, with or without
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:
 
 1. Redistributions of source code must retain the above copyright notice, this
@@ -394,13 +475,80 @@ modification, are permitted provided that the following conditions are met:
    contributors may be used to endorse or promote products derived from
    this software without specific prior written permission.
 """,
-    "apache-2.0-header,apache-2.0-name": """Licensed under the Apache License, Version 2.0 (the "License");
+    "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
 You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
 """,
-    "mit-name": "// SPDX-License-Identifier: MIT\nint x;",
-    "apache-2.0-name": "# SPDX-License-Identifier: Apache-2.0\r\nimport x",
-    "gpl-3.0-name": "/* SPDX-License-Identifier: GPL-3.0-only */",
+    "mit-spdx": "// SPDX-License-Identifier: MIT\nint x;",
+    "apache-2.0-spdx": "# SPDX-License-Identifier: Apache-2.0\r\nimport x",
+    "gpl-3.0-spdx": "/* SPDX-License-Identifier: GPL-3.0-only */",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+ * Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+ * Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+""",
+    "gpl-2.0-header": """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+""",
+    "lgpl-2.1-header": """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+ * Lesser General Public License for more details.
+""",
+    "mpl-2.0-header": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+""",
+    "gpl-3.0-text": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+""",
+    "apache-2.0-text": """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   2. Grant of Copyright License. Subject to the terms and conditions of
+      this License, each Contributor hereby grants to You a perpetual,
+      worldwide, non-exclusive, no-charge, royalty-free, irrevocable
+      copyright license to reproduce, prepare Derivative Works of,
+      publicly display, publicly perform, sublicense, and distribute the
+      Work and such Derivative Works in Source or Object form.
+""",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+""",
     "cc-by-4.0-name": "Words.\nThis work is licensed\nunder CC-BY 4.0",
 }
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstone.llm import ann, embedding_dedup
+from inkstone.llm import vectors as vectors_module
 
 
 @pytest.fixture(scope="module")
@@ -45,9 +46,48 @@ def test_near_duplicates(spark, vectors):
             assert (links == cos.sum(1)).all() and [got[i]["component_id"] for i in ids] == ids[component].tolist()
         for i in range(1000, 1007):
             assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
+        assert all((r["n_links"] == 0) == (sum(o["component_id"] == r["component_id"] for o in rows) == 1 + (r["vec_id"] == 5)) for r in rows)
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], vectors.schema)).count() == 0
 
 
+def test_ids_with_several_vectors_and_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.99, 0.01]), (3, [0.0, 2.0]), (3, [0.0, 2.0]), (None, [1.0, 0.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.01, 0.0]), (6, [1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(frame).collect())
+    assert got == [(0, 0, None, None), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True)]
+    found = [(r["query_id"], r["vec_id"], r["score"]) for r in ann.nearest(frame, F.col("vec_id").isin(2, 4, 6)).orderBy("query_id", "rank").collect()]
+    assert found == [(2, 1, 0.99), (2, 3, 0.02), (2, 1, 0.01), (4, 5, 1.0)]
+
+
+def test_centres_in_two_levels(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16))
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    centre = vectors_module.fit_centres(frame, 3000, 20, 400, flat=10)
+    assert 100 <= len(centre) <= 170 and np.allclose(np.linalg.norm(centre, axis=1), 1)
+    one = vectors_module.fit_centres(frame, 3000, 20, 400)
+    assert len(one) == 150
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (unit @ centre.T).max(1).mean() > 0.9 * (unit @ one.T).max(1).mean()
+
+
+def test_neighbours_over_many_blocks_and_cells(spark):
+    """50,000 vectors of different norms in cells and blocks of some hundred: found again as brute force finds them."""
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(60, 24))[rng.integers(0, 60, 50_000)] + rng.normal(0, 0.6, (50_000, 24))) * rng.uniform(0.5, 2, (50_000, 1))
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    s = ann.Settings(cell=1000, block=700, asked=100, query_block=300)
+    got = ann.nearest(frame, F.col("vec_id") % 100 == 0, settings=s).toPandas()
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        edge = np.partition(score, -20)[-20]
+        hits += int((own.score >= edge - 1e-9).sum())
+        assert np.allclose(score[own.vec_id], own.score) and own["rank"].tolist() == list(range(1, 21))
+    assert got.query_id.nunique() == 500 and hits >= 0.93 * 20 * 500
+
+
 def test_search_finds_ranges():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 8))
@@ -113,6 +153,7 @@ def test_links_across_many_shards(spark):
     both = both[rng.permutation(len(both))]
     frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(both)], "vec_id long, embedding array<double>")
     true = (both @ both.T >= 0.9).sum(1) - 1
-    rows = embedding_dedup.near_duplicates(frame, settings=embedding_dedup.Settings(shard=10, sample=150)).collect()
-    links = np.array([r["n_links"] for r in sorted(rows, key=lambda r: r["vec_id"])])
-    assert (links <= true).all() and links.sum() >= 0.98 * true.sum()
+    for settings in (embedding_dedup.Settings(shard=10, sample=150), embedding_dedup.Settings(shard=10, sample=150, flat=20)):
+        rows = embedding_dedup.near_duplicates(frame, settings=settings).collect()
+        links = np.array([r["n_links"] for r in sorted(rows, key=lambda r: r["vec_id"])])
+        assert (links <= true).all() and links.sum() >= 0.98 * true.sum()
