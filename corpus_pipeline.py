@@ -18,34 +18,38 @@ def _whole(docs: DataFrame, *columns: str | Column) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; null texts, those without letters and rejected ones go."""
+    """Documents whose language is known; null texts, those without letters and rejected ones go. Repeated rows are judged
+    alike; an empty table, or one without a known language to learn from, gives no rows."""
     found = langid.identify(_whole(docs, "text"), langid.fit(docs))
     return found.where(~F.col("rejected")).select("_row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier predicts to be of label 1."""
+    """Documents that the compression classifier predicts to be of label 1, whatever their ids; null and empty texts get the
+    score of no difference. Repeated rows are judged alike; an empty table gives no rows."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     return quality_classifier.score(_whole(docs, "text"), model).where("predicted = 1").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one row: that of the smallest id, of equal ids that of the smallest digest of the
-    text; rows without an id come last, so a group of them alone keeps one too."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) one row: that of the smallest id, of
+    equal ids that of the smallest digest of the text; rows without an id come last, so a group of them alone keeps one."""
     key = F.struct(
-        F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")
+        F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")
     )
-    groups = simhash.near_duplicates(docs.select(key.alias("key"), "text"), "key")
-    first = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("_rows"))
-    kept = _whole(docs, key.alias("_key")).join(first, "_key")
-    again = kept.where("_rows > 1").dropDuplicates(["_key"])
-    return kept.where("_rows = 1").union(again).select("_row.*")
+    led = Scratch(spark).write(simhash.similar(docs.select(key.alias("key"), "text"), "key"))
+    gone = led.where("key <> leader").select(F.col("key").alias("_key")).distinct()
+    again = led.where("key = leader").groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_key")
+    rows = _whole(docs, key.alias("_key"))
+    once = rows.join(gone.union(again), "_key", "left_anti")
+    return once.union(rows.join(again, "_key", "left_semi").dropDuplicates(["_key"])).select("_row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; n_chars follows the text."""
+    """All documents, null texts and repeated rows too, with personal data replaced by its kind; n_chars follows the text. An
+    empty table gives no rows."""
     clean = pii.redacted(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
