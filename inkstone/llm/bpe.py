@@ -277,7 +277,8 @@ def decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids", into: str = "
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: whole texts encoded, and their ids decoded again."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: whole texts encoded, and their ids decoded again. Null texts
+    count as empty, with the digest of nothing; repeated rows get a row each, null ids are kept, an empty table gives none."""
     both = docs.select("doc_id", F.col("text"))
     small_batches(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))

@@ -88,7 +88,8 @@ def plan(counts: dict[int, int], room: Capacity) -> pd.DataFrame:
 
 def pieces_of(docs: DataFrame, vocabulary: str, max_tokens: int = 1024, end_id: int = 2) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each whole text's token ids and end_id, cut only if longer than
-    max_tokens; then all pieces but perhaps the first have max_tokens. Null texts count as empty."""
+    max_tokens; then all pieces but perhaps the first have max_tokens. Null and empty texts are the end alone; repeated rows
+    give their pieces each, null ids are kept, and an empty table gives none."""
     small_batches(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
@@ -114,16 +115,17 @@ def pack(pieces: DataFrame, room: Capacity, scratch: Scratch, keys: tuple[str, .
     """pieces with (sequence_id, offset): as few sequences as vector best-fit makes of their lengths.
 
     Every row gets a place, repeated rows one each; offsets in a sequence run from 0 without gaps. Only the counts of
-    lengths reach the driver. Ranks come from windows over (length, salt), so a length that all pieces have is spread.
+    lengths reach the driver. Ranks come from windows over (length, salt), so a length that all pieces have is spread; salts
+    come from numbers that the rows are written with, so rows that repeat, or have no id, are spread too.
     """
-    rows = scratch.write(pieces)
+    rows = scratch.write(pieces.withColumn("_row", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     salts = max(64, sum(counts.values()) // 20_000)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    own = Window.partitionBy("length", "_salt").orderBy(*keys)
+    own = Window.partitionBy("length", "_salt").orderBy(*keys, "_row")
     ranked = salted.withColumn("_rank", F.row_number().over(own) - 1).join(bases, ["length", "_salt"])
     places = plan(counts, room).sort_values(["length", "first"])
     step = 1 << 40

@@ -218,7 +218,8 @@ def redact(text: str, spans: list[Span]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), a row for each row of docs.
 
-    n_ counts plain and disguised spans. Null texts count as empty: no spans, the digest of nothing.
+    n_ counts plain and disguised spans. Null texts count as empty: no spans, the digest of nothing. Repeated rows get a row
+    each, null ids are kept, and an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
 
@@ -236,7 +237,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every found span of the text replaced by its kind; null texts stay null."""
+    """docs with every found span of the text replaced by its kind; null texts stay null, other columns and repeated rows as
+    they are, and an empty table gives no rows."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
@@ -248,4 +250,5 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             out.append(redact(text, every) if every else text)
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    quoted = lambda c: F.col(f"`{c}`")
+    return docs.select(*(clean(quoted(c)).alias(c) if c == text_col else quoted(c) for c in docs.columns))

@@ -270,6 +270,38 @@ def test_quality_classifier(spark, prose, awkward):
     assert quality_classifier.classify(empty(spark, docs), labels).count() == 0
 
 
+def test_scores_like_plain_compression(spark, prose):
+    """Every score from the model's dictionaries and curve, by plain calls; the dictionaries have seen whole texts."""
+    import zstandard
+
+    docs, labels = prose
+    docs = docs.withColumn("text", F.repeat("text", 20))
+    model = quality_classifier.fit(docs, labels)
+    assert model.slope > 0 and model.bad and model.good
+    tools = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.bad, model.good)]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality_classifier.score(docs, model).collect():
+        data = texts[r["doc_id"]].encode()
+        sizes = [sum(len(t.compress(data[i : i + 1024])) for i in range(0, len(data), 1024)) for t in tools]
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-((sizes[0] - sizes[1]) / (len(data) + 50) * model.slope + model.offset))))
+        assert r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_samples_are_whole_texts(spark):
+    from inkstone.llm.common import whole_sample
+
+    rows = [(i, "x" * (10 * i + 1)) for i in range(60)] + [(5, "a"), (7, "x" * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = spark.createDataFrame([(i % 2, i) for i in range(80)], "g int, doc_id long")
+    texts = {i: min(t for j, t in rows if j == i) for i, _ in rows}
+    got = whole_sample(docs, groups, {0: 40, 1: 40}, "g", 1000, 10**6).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == texts and len(got) == 60
+    few = whole_sample(docs, groups, {0: 40, 1: 40}, "g", 12, 10**6).collect()
+    assert [sum(r["g"] == g for r in few) for g in (0, 1)] == [12, 12] and all(r["text"] == texts[r["doc_id"]] for r in few)
+    small = whole_sample(docs, groups, {0: 40, 1: 40}, "g", 1000, 500).collect()
+    assert all(r["text"] == texts[r["doc_id"]] for r in small) and all(0 < sum(len(r["text"]) for r in small if r["g"] == g) <= 500 for g in (0, 1))
+
+
 def test_language_id(spark, prose, awkward):
     docs, _ = prose
     rows = langid.identify_documents(docs).join(docs, "doc_id").collect()
@@ -289,9 +321,68 @@ def test_kneser_ney_by_blocks_and_sums():
     whole, n = langid.entropies(model, ["abba baba abab cd " * 40, "", "12"], 1 << 19)
     parts, _ = langid.entropies(model, ["abba baba abab cd " * 40, "", "12"], 64)
     assert np.allclose(whole, parts, rtol=1e-5) and n.tolist()[1:] == [0, 0] and whole[0, 0] < whole[0, 1]
-    base = langid.fold("ab")[:1]
-    total = sum(np.exp(langid.log_likelihoods(model, np.r_[np.full(4, 32, np.uint32), base, np.uint32(c)])[-1, 0]) for c in [32, *map(ord, "abcd")])
-    assert 0.9 < total <= 1.001
+    letters = [32, *map(ord, "abcd"), ord("z")]
+    for context in ("", "a", "ab ", "cd c", "zz"):
+        base = np.r_[np.full(4, 32, np.uint32), np.array([ord(c) for c in context], np.uint32)]
+        total = sum(np.exp(langid.log_likelihoods(model, np.r_[base, np.uint32(c)])[-1]) for c in letters)
+        assert np.allclose(total, 1, atol=1e-5)
+
+
+def plain_kneser_ney(text, letters, order):
+    """P(letter | context) from counted strings, by the recursion as it is written."""
+    padded = " " * order + text
+    grams = lambda n: [padded[i - n + 1 : i + 1] for i in range(order, len(padded))]
+    counts = {order: {}}
+    for g in grams(order):
+        counts[order][g] = counts[order].get(g, 0) + 1
+    for n in range(order - 1, 0, -1):
+        counts[n] = {g: 0 for g in grams(n)}
+        for g in set(grams(n + 1)):
+            counts[n][g[1:]] += 1
+    discount = {}
+    for n, c in counts.items():
+        once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        discount[n] = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+
+    def p(letter, context):
+        n = len(context) + 1
+        some = {g: v for g, v in counts[n].items() if g[:-1] == context}
+        lower = p(letter, context[1:]) if context else 1 / (letters + 1)
+        if not some:
+            return lower
+        total = sum(some.values())
+        return max(some.get(context + letter, 0) - discount[n], 0) / total + discount[n] * len(some) / total * lower
+
+    return p
+
+
+def test_kneser_ney_like_the_recursion():
+    texts = {"a": "abab abba baba aab " * 3, "b": "cdcd ccdd dcdc "}
+    settings = langid.Settings()
+    model = langid.train({k: [langid.fold(v)] for k, v in texts.items()}, settings)
+    for k, name in enumerate(model.languages):
+        p = plain_kneser_ney(langid.fold(texts[name]).astype("<u4").tobytes().decode("utf-32-le"), 5, settings.order)
+        for asked in (" abba ab ", " cddc ", " azb ", " ccab "):
+            got = langid.log_likelihoods(model, np.r_[np.full(4, 32, np.uint32), langid.fold(asked)])[:, k]
+            padded = " " * 4 + langid.fold(asked).astype("<u4").tobytes().decode("utf-32-le")
+            assert np.allclose(got, [np.log(p(padded[i], padded[i - 3 : i])) for i in range(4, len(padded))], atol=1e-4)
+
+
+def test_rejection_lies_between_known_and_other_languages():
+    rnd = random.Random(9)
+    draw = lambda parts, n: " ".join("".join(rnd.choices(parts, k=rnd.randint(1, 3))) for _ in range(n))
+    kinds = {"en": ["the", "ing", "tion", "her", "and"], "fr": ["eau", "ment", "oi", "que", "les"], "de": ["sch", "ung", "ein", "heit", "der"]}
+    s = langid.Settings()
+    learned = {k: [langid.fold(draw(kinds[k], 300)) for _ in range(10)] for k in ("en", "fr")}
+    judge = [(k, langid.fold(draw(kinds[k], 300))) for k in ("en", "fr") for _ in range(20)]
+    model = langid.calibrated(langid.train(learned, s), judge, s)
+    assert [n for n, _ in model.highest][:3] == [8, 16, 32]
+    for k, far in (("en", False), ("fr", False), ("de", True)):
+        texts = [draw(kinds[k], n) for n in (20, 60, 200) for _ in range(20)]
+        mean, number = langid.entropies(model, texts, s.block)
+        rejected = langid.beyond(model, number, mean.min(axis=1))
+        assert rejected.mean() >= 0.9 if far else not rejected.any()
+    assert not langid.beyond(model, np.array([3]), np.array([99.0])).any()
 
 
 def test_language_model(spark, awkward):
