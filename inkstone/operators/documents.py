@@ -75,6 +75,57 @@ def continued_captions(lines: DataFrame, keys: list[str]) -> DataFrame:
     return one.select(*keys, first["line"].alias("start"), title.alias("title"))
 
 
+def continues_raw_caption(title: Column, line: Column) -> Column:
+    """Whether a line of unpositioned text goes on with a caption's title: the title is open or dangling, or does not end and
+    the line starts in lower case."""
+    text = T.squash(line)
+    expected = F.rtrim(title).endswith(":") | title.rlike(DANGLING)
+    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
+    never = (text == "") | X.is_caption(text) | text.rlike(NO_CONTINUATION) | (text.rlike(r"^[-−]?[0-9]") & ~expected) | (F.length(text) > 180)
+    goes = (count(title, "(") > count(title, ")")) | expected | (~F.rtrim(title).rlike(r"[.?!)]$") & text.rlike(r"^\p{Ll}"))
+    return F.coalesce(~never & goes, F.lit(False))
+
+
+def captioned_items(pages: DataFrame) -> DataFrame:
+    """(paper_id, page, kind, label, caption, body) of pages' supported captions: the title with the lines that go on with it,
+    and the lines after it up to the next caption, without page labels at the end; the first of a kind and label on a page.
+    The lines from a caption to the next are folded, each such stretch on its own."""
+    c = F.col
+    lines = pages.select("paper_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
+    lines = lines.select("paper_id", "page", (c("line") + 1).alias("line"), T.squash(c("content")).alias("content")).where("content <> ''")
+    run = F.sum(X.is_caption(c("content")).cast("int")).over(Window.partitionBy("paper_id", "page").orderBy("line"))
+    some = lines.withColumn("_run", run).where("_run > 0").groupBy("paper_id", "page", "_run").agg(F.array_sort(F.collect_list(F.struct("line", "content"))).alias("r"))
+    heads = X.captions(pages)
+    both = some.withColumn("line", F.get("r", F.lit(0))["line"]).join(heads, ["paper_id", "page", "line"])
+    state = "struct<title:string,n:int,open:boolean>"
+    start = F.struct(c("title").alias("title"), F.lit(1).alias("n"), (c("title") != "").alias("open")).cast(state)
+
+    def step(s: Column, x: Column) -> Column:
+        goes = s["open"] & continues_raw_caption(s["title"], x["content"])
+        longer = F.struct(F.concat_ws(" ", s["title"], x["content"]).alias("title"), (s["n"] + 1).alias("n"), F.lit(True).alias("open"))
+        return F.when(goes, longer.cast(state)).otherwise(F.struct(s["title"].alias("title"), s["n"].alias("n"), F.lit(False).alias("open")).cast(state))
+
+    done = both.withColumn("s", F.aggregate(F.slice("r", 2, F.size("r")), start, step))
+    body = F.transform(F.slice("r", c("s.n") + 1, F.size("r")), lambda x: x["content"])
+    last = F.coalesce(F.array_max(F.transform(body, lambda x, i: F.when(T.plausible_label(x).isNull(), i + 1))), F.lit(0))
+    title = T.join_hyphens(F.array("s.title"))
+    caption = F.concat(F.initcap("kind"), F.lit(" "), "label", F.when(title != "", F.concat(F.lit(": "), title)).otherwise(""))
+    return done.select("paper_id", "page", "kind", "label", caption.alias("caption"), F.slice(body, F.lit(1), last).alias("body"))
+
+
+def figure_regions(regions: DataFrame, captions: DataFrame, width: float) -> DataFrame:
+    """(page, caption, region): for each figure's caption the region of its page that ends nearest above it, up to 48 points or 6
+    below its top, in its column unless the caption is wide; of equals the largest, then the first."""
+    c = F.col
+    gap = c("c.y0") - c("r.y1")
+    beside = F.least(c("r.x1"), c("c.x1")) - F.greatest(c("r.x0"), c("c.x0"))
+    near = gap.between(-6, 48) & ((beside > 0) | (c("c.x1") - c("c.x0") >= width * 0.55))
+    both = captions.alias("c").join(regions.alias("r"), (c("c.page") == c("r.page")) & near)
+    area = (c("r.x1") - c("r.x0")) * (c("r.y1") - c("r.y0"))
+    best = F.min(F.struct(F.greatest(gap, F.lit(0.0)).alias("gap"), (-area).alias("area"), c("r.box").alias("region")))
+    return both.groupBy(c("c.page").alias("page"), c("c.box").alias("caption")).agg(best.alias("m")).select("page", "caption", "m.region")
+
+
 def column_bounds(x0: Column, x1: Column, width: Column, height: Column) -> Column:
     """struct(low, high): the column of a page that a caption's lines stand in: all of it on landscape pages and for captions
     over the middle or of 55 per cent of the width, else the caption's half."""

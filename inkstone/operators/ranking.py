@@ -150,6 +150,29 @@ def brief(findings: DataFrame, sections: dict[str, str]) -> DataFrame:
     return one.select("paper_id", F.concat(F.concat_ws("\n\n", *parts), F.lit("\n")).alias("brief"))
 
 
+def provenance(outputs: DataFrame) -> DataFrame:
+    """(paper_id, provenance): a Markdown table of raters' outputs (paper_id, place, rater, path, run_status, findings), in the
+    order of their places."""
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[markdown_cell(F.col(c)) for c in ("rater", "path", "run_status", "findings")]), F.lit(" |"))
+    rows = outputs.withColumn("run_status", F.coalesce("run_status", F.lit("unknown"))).withColumn("line", line)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])
+    head = "| Rater | Validated JSON path | Status | Findings |\n| --- | --- | --- | --- |\n"
+    return rows.groupBy("paper_id").agg(F.concat(F.lit(head), F.array_join(listed, "\n")).alias("provenance"))
+
+
+def input_documents(parts: DataFrame) -> DataFrame:
+    """(paper_id, document): what an editor is given: prompt, where bundle and outputs lie, the brief, the bundle (as JSON, or
+    the plan that says how to read it) and the outputs' provenance, of parts (paper_id, prompt, bundle_path, outputs_path,
+    brief, bundle, plan, provenance)."""
+    c = F.col
+    bundle = F.coalesce("plan", F.concat(F.lit("```json\n"), "bundle", F.lit("\n```\n")))
+    text = F.concat(
+        c("prompt"), F.lit("\n\n# Editor Input Metadata\n\n- paper_id: `"), c("paper_id"), F.lit("`\n- normalized_bundle: `"), c("bundle_path"), F.lit("`\n- outputs: `"), c("outputs_path"),
+        F.lit("`\n\n\n"), c("brief"), F.lit("\n\n# Normalized Editor Bundle\n\n"), bundle, F.lit("\n\n# Validated Output Provenance\n\n"), F.coalesce("provenance", F.lit("_None._")), F.lit("\n"),
+    )
+    return parts.select("paper_id", text.alias("document"))
+
+
 def bounded_input(documents: DataFrame, most_bytes: int = 1_000_000) -> DataFrame:
     """(paper_id, serialization, document): the first of a paper's forms pretty, minified and file_backed that is within the
     bound; null and `too large` where none is, as nothing is cut."""

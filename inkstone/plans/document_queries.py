@@ -4,7 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
+from ..operators import ranking as R
 from ..sources.views import Relations, oracle
+from .extract_queries import LINES, _is_caption
 from .registry import query
 
 
@@ -89,3 +91,54 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = ("caption_score", "merge_score", "report_score", "selector_score", "resume_score", "overall")
     out = D.run_metrics(Relations(spark, sf_dir).sql(RUNS)).select("run", *scores)
     return out
+
+
+#: Lines of captions and what follows them, on a page of a part each.
+CAPTIONED = """SELECT p_partkey AS page, CAST(n_nationkey AS INT) AS line, CASE n_nationkey WHEN 0 THEN 'words before' WHEN 1 THEN concat('Table ', CAST(p_size AS VARCHAR(9)), ': Effects', CASE WHEN p_partkey % 4 = 0 THEN ' of the' WHEN p_partkey % 4 = 1 THEN ' (in' ELSE '' END)
+ WHEN 2 THEN CASE WHEN p_partkey % 3 = 0 THEN 'programme' WHEN p_partkey % 3 = 1 THEN 'Dollars)' ELSE '12 wages' END ELSE 'Notes: none' END AS content, n_nationkey * 12.0 + CASE WHEN n_nationkey = 2 AND p_partkey % 7 = 0 THEN 30 ELSE 0 END AS y0,
+ n_nationkey * 12.0 + 10 + CASE WHEN n_nationkey = 2 AND p_partkey % 7 = 0 THEN 30 ELSE 0 END AS y1, CAST(n_nationkey AS INT) AS block FROM part JOIN nation ON n_nationkey < 4"""
+
+
+@query("""SELECT p_partkey AS page, 1 AS start, t || CASE WHEN p_partkey % 7 <> 0 AND (p_partkey % 4 < 2 OR p_partkey % 3 = 0) THEN ' ' || n ELSE '' END AS title FROM (SELECT p_partkey, 'Table ' || p_size || ': Effects' || CASE WHEN p_partkey % 4 = 0 THEN ' of the' WHEN p_partkey % 4 = 1 THEN ' (in' ELSE '' END AS t,
+ ['programme', 'Dollars)', '12 wages'][p_partkey % 3 + 1] AS n FROM part)""")
+def continued_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions with the line that goes on with them: a dangling or open title takes any, others a lower-case one."""
+    rows = Relations(spark, sf_dir).sql(CAPTIONED)
+    double = [F.col(c).cast("double").alias(c) for c in ("y0", "y1")]
+    return D.continued_captions(rows.select("page", "line", "content", *double, "block"), ["page"])
+
+
+@query(oracle(f"""WITH {LINES}, r AS (SELECT *, sum(CASE WHEN {_is_caption("c")} THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id, page ORDER BY line) AS run FROM lines WHERE s <> ''),
+h AS (SELECT paper_id, page, kind, label, title, line FROM captioned QUALIFY row_number() OVER (PARTITION BY paper_id, page, kind, label ORDER BY line) = 1),
+k AS (SELECT h.*, r.run FROM h JOIN r USING (paper_id, page, line)), n AS (SELECT r.*, k.title, k.kind, k.label, row_number() OVER (PARTITION BY r.paper_id, r.page, r.run ORDER BY r.line) AS i FROM r JOIN k ON k.paper_id = r.paper_id AND k.page = r.page AND k.run = r.run),
+w AS (SELECT paper_id, page, run, i, title, title <> '' AS open, 1 AS n FROM n WHERE i = 1 UNION ALL
+ SELECT n.paper_id, n.page, n.run, n.i, CASE WHEN g THEN w.title || ' ' || s ELSE w.title END, w.open AND g, w.n + CASE WHEN w.open AND g THEN 1 ELSE 0 END FROM w JOIN n ON n.paper_id = w.paper_id AND n.page = w.page AND n.run = w.run AND n.i = w.i + 1,
+ LATERAL (SELECT w.open AND length(s) <= 180 AND NOT regexp_matches(s, '^(?i)(notes? ?:|panel\\b|\\([a-z0-9]+\\)|n\\b|controls\\b)') AND (NOT regexp_matches(s, '^[-−]?[0-9]') OR d) AND
+  (length(w.title) - length(replace(w.title, '(', '')) > length(w.title) - length(replace(w.title, ')', '')) OR d OR (NOT regexp_matches(w.title, '[.?!)]$') AND regexp_matches(s, '^\\p{{Ll}}'))) AS g
+  FROM (SELECT right(w.title, 1) = ':' OR regexp_matches(w.title, '(?i)\\b(a|across|an|and|between|by|for|from|in|of|on|or|the|to|versus|vs\\.?|when|with|without)$') AS d))),
+e AS (SELECT paper_id, page, run, arg_max(title, i) AS title, max(n) AS n FROM w GROUP BY 1, 2, 3),
+b AS (SELECT n.*, e.title AS whole, e.n AS taken, regexp_matches(s, '^([0-9]{{1,4}}|[ivxlcdmIVXLCDM]{{1,12}})$') AND coalesce(TRY_CAST(s AS INT) BETWEEN 1 AND 300, TRUE) AS labelled FROM n JOIN e USING (paper_id, page, run)),
+l AS (SELECT paper_id, page, run, max(i) AS last FROM b WHERE i > taken AND NOT labelled GROUP BY 1, 2, 3)
+SELECT b.paper_id, b.page, any_value(b.kind) AS kind, any_value(b.label) AS label, CASE any_value(b.kind) WHEN 'table' THEN 'Table ' ELSE 'Figure ' END || any_value(b.label) || CASE WHEN any_value(whole) <> '' THEN ': ' || any_value(whole) ELSE '' END AS caption,
+ CAST(count(*) FILTER (i > taken AND i <= last) AS INT) AS n_body FROM b LEFT JOIN l USING (paper_id, page, run) GROUP BY b.paper_id, b.page, b.run""", "marked_pages"))
+def captioned_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions of pages with the lines that belong to them."""
+    items = D.captioned_items(Relations(spark, sf_dir).view("marked_pages"))
+    return items.withColumn("n_body", F.size("body")).drop("body")
+
+
+@query(oracle("""SELECT paper_id, 'Prompt' || chr(10) || chr(10) || '# Editor Input Metadata' || chr(10) || chr(10) || '- paper_id: `' || paper_id || '`' || chr(10) || '- normalized_bundle: `b.json`' || chr(10) || '- outputs: `out`' || chr(10) || chr(10) || chr(10) || '# Brief' || chr(10) || chr(10)
+ || '# Normalized Editor Bundle' || chr(10) || chr(10) || CASE WHEN n % 2 = 0 THEN 'read it in parts' ELSE '```json' || chr(10) || '{"n": ' || n || '}' || chr(10) || '```' || chr(10) END || chr(10) || chr(10) || '# Validated Output Provenance' || chr(10) || chr(10)
+ || '| Rater | Validated JSON path | Status | Findings |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || rows || chr(10) AS document FROM (SELECT paper_id, sum(n)::INT AS n, string_agg('| ' || rater || ' | ' || rater || '.json | ' || CASE WHEN n % 3 = 0 THEN 'unknown' ELSE 'ok' END || ' | ' || n || ' |', chr(10) ORDER BY rater) AS rows
+FROM (SELECT paper_id, rater, count(*) AS n FROM findings GROUP BY 1, 2) GROUP BY 1)""", "findings"))
+def input_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an editor of each paper is given, with the bundle or the plan to read it, and the raters' outputs."""
+    c = F.col
+    outputs = Relations(spark, sf_dir).view("findings").groupBy("paper_id", "rater").agg(F.count("*").alias("findings"))
+    outputs = outputs.select("paper_id", c("rater").alias("place"), "rater", F.concat("rater", F.lit(".json")).alias("path"), F.when(c("findings") % 3 != 0, "ok").alias("run_status"), "findings")
+    n = outputs.groupBy("paper_id").agg(F.sum("findings").alias("n"))
+    parts = n.join(R.provenance(outputs), "paper_id").select(
+        "paper_id", F.lit("Prompt").alias("prompt"), F.lit("b.json").alias("bundle_path"), F.lit("out").alias("outputs_path"), F.lit("# Brief").alias("brief"), F.format_string('{"n": %d}', "n").alias("bundle"),
+        F.when(c("n") % 2 == 0, "read it in parts").alias("plan"), "provenance",
+    )
+    return R.input_documents(parts)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import documents as D
 from ..operators import layout as L
 from ..sources.views import Relations, oracle
 from .registry import query
@@ -51,11 +52,15 @@ def page_text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(r"""SELECT doc_id, (SELECT string_agg('U+' || lpad(upper(to_hex(ord(c))), 4, '0'), ',' ORDER BY ord(c))
-  FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[\x00-\x08\x0b\x0e-\x1f]')) AS c)) AS codes FROM documents
+#: Texts of which every fifth has three control characters and every third a form feed, which is allowed.
+CONTROLLED = "SELECT doc_id, concat(text, CASE WHEN doc_id % 5 = 0 THEN concat(chr(7), 'x', chr(1), chr(7)) ELSE '' END, CASE WHEN doc_id % 3 = 0 THEN chr(12) ELSE '' END) AS text FROM documents WHERE text IS NOT NULL"
+
+
+@query(rf"""SELECT doc_id, (SELECT string_agg('U+' || lpad(upper(to_hex(ord(c))), 4, '0'), ',' ORDER BY ord(c))
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[\x00-\x08\x0b\x0e-\x1f]')) AS c)) AS codes FROM ({CONTROLLED})
 WHERE regexp_matches(text, '[\x00-\x08\x0b\x0e-\x1f]')""")
 def control_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = Relations(spark, sf_dir).table("documents").select("doc_id", F.array_join(T.control_codes(F.col("text")), ",").alias("codes"))
+    docs = Relations(spark, sf_dir).sql(CONTROLLED).select("doc_id", F.array_join(T.control_codes(F.col("text")), ",").alias("codes"))
     return docs.where("codes <> ''")
 
 
@@ -179,3 +184,10 @@ def merged_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes merged by nearness until none are near: here one of each cell of a page."""
     double = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
     return L.merged_regions(Relations(spark, sf_dir).sql(NEAR).select("page", *double))
+
+
+@query(oracle("""SELECT page, caption, region FROM (SELECT c.page, c.box AS caption, r.box AS region, row_number() OVER (PARTITION BY c.page, c.box ORDER BY greatest(c.y0 - r.y1, 0), -(r.x1 - r.x0) * (r.y1 - r.y0), r.box) AS k
+FROM boxes c JOIN boxes r ON c.page = r.page AND r.kind = 'figure' AND c.y0 - r.y1 BETWEEN -6 AND 48 AND (least(r.x1, c.x1) > greatest(r.x0, c.x0) OR c.x1 - c.x0 >= 330) WHERE c.kind = 'caption') WHERE k = 1""", "boxes"))
+def figure_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figure that a caption stands under."""
+    return D.figure_regions(_boxes(spark, sf_dir, "figure"), _boxes(spark, sf_dir, "caption"), 600.0)
