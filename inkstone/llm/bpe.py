@@ -11,6 +11,7 @@ import json
 from collections.abc import Iterable
 from functools import cached_property
 from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,13 +25,16 @@ from .common import small_batches
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of Unicode's property White_Space (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
-#: Bytes of a word that the rank array takes; characters of a chunk that is kept; chunks that a worker keeps.
-SHORT, KEPT_CHARS, KEPT = 32, 48, 700_000
+#: Bytes of a word that the rank array takes; characters of a chunk that is kept; chunks that a worker keeps; the share of a
+#: batch's chunks from which on being unknown shows that those kept are of other texts.
+SHORT, KEPT_CHARS, KEPT, STALE = 32, 48, 400_000, 0.3
 _NONE = np.int32(2**31 - 1)
 _SLOT_BITS = 20
 #: A letters' chunk that ends with one of these is two words.
 _ENDS = frozenset(",.;:!?")
 _SPACED = tuple(" " + c for c in WHITE)
+#: What two characters of white space that meet, or one that is neither a space nor a line feed, hold.
+_RUNS = ("\n\n", " \n", "\n ", "  ", *(c for c in WHITE + "\x1c\x1d\x1e\x1f" if c not in " \n"))
 
 
 def _byte_letters() -> dict[str, int]:
@@ -40,6 +44,18 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class _Known(dict):
+    """Token ids of chunks; a chunk that is not known is noted in `new` and stands for itself."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> str:
+        self.new.append(chunk)
+        return chunk
+
+
 class Codec:
     """Encodes and decodes as the tokenizers library does with the given byte-level BPE file's contents."""
 
@@ -65,8 +81,9 @@ class Codec:
         self.byte_ranks = self._pair_ranks(np.repeat(self.id_of_byte, 256), np.tile(self.id_of_byte, 256)).reshape(256, 256)
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in self.special) + ")") if self.special else None
-        self.after_space: dict[str, bytes] = {}
-        self.at_start: dict[str, bytes] = {}
+        self.end_ids = dict(zip(_ENDS, self._merged([c.encode() for c in _ENDS]), strict=True))
+        self.newline = (self._merged([b"\n"]), False)
+        self.after_space, self.at_start = _Known(), _Known()
 
     @cached_property
     def ranks(self) -> dict[int, int]:
@@ -152,27 +169,37 @@ class Codec:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
         return np.array([p for p in parts if p >= 0], "<u4").tobytes()
 
-    def _learn(self, chunks: set[str], space: str, into: dict[str, bytes]) -> None:
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        """Token ids, four bytes each, of words of one byte or more."""
+        out = self.merge_short(words)
+        for i, word in enumerate(words):
+            if len(word) > SHORT:
+                out[i] = self.merge_long(word)
+        return out
+
+    def _learn(self, chunks: set[str], space: str, known: dict[str, bytes]) -> dict[str, bytes]:
         """Token ids of chunks, each of which no word crosses the border of."""
-        split, tailed, spelled = self.split.findall, [], {}
-        plain = {c for c in chunks if c.isalpha()}
-        for c in chunks - plain:
-            if c[-1:] in _ENDS and c[:-1].isalpha():
-                tailed.append(c)
-            else:
-                spelled[c] = split(space + c)
-        plain.update(c[:-1] for c in tailed if c[:-1] not in into)
-        words = list({space + c for c in plain}.union(_ENDS, *spelled.values()))
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        short = [i for i, b in enumerate(raw) if len(b) <= SHORT]
-        ids = dict(zip((words[i] for i in short), self.merge_short([raw[i] for i in short]), strict=True))
-        ids |= {words[i]: self.merge_long(b) for i, b in enumerate(raw) if len(b) > SHORT}
-        for c in plain:
-            into[c] = ids[space + c]
+        plain, tailed, other = [], [], []
+        for c in chunks:
+            (plain if c.isalpha() else tailed if c[-1:] in _ENDS and c[:-1].isalpha() else other).append(c)
+        plain += {c[:-1] for c in tailed}.difference(plain, known)
+        out = dict(zip(plain, self._merged([(space + c).encode("utf-8", "surrogatepass") for c in plain]), strict=True))
         for c in tailed:
-            into[c] = into[c[:-1]] + ids[c[-1]]
-        for c, found in spelled.items():
-            into[c] = b"".join(map(ids.__getitem__, found))
+            stem = c[:-1]
+            out[c] = (out[stem] if stem in out else known[stem]) + self.end_ids[c[-1]]
+        split = self.split.findall
+        spelled = [split(space + c) for c in other]
+        words = list(set().union(*spelled))
+        ids = dict(zip(words, self._merged([w.encode("utf-8", "surrogatepass") for w in words]), strict=True))
+        out |= {c: b"".join(map(ids.__getitem__, found)) for c, found in zip(other, spelled, strict=True)}
+        return out
+
+    def _lines(self, text: str) -> list[list[str]]:
+        """Chunks of each line, where every line end stands alone between other characters than white space, as it is a word of
+        its own then; else those of the whole text."""
+        if any(x in text for x in _RUNS) or text[-1] in " \n" or text[0] == "\n":
+            return [self._chunks(text)]
+        return [line.split(" ") for line in text.split("\n")]
 
     def _chunks(self, text: str) -> list[str]:
         """The text cut at each space that a character other than white space follows; the spaces are left out."""
@@ -195,40 +222,39 @@ class Codec:
                 gc.enable()
 
     def _encode_bytes(self, texts: Iterable[str | None]) -> list[bytes]:
-        rows, first, later = [], set(), set()
+        start, known = self.at_start, self.after_space
+        rows, look_up = [], known.__getitem__
         for text in texts:
             row = []
             for piece in (self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]) if text else []:
                 if piece in self.special:
-                    row.append(piece)
+                    row.append(([np.uint32(self.special[piece]).tobytes()], False))
                 elif piece:
-                    chunks = self._chunks(piece)
-                    row.append(chunks)
-                    first.add(chunks[0])
-                    later.update(chunks[1:])
+                    for k, chunks in enumerate(self._lines(piece)):
+                        before, first = len(known.new), start[chunks[0]]
+                        parts = [first, *map(look_up, islice(chunks, 1, None))]
+                        row += [self.newline, (parts, first.__class__ is str or len(known.new) > before)][not k :]
             rows.append(row)
-        dropped = []
-        for need, space, known in ((first, "", self.at_start), (later, " ", self.after_space)):
-            new = need - known.keys()
-            if len(known) + len(new) > KEPT:
-                known.clear()
-                new = need
-            self._learn(new, space, known)
-            dropped.append((known, [c for c in new if len(c) > KEPT_CHARS]))
-        start, known = self.at_start, self.after_space.__getitem__
+        learned = []
+        for table, space in ((start, ""), (known, " ")):
+            learned.append(self._learn(set(table.new), space, table))
+            # A full table keeps what it has, the words that came first, which are the frequent ones, unless it serves no more.
+            if len(table) > KEPT and len(table.new) > STALE * sum(len(parts) for row in rows for parts, _ in row):
+                table.clear()
+            if len(table) <= KEPT:
+                table.update((c, ids) for c, ids in learned[-1].items() if len(c) <= KEPT_CHARS)
+            table.new.clear()
         out = []
         for row in rows:
-            parts: list[bytes] = []
-            for piece in row:
-                if isinstance(piece, str):
-                    parts.append(np.uint32(self.special[piece]).tobytes())
-                else:
-                    parts.append(start[piece[0]])
-                    parts += map(known, piece[1:])
-            out.append(b"".join(parts))
-        for known, long in dropped:
-            for c in long:
-                known.pop(c, None)
+            told: list[bytes] = []
+            for parts, unknown in row:
+                if unknown:
+                    if parts[0].__class__ is str:
+                        parts[0] = learned[0][parts[0]]
+                    now = learned[1]
+                    parts = [x if x.__class__ is bytes else now[x] for x in parts]
+                told += parts
+            out.append(b"".join(told))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:

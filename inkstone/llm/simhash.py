@@ -261,8 +261,8 @@ class Rule:
     similarity: float = 0.8
     prints: int = 3
     #: Texts and characters of a component that one task compares; larger ones go in blocks of so many texts.
-    texts: int = 2000
-    characters: int = 32_000_000
+    texts: int = 1000
+    characters: int = 8_000_000
 
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
