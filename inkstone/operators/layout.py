@@ -15,11 +15,14 @@ def lines(pages: DataFrame, keys: list[str], text_col: str = "text") -> DataFram
 
 
 def recurring(candidates: DataFrame, key: list[str], page: str, least: int | Column) -> DataFrame:
-    """Candidates whose key stands on at least so many different pages. Distinct pages are counted in two steps, so a key
-    that most rows share is reduced before it meets; then a semi join brings the candidates back."""
-    counted = candidates.select(*key, page).distinct().groupBy(*key).agg(F.count(page).alias("_pages"))
-    wanted = counted.where(F.col("_pages") >= least)
-    return candidates.join(wanted.select(*key), key, "left_semi")
+    """Candidates whose key stands on at least so many different pages. Only keys' digests (two hashes of 64 bits) and pages
+    are shuffled to count; distinct pages come first, so a key that most rows share is reduced before it meets. A semi join
+    brings the candidates back."""
+    marked = candidates.withColumn("_a", F.xxhash64(*key)).withColumn("_b", F.xxhash64(F.lit("b"), *key))
+    parts = ["_a", "_b"] if isinstance(least, int) else ["_a", "_b", *key]
+    counted = marked.select(*parts, page).distinct().groupBy(*parts).agg(F.count(page).alias("_pages"))
+    wanted = counted.where(F.col("_pages") >= least).select("_a", "_b")
+    return marked.join(wanted, ["_a", "_b"], "left_semi").drop("_a", "_b")
 
 
 def layout_reason(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> Column:

@@ -23,7 +23,7 @@ def recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a source that stand in three of its documents or more, digits apart."""
     pages = Relations(spark, sf_dir).table("documents").where("source is not null")
     rows = L.lines(pages.select(F.col("source").alias("paper_id"), F.col("doc_id").alias("page"), "text"), ["paper_id", "page"])
-    signed = rows.withColumn("sig", T.signature(F.col("content"))).where(F.col("sig").rlike("[a-z]"))
+    signed = rows.where(F.lower("content").rlike("[a-z]")).withColumn("sig", T.signature(F.col("content")))
     return L.recurring(signed, ["paper_id", "sig"], "page", 3).select("paper_id", "page", "line", "sig")
 
 

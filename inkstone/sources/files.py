@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import checks as C
-from ..operators import layout as L
 from ..operators.ranking import markdown_cell
 
 PAGE = "path string, page int, width double, height double, raw_text string"
@@ -126,7 +125,8 @@ def corpus(pages: DataFrame, least: int = 3) -> DataFrame:
     """pages (paper, page, raw_text) with text, its normal form without recurring lines, and n_removed: one pass finds the lines
     that recur on `least` pages of a paper, digits apart, a second one takes them out. Only signatures meet in the first."""
     lines = pages.select("paper", "page", F.posexplode(F.split("raw_text", "\n", -1)).alias("line", "content")).withColumn("sig", T.signature(F.col("content")))
-    often = L.recurring(lines.where(F.col("sig").rlike("[a-z]")).select("paper", "page", "sig").distinct(), ["paper", "sig"], "page", least).select("paper", "sig").distinct()
+    some = lines.where(F.lower("content").rlike("[a-z]")).select("paper", "page", "sig").distinct()
+    often = some.groupBy("paper", "sig").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     gone = often.groupBy("paper").agg(F.collect_set("sig").alias("_often"))  # the recurring lines of a paper
     kept = pages.join(gone, "paper", "left").withColumn("_lines", F.split("raw_text", "\n", -1))
     stays = F.filter("_lines", lambda x: ~F.coalesce(F.array_contains("_often", T.signature(x)), F.lit(False)))

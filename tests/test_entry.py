@@ -40,12 +40,19 @@ def test_rows_like_sql(spark, tables, name):
     assert sorted((tuple(plain(r[c]) for c in sorted(names)) for r in got.collect()), key=repr) == want
 
 
-def test_imports_without_optional_folders(tmp_path):
+def test_works_without_optional_folders(tmp_path):
+    """The rest of the library imports, and its tests pass, where the training-data folders and the pipeline are gone."""
     root = Path(__file__).resolve().parents[1]
-    (tmp_path / "inkstone").mkdir()
-    for p in (root / "inkstone").iterdir():
-        if p.name != "llm":
-            (tmp_path / "inkstone" / p.name).symlink_to(p)
+    for folder in ("inkstone", "tests"):
+        (tmp_path / folder).mkdir()
+        for p in (root / folder).iterdir():
+            if p.name != "llm":
+                (tmp_path / folder / p.name).symlink_to(p)
     (tmp_path / "__spark_entry__.py").symlink_to(root / "__spark_entry__.py")
-    code = "import __spark_entry__ as e; assert not [q for q in e.queries() if q.startswith('op') or q == 'pipeline']; assert e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    (tmp_path / "tests" / "conftest.py").unlink()
+    (tmp_path / "tests" / "conftest.py").write_text((root / "tests" / "conftest.py").read_text())
+    code = "import __spark_entry__ as e, inkstone; assert inkstone.__file__.startswith({!r}); assert not [q for q in e.queries() if q.startswith('op') or q == 'pipeline']; assert e.oracle_sql()"
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", code.format(str(tmp_path))], cwd=tmp_path, check=True, env=env)
+    if not os.environ.get("INKSTONE_STRIPPED"):
+        subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests/test_documents.py", "tests/test_sources.py"], cwd=tmp_path, check=True, env=env | {"INKSTONE_STRIPPED": "1"})
