@@ -393,7 +393,7 @@ def _block(rest: DataFrame, large: DataFrame, rule: Rule, scratch: Scratch, sche
     the component with these, dealt to tasks: (links found, texts left for the next round)."""
     order = Window.partitionBy("component").orderBy("key")
     own = rest.join(large, "component")
-    width = F.greatest(F.lit(1), F.least(F.lit(rule.texts), F.floor(F.lit(rule.texts) * rule.characters / F.greatest("chars", F.lit(1)))))
+    width = F.greatest(F.lit(1), F.least(F.lit(rule.texts), F.floor(F.lit(float(rule.texts * rule.characters)) / F.greatest("chars", F.lit(1)))))
     first = own.withColumn("k", F.row_number().over(order)).where((F.col("k") <= rule.texts) & (F.col("k") <= width))
     first = scratch.write(first.select("same", "key", "component", "text"))
 

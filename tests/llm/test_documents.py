@@ -157,7 +157,7 @@ def test_similar_texts_like_all_pairs(spark, copies):
         want[i] = near[0] if near else i
         stand += [] if near else [i]
     frame = spark.createDataFrame(copies, "key long, text string")
-    for rule in (simhash.Rule(), simhash.Rule(texts=4), simhash.Rule(characters=4000)):
+    for rule in (simhash.Rule(), simhash.Rule(texts=4, characters=1_000_000_000), simhash.Rule(characters=4000)):
         got = simhash.similar(frame, "key", rule=rule).collect()
         assert len(got) == len(copies)
         assert sum(r["leader"] == want[r["key"]] for r in got) >= 0.98 * len(got)
