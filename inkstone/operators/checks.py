@@ -164,7 +164,8 @@ def selection_errors(roster: DataFrame, selections: DataFrame, told: DataFrame,
         "skipped twice": c("k") > 1, "selected and skipped": (c("s") > 0) & (c("k") > 0),
     }
     out = out.unionByName(counts.select("paper_id", c("name").alias("subject"), every(named).alias("error")))
-    due = selections.select("paper_id").join(known.where("_open").select("name"))  # a roster is a fixed list of a score of names
+    names = known.where("_open").agg(F.collect_list("name").alias("_names"))  # one row
+    due = selections.select("paper_id").crossJoin(names).select("paper_id", F.explode("_names").alias("name"))
     missing = due.join(told.select("paper_id", "name").distinct(), ["paper_id", "name"], "left_anti")
     return out.unionByName(missing.select("paper_id", c("name").alias("subject"), F.lit("unaccounted").alias("error"))).distinct()
 
@@ -175,7 +176,8 @@ def guarded_selection(roster: DataFrame, selection: DataFrame) -> DataFrame:
     c = F.col
     unsure = c("paper_type").isin("mixed", "unknown") | ~c("confidence").eqNullSafe(F.lit("high"))
     theory = (c("paper_type") == "theory") & (c("name") == "theory_logic_auditor")
-    some = selection.join(F.broadcast(roster.where("enabled")))  # a roster is a fixed list of a score of names
+    names = roster.where("enabled").agg(F.collect_list(F.struct("name", "optional")).alias("_names"))  # one row
+    some = selection.crossJoin(names).select("*", F.inline("_names"))
     return some.where(~c("optional") | unsure | theory | F.array_contains("selected", c("name"))).select("paper_id", "name")
 
 

@@ -42,18 +42,17 @@ def sum_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checks(spark, sf_dir).select("o_orderkey", N.verdicts(F.col("c")).alias("v")).select("o_orderkey", "v.status", "v.computed")
 
 
-@query(oracle("""WITH w AS (SELECT conv_id, turn, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS t FROM conversations),
-c AS (SELECT conv_id, turn, t, count(*) AS n FROM w WHERE t <> '' GROUP BY ALL), p AS (SELECT a.conv_id, coalesce(a.t, b.t) AS t, a.n AS a FROM c a JOIN c b ON FALSE),
-l AS (SELECT conv_id, t, n FROM c WHERE turn = 0), r AS (SELECT conv_id, t, n FROM c WHERE turn = 1),
-f AS (SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.n, 0) AS a, coalesce(r.n, 0) AS b FROM l FULL JOIN r ON l.conv_id = r.conv_id AND l.t = r.t)
-SELECT conv_id, round(coalesce(sum(a * b) / nullif(sqrt(sum(a * a)) * sqrt(sum(b * b)), 0), 0), 6) AS cosine, count(*) FILTER (a > 0 AND b > 0) AS shared FROM f GROUP BY 1"""))
+@query("""WITH w AS (SELECT conv_id, turn, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS t FROM conversations),
+c AS (SELECT conv_id, turn, t, count(*) AS n FROM w WHERE t <> '' GROUP BY ALL), l AS (SELECT conv_id, turn, t, n FROM c), r AS (SELECT conv_id, turn - 1 AS turn, t, n FROM c WHERE turn > 0),
+f AS (SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.turn, r.turn) AS turn, coalesce(l.n, 0) AS a, coalesce(r.n, 0) AS b FROM l FULL JOIN r ON l.conv_id = r.conv_id AND l.turn = r.turn AND l.t = r.t)
+SELECT conv_id, turn, round(coalesce(sum(a * b) / nullif(sqrt(sum(a * a)) * sqrt(sum(b * b)), 0), 0), 6) AS cosine, count(*) FILTER (a > 0 AND b > 0) AS shared FROM f GROUP BY 1, 2""")
 def turn_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word cosine of each conversation's first two turns."""
-    rows = Relations(spark, sf_dir).table("conversations")
+    """Word cosine of every turn of a conversation with the next; 0 after the last."""
     words = F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " "), lambda w: w != "")
-    turn = lambda k: rows.where(F.col("turn") == k).select("conv_id", words.alias("tokens"))
-    out = S.tf_cosine(turn(0), turn(1), ["conv_id"])
-    return out.select("conv_id", F.round("cosine", 6).alias("cosine"), "shared")
+    rows = Relations(spark, sf_dir).table("conversations").select("conv_id", "turn", words.alias("tokens"))
+    after = rows.where("turn > 0").withColumn("turn", F.col("turn") - 1)
+    out = S.tf_cosine(rows, after, ["conv_id", "turn"])
+    return out.select("conv_id", "turn", F.round("cosine", 6).alias("cosine"), "shared")
 
 
 FILES = "SELECT doc_id, lang AS paper_sha, CONCAT('pages/', CAST(doc_id AS VARCHAR(20)), '.txt') AS path, text AS content, CAST(doc_id % 40 + 1 AS INT) AS page FROM documents WHERE lang IS NOT NULL"

@@ -347,7 +347,7 @@ def test_state_and_checks(spark):
     decisions = [(1, "merged", 2), (2, "merged", 3), (3, "included", None), (4, "merged", 5), (5, "merged", 4), (6, "merged", 99), (7, "merged", 8), (8, "rejected", None)]
     got = {r["id"]: (r["terminal"], r["error"]) for r in C.terminals(spark.createDataFrame(decisions, "id long, disposition string, destination long")).collect()}
     assert got == {1: (3, None), 2: (3, None), 4: (None, "cycle"), 5: (None, "cycle"), 6: (None, "unknown destination"), 7: (None, "rejected")}
-    names = {"OPENAI_API_KEY": True, "KEYBOARD": False, "DB_PASSWORD": True, "API_NAME": False}
+    names = {"STORE_API_KEY": True, "KEYBOARD": False, "DB_PASSWORD": True, "API_NAME": False}
     assert {n: one(spark, C.sensitive(F.col("c")), c=n) for n in names} == names
     listing = spark.createDataFrame([("x/table_1.csv",), ("x/table_2.csv",), ("x/table.csv",)], "path string")
     assert [r["path"] for r in C.stale(listing, spark.createDataFrame([("x/table_1.csv",)], "path string"), "table").collect()] == ["x/table_2.csv"]
