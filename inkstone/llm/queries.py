@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embedding_dedup, langid, licenses, lm, packing, pii, quality_classifier, simhash
+from . import ann, bpe, conversation_repair, conversation_trie, embedding_dedup, langid, licenses, lm, packing, pii, quality_classifier, simhash
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -53,6 +53,14 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digests(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.rebuilt_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_embedding_near_dedup,
         op9_license_scan,
         op10_bpe_codec,
+        op11_conversation_repair,
+        op13_conversation_trie,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op9_license_scan": licenses.scan_sql()}
