@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, conversation_repair, conversation_trie, embedding_dedup, langid, licenses, lm, packing, pii, quality_classifier, simhash
+from . import ann, bpe, conversation_repair, conversation_trie, embedding_dedup, html_extraction, langid, licenses, lm, packing, pii, quality_classifier, simhash
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -57,6 +57,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digests(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.rebuilt_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_license_scan,
         op10_bpe_codec,
         op11_conversation_repair,
+        op12_html_extraction,
         op13_conversation_trie,
     )
 }
