@@ -55,7 +55,7 @@ ENTRY_START = (
 REPEATED_AUTHOR = r"(?i)^(?:and\s*,|(?:,\s*)+(?:and\s+)?).{2,}"
 YEAR = r"(?i)\b(?:19|20)\d{2}[a-z]?\b"
 TABLE_NUMBER = r"[-−]?(?:(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?|\.\d+)"
-CELL = rf"(?:\(\s*{TABLE_NUMBER}\s*,\s*{TABLE_NUMBER}\s*\)\**|\(\s*{TABLE_NUMBER}\s?(?:%|pp|bps|bp)?\s*\)\**|{TABLE_NUMBER}\s?(?:%|pp|bps|bp)?\**|[Yy]es|[Nn]o|[-–—]|✓)"
+CELL = rf"(?:\(\s*{TABLE_NUMBER}\s*,\s*{TABLE_NUMBER}\s*\)\**|\(\s*{TABLE_NUMBER}\s?(?:%|pp|bps|bp)?\s*\)\**|{TABLE_NUMBER}\s?(?:%|pp|bps|bp)?\**|(?i:yes|no)|[-–—]|✓)"
 URL = r"https?://[^\s<>\"\]]+"
 
 
@@ -363,16 +363,78 @@ def trailing_cells(c: Column) -> Column:
     return F.struct(label.alias("label"), F.regexp_extract_all(tail, F.lit(rf"({CELL})(?=\s|$)"), 1).alias("cells"))
 
 
+def captioned_rows(lines: DataFrame, keys: list[str], content: str = "content", line: str = "line") -> DataFrame:
+    """keys, line, label, cells and source of the lines below a table's caption that are its rows.
+
+    A line with cells is a row, so is one without that begins with Panel or has ten words at most, and any once there is a
+    row. Blank lines and table captions are none; a note (`Note:`, `Notes:`, stars of significance) ends the table, and so
+    does, below a row, a line without cells that is a heading or a figure's caption. Kinds of lines are one projection, what
+    stands above is running maxima of one window over a table's lines."""
+    s, c = T.squash(F.col(content)), F.col
+    words = F.size(F.split("_s", " "))
+    note = c("_s").rlike(NOTE_START) | c("_s").startswith("* p ") | c("_s").startswith("* p<")
+    figure = c("_s").rlike(CAPTION) & ~c("_s").rlike(r"(?i)^table\b")
+    rows = lines.select(*keys, line, s.alias("_s")).where("_s <> ''").withColumn("_note", note)
+    rows = rows.withColumn("_t", trailing_cells(c("_s"))).withColumn("_caption", c("_s").rlike(CAPTION) & c("_s").rlike(r"(?i)^table\b"))
+    rows = rows.withColumn("_own", ~c("_caption") & ((F.size("_t.cells") > 0) | c("_s").startswith("Panel ") | (words <= 10)))
+    rows = rows.withColumn("_end", F.when(~c("_caption") & (F.size("_t.cells") == 0), figure | is_heading(c("_s"))).otherwise(False))
+    order = Window.partitionBy(*keys).orderBy(line)
+    here, above = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_noted", F.max("_note").over(here))
+    rows = rows.withColumn("_begun", F.coalesce(F.max(c("_own") & ~c("_noted")).over(above), F.lit(False)))
+    rows = rows.withColumn("_ended", F.max(c("_noted") | (c("_begun") & c("_end"))).over(here))
+    kept = rows.where(~c("_ended") & ~c("_caption") & (c("_own") | c("_begun")))
+    return kept.select(*keys, line, "_t.label", "_t.cells", c("_s").alias("source"))
+
+
 def table_rows(lines: DataFrame, keys: list[str], content: str = "content", line: str = "line") -> DataFrame:
-    """keys, line, label, cells, width and flags of table lines: cells padded to the table's width; ragged says that
-    lines differ, sparse that under two fifths of the cells are filled."""
-    rows = lines.select(*keys, line, trailing_cells(F.col(content)).alias("t")).where(F.size("t.cells") > 0)
+    """keys, line, label, cells, width and flags of a table's rows: cells padded to the table's width; ragged says that
+    rows differ, sparse that under two fifths of the cells are filled."""
+    rows = captioned_rows(lines, keys, content, line).drop("source")
     sizes = rows.groupBy(*keys).agg(
-        F.max(F.size("t.cells")).alias("width"), (F.min(F.size("t.cells")) < F.max(F.size("t.cells"))).alias("ragged"),
-        (F.sum(F.size("t.cells")) < F.lit(0.4) * F.count("*") * F.max(F.size("t.cells"))).alias("sparse"),
+        F.max(F.size("cells")).alias("width"), (F.min(F.size("cells")) < F.max(F.size("cells"))).alias("ragged"),
+        (F.sum(F.size("cells")) < F.lit(0.4) * F.count("*") * F.max(F.size("cells"))).alias("sparse"),
+    )
+    padded = F.concat("cells", F.array_repeat(F.lit(""), F.col("width") - F.size("cells")))
+    return rows.join(sizes, keys).select(*keys, line, "label", padded.alias("cells"), "width", "ragged", "sparse")
+
+
+def header_names(source: Column) -> Column:
+    """The names of a header line: its words, one that ends with a stop together with a number after it."""
+    return F.regexp_extract_all(source, F.lit(r"(\S*\. \d+[A-Za-z]?(?!\S)|\S+)"), 1)
+
+
+def structured_tables(lines: DataFrame, keys: list[str], content: str = "content", line: str = "line") -> DataFrame:
+    """keys, columns, rows, promoted, status and flags, one row a table of lines below a caption.
+
+    The first row names the columns if it has a name for the label and each value of the other rows, two of them with
+    letters. Rows are label and cells, padded. flags: no_structured_cells (no row), no_value_columns, ragged_rows,
+    possible_prose_contamination (a row without cells of more than twelve words); status says what they amount to."""
+    rows = captioned_rows(lines, keys, content, line)
+    listed = F.array_sort(F.collect_list(F.struct(line, "label", "cells", "source")))
+    every = lines.select(*keys).distinct()
+    one = every.join(rows.groupBy(*keys).agg(listed.alias("r")), keys, "left").withColumn("r", F.coalesce("r", F.array().cast(f"array<struct<{line}:{lines.schema[line].dataType.simpleString()},label:string,cells:array<string>,source:string>>")))
+    widest = lambda x: F.coalesce(F.array_max(F.transform(x, lambda y: F.size(y["cells"]))), F.lit(0))
+    rest = F.slice("r", 2, F.greatest(F.size("r"), F.lit(1)))
+    one = one.withColumn("_names", header_names(F.coalesce(F.get("r", F.lit(0))["source"], F.lit("")))).withColumn("_width", widest(rest))
+    letters = F.size(F.filter("_names", lambda n: n.rlike(r"\p{L}")))
+    one = one.withColumn("promoted", (F.size("r") > 1) & (F.col("_width") > 0) & (F.size("_names") == F.col("_width") + 1) & (letters >= 2))
+    one = one.withColumn("b", F.when(F.col("promoted"), rest).otherwise(F.col("r"))).withColumn("_most", widest(F.col("b")))
+    values = F.when(F.col("_most") > 0, F.transform(F.sequence(F.lit(1), F.greatest("_most", F.lit(1))), lambda i: F.concat(F.lit("value_"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    columns = F.when(F.col("promoted"), F.col("_names")).otherwise(F.concat(F.array(F.lit("row_label")), values))
+    padded = F.transform("b", lambda x: F.concat(F.array(x["label"]), x["cells"], F.array_repeat(F.lit(""), F.col("_most") - F.size(x["cells"]))))
+    prose = F.exists("b", lambda x: (F.size(x["cells"]) == 0) & (F.size(F.split(x["source"], " ")) > 12))
+    named = {"no_value_columns": F.col("_most") == 0, "ragged_rows": F.exists("b", lambda x: F.size(x["cells"]) != F.col("_most")), "possible_prose_contamination": prose}
+    flags = F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in named.items())))
+    none = F.size("b") == 0
+    status = (
+        F.when(none, "caption_text_only").when(F.col("_most") == 0, "caption_text_unstructured").when(prose, "caption_text_contaminated")
+        .otherwise("caption_text_needs_visual_verification")
+    )
+    return one.select(
+        *keys, columns.alias("columns"), padded.alias("rows"), "promoted", status.alias("status"),
+        F.when(none, F.array(F.lit("no_structured_cells"))).otherwise(flags).alias("flags"),
     )
-    padded = F.concat("t.cells", F.array_repeat(F.lit(""), F.col("width") - F.size("t.cells")))
-    return rows.join(sizes, keys).select(*keys, line, "t.label", padded.alias("cells"), "width", "ragged", "sparse")
 
 
 def urls(c: Column) -> Column:

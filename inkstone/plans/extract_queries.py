@@ -225,6 +225,54 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.table_rows(_table_lines(spark, sf_dir), ["table_id"]).withColumn("cells", F.array_join("cells", "|"))
 
 
+# Lines of captioned tables, by order of a customer: rows of two or three cells, captions, panels, notes, figures, headings,
+# names of columns, prose and blank lines.
+_LINES = """CASE WHEN o_orderkey % 23 = 0 THEN 'Table 1: Wages by sex in 2010' WHEN o_orderkey % 46 = 3 THEN 'Notes: based on 120 rows 30 40' WHEN o_orderkey % 69 = 5 THEN '* p<0.1 ** 5'
+  WHEN o_orderkey % 46 = 7 THEN 'Figure 2: Other 5' WHEN o_orderkey % 46 = 9 THEN 'Figure 3: Other sums' WHEN o_orderkey % 46 = 11 THEN 'IV. Results' WHEN o_orderkey % 23 = 13 THEN concat('Panel ', substring(o_orderpriority, 3, 1))
+  WHEN o_orderkey % 23 = 15 THEN 'Model Ex. 1 Ex. 2' WHEN o_orderkey % 46 = 17 THEN '  ' WHEN o_orderkey % 46 = 19 THEN 'the sums here are those that all of the firms in this town had once, as said'
+  WHEN o_orderkey % 46 = 21 THEN 'all of the firms' WHEN o_orderkey % 46 = 22 THEN 'the sums here are those that all of the firms had'
+  ELSE concat(substring(o_orderpriority, 3, 20), '  ', CAST(o_orderkey % 97 AS VARCHAR(9)), '.5 (', CAST(o_custkey % 13 AS VARCHAR(9)), ')', CASE WHEN o_orderkey % 29 = 0 THEN ' 12%**' ELSE '' END) END"""
+_CAPTIONED = f"SELECT o_custkey % 400 AS table_id, o_orderkey AS line, {_LINES} AS content FROM orders WHERE o_orderkey % 3 = o_custkey % 3"
+# By where the first row, the first note and the first end below a row stand, not by running states.
+_KEPT = rf"""WITH lines AS ({_CAPTIONED}), s AS (SELECT table_id, line, trim(regexp_replace(content, ' +', ' ', 'g')) AS s FROM lines),
+t AS (SELECT *, regexp_extract(s, '((^| )(\(?-?[0-9][0-9,.]*\)?%?\**|[Yy]es|[Nn]o|-))+$') AS tail FROM s WHERE s <> ''),
+k AS (SELECT *, CASE WHEN trim(tail) = '' THEN [] ELSE string_split(trim(tail), ' ') END AS cells, trim(left(s, length(s) - length(tail))) AS label, len(string_split(s, ' ')) AS words,
+ regexp_matches(s, '^Table [0-9]+(: .*)?$') AS caption, regexp_matches(s, '^(Notes?:|\* p[ <])') AS note, regexp_matches(s, '^(Figure [0-9]+: |[IVX]+\. [A-Z])') AS ends FROM t),
+n AS (SELECT k.*, coalesce(noted, 1e18) AS noted FROM k LEFT JOIN (SELECT table_id, min(line) AS noted FROM k WHERE note GROUP BY 1) USING (table_id)),
+f AS (SELECT n.*, coalesce(first, 1e18) AS first FROM n LEFT JOIN (SELECT table_id, min(line) AS first FROM n WHERE line < noted AND NOT caption AND (len(cells) > 0 OR starts_with(s, 'Panel ') OR words <= 10) GROUP BY 1) USING (table_id)),
+e AS (SELECT f.*, coalesce(stop, 1e18) AS stop FROM f LEFT JOIN (SELECT table_id, min(line) AS stop FROM f WHERE ends AND len(cells) = 0 AND line > first GROUP BY 1) USING (table_id)),
+kept AS (SELECT * FROM e WHERE NOT caption AND line < noted AND line < stop AND line >= first)"""
+
+
+def _captioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Relations(spark, sf_dir).sql(_CAPTIONED)
+
+
+@query(_KEPT + """
+SELECT table_id, line, label, array_to_string(cells, '|') AS cells FROM kept""")
+def captioned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of tables whose lines hold captions, panels, notes, figures and headings too."""
+    return X.captioned_rows(_captioned(spark, sf_dir), ["table_id"]).select("table_id", "line", "label", F.array_join("cells", "|").alias("cells"))
+
+
+@query(_KEPT + r""", o AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY line) AS nr, string_split(replace(s, '. ', '.~'), ' ') AS names FROM kept),
+w AS (SELECT table_id, count(*) AS n, coalesce(max(len(cells)) FILTER (WHERE nr > 1), 0) AS width, min_by(names, nr) AS names FROM o GROUP BY 1),
+h AS (SELECT table_id, names, n > 1 AND width > 0 AND len(names) = width + 1 AND len(list_filter(names, lambda x: regexp_matches(x, '[A-Za-z]'))) >= 2 AS promoted FROM w),
+b AS (SELECT o.*, promoted, h.names AS header, max(len(cells)) OVER (PARTITION BY o.table_id) AS most FROM o JOIN h USING (table_id) WHERE NOT promoted OR nr > 1),
+g AS (SELECT table_id, any_value(promoted) AS promoted, any_value(most) AS most, any_value(header) AS header, bool_or(len(cells) <> most) AS ragged, bool_or(len(cells) = 0 AND words > 12) AS prose,
+ string_agg(label || '|' || array_to_string(list_concat(cells, list_resize(CAST([] AS VARCHAR[]), most - len(cells), '')), '|'), chr(10) ORDER BY line) AS rows FROM b GROUP BY 1)
+SELECT table_id, coalesce(CASE WHEN promoted THEN replace(array_to_string(header, '|'), '~', ' ') ELSE array_to_string(list_concat(['row_label'], list_transform(range(1, most + 1), lambda i: 'value_' || i)), '|') END, 'row_label') AS columns,
+ coalesce(rtrim(rows, chr(0)), '') AS rows, coalesce(promoted, false) AS promoted,
+ CASE WHEN rows IS NULL THEN 'caption_text_only' WHEN most = 0 THEN 'caption_text_unstructured' WHEN prose THEN 'caption_text_contaminated' ELSE 'caption_text_needs_visual_verification' END AS status,
+ CASE WHEN rows IS NULL THEN 'no_structured_cells' ELSE concat_ws(' ', CASE WHEN most = 0 THEN 'no_value_columns' END, CASE WHEN ragged THEN 'ragged_rows' END, CASE WHEN prose THEN 'possible_prose_contamination' END) END AS flags
+FROM (SELECT DISTINCT table_id FROM lines) LEFT JOIN g USING (table_id)""")
+def structured_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of those lines with columns, padded rows, status and flags."""
+    found = X.structured_tables(_captioned(spark, sf_dir), ["table_id"])
+    rows = F.array_join(F.transform("rows", lambda r: F.when(F.size(r) == 1, F.concat(r[0], F.lit("|"))).otherwise(F.array_join(r, "|"))), "\n")
+    return found.select("table_id", F.array_join("columns", "|").alias("columns"), rows.alias("rows"), "promoted", "status", F.array_join("flags", " ").alias("flags"))
+
+
 @query(r"""SELECT page_id, regexp_replace(regexp_extract(url, 'https?://[^\s<>"\]]+'), '[.,;:]+$', '') AS urls, 'see ' || url AS section FROM pages WHERE regexp_matches(url, '^https?://[^\s<>"\]()]')""")
 def report_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of a report that names each page twice, once in brackets, and its section of sources."""

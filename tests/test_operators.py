@@ -164,6 +164,45 @@ def test_supported_captions(spark):
     assert [one(spark, X.panel_label(F.col("c")), c=c) for c in ("Panel B: x", "panel 2", "Panels", "x")] == ["b", "2", None, None]
 
 
+def test_rows_of_captioned_tables(spark):
+    lines = {
+        1: ["Table 1: Wages by sex in 2010", "Panel A", "Men 10 20", "Women  30 (0.5)", "Notes: based on 120 rows 30 40", "Men 1 2"],
+        2: ["Table 4: Sizes", "Base 993 1,023", "3.2 Design and Sample", "The work was done in three studies 5 6."],
+        3: ["Figure 2: Other 5", "Figure 3: Other sums", "a b 1", "Figure 4: The end", "c 2"],
+        4: ["one two three four five six seven eight nine ten eleven", "short label", "one two three four five six seven eight nine ten eleven", "* p<0.1 3 4"],
+        5: ["Model Ex. 1 Ex. 2 Ex. 3", "Base 0.24 -0.68 0.32", "Other 0.46 - YES"],
+        6: ["Table 2", "", "  "],
+        7: ["a 1", "b 2 3", "one two three four five six seven eight nine ten eleven twelve thirteen"],
+        8: ["alone", "words"],
+        9: ["Note: nothing here 1 2"],
+    }
+    frame = spark.createDataFrame([(t, i, x) for t, xs in lines.items() for i, x in enumerate(xs, 1)], "table_id int, line int, content string")
+    rows = {}
+    for r in X.captioned_rows(frame, ["table_id"]).orderBy("table_id", "line").collect():
+        rows.setdefault(r["table_id"], []).append((r["line"], r["label"], r["cells"]))
+    assert rows == {
+        1: [(2, "Panel A", []), (3, "Men", ["10", "20"]), (4, "Women", ["30", "(0.5)"])],
+        2: [(2, "Base", ["993", "1,023"])],
+        3: [(1, "Figure 2: Other", ["5"])],
+        4: [(2, "short label", []), (3, lines[4][2], [])],
+        5: [(1, "Model Ex. 1 Ex. 2 Ex.", ["3"]), (2, "Base", ["0.24", "-0.68", "0.32"]), (3, "Other", ["0.46", "-", "YES"])],
+        7: [(1, "a", ["1"]), (2, "b", ["2", "3"]), (3, lines[7][2], [])],
+        8: [(1, "alone", []), (2, "words", [])],
+    }
+    tables = {r["table_id"]: r for r in X.structured_tables(frame, ["table_id"]).collect()}
+    assert (tables[5]["promoted"], tables[5]["columns"]) == (True, ["Model", "Ex. 1", "Ex. 2", "Ex. 3"])
+    assert tables[5]["rows"] == [["Base", "0.24", "-0.68", "0.32"], ["Other", "0.46", "-", "YES"]]
+    assert tables[1]["rows"] == [["Panel A", "", ""], ["Men", "10", "20"], ["Women", "30", "(0.5)"]] and tables[1]["columns"] == ["row_label", "value_1", "value_2"]
+    review, prose = "caption_text_needs_visual_verification", "possible_prose_contamination"
+    assert {t: (r["status"], r["flags"]) for t, r in tables.items()} == {
+        1: (review, ["ragged_rows"]), 2: (review, []), 3: (review, []), 4: ("caption_text_unstructured", ["no_value_columns"]), 5: (review, []),
+        6: ("caption_text_only", ["no_structured_cells"]), 7: ("caption_text_contaminated", ["ragged_rows", prose]),
+        8: ("caption_text_unstructured", ["no_value_columns"]), 9: ("caption_text_only", ["no_structured_cells"]),
+    }
+    flags = {(r["table_id"], r["line"]): (r["width"], r["ragged"], r["sparse"]) for r in X.table_rows(frame, ["table_id"]).collect()}
+    assert flags[1, 2] == (2, True, False) and flags[2, 2] == (2, False, False) and flags[8, 1] == (0, False, False)
+
+
 def test_cells_addresses_tables(spark):
     cells = one(spark, X.trailing_cells(F.col("c")), c="Log of income 0.12*** (0.03) -1,234.5 12% Yes")
     assert (cells["label"], cells["cells"]) == ("Log of income", ["0.12***", "(0.03)", "-1,234.5", "12%", "Yes"])
