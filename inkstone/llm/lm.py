@@ -421,12 +421,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, settings: Settings) -> DataF
     """(row, doc_id, held_out, slice, n_tokens, n_known, base, model, rare, signs) of each row of docs.
 
     signs are the network's inputs, two bytes each; base and model are what the known words' counts add to either score;
-    rare holds the other words, parted by spaces.
+    rare holds the other words, each once, and times how often each stands in the row.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = (
         "row long, doc_id long, held_out boolean, slice int, n_tokens long, n_known long, base double, model double,"
-        " rare string, signs binary"
+        " rare array<string>, times array<long>, signs binary"
     )
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -451,7 +451,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, settings: Settings) -> DataF
             unknown = np.flatnonzero(at < 0)
             for i, k in zip(unknown.tolist(), (np.searchsorted(edges, unknown, side="right") - 1).tolist(), strict=True):
                 rare[k].append(words[i])
-            out["rare"] = [b" ".join(x).decode().strip() for x in rare]
+            met = [Counter(w for w in x if w != END) for x in rare]
+            out["rare"] = [[w.decode() for w in x] for x in met]
+            out["times"] = [[*x.values()] for x in met]
             raw = signs.tobytes()
             out["signs"] = [raw[2 * a : 2 * b] for a, b in pairwise(edges.tolist())]
             yield out
@@ -540,10 +542,11 @@ def score(encoded: DataFrame, vocabulary: Vocabulary, weights: Weights, counts:
             yield scored(held, network)
 
     found = encoded.select(*kept, "signs").mapInPandas(partial, encoded.select(*kept).schema)
-    rare = encoded.where("rare <> ''").select("row", F.explode(F.split("rare", " ")).alias("word")).withColumn("word", F.col("word").cast("binary"))
+    rare = encoded.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("w"))
+    rare = rare.select("row", F.col("w.rare").cast("binary").alias("word"), "w.times")
     rarer = counts.where(F.col("n") <= int(vocabulary.counts[-1])) if vocabulary.words else counts
     added = rare.join(rarer, "word", "left").groupBy("row").agg(
-        F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("more"), F.count("n").alias("met")
+        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("met")
     )
     more = F.coalesce("more", F.lit(0.0))
     return found.join(added, "row", "left").select(
