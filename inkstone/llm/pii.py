@@ -54,16 +54,18 @@ LAST_LABEL = re.compile(r"\.(?:com|org|net|edu|gov|mil|int|info|biz|app|dev|name
 GLYPHS = _glyphs()
 _GLYPH = "[" + "".join(map(re.escape, GLYPHS)) + "]"
 _WORD = "|".join(DIGIT_WORDS)
+_NUMBER = rf"(?:{_WORD}|[0-9]{{1,3}})(?:[\s,-]{{1,3}}(?:{_WORD}|[0-9])){{0,2}}"
 _TOKEN = re.compile(
     rf"(?P<glyph>{_GLYPH})"
+    rf"|(?P<quad>\b{_NUMBER}(?:\s{{1,3}}(?:dot|point)\s{{1,3}}{_NUMBER}){{3}}\b)"
     r"|(?P<at>\s{0,3}[\[({<]\s{0,2}(?:at|AT|At|@)\s{0,2}[\])}>]\s{0,3}|(?<=[A-Za-z0-9])\s{1,2}@\s{1,2}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\s{1,3}(?:at|AT)\s{1,3}(?=[A-Za-z0-9-]{1,63}(?:\s{1,3}(?:dot|DOT)\s|\s{0,3}[\[({<]\s{0,2}(?:dot|DOT|Dot|\.))))"
-    r"|(?P<bare>(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,3}\.(?:com|org|net|edu|gov)\b))"
+    r"|(?P<bare>(?<=[A-Za-z0-9])\s{1,3}at\s{1,3}(?=[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,3}\.[A-Za-z]{2,24}\b))"
     r"|(?P<dot>\s{0,3}[\[({<]\s{0,2}(?:dot|DOT|Dot|\.)\s{0,2}[\])}>]\s{0,3}|(?<=[A-Za-z0-9])\s{1,3}(?:dot|DOT)\s{1,3}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\s{1,2}\.\s{1,2}(?=(?:com|org|net|edu|gov)\b))"
     rf"|(?P<digits>\b(?:plus[\s-]{{1,3}})?(?:{_WORD})(?:[\s,.-]{{1,3}}(?:{_WORD}|[0-9]))+\b)",
     re.IGNORECASE,
 )
 _ANY_GLYPH = re.compile(_GLYPH, re.IGNORECASE)
-_DOT = re.compile(r"\bdot\b")
+_DOT = re.compile(r"\b(?:dot|point)\b")
 _BRACKETED = re.compile(r"[\[({<]\s{0,2}(?:dot|\.|(?:at|@)\s{0,2}[\])}>])")
 _APART = re.compile(r"\s@\s")
 _BARE = re.compile(r"[a-z0-9]\s{1,3}at\s{1,3}[a-z0-9-]{1,63}\.")
@@ -71,11 +73,18 @@ _BARE = re.compile(r"[a-z0-9]\s{1,3}at\s{1,3}[a-z0-9-]{1,63}\.")
 #: than a word, or a word that announces an address must stand before it (fixed values).
 _ONLY_AT = re.compile(r"(?P<local>[A-Za-z0-9._%+-]+)\s{1,3}at\s{1,3}[A-Za-z0-9.-]+", re.IGNORECASE)
 _MORE = re.compile(r"[0-9._%+-]")
-_ANNOUNCED = re.compile(r"\b(?:e-?mail(?:ed)?|mail|contact|reach(?: me)?|write(?: to)?|address(?: is)?)\W{1,4}(?:me |us |to |is )?\Z", re.IGNORECASE)
+_ANNOUNCED = re.compile(r"\b(?:e-?mail(?:ed)?|mail|contact|reach|write|address)(?:\W{1,4}(?:me|us|to|is|at|him|her|them)){0,2}\W{1,4}\Z", re.IGNORECASE)
+#: Both an at and a dot as words or apart: a disguise whatever the ending, unless prose stands there ("look at the dot above"),
+#: whose first word after `at` is one of these (fixed values).
+_AT_DOT = re.compile(r"[^\s@]\s{1,3}(?:at|@)\s{1,3}(?!(?:the|a|an|this|that|each|every|one|his|her|its|my|your|our|their|which|any|no)\s)[^\s@]+(?:\s{1,3}dot\s{1,3}[^\s@]+)+\Z", re.IGNORECASE)
+_WORDY = re.compile(r"\.(?:[a-z]{2,24}|[A-Z]{2,24})\Z")
+#: Letters set apart by single spaces before a disguised address's last one.
+_APART_LETTERS = re.compile(r"(?:(?<![A-Za-z0-9._%+-])[A-Za-z0-9] (?:[A-Za-z0-9._] )*)\Z")
 _ENDING = re.compile(r"\.\s{1,2}(?:com|org|net|edu|gov)\b")
 _RUNS = {w: re.compile(rf"{w}[\s,.-]{{1,3}}(?:{_WORD}|[0-9])") for w in DIGIT_WORDS}
 #: Letters that match s or i without regard to case, but are not so in lower case.
 _FOLDED = re.compile("[ſıİ]")
+_QUAD = re.compile(rf"{_WORD}|[0-9]|dot|point", re.IGNORECASE)
 _ONE = re.compile(rf"{_WORD}|[0-9]|plus", re.IGNORECASE)
 
 
@@ -134,6 +143,8 @@ def rewrite(text: str) -> tuple[str, list[tuple[int, int, int]]]:
         kind = m.lastgroup
         if kind == "glyph":
             new = GLYPHS.get(m[0], m[0])
+        elif kind == "quad":
+            new = "".join(DIGIT_WORDS.get(w.lower(), "." if w.lower() in ("dot", "point") else w) for w in _QUAD.findall(m[0]))
         elif kind == "digits":
             new = "".join(DIGIT_WORDS.get(w.lower(), "+" if w.lower() == "plus" else w) for w in _ONE.findall(m[0]))
         else:
@@ -189,12 +200,24 @@ def find_disguised(text: str, plain: list[Span]) -> list[Span]:
         a, b, changed = _back(places, start, end)
         i = bisect_right(taken, (a, 1 << 62))
         if changed and b > a and not (i and reach[i - 1] >= b):
-            proved = _BRACKETED.search(text[a:b].lower()) or _ANY_GLYPH.search(text, a, b)
-            if kind != "email" or proved or LAST_LABEL.search(new[start:end]) and not _prose(text, a, b):
+            if kind != "email" or _address(text, a, b, new[start:end]):
+                if kind == "email" and b - a > 2 and text[a + 1].isspace() and (apart := _APART_LETTERS.search(text, max(0, a - 128), a)):
+                    a = apart.start()
                 out.append((kind, a, b))
     return out
 
 
+def _address(text: str, start: int, end: int, plain: str) -> bool:
+    """Whether what reads as an address without its disguises is one: brackets, glyphs, and an at together with a dot prove
+    it; so does an @ apart before a domain that ends in letters of one case; else the ending must be known and no prose."""
+    own = text[start:end]
+    if _BRACKETED.search(own.lower()) or _ANY_GLYPH.search(own):
+        return True
+    if _WORDY.search(plain) and (_AT_DOT.search(own) or _APART.search(own)):
+        return True
+    return bool(LAST_LABEL.search(plain)) and not _prose(text, start, end)
+
+
 def _prose(text: str, start: int, end: int) -> bool:
     """Whether a span is a word, a bare `at` and a domain that nothing says is an address."""
     only = _ONLY_AT.fullmatch(text, start, end)
