@@ -34,24 +34,25 @@ def whole_sample(docs: DataFrame, groups: DataFrame, sizes: dict, group: str, te
     characters together: whole texts only, and one that no longer fits is passed over.
 
     docs are (doc_id, text) with ids and texts, groups (group, doc_id) what each id belongs to, and sizes tells how many ids
-    a group has. Ids are picked before texts are met, and more of them where too few have a text. Of an id's several texts
+    a group has. Ids are picked before texts are met, and more of them in groups where too few have a text. Of an id's several texts
     the smallest holds. The driver gets ids and sizes of some thousand rows a group.
     """
     spark = docs.sparkSession
-    mark, share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), 2.0
+    mark, share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), dict.fromkeys(sizes, 2.0)
     while True:
-        limits = [(g, int(min(1.0, share * texts / max(n, 1)) * (1 << 30))) for g, n in sizes.items()]
+        limits = [(g, int(min(1.0, share[g] * texts / max(n, 1)) * (1 << 30))) for g, n in sizes.items()]
         bound = spark.createDataFrame(limits, f"{group} {groups.schema[group].dataType.simpleString()}, below long")
         picked = groups.withColumn("mark", mark).join(F.broadcast(bound), group).where("mark < below").select(group, "doc_id", "mark").distinct()
-        few = sum(min(n, 2 * share * texts) for n in sizes.values()) <= 200_000
+        few = sum(min(n, 2 * share[g] * texts) for g, n in sizes.items()) <= 200_000
         some = docs.join(F.broadcast(picked) if few else picked, "doc_id").groupBy(group, "doc_id", "mark").agg(F.min("text").alias("text"))
         found = some.select(group, "mark", "doc_id", F.length("text").alias("n")).collect()
         count = dict.fromkeys(sizes, 0)
         for r in found:
             count[r[group]] += 1
-        if all(count[g] >= texts or below >= 1 << 30 for g, below in limits):
+        short = [g for g, below in limits if count[g] < texts and below < 1 << 30]
+        if not short:
             break
-        share *= 4
+        share |= {g: 4 * share[g] for g in short}
     kept, room, left = [], dict.fromkeys(sizes, size), dict.fromkeys(sizes, texts)
     for r in sorted(found, key=lambda r: (r["mark"], r["doc_id"])):
         if left[r[group]] and r["n"] <= room[r[group]]:

@@ -24,12 +24,14 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of what is learned from: languages (the most frequent), whole texts of each (the smallest hashes of ids), a
-    quarter of which calibrate, and their characters together."""
+    """Bounds of what is learned from: whole texts of each language (the smallest hashes of ids), a quarter of which
+    calibrate, and their characters together; of all languages together, so that many languages get fewer texts each, but
+    eight at least."""
 
-    languages: int = 512
     texts: int = 400
     characters: int = 4_000_000
+    all_texts: int = 40_000
+    all_characters: int = 256_000_000
     order: int = 4
     block: int = 1 << 19
     #: Letters of the windows that the temperature is fitted on.
@@ -221,19 +223,19 @@ def entropies(model: Model, texts: list[str], block: int) -> tuple[np.ndarray, n
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:  # noqa: B008
     """Learns from text and lang of rows where both are known and the id's crc32 modulo 5 is not 0; None without any.
 
-    The driver gets a count for each of `languages` languages, and of each some thousand ids with sizes and `characters`
-    characters of text.
+    The driver gets a count for each language, and of each some thousand ids with sizes and the texts that Settings bound;
+    every language is learned, however many there are.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.where("text is not null and lang is not null and doc_id is not null").select("lang", "doc_id", "text")
     rows = rows.where(bucket_of(F.col("doc_id"), 5) != 0)
-    often = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages)
-    counts = {r["lang"]: r["n"] for r in often.collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    known = rows.select("lang", "doc_id").where(F.col("lang").isin(*counts)) if len(counts) == settings.languages else rows.select("lang", "doc_id")
-    texts = whole_sample(rows.select("doc_id", "text"), known, counts, "lang", settings.texts, settings.characters)
+    most = min(settings.texts, max(8, settings.all_texts // len(counts)))
+    size = min(settings.characters, settings.all_characters // len(counts))
+    texts = whole_sample(rows.select("doc_id", "text"), rows.select("lang", "doc_id"), counts, "lang", most, size)
     learn: dict[str, list[np.ndarray]] = {}
     judge: list[tuple[str, np.ndarray]] = []
     for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["doc_id"])):
@@ -244,6 +246,9 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:  # no
             judge.append((r["lang"], codes))
         else:
             learn.setdefault(r["lang"], []).append(codes)
+    for lang, codes in judge:  # a language of few texts learns from them all
+        if lang not in learn:
+            learn[lang] = [codes]
     if not learn:
         return None
     return calibrated(train(learn, settings), [x for x in judge if x[0] in learn], settings)
@@ -314,7 +319,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", setti
     """docs with lang_pred, score, entropy (nats a letter) and rejected.
 
     Null texts and those without a letter, and all texts if nothing was learned, are `und` with score 0, rejected.
-    Rejected texts in letters keep the nearest language as lang_pred. Ties go to the first language by name.
+    Rejected texts in letters keep the nearest language as lang_pred. Ties go to the first language by name. Repeated rows
+    are judged alike, an empty table gives no rows; other columns stay, whatever their names, but those of the result's.
     """
     small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -336,7 +342,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", setti
         return out
 
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "entropy", "rejected", "_best")]
-    found = docs.select(*rest, best(F.col(text_col)).alias("_best"))
+    rest = [F.col(f"`{c}`") for c in rest]
+    found = docs.select(*rest, best(F.col(f"`{text_col}`")).alias("_best"))
     return found.select(*rest, "_best.*")
 
 

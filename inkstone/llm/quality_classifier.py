@@ -137,10 +137,11 @@ def _difference(docs: DataFrame, model: Model):
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score (probability of label 1; empty and null texts get that of no difference) and predicted."""
+    """docs with score (probability of label 1; empty and null texts get that of no difference) and predicted. Repeated rows
+    are judged alike, an empty table gives no rows; other columns stay, whatever their names, but score and predicted."""
     small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("score", "predicted")]
-    x = _difference(docs, model)(F.col(text_col))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
+    x = _difference(docs, model)(F.col(f"`{text_col}`"))
     scored = docs.select(*rest, x.alias("score")).withColumn(
         "score", 1 / (1 + F.exp(-(F.col("score") * model.slope + model.offset)))
     )

@@ -395,26 +395,40 @@ def test_language_model(spark, awkward):
             words.append(w)
             w = chain[w] if rnd.random() < 0.9 else rnd.choice("abcd")
         rows.append((i, " ".join(words) + (" rare%d" % i if i % 50 == 0 else "")))
+    edge = ["\u00a0foo bar", "foo", "foo\u3000 \x1cfoo\x1d foo\u0085", "\u3000", "hot " * 300, "x\u00a0", "\u2003hot\u2003 hot"]
+    rows += [(1500 + i, edge[i % len(edge)]) for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     settings = lm.Settings(slices=4, window=8, lanes=16, rate=0.02, known=8, groups=64, replica_tokens=4000, fan=2)
     got = lm.score_documents(docs, settings).toPandas().set_index("doc_id")
     learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
     counts = {}
     for _, text in learned:
-        for w in [*text.split(), ""]:
+        for w in [*re.findall(r"[^\x20\x09-\x0D]+", text), ""]:
             counts[w] = counts.get(w, 0) + 1
     n, v = sum(counts.values()), len(counts)
     for i, text in rows:
-        words = [*text.split(), ""]
+        words = [*re.findall(r"[^\x20\x09-\x0D]+", text), ""]
         assert got.n_tokens[i] == len(words) and got.n_known[i] == sum(w in counts for w in words)
         assert got.base_score[i] == pytest.approx(sum(np.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in words))
-    held = got[got.held_out]
+    held = got[got.held_out & (got.index < 1500)]
     assert (got.train_tokens == n).all() and held.score.sum() > 0.9 * held.base_score.sum()
     odd = lm.score_documents(awkward).collect()
     assert len(odd) == awkward.count() and all(r["score"] < 0 for r in odd)
     assert lm.score_documents(empty(spark, docs)).count() == 0
 
 
+def test_columns_with_points_and_many_languages(spark):
+    rows = [(i, f"lang {i % 700} " + " ".join(chr(97 + (i % 700 + k) % 26) * 3 for k in range(12)), f"l{i % 700:03d}") for i in range(2800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("a.b", F.lit(1))
+    model = langid.fit(docs)
+    learnt = {f"l{i % 700:03d}" for i in range(2800) if zlib.crc32(str(i).encode()) % 5}
+    assert set(model.languages) == learnt and len(learnt) > 690
+    assert langid.identify(docs.limit(3), model).where("`a.b` = 1").count() == 3
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    scored = quality_classifier.score(docs.limit(3), quality_classifier.fit(docs, labels))
+    assert scored.columns == ["doc_id", "text", "lang", "a.b", "score", "predicted"] and scored.count() == 3
+
+
 def test_language_model_learns_from_every_row(spark):
     """One id for half of the rows, null for the others: slices and replicas still share them evenly."""
     docs = spark.range(1600).selectExpr("if(id % 2 = 0, 8, NULL) AS doc_id", "repeat('a b c d ', 12) AS text")
@@ -496,6 +510,19 @@ def test_plain_identifiers_like_the_patterns():
         ("Look at example.com, or write to ann at example.net", [("email", "ann at example.net")]),
         ("available at example.com", []),
         ("one two three at the end", []),
+        ("ask bob AT mail DOT xyz now", [("email", "bob AT mail DOT xyz")]),
+        ("contact bob at mail dot tech", [("email", "bob at mail dot tech")]),
+        ("bob @ mail.xyz", [("email", "bob @ mail.xyz")]),
+        ("host one two seven dot zero dot zero dot one", [("ip", "one two seven dot zero dot zero dot one")]),
+        ("one dot two dot three dot four.", [("ip", "one dot two dot three dot four")]),
+        ("jane.doe at example.io", [("email", "jane.doe at example.io")]),
+        ("email me: john at example.com", [("email", "john at example.com")]),
+        ("E-mail: ann at example.museum.org", [("email", "ann at example.museum.org")]),
+        ("mail to j o h n @ example.com", [("email", "j o h n @ example.com")]),
+        ("3 apples @ 4.50 each, see you @ noon.Then we go", []),
+        ("she stared at the dot above and at a dot below", []),
+        ("we met at noon.then he left at six.thirty", []),
+        ("one dot two", []),
     ],
 )
 def test_disguises(text, want):
