@@ -1,5 +1,5 @@
-"""Which findings are one. What a finding says is made once, as array columns; a paper's findings of a class are then
-folded in order, each compared with all earlier ones by arrays: what forbids a merge, how alike two are, which group fits."""
+"""Which findings are one. What a finding says is made once, as array columns; findings that pairs link are then folded in
+order, each compared with all earlier ones by arrays: what forbids a merge, how alike two are, which group fits."""
 
 import re
 from collections import Counter, defaultdict
@@ -7,11 +7,13 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.matching import of_rank, spans
+from ..session import cut
+from .pairs import linked
 
 # Patterns of locators and numbers, words of direction, floors of a merge.
 LOCATOR = (
@@ -209,23 +211,34 @@ def grouped(rows: pd.DataFrame) -> np.ndarray:
 
 def clusters(findings: DataFrame) -> DataFrame:
     """(paper_id, id, cluster) of findings (paper_id, id, issue_class, rater, page, summary, claim), taken by page, rater and
-    id; those without a page come last. The outcome depends on the order, so a paper's findings of a class, between which
-    alone a merge is possible, are one fold."""
+    id; those without a page come last. The outcome depends on the order, so what pairs link (pairs.linked) is one fold;
+    findings that no pair links to others, most of them, need none. Clusters of a class are numbered as they are opened."""
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.assign(at=group["page"].fillna(LAST_PAGE)).sort_values(["at", "rater", "id"], kind="stable").reset_index(drop=True)
-        names = [f"{c}-{k + 1}" for c, k in zip(rows["issue_class"], grouped(rows), strict=True)]
-        return pd.DataFrame({"paper_id": rows["paper_id"], "id": rows["id"], "cluster": names})
+        rows = group.sort_values(["at", "rater", "id"], kind="stable").reset_index(drop=True)
+        k = grouped(rows)
+        opener = rows.groupby(k)[["at", "rater", "id"]].transform("first")
+        return pd.DataFrame({"paper_id": rows["paper_id"], "issue_class": rows["issue_class"], "id": rows["id"], "at": opener["at"], "by": opener["rater"], "first": opener["id"]})
 
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     rows = findings.select("paper_id", "id", "issue_class", "rater", F.col("page").cast("double").alias("page"), text("summary"), text("claim"))
+    rows = rows.withColumn("at", F.coalesce("page", F.lit(LAST_PAGE)).cast("double"))
+    some = cut(linked(rows, STRONG))
+    keys = ["paper_id", "issue_class", "id"]
+    alone = rows.join(some, keys, "left_anti").select(*keys, "at", F.col("rater").alias("by"), F.col("id").alias("first"))
+    said = rows.join(some, keys)
     for c in ("summary", "claim"):
-        rows = with_said(rows, c, f"{c}_says")
-    rows = rows.select(
-        "paper_id", "id", "issue_class", "rater", "page", T.comparable(F.col("summary")).alias("summary"), T.comparable(F.col("claim")).alias("claim"),
+        said = with_said(said, c, f"{c}_says")
+    said = said.select(
+        *keys, "component", "rater", "page", "at", T.comparable(F.col("summary")).alias("summary"), T.comparable(F.col("claim")).alias("claim"),
         T.tokens(F.col("summary")).alias("short"), T.tokens(F.concat_ws(" ", "summary", "claim")).alias("long"), "summary_says", "claim_says",
     )
-    return rows.groupBy("paper_id", "issue_class").applyInPandas(fold, "paper_id string, id long, cluster string")
+    folded = said.groupBy("paper_id", "issue_class", "component").applyInPandas(fold, "paper_id string, issue_class string, id long, at double, by string, first long")
+    every = cut(folded.union(alone))
+    opened = every.select("paper_id", "issue_class", "at", "by", "first").distinct()
+    number = F.row_number().over(Window.partitionBy("paper_id", "issue_class").orderBy("at", "by", "first"))
+    numbered = opened.withColumn("k", number).select("paper_id", "issue_class", "first", "k")
+    return every.join(numbered, ["paper_id", "issue_class", "first"]).select("paper_id", "id", F.concat_ws("-", "issue_class", F.col("k").cast("string")).alias("cluster"))
 
 
 def tf_cosine(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from ..functions import findings as N
 from ..functions import predicates as P
+from ..functions import text as T
 from ..operators import benchmark as B
 from ..operators import checks as C
 from ..operators import editorial as E
 from ..operators import numeric as A
+from ..operators import pairs as W
 from ..operators import ranking as R
 from ..operators import resolve as S
 from ..sources.views import Relations, oracle
@@ -229,6 +231,32 @@ def greedy_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.clusters(Relations(spark, sf_dir).sql(ALIKE))
 
 
+_STEMS = f""" list_transform(list_filter(%s, lambda x: length(x) >= 2 AND x NOT IN ({', '.join(repr(x) for x in T.STOP_WORDS)})),
+ lambda x: CASE WHEN length(x) > 6 AND x LIKE '%%ies' THEN left(x, length(x) - 3) || 'y' WHEN length(x) > 6 AND x LIKE '%%ing' THEN left(x, length(x) - 3)
+ WHEN length(x) > 5 AND x LIKE '%%ed' THEN left(x, length(x) - 2) WHEN length(x) > 4 AND x LIKE '%%s' AND NOT regexp_matches(x, '(ss|is|us)$') THEN left(x, length(x) - 1) ELSE x END)"""
+#: What findings say, with some texts that two raters give alike and some that differ in a word.
+SAID = """SELECT concat('paper-', CAST(CAST(floor(conv_id / 5) AS BIGINT) AS VARCHAR(20))) AS paper_id, CASE turn % 2 WHEN 0 THEN 'claim' ELSE 'source' END AS issue_class, conv_id * 100 + turn AS id, concat(text, ' by ', role) AS summary, role AS claim
+FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL UNION ALL
+SELECT concat('paper-', CAST(CAST(floor(conv_id / 5) AS BIGINT) AS VARCHAR(20))), CASE turn % 2 WHEN 0 THEN 'claim' ELSE 'source' END, conv_id * 100 + turn + 50, concat(text, CASE WHEN turn % 3 = 0 THEN ' by ' ELSE ' and other words by ' END, role), role
+FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND conv_id % 3 = 0"""
+
+
+# All pairs of a class that share a stem, by joining every stem of every text.
+@query(f"""WITH f AS ({SAID}), d AS (SELECT paper_id, issue_class, min(id) AS id, summary, claim FROM f GROUP BY ALL),
+t AS (SELECT paper_id, issue_class, id, regexp_extract_all(lower(summary), '[a-z0-9]+(?:\\.[0-9]+)?') AS s, regexp_extract_all(lower(summary || ' ' || claim), '[a-z0-9]+(?:\\.[0-9]+)?') AS l FROM d),
+w AS (SELECT paper_id, issue_class, id, 'short' AS kind, unnest({_STEMS % "s"}) AS token FROM t UNION ALL SELECT paper_id, issue_class, id, 'long', unnest({_STEMS % "l"}) FROM t),
+c AS (SELECT paper_id, issue_class, id, kind, token, count(*) AS n FROM w GROUP BY ALL), m AS (SELECT paper_id, issue_class, id, kind, sqrt(sum(n * n)) AS norm FROM c GROUP BY ALL),
+p AS (SELECT a.paper_id, a.issue_class, a.kind, a.id AS a, b.id AS b, sum(a.n * b.n) AS dot, count(*) AS shared FROM c a JOIN c b ON a.paper_id = b.paper_id AND a.issue_class = b.issue_class AND a.kind = b.kind AND a.token = b.token AND a.id < b.id GROUP BY ALL),
+q AS (SELECT p.*, dot / (x.norm * y.norm) AS cosine FROM p JOIN m x ON p.paper_id = x.paper_id AND p.issue_class = x.issue_class AND p.kind = x.kind AND a = x.id JOIN m y ON p.paper_id = y.paper_id AND p.issue_class = y.issue_class AND p.kind = y.kind AND b = y.id)
+SELECT paper_id, issue_class, a, b, round(coalesce(any_value(cosine) FILTER (kind = 'short'), 0), 6) AS short_cosine, CAST(coalesce(any_value(shared) FILTER (kind = 'short'), 0) AS BIGINT) AS short_shared,
+ round(coalesce(any_value(cosine) FILTER (kind = 'long'), 0), 6) AS long_cosine, CAST(coalesce(any_value(shared) FILTER (kind = 'long'), 0) AS BIGINT) AS long_shared FROM q GROUP BY 1, 2, 3, 4
+HAVING coalesce(any_value(shared) FILTER (kind = 'short'), 0) >= 4 OR coalesce(any_value(shared) FILTER (kind = 'long'), 0) >= 8""")
+def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of findings that share enough stems to be alike, with their cosines."""
+    pairs = W.stem_pairs(W.distinct_texts(Relations(spark, sf_dir).sql(SAID)))
+    return pairs.withColumns({c: F.round(c, 6) for c in ("short_cosine", "long_cosine")})
+
+
 @query(r"""SELECT p_partkey, 'table:' || (p_partkey % 30 + 1) || ';equation:' || (p_size % 9 + 1) || 'a;question:' || (p_size % 7 + 1) AS places,
 CASE WHEN p_size % 3 = 0 THEN '-' ELSE '' END || (p_partkey % 90 + 10) || '.5%;' || (p_size + 1000) || 'pp' AS numbers, CASE WHEN p_size % 2 = 0 THEN 'up' ELSE 'down' END AS directions FROM part""")
 def said_in_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from inkstone.operators import extract as X
 from inkstone.operators import layout as L
 from inkstone.operators import lifecycle as Y
 from inkstone.operators import numeric as N
+from inkstone.operators import pairs as P
 from inkstone.operators import ranking as R
 from inkstone.operators import resolve as S
 
@@ -340,6 +342,71 @@ def test_resolution(spark):
         assert got[2] in (got[1], got[3]) and got[1] != got[3] and len({got[1], got[4], got[5]}) == 3
 
 
+def near_findings(seed, n):
+    """Findings whose likenesses lie about every floor: few stems, words replaced, letters changed, numbers, places, raters."""
+    rng = random.Random(seed)
+    stems = [a + b for a in ("grad", "mark", "sampl", "weight", "panel", "cluster") for b in ("or", "ent", "al", "ix", "um")]
+    rows, texts = [], ["", "tabel eror", "table error", "tables errors"]
+    for i in range(n):
+        if texts and rng.random() < 0.75:
+            words = rng.choice(texts).split()
+            for _ in range(rng.randint(0, 3)):
+                if words:
+                    k = rng.randrange(len(words))
+                    words[k] = rng.choice([rng.choice(stems), words[k][:-1] + "x", "", words[k] + "s"])
+        else:
+            words = [rng.choice([*stems, "the", "of"]) for _ in range(rng.choice([2, 4, 7, 12]))]
+        text = " ".join(w for w in words if w)
+        if rng.random() < 0.1:
+            text += rng.choice([" in Table 2", " in Table 3", " of 5", " increase", " decrease"])
+        texts.append(text)
+        claim = rng.choice([text, "", rng.choice(texts), " ".join(rng.choices(stems, k=9))])
+        rows.append(("p1" if rng.random() < 0.9 else "p2", i, "m" if rng.random() < 0.8 else "r", rng.choice("abcd"), rng.choice([None, None, 1, 1, 1, 2]), rng.choice([text, text, None]), claim))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_clusters_like_whole_folds(spark, monkeypatch, seed):
+    """Folds over linked findings give what folds over all of a paper's findings of a class give."""
+    schema = "paper_id string, id long, issue_class string, rater string, page int, summary string, claim string"
+    findings = spark.createDataFrame(near_findings(seed, 160), schema)
+    got = {(r["paper_id"], r["id"]): r["cluster"] for r in S.clusters(findings).collect()}
+    pairs = P.linked(findings, S.STRONG)
+    assert 40 < pairs.count() <= 160 and pairs.select("paper_id", "issue_class", "component").distinct().count() > 1
+    monkeypatch.setattr(S, "linked", lambda rows, least: rows.select("paper_id", "issue_class", "id", F.lit(0).cast("long").alias("component")))
+    whole = {(r["paper_id"], r["id"]): r["cluster"] for r in S.clusters(findings).collect()}
+    assert got == whole and len(set(whole.values())) < 150
+
+
+def test_pairs_like_all_pairs(spark):
+    schema = "paper_id string, id long, issue_class string, rater string, page int, summary string, claim string"
+    rows = near_findings(5, 120)
+    texts = P.distinct_texts(spark.createDataFrame(rows, schema)).cache()
+    said = texts.collect()
+    want, close = {}, set()
+    for a in said:
+        for b in said:
+            if a["id"] < b["id"] and (a["paper_id"], a["issue_class"]) == (b["paper_id"], b["issue_class"]):
+                cosines = []
+                for k in ("short", "long"):
+                    x, y = Counter(a[k]), Counter(b[k])
+                    dot = sum(x[t] * y[t] for t in x)
+                    cosines += [round(dot / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5, 9) if dot else 0.0, len(x.keys() & y.keys())]
+                if cosines[1] >= 4 or cosines[3] >= 8:
+                    want[a["id"], b["id"]] = cosines
+                if max(S.ratio(a["summary"], b["summary"]), S.ratio(b["summary"], a["summary"])) >= S.STRONG:
+                    close.add((a["id"], b["id"]))
+    got = {(r["a"], r["b"]): [round(r["short_cosine"], 9), r["short_shared"], round(r["long_cosine"], 9), r["long_shared"]] for r in P.stem_pairs(texts).collect()}
+    assert got == want and want
+    blocks = P.BLOCK
+    try:
+        for P.BLOCK in (blocks, 17):
+            letters = [(r["a"], r["b"]) for r in P.letter_pairs(texts, S.STRONG).collect()]
+            assert len(letters) == len(set(letters)) and close <= set(letters) and close
+    finally:
+        P.BLOCK = blocks
+
+
 def test_benchmark_cell(spark):
     samples = spark.createDataFrame([("s1", "c", "r", "p", 1, "complete"), ("s2", "c", "r", "q", 1, "failed")], "sample_id string, `case` string, role string, profile string, repeat int, status string")
     ratings = [("s1", 1, "k1", "confirmed", "true", 2, 0), ("s1", 2, "k1", "confirmed", "false", 1, 1), ("s1", 3, "k2", "false_positive", "unknown", 0, 2), ("s1", 4, "k3", "unresolved", "true", 1, 3)]
