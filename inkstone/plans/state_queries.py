@@ -8,7 +8,7 @@ from ..operators import checks as C
 from ..operators import glyphs as G
 from ..sources import files
 from ..sources.views import Relations, oracle
-from ..streaming import tasks
+from ..streaming import runs, tasks
 from .check_queries import TASKS
 from .registry import query
 
@@ -26,6 +26,39 @@ def task_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.rates(Relations(spark, sf_dir).sql(TASKS))
 
 
+#: Events of runs of a user's tasks: added, asked for, ended and resumed in some order, days apart.
+RUN_EVENTS = """SELECT concat('run-', CAST(user_id AS VARCHAR(9))) AS run, event_id AS seq, ts, CASE WHEN event_id % 11 <= 2 THEN 'add' WHEN event_id % 11 <= 5 THEN 'ask' WHEN event_id % 11 <= 7 THEN 'accept' WHEN event_id % 11 <= 9 THEN 'fail' ELSE 'resume' END AS kind,
+ CASE WHEN event_id % 11 BETWEEN 3 AND 5 THEN NULL WHEN event_id % 11 = 10 AND event_id % 2 = 0 THEN NULL ELSE concat('t', CAST(CAST(floor(event_id / 11) AS BIGINT) % 4 AS VARCHAR(9))) END AS task,
+ CASE WHEN event_id % 11 BETWEEN 3 AND 5 THEN CAST(event_id % 3 + 1 AS VARCHAR(9)) WHEN event_id % 11 = 8 THEN 'transient' WHEN event_id % 11 = 9 THEN CASE event_id % 3 WHEN 0 THEN 'quota' ELSE 'invalid' END END AS value FROM events WHERE user_id IS NOT NULL"""
+_PATIENCE = 4 * 24 * 3_600_000
+# A recursion over a run's events whose state is a list of its tasks: s status, a attempts, m most, b begun.
+_OVER = f"x.s = 'inflight' AND x.b + {_PATIENCE} <= e.ms"
+
+
+@query(f"""WITH RECURSIVE v AS ({RUN_EVENTS}), n AS (SELECT *, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY run ORDER BY ts, seq) AS k FROM v),
+r AS (SELECT run, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS paused, '' AS jobs, CAST([] AS STRUCT(n VARCHAR, s VARCHAR, a BIGINT, m BIGINT, b BIGINT)[]) AS t FROM (SELECT DISTINCT run FROM n)
+UNION ALL SELECT run, k, seq, error, paused, jobs, t FROM (
+ SELECT *, CASE WHEN kind = 'resume' THEN CASE WHEN task IS NOT NULL AND coalesce(own.s, '') <> 'exhausted' THEN 'retry_not_exhausted' WHEN len(list_filter(t3, lambda x: x.s = 'exhausted')) > 0 THEN 'retries_exhausted' END
+   WHEN kind IN ('accept', 'fail') AND coalesce(own.s, '') <> 'inflight' THEN 'task_not_inflight' END AS error,
+  CASE WHEN kind = 'resume' AND (task IS NULL OR own.s = 'exhausted') AND len(list_filter(t3, lambda x: x.s = 'exhausted')) = 0 THEN NULL
+   WHEN kind = 'fail' AND own.s = 'inflight' THEN CASE WHEN own.a >= own.m THEN 'retries_exhausted' WHEN value = 'quota' THEN value ELSE p1 END ELSE p1 END AS paused,
+  array_to_string(list_transform(list_filter(t3, lambda x: x.s = 'inflight' AND NOT list_contains(list_transform(list_filter(t1, lambda y: y.s = 'inflight'), lambda y: y.n), x.n)), lambda x: x.n || '#' || x.a), ',') AS jobs, t3 AS t FROM (
+  SELECT *, CASE kind WHEN 'add' THEN CASE WHEN own IS NULL THEN list_append(t1, {{'n': task, 's': 'pending', 'a': 0, 'm': 3, 'b': 0}}) ELSE t1 END
+   WHEN 'ask' THEN list_transform(t1, lambda x: CASE WHEN list_contains(given, x.n) THEN {{'n': x.n, 's': 'inflight', 'a': x.a + 1, 'm': x.m, 'b': ms}} ELSE x END)
+   WHEN 'accept' THEN list_transform(t1, lambda x: CASE WHEN x.n = task AND x.s = 'inflight' THEN {{'n': x.n, 's': 'accepted', 'a': x.a, 'm': x.m, 'b': x.b}} ELSE x END)
+   WHEN 'fail' THEN list_transform(t1, lambda x: CASE WHEN x.n = task AND x.s = 'inflight' THEN {{'n': x.n, 's': CASE WHEN x.a >= x.m THEN 'exhausted' ELSE 'retry' END, 'a': x.a, 'm': x.m, 'b': x.b}} ELSE x END)
+   ELSE list_transform(t1, lambda x: CASE WHEN x.n = task AND x.s = 'exhausted' THEN {{'n': x.n, 's': 'retry', 'a': x.a, 'm': x.m + 1, 'b': x.b}} ELSE x END) END AS t3 FROM (
+   SELECT *, list_filter(t1, lambda x: x.n = task)[1] AS own, CASE WHEN p1 IS NULL THEN list_transform(list_filter(t1, lambda x: x.s IN ('pending', 'retry')), lambda x: x.n)[1:greatest(0, least(CAST(CASE WHEN kind = 'ask' THEN value END AS BIGINT), 3 - len(list_filter(t1, lambda x: x.s = 'inflight'))))] ELSE [] END AS given FROM (
+    SELECT e.run, e.k, e.seq, e.ms, e.kind, e.task, e.value,
+     list_transform(r.t, lambda x: CASE WHEN {_OVER} THEN {{'n': x.n, 's': CASE WHEN x.a >= x.m THEN 'exhausted' ELSE 'retry' END, 'a': x.a, 'm': x.m, 'b': x.b}} ELSE x END) AS t1,
+     coalesce(list_sort(list_transform(list_filter(list_transform(r.t, lambda x, i: {{'b': x.b, 'i': i, 's': x.s, 'x': x.a >= x.m}}), lambda x: {_OVER}), lambda x: {{'b': x.b, 'i': x.i, 'p': CASE WHEN x.x THEN 'retries_exhausted' ELSE 'interrupted' END}}))[-1].p, r.paused) AS p1
+    FROM r JOIN n e ON e.run = r.run AND e.k = r.k + 1)))))
+SELECT run, seq, error, paused, jobs, array_to_string(list_transform(t, lambda x: x.n || '=' || x.s || '/' || x.a), ',') AS tasks FROM r WHERE k > 0""")
+def run_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every event of a run does: what it gives out, what pauses, the state of all tasks after it."""
+    return runs.run_log(Relations(spark, sf_dir).sql(RUN_EVENTS), runs.Profile(patience=_PATIENCE))
+
+
 @query(oracle("""SELECT page, box, 'primary' AS finder FROM boxes WHERE kind = 'table' UNION ALL
 SELECT page, box, 'fallback' FROM boxes WHERE kind = 'figure' AND page NOT IN (SELECT page FROM boxes WHERE kind = 'table')""", "boxes"))
 def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Readers, writers, streams and contract checks on small files and rows."""
 
 import datetime as dt
+import random
 import re
 
 import pytest
@@ -11,7 +12,7 @@ from inkstone.operators import benchmark as B
 from inkstone.operators import checks as C
 from inkstone.operators import glyphs as G
 from inkstone.sources import files, reports
-from inkstone.streaming import tasks
+from inkstone.streaming import runs, tasks
 
 
 def test_strict_json(spark, tmp_path):
@@ -78,6 +79,81 @@ def test_stream_of_attempts(spark, tmp_path):
     assert {(r["kind"], r["attempts"]) for r in spark.table("attempt_rates").collect()} == {("start", 1), ("fail", 4), ("accept", 1)}
 
 
+def told(profile, *events):
+    """Errors, pauses, jobs and states after each event (kind, task, value), a minute apart unless a time is given."""
+    run, out = runs.Run(profile), []
+    for k, (kind, task, value, *at) in enumerate(events):
+        error, jobs = run.take(at[0] if at else k * 60_000, kind, task, value)
+        out.append((error, run.paused, jobs, {n: (t.status, t.attempts) for n, t in run.tasks.items()}))
+    return out
+
+
+def test_run_gives_out_and_retries():
+    add = [("add", x, None) for x in "abcde"]
+    out = told(runs.Profile(), *add, ("ask", None, "2"), ("ask", None, "9"), ("ask", None, "9"), ("accept", "a", None), ("fail", "b", "invalid"), ("ask", None, "2"), ("accept", "a", None))
+    assert [o[2] for o in out[5:8]] == [["a#1", "b#1"], ["c#1"], []]
+    assert out[10][2] == ["b#2", "d#1"] and out[10][3]["c"] == ("inflight", 1) and out[11][0] == "task_not_inflight"
+
+
+def test_run_out_of_allowance_keeps_accepted_work():
+    add = [("add", x, None) for x in "abcd"]
+    out = told(runs.Profile(), *add, ("ask", None, "3"), ("fail", "a", "quota"), ("accept", "b", None), ("ask", None, "3"), ("resume", None, None), ("ask", None, "3"))
+    assert out[6][0] is None and out[6][1] == "quota" and out[6][3]["b"] == ("accepted", 1)
+    assert out[7][2] == [] and out[8][1] is None and out[9][2] == ["a#2", "d#1"] and out[9][3]["c"] == ("inflight", 1)
+
+
+def test_run_caps_attempts():
+    round_ = [("ask", None, "1"), ("fail", "a", "invalid")]
+    out = told(runs.Profile(), ("add", "a", None), *round_ * 3, ("resume", None, None), ("resume", "b", None), ("resume", "a", None), ("ask", None, "1"), ("resume", "a", None))
+    assert out[6][1] == "retries_exhausted" and out[6][3]["a"] == ("exhausted", 3)
+    assert [o[0] for o in out[7:]] == ["retries_exhausted", "retry_not_exhausted", None, None, "retry_not_exhausted"] and out[10][2] == ["a#4"]
+
+
+def test_run_interrupts_what_takes_too_long():
+    late = 46 * 60_000
+    out = told(runs.Profile(), ("add", "a", None, 0), ("ask", None, "1", 0), ("accept", "a", None, late), ("resume", None, None, late), ("ask", None, "1", late))
+    assert out[2][0] == "task_not_inflight" and out[2][1] == "interrupted" and out[4][2] == ["a#2"]
+
+
+def test_stream_of_runs(spark, tmp_path):
+    """Rows of a stream are those of the batch, though events come in another order, some late, and over several batches;
+    an event beyond the watermark is dropped, one after the watermark waits."""
+    rng, start = random.Random(4), dt.datetime(2026, 1, 1)
+    events = []
+    for run in ("r1", "r2", "r3"):
+        for k in range(60):
+            kind = rng.choice(["add", "ask", "ask", "accept", "accept", "fail", "resume"])
+            task = None if kind == "ask" or kind == "resume" and rng.random() < 0.7 else rng.choice("abcd")
+            value = str(rng.randint(1, 3)) if kind == "ask" else rng.choice(["invalid", "invalid", "transient", "quota"]) if kind == "fail" else None
+            events.append((run, k, start + dt.timedelta(minutes=10 * k, seconds=rng.randint(0, 9)), kind, task, value))
+    events += [(r, 1000, start + dt.timedelta(days=3), "ask", None, "1") for r in ("r1", "r2", "r3")]
+    parts = [[] for _ in range(12)]
+    for e in events:  # up to half an hour out of order
+        parts[min(11, int((e[2] - start).total_seconds() // 3600) + (rng.random() < 0.3 and e[2].minute >= 30))].append(e)
+    beyond = ("r1", 2000, start, "add", "zz", None)
+    parts[11].append(beyond)
+    names = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", names)
+    try:
+        (tmp_path / "in").mkdir()
+        stream = spark.readStream.schema(runs.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        for part in parts:
+            rng.shuffle(part)
+            spark.createDataFrame(part, runs.EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            if part is parts[0]:
+                query = runs.run_stream(stream).writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/c").format("memory").queryName("run_rows").start()
+            query.processAllAvailable()
+        query.processAllAvailable()
+        query.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = sorted(tuple(r) for r in spark.table("run_rows").collect())
+    want = sorted(tuple(r) for r in runs.run_log(spark.createDataFrame(events, runs.EVENT)).where("seq < 1000").collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want] and got == want
+    assert any(r[2] for r in want) and any(r[3] for r in want)
+
+
 def test_repairs(spark):
     frame = spark.createDataFrame([("ffi f", [("f", "F"), ("ffi", "ﬃ")])], "t string, r array<struct<find:string,put:string>>")
     assert frame.select(G.replace_all(F.col("t"), F.col("r")).alias("x")).first()["x"] == "ﬃ F"
