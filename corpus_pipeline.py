@@ -33,7 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) one row: that of the smallest id, of
-    equal ids that of the smallest digest of the text; rows without an id come last, so a group of them alone keeps one."""
+    equal ids that of the smallest digest of the text, of equal texts that of the smallest digest of the row; rows without an
+    id come last, so a group of them alone keeps one."""
     key = F.struct(
         F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")
     )
@@ -42,7 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = led.where("key = leader").groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_key")
     rows = _whole(docs, key.alias("_key"))
     once = rows.join(gone.union(again), "_key", "left_anti")
-    return once.union(rows.join(again, "_key", "left_semi").dropDuplicates(["_key"])).select("_row.*")
+    alike = rows.join(again, "_key", "left_semi").groupBy("_key").agg(F.min_by("_row", F.sha2(F.to_json("_row"), 256)).alias("_row"))
+    return once.select("_row").union(alike.select("_row")).select("_row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
