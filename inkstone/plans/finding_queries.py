@@ -13,6 +13,7 @@ from ..operators import numeric as A
 from ..operators import pairs as W
 from ..operators import ranking as R
 from ..operators import resolve as S
+from ..operators import schema as J
 from ..sources.views import Relations, oracle
 from .ranking_queries import SCORED, _routed
 from .registry import query
@@ -170,6 +171,48 @@ def finding_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.finding_errors(rows, spark.createDataFrame(ROSTER, "rater string, id_prefix string"), data.sql(SOURCES), data.sql(LINKS))
 
 
+_Q = """'{{"value":"', {value}, '","source_id":"', {source}, '","unit":"usd","sample":"all","denominator":"n","context":"c","rounding_half_width":"0","scale":"', {scale}, '"}}'"""
+_QUOTE = "CONCAT('we report ', CAST(k % 90 + 2 AS VARCHAR(9)), ' and ', CAST(k % 7 + 3 AS VARCHAR(9)), '%, of ', CAST(k % 50 + 200 AS VARCHAR(9)))"
+_CROSS = """'{"kind":"', CASE WHEN k % 41 = 0 THEN 'cross' ELSE 'cross_source' END, '","quantities":[', """ + _Q.format(value="CASE WHEN k % 11 = 0 THEN '7777' ELSE CAST(k % 90 + 2 AS VARCHAR(9)) END", source="CASE WHEN k % 23 = 5 THEN 's2' ELSE 's1' END", scale="'number'") + ", CASE WHEN k % 43 = 1 THEN '' ELSE CONCAT(',', " + _Q.format(value="CAST(k % 7 + 3 AS VARCHAR(9))", source="'s1'", scale="CASE WHEN k % 9 = 0 THEN 'number' ELSE 'percent' END") + ") END, " + """'],"comparability":"', CASE WHEN k % 17 = 3 THEN ' ' ELSE 'same' END, '","observed_discrepancy":"o","possible_explanation":"p","suggested_correction":"s"}'"""
+#: Reviews as JSON texts, one a customer: members missing, unknown or of another kind, contracts and numbers broken.
+REVIEWS = f"""SELECT CONCAT('paper-', CAST(k AS VARCHAR(9))) AS paper_id, 'numerical_auditor' AS rater, CONCAT('{{"reviewer":"', CASE WHEN k % 37 = 4 THEN 'another' ELSE 'numerical_auditor' END, '","paper_id":"paper-', CAST(k AS VARCHAR(9)), '","run_status":"', CASE WHEN k % 31 = 0 THEN 'done' ELSE 'ok' END,
+ '","summary":', CASE WHEN k % 29 = 1 THEN '7' ELSE '"s"' END, ',"findings":[{{"id":"', CASE WHEN k % 19 = 2 THEN 'bad' ELSE 'N-001' END, '","category":"c","finding_summary":"', CASE WHEN k % 47 = 3 THEN '' ELSE 'off' END, '","issue_type":"manuscript_issue","severity":"', CASE WHEN k % 53 = 1 THEN 'dire' ELSE 'high' END,
+ '","confidence":"low","location":{{"page":', CASE WHEN k % 59 = 2 THEN '"two"' ELSE CAST(k % 12 AS VARCHAR(9)) END, CASE WHEN k % 61 = 3 THEN '' ELSE ',"page_label":null' END, ',"section":null,"text_quote":null,"precision":"exact"', CASE WHEN k % 67 = 4 THEN ',"line":3' ELSE '' END,
+ '}},"claim_text":"c","assessment":"no","cannot_verify_reason":null,"evidence_summary":"e","source_objects":[{{"id":"s1","type":"text","label":null,"path":"pages/p.txt","page":2,"page_label":null,"section":null,"text_quote":"', {_QUOTE}, '","url":null,"object_id":"O","correspondence":"', CASE WHEN k % 13 = 6 THEN 'unresolved' ELSE 'text' END,
+ '","verification_note":null}}],"claim_evidence_links":[{{"claim_text":"c","source_object_ids":[', CASE WHEN k % 71 = 5 THEN '"s9"' ELSE '"s1"' END, '],"relation":"supports","note":null}}],"numeric_check":', {_CROSS}, ',"suggested_fix":"f"}}],"notes":["n"', CASE WHEN k % 73 = 6 THEN ',3' ELSE '' END, '],"completion":null', CASE WHEN k % 79 = 7 THEN '' ELSE ',"coverage":[]' END, CASE WHEN k % 83 = 8 THEN '}}}}' ELSE '}}' END) AS document
+FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey IS NOT NULL) c"""
+_AT = "json_extract_string(document, '$.{}')"
+_TYPE = "json_type(document, '$.{}')"
+_BROKEN = {
+    ("run_status", "enum"): f"{_AT.format('run_status')} NOT IN ('ok', 'partial', 'cannot_verify', 'failed')", ("summary", "type"): f"{_TYPE.format('summary')} <> 'VARCHAR'",
+    ("findings.0.finding_summary", "minLength"): f"length({_AT.format('findings[0].finding_summary')}) < 1", ("findings.0.severity", "enum"): f"{_AT.format('findings[0].severity')} NOT IN ('high', 'medium', 'low')",
+    ("findings.0.location.page", "type"): f"{_TYPE.format('findings[0].location.page')} NOT IN ('UBIGINT', 'BIGINT', 'NULL')", ("findings.0.location", "required page_label"): "NOT list_contains(json_keys(document, '$.findings[0].location'), 'page_label')",
+    ("findings.0.location", "additionalProperties line"): "list_contains(json_keys(document, '$.findings[0].location'), 'line')", ("notes.1", "type"): f"coalesce({_TYPE.format('notes[1]')}, 'VARCHAR') <> 'VARCHAR'",
+    ("", "required coverage"): "NOT list_contains(json_keys(document), 'coverage')",
+    ("findings.0.numeric_check", "anyOf"): f"{_AT.format('findings[0].numeric_check.kind')} <> 'cross_source' OR json_array_length(document, '$.findings[0].numeric_check.quantities') < 2",
+}
+
+
+@query(f"""WITH r AS ({REVIEWS}), j AS (SELECT * FROM r WHERE json_valid(document)),
+e AS (SELECT paper_id, '' AS place, 'json' AS error FROM r WHERE NOT json_valid(document) UNION ALL {" UNION ALL ".join(f"SELECT paper_id, '{place}', '{error}' FROM j WHERE {rule}" for (place, error), rule in _BROKEN.items())}),
+s AS (SELECT * FROM j WHERE paper_id NOT IN (SELECT paper_id FROM e)), f AS (SELECT *, {_AT.format('findings[0].id')} AS id, CAST({_AT.format('findings[0].location.page')} AS INT) AS page FROM s),
+c AS (SELECT paper_id, '' AS place, 'reviewer' AS error FROM f WHERE {_AT.format('reviewer')} <> rater UNION ALL SELECT paper_id, id, 'id' FROM f WHERE NOT regexp_matches(id, '^N-[0-9]{{3}}$') UNION ALL SELECT paper_id, id, 'page' FROM f WHERE page NOT BETWEEN 1 AND 10
+ UNION ALL SELECT paper_id, id, 'link to unknown source' FROM f WHERE {_AT.format('findings[0].claim_evidence_links[0].source_object_ids[0]')} <> {_AT.format('findings[0].source_objects[0].id')}),
+n AS (SELECT paper_id, id, {_AT.format('findings[0].source_objects[0].text_quote')} AS quote, {_AT.format('findings[0].source_objects[0].id')} AS source, {_AT.format('findings[0].source_objects[0].correspondence')} AS how, {_AT.format('findings[0].numeric_check.comparability')} AS same,
+ unnest([{{'v': {_AT.format('findings[0].numeric_check.quantities[0].value')}, 's': {_AT.format('findings[0].numeric_check.quantities[0].source_id')}, 'x': {_AT.format('findings[0].numeric_check.quantities[0].scale')}}}, {{'v': {_AT.format('findings[0].numeric_check.quantities[1].value')}, 's': {_AT.format('findings[0].numeric_check.quantities[1].source_id')}, 'x': {_AT.format('findings[0].numeric_check.quantities[1].scale')}}}]) AS q
+ FROM f WHERE paper_id NOT IN (SELECT paper_id FROM c)),
+m AS (SELECT paper_id, id, 'cross source' AS error FROM n WHERE trim(same) = '' UNION ALL SELECT paper_id, id, 'undeclared source' FROM n WHERE q.s <> source UNION ALL SELECT paper_id, id, 'unresolved source' FROM n WHERE q.s = source AND how = 'unresolved'
+ UNION ALL SELECT paper_id, id, 'not in quote' FROM n WHERE q.s = source AND how = 'text' AND NOT regexp_matches(quote, '(^| )' || q.v || '([ %,]|$)')
+ UNION ALL SELECT paper_id, id, 'percent scale' FROM n WHERE q.s = source AND how = 'text' AND q.x <> 'percent' AND regexp_matches(quote, '(^| )' || q.v || '%') AND NOT regexp_matches(quote, '(^| )' || q.v || '([ ,]|$)'))
+SELECT DISTINCT paper_id, 'numerical_auditor' AS rater, stage, place, error FROM (SELECT paper_id, 'schema' AS stage, place, error FROM e UNION ALL SELECT paper_id, 'contract', place, error FROM c UNION ALL SELECT paper_id, 'numeric', id, error FROM m)""")
+def review_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole reviews as JSON texts, held against schema, contract and numbers."""
+    data = Relations(spark, sf_dir)
+    reviews = data.sql(REVIEWS)
+    pages = reviews.select("paper_id", F.lit(10).alias("page_count"))
+    return J.review_errors(reviews, spark.createDataFrame([("numerical_auditor", "N")], "rater string, id_prefix string"), pages)
+
+
 LOOKS = "SELECT DISTINCT o_custkey AS packet, CASE WHEN o_custkey % 11 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN o_custkey % 13 = 0 THEN 'failed' ELSE 'complete' END AS status, 'x' AS packet_sha, CASE WHEN o_custkey % 17 = 0 THEN 'y' ELSE 'x' END AS expected_sha FROM orders"
 PICKED = "SELECT o_custkey AS packet, CAST(o_orderkey AS VARCHAR(20)) AS id FROM orders WHERE o_orderkey % 5 <> 0"
 RESULTS = """SELECT o_custkey AS packet, CAST(CASE WHEN o_orderkey % 29 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS VARCHAR(20)) AS id, CASE o_orderkey % 6 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'narrowed' WHEN 2 THEN 'rejected' WHEN 3 THEN 'unresolved' WHEN 4 THEN 'odd' ELSE 'confirmed' END AS outcome,
