@@ -131,7 +131,9 @@ def crossrefs(pages: DataFrame, raw: str = "text") -> DataFrame:
         F.coalesce(F.col("m.groups")["label"], F.col("m.groups")["inside"]).alias("label"), F.lit(1).alias("source"),
     )
     told = labels.unionByName(single).where(T.valid_crossref_label(F.col("kind"), F.col("label"))).withColumn("kind", T.crossref_kind(F.col("kind")))
-    below = _caption_lines(pages.select("paper_id", "page", F.col(raw).alias("text")), capitals=False).select(
+    shown = pages.select("paper_id", "page", F.col(raw).alias("text"))
+    place = F.length(F.call_function("substring_index", F.col("text"), F.lit("\n"), F.col("line") - 1)) + F.least(F.col("line") - 1, F.lit(1))
+    below = _caption_lines(shown, capitals=False).join(shown, ["paper_id", "page"]).withColumn("at", place).select(
         "paper_id", "page", "kind", F.concat_ws(" ", F.initcap("kind"), "label").alias("reference_text"), "at", "label", F.lit(2).alias("source")
     )
     first = told.unionByName(below).groupBy("paper_id", "page", "kind", "label").agg(F.min(F.struct("source", "at", "reference_text")).alias("m"))
@@ -218,56 +220,64 @@ def continues_heading(heading: Column, line: Column) -> Column:
     return F.coalesce(F.when(good, ~is_heading(s) & ~table_or_axis_line(s) & ~s.rlike("^[0-9]+$")), F.lit(False))
 
 
+#: Points that a heading's number and title may differ in height, and lie apart.
+SAME_HEIGHT, APART = 1.5, 42
+
+
 def numbered_headings(lines: DataFrame) -> DataFrame:
     """(paper_id, page, number, title): bold numbers with the nearest bold title to their right on the same height, from
-    positioned lines (paper_id, page, line, content, x0, y0, x1, y1, bold)."""
+    positioned lines (paper_id, page, line, content, x0, y0, x1, y1, bold).
+
+    Heights are bands of the join's key, and a number asks in its own band and in both beside it, so a page's lines meet
+    those of their height alone and not each other."""
     c = F.col
-    bold = lines.where("bold").withColumn("content", T.squash(F.col("content")))
-    numbers = bold.where(c("content").rlike(HEADING_NUMBER)).alias("n")
+    bold = lines.where("bold").withColumn("content", T.squash(F.col("content"))).withColumn("band", F.floor(F.col("y0") / SAME_HEIGHT))
+    near = F.explode(F.array(c("band") - 1, c("band"), c("band") + 1))
+    numbers = bold.where(c("content").rlike(HEADING_NUMBER)).withColumn("band", near).alias("n")
     good = F.length("content").between(1, 120) & c("content").rlike(r"^\p{Lu}") & ~c("content").rlike(r"[.,;:]$") & ~is_caption(c("content"))
     titles = bold.where(good).alias("t")
     gap = c("t.x0") - c("n.x1")
-    near = (c("n.paper_id") == c("t.paper_id")) & (c("n.page") == c("t.page")) & (F.abs(c("t.y0") - c("n.y0")) <= 1.5) & gap.between(0, 42)
-    both = numbers.join(titles, near)
+    same = [c(f"n.{k}") == c(f"t.{k}") for k in ("paper_id", "page", "band")]
+    both = numbers.join(titles, [*same, (F.abs(c("t.y0") - c("n.y0")) <= SAME_HEIGHT) & gap.between(0, APART)])
     key = [c(f"n.{k}").alias(k) for k in ("paper_id", "page", "line")]
     best = both.groupBy(*key, c("n.content").alias("number")).agg(F.min(F.struct(gap.alias("gap"), c("t.line").alias("at"), c("t.content").alias("title"))).alias("m"))
     return best.select("paper_id", "page", "number", "m.title")
 
 
+def _squashed(pages: DataFrame) -> DataFrame:
+    """(paper_id, page, line, s, a, b) of the pages' lines: squashed once, with the two lines after each as they are. What is
+    tested of a line is a plain column then, so the tests run in generated code and stop at the first that fails."""
+    pages = pages.select("paper_id", "page", F.split("text", "\n", -1).alias("lines"))
+    row = lambda x, i: F.struct((i + 1).alias("line"), T.squash(x).alias("s"), F.get("lines", i + 1).alias("a"), F.get("lines", i + 2).alias("b"))
+    return pages.select("paper_id", "page", F.inline(F.transform("lines", row)))
+
+
 def sections(pages: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
     """(paper_id, heading, start_page, start_line, end_page, end_line): a heading's section ends where the next begins,
     a line before it (unknown on a first line); the last ends on the paper's last page. A heading takes in the next line,
     or the one after a blank line, if that goes on with it. numbered (paper_id, page, number, title) tells of numbers
-    that stand on a line of their own before their title. Lines are tested within their page; headings alone are sorted."""
-    rows = pages.select("paper_id", "page", F.split("text", "\n", -1).alias("lines"))
-    if numbered is not None:
+    that stand on a line of their own before their title. Headings alone are sorted."""
+    c, rows = F.col, _squashed(pages)
+    after = F.when(T.squash(F.coalesce("a", F.lit(""))) == "", F.coalesce("b", F.lit(""))).otherwise(c("a"))
+    if numbered is None:
+        found = rows.where(is_heading(c("s"))).withColumn("after", after)
+    else:
         some = numbered.groupBy("paper_id", "page").agg(F.collect_set(F.struct("number", "title")).alias("numbered"))
-        rows = rows.join(some, ["paper_id", "page"], "left")
-    lines, told = F.col("lines"), F.col("numbered")
-
-    def row(x: Column, i: Column) -> Column:
-        after = F.coalesce(F.get(lines, i + 1), F.lit(""))
-        after = F.when(T.squash(after) == "", F.coalesce(F.get(lines, i + 2), F.lit(""))).otherwise(after)
-        heading = T.squash(x)
-        plain = F.when(is_heading(x), F.concat(heading, F.when(continues_heading(heading, after), F.concat(F.lit(" "), T.squash(after))).otherwise("")))
-        if numbered is None:
-            return F.struct((i + 1).alias("line"), plain.alias("heading"))
-        full = lambda some: F.filter(F.transform(some, T.squash), lambda y: y != "")
-        follows = F.get(full(F.slice(lines, i + 2, F.size(lines))), F.lit(0))
-        own = F.when(heading.rlike(HEADING_NUMBER), F.filter(told, lambda n: (n["number"] == heading) & (n["title"] == follows)))
-        before = F.get(F.reverse(full(F.slice(lines, 1, i))), F.lit(0))
-        taken = F.exists(told, lambda n: (n["title"] == heading) & (n["number"] == before))
-        joined = F.when(F.size(own) > 0, F.concat_ws(" ", heading, follows)).when(F.coalesce(taken, F.lit(False)), F.lit(None)).otherwise(plain)
-        return F.struct((i + 1).alias("line"), joined.alias("heading"))
-
-    heads = rows.select("paper_id", "page", F.explode(F.filter(F.transform(lines, row), lambda h: h["heading"].isNotNull())).alias("h"))
+        order = Window.partitionBy("paper_id", "page").orderBy("line")
+        full = rows.withColumn("after", after).where("s <> ''").withColumn("_next", F.lead("s", 1, "").over(order)).withColumn("_before", F.lag("s", 1, "").over(order))
+        told = full.join(some, ["paper_id", "page"], "left")
+        own = c("s").rlike(HEADING_NUMBER) & F.exists("numbered", lambda n: (n["number"] == c("s")) & (n["title"] == c("_next")))
+        taken = F.exists("numbered", lambda n: (n["title"] == c("s")) & (n["number"] == c("_before")))
+        told = told.withColumn("own", F.coalesce(own, F.lit(False))).where(c("own") | ~F.coalesce(taken, F.lit(False)) & is_heading(c("s")))
+        found = told.withColumn("s", F.when(c("own"), F.concat_ws(" ", "s", "_next")).otherwise(c("s"))).withColumn("after", F.when(~c("own"), c("after")))
+    longer = F.when(continues_heading(c("s"), F.coalesce("after", F.lit(""))), F.concat(F.lit(" "), T.squash(c("after")))).otherwise("")
+    heads = found.select("paper_id", "page", "line", F.concat("s", longer).alias("heading"))
     last = pages.groupBy("paper_id").agg(F.max("page").alias("_last"))
     order = Window.partitionBy("paper_id").orderBy("page", "line")
-    heads = heads.select("paper_id", "page", "h.line", "h.heading")
     out = heads.withColumn("_p", F.lead("page").over(order)).withColumn("_l", F.lead("line").over(order)).join(last, "paper_id")
     return out.select(
-        "paper_id", "heading", F.col("page").alias("start_page"), F.col("line").alias("start_line"),
-        F.coalesce("_p", "_last").alias("end_page"), F.when(F.col("_l") > 1, F.col("_l") - 1).alias("end_line"),
+        "paper_id", "heading", c("page").alias("start_page"), c("line").alias("start_line"),
+        F.coalesce("_p", "_last").alias("end_page"), F.when(c("_l") > 1, c("_l") - 1).alias("end_line"),
     )
 
 
@@ -304,33 +314,27 @@ def reference_entries(pages: DataFrame) -> DataFrame:
     return out.withColumn("content", T.join_hyphens(F.array("content")))
 
 
-def _caption_lines(pages: DataFrame, capitals: bool) -> DataFrame:
-    """(paper_id, page, kind, label, title, line, at) of supported caption lines: with a title, or a figure's bare label that
-    a note follows before the next caption. at is the line's offset."""
-    lines = F.col("lines")
-
-    def row(x: Column, i: Column) -> Column:
-        s = T.squash(x)
-        marks = F.transform(F.slice(lines, i + 2, F.size(lines)), lambda y: F.when(is_caption(T.squash(y)), "caption").when(T.squash(y).rlike(NOTE_START), "note"))
-        noted = F.get(F.filter(marks, lambda m: m.isNotNull()), F.lit(0)) == "note"
-        part = lambda p, k: F.regexp_extract(s, p, k)
-        plain = part(CAPTION, 2) != ""
-        kind = F.when(plain, part(CAPTION, 1)).otherwise(part(CAPTION_CAPITALS, 1))
-        title = F.trim(F.when(plain, part(CAPTION, 3)).otherwise(part(CAPTION_CAPITALS, 3)))
-        figure = F.lower(kind) != "table"
-        good = plain | (part(CAPTION_CAPITALS, 2) != "") if capitals else plain
-        return F.when(
-            good & ((title != "") | F.when(figure, noted)),
-            F.struct(
-                F.when(figure, "figure").otherwise("table").alias("kind"), F.when(plain, part(CAPTION, 2)).otherwise(part(CAPTION_CAPITALS, 2)).alias("label"),
-                title.alias("title"), (i + 1).alias("line"), (F.length(F.array_join(F.slice(lines, 1, i), "\n")) + F.least(i, F.lit(1))).alias("at"),
-            ),
-        )
+def supported_captions(lines: DataFrame, keys: list[str], capitals: bool = True) -> DataFrame:
+    """keys, line, kind, label and title of supported captions among lines (line, s squashed, and maybe below, a title that
+    stands apart): those with a title, and a figure's bare label that a note follows before the next caption."""
+    c = F.col
+    part = lambda p, k: F.regexp_extract("s", p, k)
+    marks = lines.withColumn("_note", c("s").rlike(NOTE_START)).withColumn("_caption", is_caption(c("s"))).where("_note OR _caption")
+    marks = marks.withColumn("_noted", F.lead("_note", 1, False).over(Window.partitionBy(*keys).orderBy("line")))
+    plain = part(CAPTION, 2) != ""
+    below = F.coalesce("below", F.lit("")) if "below" in lines.columns else F.lit("")
+    own = F.trim(F.when(c("_plain"), part(CAPTION, 3)).otherwise(part(CAPTION_CAPITALS, 3)))
+    rows = marks.where("_caption").withColumn("_plain", plain).withColumn("title", F.when(own == "", below).otherwise(own))
+    kind = F.when(F.lower(F.when(c("_plain"), part(CAPTION, 1)).otherwise(part(CAPTION_CAPITALS, 1))) != "table", "figure").otherwise("table")
+    label = F.when(c("_plain"), part(CAPTION, 2)).otherwise(part(CAPTION_CAPITALS, 2))
+    rows = rows.withColumn("kind", kind).where((c("title") != "") | ((c("kind") == "figure") & c("_noted")))
+    return (rows if capitals else rows.where("_plain")).select(*keys, "line", "kind", label.alias("label"), "title")
 
+
+def _caption_lines(pages: DataFrame, capitals: bool) -> DataFrame:
+    """(paper_id, page, line, kind, label, title) of the pages' supported captions; pages without a line like one are left out."""
     cue = F.col("text").rlike(r"(?im)^\s*(?:table|figure|fig\.)\s+(?:[a-z]\.?)?\d")
-    rows = pages.where(cue).select("paper_id", "page", F.split("text", "\n", -1).alias("lines"))
-    found = rows.select("paper_id", "page", F.explode(F.filter(F.transform(lines, row), lambda h: h.isNotNull())).alias("h"))
-    return found.select("paper_id", "page", "h.*")
+    return supported_captions(_squashed(pages.where(cue)).drop("a", "b"), ["paper_id", "page"], capitals)
 
 
 def captions(pages: DataFrame) -> DataFrame:
@@ -341,7 +345,7 @@ def captions(pages: DataFrame) -> DataFrame:
 
 
 def titles_below(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, line, title and same_row: captions of a bare label whose title is the next line: of the same block and size,
+    """keys, line, title, same_row and the title's box (tx0, ty0, tx1, ty1): captions of a bare label whose title is the next line: of the same block and size,
     on the same row, or under a bold label at the same left edge. lines are (line, content, x0, y0, x1, y1, size, bold, block)."""
     order = Window.partitionBy(*keys).orderBy("line")
     parts = ("content", "x0", "y0", "x1", "y1", "size", "block")
@@ -353,7 +357,21 @@ def titles_below(lines: DataFrame, keys: list[str]) -> DataFrame:
     title = c("_content")
     fits = F.length(title).between(1, 220) & title.rlike("[A-Za-z]") & ~is_caption(title) & ~title.rlike(r"(?i)^(?:Notes?\s*:|Panel\b)") & ~table_or_axis_line(title)
     bare = c("content").rlike(CAPTION) & (F.trim(F.regexp_extract("content", CAPTION, 3)) == "")
-    return rows.where(bare & alike & (beside | under) & fits).select(*keys, "line", title.alias("title"), F.coalesce(beside, F.lit(False)).alias("same_row"))
+    return rows.where(bare & alike & (beside | under) & fits).select(*keys, "line", title.alias("title"), F.coalesce(beside, F.lit(False)).alias("same_row"), *(c(f"_{x}").alias(f"t{x}") for x in parts[1:5]))
+
+
+def positioned_captions(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, line, kind, label, title and box (x0, y0, x1, y1) of supported captions among positioned lines, a title below or
+    beside its label included, whose box then holds both; the first of a kind and label of a page."""
+    some = titles_below(lines, keys)
+    rows = lines.select(*keys, "line", T.squash(F.col("content")).alias("s")).where("s <> ''")
+    corners = ("x0", "y0", "x1", "y1")
+    rows = rows.join(some.select(*keys, "line", F.col("title").alias("below")), [*keys, "line"], "left")
+    found = supported_captions(rows, keys)
+    first = found.groupBy(*keys, "kind", "label").agg(F.min(F.struct("line", "title")).alias("m")).select(*keys, "m.line", "kind", "label", "m.title")
+    placed = first.join(lines.select(*keys, "line", *corners), [*keys, "line"]).join(some.drop("title", "same_row"), [*keys, "line"], "left")
+    box = [F.least(x, f"t{x}") if x in ("x0", "y0") else F.greatest(x, f"t{x}") for x in corners]
+    return placed.select(*keys, "line", "kind", "label", "title", *(b.alias(x) for b, x in zip(box, corners, strict=True)))
 
 
 def trailing_cells(c: Column) -> Column:

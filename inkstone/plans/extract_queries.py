@@ -192,6 +192,50 @@ def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AUTHOR = r"^(\[[0-9]+\]\s*)?([A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ''`.\-]+|([Vv]an|[Vv]on|[Dd]e|[Dd]el|[Dd]a|[Dd]i|[Ll]e|[Ll]a)\s+[A-Za-zÀ-ÖØ-öø-ÿ''`.\-]+)(,|\s+and\s+)..+"
+#: Positioned lines of pages, two beside each other on a height: numbers, titles, labels, captions, notes and words.
+POSITIONED = """SELECT concat('paper-', CAST(CAST(floor(l_orderkey / 160) AS BIGINT) AS VARCHAR(20))) AS paper_id, CAST(floor(l_orderkey / 16) AS INT) AS page, l_orderkey * 10 + l_linenumber AS line,
+ CASE (l_orderkey * 5 + l_linenumber * 3) % 17 WHEN 0 THEN '3' WHEN 1 THEN '3.1' WHEN 2 THEN 'The  Sample' WHEN 3 THEN 'Main Results' WHEN 4 THEN concat('Table ', CAST(l_partkey % 5 AS VARCHAR(9))) WHEN 5 THEN concat('Figure ', CAST(l_partkey % 5 AS VARCHAR(9)))
+  WHEN 6 THEN 'Notes: drawn by hand' WHEN 7 THEN concat('Table ', CAST(l_partkey % 7 AS VARCHAR(9)), ': Sums') WHEN 8 THEN 'A Data' WHEN 9 THEN 'of the sample' WHEN 10 THEN 'Effects on wages,' WHEN 11 THEN 'Effects on wages' WHEN 12 THEN '4' WHEN 13 THEN 'FIGURE 9 LARGE SUMS'
+  WHEN 14 THEN 'Panel A' WHEN 15 THEN '1.5 2.5 3.5' ELSE 'words of text' END AS content,
+ 50.0 + CAST((l_linenumber + 1) % 2 AS DOUBLE) * CAST(30 + l_partkey % 40 AS DOUBLE) AS x0, CAST(l_orderkey % 16 AS DOUBLE) * 45.0 + CAST(floor((l_linenumber - 1) / 2) AS DOUBLE) * 12.0 + CAST(l_suppkey % 4 AS DOUBLE) * 0.6 AS y0,
+ 50.0 + CAST((l_linenumber + 1) % 2 AS DOUBLE) * CAST(30 + l_partkey % 40 AS DOUBLE) + 25.0 AS x1, CAST(l_orderkey % 16 AS DOUBLE) * 45.0 + CAST(floor((l_linenumber - 1) / 2) AS DOUBLE) * 12.0 + CAST(l_suppkey % 4 AS DOUBLE) * 0.6 + 9.0 AS y1,
+ l_suppkey % 5 > 0 AS bold, CASE WHEN l_partkey % 11 = 0 THEN 12.0 ELSE 9.0 END AS size, CAST(l_orderkey AS INT) AS block FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber) u"""
+_SET = f"WITH pl AS (SELECT * REPLACE (trim(regexp_replace(content, ' +', ' ', 'g')) AS content) FROM ({POSITIONED}))"
+
+
+def _positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Relations(spark, sf_dir).sql(POSITIONED)
+
+
+@query(rf"""{_SET}, n AS (SELECT a.paper_id, a.page, a.line, a.content AS number, arg_min(b.content, (b.x0 - a.x1, b.line)) AS title FROM pl a JOIN pl b ON a.paper_id = b.paper_id AND a.page = b.page AND a.bold AND b.bold
+  WHERE regexp_matches(a.content, '^[1-9](\.[0-9]+)*$') AND b.x0 - a.x1 BETWEEN 0 AND 42 AND abs(a.y0 - b.y0) <= 1.5 AND regexp_matches(b.content, '^\p{{Lu}}') AND NOT regexp_matches(b.content, '([.,;:]$|^(Table|Figure|FIGURE) [0-9])') GROUP BY ALL),
+x AS (SELECT DISTINCT paper_id, page, number, title FROM n), l AS (SELECT paper_id, page, row_number() OVER (PARTITION BY paper_id, page ORDER BY line) AS line, content AS s FROM pl),
+f AS (SELECT *, string_split(s, ' ') AS w, {_PARTS % "s"} AS c, coalesce(lead(s) OVER o, '') AS n, coalesce(lag(s) OVER o, '') AS b FROM l WINDOW o AS (PARTITION BY paper_id, page ORDER BY line)),
+h AS (SELECT f.paper_id, f.page, line, CASE WHEN o.number IS NOT NULL THEN s || ' ' || n WHEN n IN ('of the sample', 'words of text') THEN s || ' ' || n ELSE s END AS heading
+ FROM f LEFT JOIN x o ON o.paper_id = f.paper_id AND o.page = f.page AND o.number = s AND o.title = n LEFT JOIN x t ON t.paper_id = f.paper_id AND t.page = f.page AND t.title = s AND t.number = b
+ WHERE o.number IS NOT NULL OR (t.title IS NULL AND {_heading("s", "w", "c")})), z AS (SELECT paper_id, max(page) AS last FROM pl GROUP BY 1)
+SELECT h.paper_id, heading, page AS start_page, CAST(line AS INT) AS start_line, coalesce(lead(page) OVER o, last) AS end_page, CAST(CASE WHEN lead(line) OVER o > 1 THEN lead(line) OVER o - 1 END AS INT) AS end_line
+FROM h JOIN z USING (paper_id) WINDOW o AS (PARTITION BY h.paper_id ORDER BY page, line)""")
+def numbered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of pages whose headings have numbers apart from their titles, told by positioned lines."""
+    lines = _positioned(spark, sf_dir)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "content"))), lambda x: x["content"]), "\n")
+    return X.sections(lines.groupBy("paper_id", "page").agg(text.alias("text")), X.numbered_headings(lines))
+
+
+@query(rf"""{_SET}, f AS (SELECT *, lead(content) OVER o AS nc, lead(x0) OVER o AS nx0, lead(y0) OVER o AS ny0, lead(x1) OVER o AS nx1, lead(y1) OVER o AS ny1, lead(size) OVER o AS ns, lead(block) OVER o AS nb FROM pl WINDOW o AS (PARTITION BY paper_id, page ORDER BY line)),
+t AS (SELECT *, content LIKE 'Notes:%' AS note, regexp_matches(content, '^(Table|Figure) [0-9]+(: .+)?$') OR content = 'FIGURE 9 LARGE SUMS' AS caption,
+ CASE WHEN content = 'FIGURE 9 LARGE SUMS' THEN 'LARGE SUMS' ELSE regexp_extract(content, '^Table [0-9]+: (.+)$', 1) END AS own, block = nb AND abs(size - ns) <= 0.5 AND NOT regexp_matches(nc, '(^Notes:|^Panel|^(Table|Figure|FIGURE) [0-9]|^[0-9.]+( [0-9.]+)*$)')
+ AND ((abs(y0 - ny0) <= 1.5 AND nx0 - x1 BETWEEN 0 AND 30) OR (bold AND abs(x0 - nx0) <= 4 AND ny0 - y1 BETWEEN -1 AND 12)) AS apart FROM f),
+u AS (SELECT *, lead(note) OVER (PARTITION BY paper_id, page ORDER BY line) AS noted FROM t WHERE note OR caption),
+v AS (SELECT *, CASE WHEN own = '' AND apart THEN nc ELSE own END AS title, CASE WHEN content LIKE 'T%' THEN 'table' ELSE 'figure' END AS kind, split_part(replace(content, ':', ''), ' ', 2) AS label, own = '' AND apart AS joined FROM u WHERE caption)
+SELECT paper_id, page, line, kind, label, title, CASE WHEN joined THEN least(x0, nx0) ELSE x0 END AS x0, CASE WHEN joined THEN least(y0, ny0) ELSE y0 END AS y0, CASE WHEN joined THEN greatest(x1, nx1) ELSE x1 END AS x1, CASE WHEN joined THEN greatest(y1, ny1) ELSE y1 END AS y1
+FROM v WHERE title <> '' OR (kind = 'figure' AND coalesce(noted, FALSE)) QUALIFY row_number() OVER (PARTITION BY paper_id, page, kind, label ORDER BY line) = 1""")
+def positioned_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supported captions of positioned lines, titles below or beside their label included."""
+    return X.positioned_captions(_positioned(spark, sf_dir), ["paper_id", "page"])
+
+
 _TRIMMED = "trim(x, ' ' || chr(9) || chr(13) || chr(12) || chr(11))"
 
 
