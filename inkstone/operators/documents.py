@@ -113,6 +113,61 @@ def captioned_items(pages: DataFrame) -> DataFrame:
     return done.select("paper_id", "page", "kind", "label", caption.alias("caption"), F.slice(body, F.lit(1), last).alias("body"))
 
 
+def fallback_crop(width: float, height: float) -> tuple[float, float, float, float]:
+    """The part of a page that is cut out for an item without a place: the page without its margins."""
+    return (max(0.0, 48.0), max(0.0, 64.0), width - 48, height - 42)
+
+
+def positioned_items(lines: DataFrame, keys: list[str], width: float, height: float) -> DataFrame:
+    """keys, line, kind, label, caption, n_caption, n_lines, caption box (cx0 to cy1) and crop (x0 to y1) of the supported captions
+    of positioned lines (line, content, x0, y0, x1, y1, size, bold, block), the first of a kind and label on a page.
+
+    An item takes the lines up to the next caption; its crop holds them with 24 points beside and 10 above and below, within
+    the page. Its title goes on while lines continue it or, below a bare label, while they stand close under each other in one
+    block and size. The lines from a caption to the next are folded, each such stretch on its own."""
+    c = F.col
+    parts = ("line", "content", "x0", "y0", "x1", "y1", "size", "block")
+    rows = lines.withColumn("content", T.squash(c("content"))).where("content <> ''")
+    run = F.sum(X.is_caption(c("content")).cast("int")).over(Window.partitionBy(*keys).orderBy("line"))
+    some = rows.withColumn("_run", run).where("_run > 0").groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("r"))
+    heads = X.positioned_captions(lines, keys).select(*keys, "line", "kind", "label", "title")
+    below = X.titles_below(lines, keys).select(*keys, "line", F.lit(True).alias("apart"))
+    both = some.withColumn("first", F.get("r", F.lit(0))).withColumn("line", c("first.line")).join(heads, [*keys, "line"]).join(below, [*keys, "line"], "left")
+    both = both.withColumn("apart", F.coalesce("apart", F.lit(False)))
+    state = "struct<title:string,x0:double,y0:double,y1:double,size:double,block:int,n:int,open:boolean>"
+
+    def at(x: Column, title: Column, n: Column, goes: Column) -> Column:
+        return F.struct(title.alias("title"), x["x0"], x["y0"], x["y1"], x["size"], x["block"], n.alias("n"), goes.alias("open")).cast(state)
+
+    def step(s: Column, x: Column) -> Column:
+        alike = (x["block"] == s["block"]) & (F.abs(x["size"] - s["size"]) <= 0.5) & (F.abs(x["x0"] - s["x0"]) <= 4)
+        under = (s["n"] == 1) | (alike & (x["y0"] - s["y1"]).between(-1, 12))
+        goes = s["open"] & F.when(c("apart"), under).otherwise((s["title"] != "") & continues_caption(s["title"], x["content"], x["y0"] - s["y0"], alike))
+        title = F.when(c("apart") & (s["n"] == 1), s["title"]).otherwise(F.concat_ws(" ", s["title"], x["content"]))
+        return F.when(F.coalesce(goes, F.lit(False)), at(x, title, s["n"] + 1, F.lit(True))).otherwise(at(s, s["title"], s["n"], F.lit(False)))
+
+    done = both.withColumn("s", F.aggregate(F.slice("r", 2, F.size("r")), at(c("first"), c("title"), F.lit(1), F.lit(True)), step))
+    title = T.join_hyphens(F.array("s.title"))
+    caption = F.concat(F.initcap("kind"), F.lit(" "), "label", F.when(title != "", F.concat(F.lit(": "), title)).otherwise(""))
+    head = F.slice("r", F.lit(1), c("s.n"))
+    low, high = (lambda some, k: F.array_min(F.transform(some, lambda x: x[k]))), (lambda some, k: F.array_max(F.transform(some, lambda x: x[k])))
+    return done.select(
+        *keys, "line", "kind", "label", caption.alias("caption"), c("s.n").alias("n_caption"), F.size("r").alias("n_lines"),
+        low(head, "x0").alias("cx0"), low(head, "y0").alias("cy0"), high(head, "x1").alias("cx1"), high(head, "y1").alias("cy1"),
+        F.greatest(F.lit(0.0), low(c("r"), "x0") - 24).alias("x0"), F.greatest(F.lit(0.0), c("first.y0") - 10).alias("y0"),
+        F.least(F.lit(float(width)), high(c("r"), "x1") + 24).alias("x1"), F.least(F.lit(float(height)), high(c("r"), "y1") + 10).alias("y1"),
+    )
+
+
+def all_items(positioned: DataFrame, raw: DataFrame, width: float, height: float) -> DataFrame:
+    """(paper_id, page, kind, label, caption, x0, y0, x1, y1, source) of positioned_items() and, for what they lack on a page, of
+    captioned_items() of its text, whose crop is the page without its margins."""
+    found = positioned.select("paper_id", "page", "kind", "label", "caption", "x0", "y0", "x1", "y1", F.lit("positioned_lines").alias("source"))
+    crop = [F.lit(x).alias(n) for n, x in zip(("x0", "y0", "x1", "y1"), fallback_crop(width, height), strict=True)]
+    other = raw.join(found, ["paper_id", "page", "kind", "label"], "left_anti")
+    return found.unionByName(other.select("paper_id", "page", "kind", "label", "caption", *crop, F.lit("raw_text").alias("source")))
+
+
 def figure_regions(regions: DataFrame, captions: DataFrame, width: float) -> DataFrame:
     """(page, caption, region): for each figure's caption the region of its page that ends nearest above it, up to 48 points or 6
     below its top, in its column unless the caption is wide; of equals the largest, then the first."""

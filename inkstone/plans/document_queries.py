@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import documents as D
 from ..operators import ranking as R
 from ..sources.views import Relations, oracle
-from .extract_queries import LINES, _is_caption
+from .extract_queries import _SHOWN, LINES, POSITIONED, _is_caption
 from .registry import query
 
 
@@ -108,6 +108,25 @@ def continued_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.continued_captions(rows.select("page", "line", "content", *double, "block"), ["page"])
 
 
+@query(_SHOWN.replace("WITH ", "WITH RECURSIVE ", 1) + r""", r AS (SELECT t.*, sum(CASE WHEN caption THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id, page ORDER BY line) AS run FROM t WHERE content <> ''),
+g AS (SELECT s.paper_id, s.page, s.kind, s.label, s.title, s.joined AS apart, r.run FROM shown s JOIN r USING (paper_id, page, line)),
+n AS (SELECT r.paper_id, r.page, r.run, r.line, r.content AS s, r.x0, r.y0, r.x1, r.y1, r.size, r.block, g.kind, g.label, g.title, g.apart, row_number() OVER (PARTITION BY r.paper_id, r.page, r.run ORDER BY r.line) AS i FROM r JOIN g ON g.paper_id = r.paper_id AND g.page = r.page AND g.run = r.run),
+w AS (SELECT paper_id, page, run, i, title, x0, y0, y1, size, block, 1 AS n, TRUE AS open FROM n WHERE i = 1 UNION ALL
+ SELECT paper_id, page, run, i, CASE WHEN goes AND NOT (apart AND k = 1) THEN t || ' ' || s ELSE t END, CASE WHEN goes THEN x0 ELSE wx END, CASE WHEN goes THEN y0 ELSE wy END, CASE WHEN goes THEN y1 ELSE wz END, CASE WHEN goes THEN size ELSE ws END, CASE WHEN goes THEN block ELSE wb END, k + CASE WHEN goes THEN 1 ELSE 0 END, goes FROM (
+ SELECT *, o AND CASE WHEN apart THEN k = 1 OR (alike AND y0 - wz BETWEEN -1 AND 12) ELSE t <> '' AND y0 - wy BETWEEN -0.5 AND 18 AND NOT regexp_matches(s, '^(Notes:|Panel)') AND NOT (regexp_matches(s, '^[0-9]') AND NOT alike)
+  AND (regexp_matches(s, '^[a-z]') OR (alike AND length(t) >= 24 AND length(s) <= 120 AND NOT regexp_matches(t, '[.?!:;]$'))) END AS goes FROM (
+  SELECT n.paper_id, n.page, n.run, n.i, n.s, n.x0, n.y0, n.y1, n.size, n.block, n.apart, w.title AS t, w.x0 AS wx, w.y0 AS wy, w.y1 AS wz, w.size AS ws, w.block AS wb, w.n AS k, w.open AS o,
+   n.block = w.block AND abs(n.size - w.size) <= 0.5 AND abs(n.x0 - w.x0) <= 4 AS alike FROM w JOIN n ON n.paper_id = w.paper_id AND n.page = w.page AND n.run = w.run AND n.i = w.i + 1))),
+e AS (SELECT paper_id, page, run, arg_max(title, i) AS title, max(n) AS taken FROM w GROUP BY 1, 2, 3),
+q AS (SELECT paper_id, page, n.run, kind, label, CASE kind WHEN 'table' THEN 'Table ' ELSE 'Figure ' END || label || CASE WHEN e.title <> '' THEN ': ' || e.title ELSE '' END AS caption, CAST(taken AS INT) AS n_caption, CAST(count(*) AS INT) AS n_lines,
+ min(line) AS line, min(x0) FILTER (i <= taken) AS cx0, min(y0) FILTER (i <= taken) AS cy0, max(x1) FILTER (i <= taken) AS cx1, max(y1) FILTER (i <= taken) AS cy1,
+ greatest(0, min(x0) - 24) AS x0, greatest(0, arg_min(y0, i) - 10) AS y0, least(120, max(x1) + 24) AS x1, least(700, max(y1) + 10) AS y1 FROM n JOIN e USING (paper_id, page, run) GROUP BY paper_id, page, n.run, kind, label, e.title, taken)
+SELECT * EXCLUDE (run) FROM q""")
+def positioned_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captioned items of positioned lines with the boxes of caption and crop, on pages of 120 x 700."""
+    return D.positioned_items(Relations(spark, sf_dir).sql(POSITIONED), ["paper_id", "page"], 120, 700)
+
+
 @query(oracle(f"""WITH {LINES}, r AS (SELECT *, sum(CASE WHEN {_is_caption("c")} THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id, page ORDER BY line) AS run FROM lines WHERE s <> ''),
 h AS (SELECT paper_id, page, kind, label, title, line FROM captioned QUALIFY row_number() OVER (PARTITION BY paper_id, page, kind, label ORDER BY line) = 1),
 k AS (SELECT h.*, r.run FROM h JOIN r USING (paper_id, page, line)), n AS (SELECT r.*, k.title, k.kind, k.label, row_number() OVER (PARTITION BY r.paper_id, r.page, r.run ORDER BY r.line) AS i FROM r JOIN k ON k.paper_id = r.paper_id AND k.page = r.page AND k.run = r.run),

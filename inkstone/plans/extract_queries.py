@@ -223,14 +223,17 @@ def numbered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.sections(lines.groupBy("paper_id", "page").agg(text.alias("text")), X.numbered_headings(lines))
 
 
-@query(rf"""{_SET}, f AS (SELECT *, lead(content) OVER o AS nc, lead(x0) OVER o AS nx0, lead(y0) OVER o AS ny0, lead(x1) OVER o AS nx1, lead(y1) OVER o AS ny1, lead(size) OVER o AS ns, lead(block) OVER o AS nb FROM pl WINDOW o AS (PARTITION BY paper_id, page ORDER BY line)),
+_SHOWN = rf"""{_SET}, f AS (SELECT *, lead(content) OVER o AS nc, lead(x0) OVER o AS nx0, lead(y0) OVER o AS ny0, lead(x1) OVER o AS nx1, lead(y1) OVER o AS ny1, lead(size) OVER o AS ns, lead(block) OVER o AS nb FROM pl WINDOW o AS (PARTITION BY paper_id, page ORDER BY line)),
 t AS (SELECT *, content LIKE 'Notes:%' AS note, regexp_matches(content, '^(Table|Figure) [0-9]+(: .+)?$') OR content = 'FIGURE 9 LARGE SUMS' AS caption,
  CASE WHEN content = 'FIGURE 9 LARGE SUMS' THEN 'LARGE SUMS' ELSE regexp_extract(content, '^Table [0-9]+: (.+)$', 1) END AS own, block = nb AND abs(size - ns) <= 0.5 AND NOT regexp_matches(nc, '(^Notes:|^Panel|^(Table|Figure|FIGURE) [0-9]|^[0-9.]+( [0-9.]+)*$)')
  AND ((abs(y0 - ny0) <= 1.5 AND nx0 - x1 BETWEEN 0 AND 30) OR (bold AND abs(x0 - nx0) <= 4 AND ny0 - y1 BETWEEN -1 AND 12)) AS apart FROM f),
 u AS (SELECT *, lead(note) OVER (PARTITION BY paper_id, page ORDER BY line) AS noted FROM t WHERE note OR caption),
-v AS (SELECT *, CASE WHEN own = '' AND apart THEN nc ELSE own END AS title, CASE WHEN content LIKE 'T%' THEN 'table' ELSE 'figure' END AS kind, split_part(replace(content, ':', ''), ' ', 2) AS label, own = '' AND apart AS joined FROM u WHERE caption)
-SELECT paper_id, page, line, kind, label, title, CASE WHEN joined THEN least(x0, nx0) ELSE x0 END AS x0, CASE WHEN joined THEN least(y0, ny0) ELSE y0 END AS y0, CASE WHEN joined THEN greatest(x1, nx1) ELSE x1 END AS x1, CASE WHEN joined THEN greatest(y1, ny1) ELSE y1 END AS y1
-FROM v WHERE title <> '' OR (kind = 'figure' AND coalesce(noted, FALSE)) QUALIFY row_number() OVER (PARTITION BY paper_id, page, kind, label ORDER BY line) = 1""")
+v AS (SELECT *, CASE WHEN own = '' AND apart THEN nc ELSE own END AS title, CASE WHEN content LIKE 'T%' THEN 'table' ELSE 'figure' END AS kind, split_part(replace(content, ':', ''), ' ', 2) AS label, own = '' AND apart AS joined FROM u WHERE caption),
+shown AS (SELECT * FROM v WHERE title <> '' OR (kind = 'figure' AND coalesce(noted, FALSE)) QUALIFY row_number() OVER (PARTITION BY paper_id, page, kind, label ORDER BY line) = 1)"""
+
+
+@query(_SHOWN + """
+SELECT paper_id, page, line, kind, label, title, CASE WHEN joined THEN least(x0, nx0) ELSE x0 END AS x0, CASE WHEN joined THEN least(y0, ny0) ELSE y0 END AS y0, CASE WHEN joined THEN greatest(x1, nx1) ELSE x1 END AS x1, CASE WHEN joined THEN greatest(y1, ny1) ELSE y1 END AS y1 FROM shown""")
 def positioned_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supported captions of positioned lines, titles below or beside their label included."""
     return X.positioned_captions(_positioned(spark, sf_dir), ["paper_id", "page"])
