@@ -105,6 +105,51 @@ def merged_findings(findings: DataFrame, keys: list[str], order: list[str]) -> D
     )
 
 
+def canonical_findings(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """The whole record of each group of findings, whatever order they come in.
+
+    findings: rater, id, issue_class, category, issue_type, finding_summary, claim_text, evidence_summary, severity,
+    assessment, confidence, cannot_verify_reason, suggested_fix, numeric_check (text), location (struct with page and
+    text_quote), source_objects and links (arrays of structs), and keys. Findings go by page (those without one last), rater
+    and id. Of the first are summary, claim, primary place and quote; severity and assessment are the strongest, confidence
+    the weakest; raters, categories, places and quotes are told once, in the order in which they first come; evidence, reasons,
+    fixes, source objects, links and numeric checks carry rater and id. assessment_counts says how often each assessment is
+    given, consensus is agreed if there is one at most. A group is what raters say of one matter, which bounds it."""
+    c = F.col
+    parts = (
+        "rater", "id", "category", "issue_type", "finding_summary", "claim_text", "evidence_summary", "severity", "assessment", "confidence",
+        "cannot_verify_reason", "suggested_fix", "numeric_check", "location", "source_objects", "links",
+    )
+    order = F.struct(c("location.page").isNull().alias("none"), c("location.page").alias("page"), "rater", c("id").cast("string").alias("id"))
+    told_order = F.xxhash64(*(p for p in parts if p not in ("location", "source_objects", "links")))
+    rows = findings.withColumn("_o", order).withColumn("_h", told_order)
+    best = lambda x, ranks, default, pick: pick(F.struct(look_up(F.coalesce(x, F.lit(default)), ranks, ranks.get(default, 0)).alias("r"), F.coalesce(x, F.lit(default)).alias("v")))["v"]
+    one = rows.groupBy(*keys, "issue_class").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_o", "_h", F.struct(*parts).alias("f")))), lambda x: x["f"]).alias("f"),
+        best("severity", SEVERITY_RANK, "low", F.max).alias("severity"), best("assessment", ASSESSMENT_RANK, "yes", F.max).alias("assessment"),
+        best("confidence", CONFIDENCE_RANK, "medium", F.min).alias("confidence"),
+    )
+    first = lambda part: F.get("f", F.lit(0))[part]
+    who = lambda x: (x["rater"].alias("rater"), x["id"].alias("id"))
+    different = lambda part: F.array_distinct(F.array_compact(F.transform("f", part)))
+    told = lambda part: F.transform(F.filter("f", lambda x: x[part] != ""), lambda x: F.struct(*who(x), x[part].alias("text")))
+    each = lambda part, name: F.flatten(F.transform(F.filter("f", lambda x: x[part].isNotNull()), lambda x: F.transform(x[part], lambda y: F.struct(*who(x), y.alias(name)))))
+    given = F.filter(F.transform("f", lambda x: x["assessment"]), lambda a: a.isNotNull())
+    counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(given)), lambda a: F.struct(a, F.size(F.filter(given, lambda b: b == a)))))
+    somewhere = lambda x: F.when(F.to_json(x["location"]) != "{}", x["location"])
+    out = one.select(
+        *keys, "issue_class", "severity", "assessment", "confidence", different(lambda x: x["rater"]).alias("raters"),
+        F.transform("f", lambda x: F.struct(*who(x))).alias("sources"), c("f").alias("details"), different(lambda x: x["category"]).alias("categories"),
+        first("finding_summary").alias("finding_summary"), F.coalesce(first("claim_text"), F.lit("")).alias("claim_text"),
+        first("location").alias("primary_location"), first("location")["text_quote"].alias("primary_quote"), different(somewhere).alias("locations"),
+        different(lambda x: F.when(x["location"]["text_quote"] != "", x["location"]["text_quote"])).alias("quotes"), told("evidence_summary").alias("evidence"),
+        told("cannot_verify_reason").alias("reasons"), told("suggested_fix").alias("fixes"), told("numeric_check").alias("numeric_checks"),
+        each("source_objects", "source_object").alias("source_objects"), each("links", "link").alias("links"),
+        F.transform("f", lambda x: F.struct(*who(x), x["assessment"].alias("assessment"))).alias("assessments"), counts.alias("assessment_counts"),
+    )
+    return out.withColumn("consensus", F.when(F.size("assessment_counts") <= 1, "agreed").otherwise("mixed"))
+
+
 def area(issue_class: Column, raters: Column) -> Column:
     """Where a finding belongs: for issues of the paper by the first of the listed raters, else by class."""
     by_rater = F.coalesce(*[F.when(F.array_contains(raters, name), F.lit(where)) for name, where in AREAS.items()], F.lit("Manuscript"))

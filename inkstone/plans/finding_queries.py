@@ -300,6 +300,44 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.withColumns({c: F.round(c, 6) for c in ("short_cosine", "long_cosine")})
 
 
+#: The same findings with all that a record holds.
+RECORDS = f"""SELECT a.*, CASE id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, CASE id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'yes' WHEN 2 THEN 'partially' WHEN 3 THEN 'cannot_verify' ELSE 'no' END AS assessment, CASE id % 5 WHEN 0 THEN 'high' WHEN 1 THEN NULL ELSE 'medium' END AS confidence,
+ concat('c', CAST(id % 2 AS VARCHAR(9))) AS category, CASE WHEN id % 4 = 0 THEN NULL ELSE concat('q', CAST(id % 6 AS VARCHAR(9))) END AS quote, CASE WHEN id % 3 = 1 THEN '' ELSE 'seen' END AS evidence, CASE WHEN id % 5 = 2 THEN 'no data' END AS reason,
+ CASE WHEN id % 2 = 0 THEN concat('fix ', CAST(id % 10 AS VARCHAR(9))) END AS fix, CASE WHEN id % 8 = 0 THEN '{{}}' END AS numeric_check, CAST(id % 3 AS INT) AS n_sources FROM ({ALIKE}) a"""
+
+
+@query(f"""WITH f AS ({RECORDS}), n AS (SELECT *, row_number() OVER (PARTITION BY paper_id, issue_class, page, topic, tab, way, rater ORDER BY id) AS m FROM f),
+o AS (SELECT *, min((page, rater, id)) OVER (PARTITION BY paper_id, issue_class, page, topic, tab, way, m) AS opens FROM n), g AS (SELECT *, issue_class || '-' || dense_rank() OVER (PARTITION BY paper_id, issue_class ORDER BY opens) AS cluster FROM o),
+l AS (SELECT paper_id, cluster, list({{'r': rater, 'i': id, 's': severity, 'a': assessment, 'c': confidence, 'k': category, 'q': quote, 'p': page, 'e': evidence, 'v': reason, 'f': fix, 'x': numeric_check, 'n': n_sources, 't': summary}} ORDER BY page, rater, CAST(id AS VARCHAR)) AS l FROM g GROUP BY 1, 2)
+SELECT paper_id, cluster, l[1].t AS finding_summary, l[1].q AS primary_quote, len(l) AS n, array_to_string(list_transform(l, lambda x: x.r || ':' || x.i), ';') AS sources,
+ CASE WHEN len(list_filter(l, lambda x: x.s = 'high')) > 0 THEN 'high' WHEN len(list_filter(l, lambda x: x.s = 'medium')) > 0 THEN 'medium' ELSE 'low' END AS severity,
+ CASE WHEN len(list_filter(l, lambda x: x.c IS DISTINCT FROM 'high')) > 0 THEN 'medium' ELSE 'high' END AS confidence,
+ array_to_string(list_transform(list_sort(list_distinct(list_filter(list_transform(l, lambda x: x.a), lambda a: a IS NOT NULL))), lambda a: a || '=' || len(list_filter(l, lambda x: x.a = a))), ',') AS assessment_counts,
+ CASE WHEN len(list_distinct(list_filter(list_transform(l, lambda x: x.a), lambda a: a IS NOT NULL))) <= 1 THEN 'agreed' ELSE 'mixed' END AS consensus,
+ array_to_string(list_transform(list_sort(list_transform(list_distinct(list_transform(l, lambda x: x.p || '/' || coalesce(x.q, '-'))), lambda d: {{'at': list_position(list_transform(l, lambda x: x.p || '/' || coalesce(x.q, '-')), d), 'd': d}})), lambda x: x.d), ',') AS locations,
+ array_to_string(list_transform(list_filter(l, lambda x: x.e <> ''), lambda x: x.i), ',') AS evidence, array_to_string(list_transform(list_filter(l, lambda x: x.v <> ''), lambda x: x.i), ',') AS reasons, array_to_string(list_transform(list_filter(l, lambda x: x.f <> ''), lambda x: x.f), ',') AS fixes,
+ array_to_string(list_transform(list_filter(l, lambda x: x.x <> ''), lambda x: x.i), ',') AS numeric_checks, array_to_string(flatten(list_transform(l, lambda x: list_transform(range(1, x.n + 1), lambda k: x.i || '/s' || k))), ',') AS source_objects,
+ array_to_string(list_transform(list_filter(l, lambda x: x.n > 0), lambda x: x.i), ',') AS links FROM l""")
+def canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole records of the greedy clusters: lists, places, sources, links, counts of assessments and their consensus."""
+    c, rows = F.col, Relations(spark, sf_dir).sql(RECORDS)
+    sources = F.transform(F.slice(F.array(F.lit("s1"), F.lit("s2")), F.lit(1), c("n_sources")), lambda x: F.struct(x.alias("id"), F.lit("text").alias("type")))
+    links = F.when(c("n_sources") > 0, F.array(F.struct(F.lit("supports").alias("relation"))))
+    full = rows.select(
+        "paper_id", "rater", "id", "issue_class", "category", F.lit("manuscript_issue").alias("issue_type"), c("summary").alias("finding_summary"), c("claim").alias("claim_text"), c("evidence").alias("evidence_summary"),
+        "severity", "assessment", "confidence", c("reason").alias("cannot_verify_reason"), c("fix").alias("suggested_fix"), "numeric_check", F.struct("page", c("quote").alias("text_quote")).alias("location"), sources.alias("source_objects"), links.alias("links"),
+    )
+    out = R.canonical_findings(full.join(S.clusters(rows), ["paper_id", "id"]), ["paper_id", "cluster"])
+    ids = lambda part: F.array_join(F.transform(part, lambda x: x["id"].cast("string")), ",")
+    return out.select(
+        "paper_id", "cluster", "finding_summary", "primary_quote", F.size("sources").cast("long").alias("n"), F.array_join(F.transform("sources", lambda x: F.concat_ws(":", x["rater"], x["id"])), ";").alias("sources"), "severity", "confidence",
+        F.array_join(F.transform(F.map_entries("assessment_counts"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("assessment_counts"), "consensus",
+        F.array_join(F.transform("locations", lambda x: F.concat_ws("/", x["page"].cast("string"), F.coalesce(x["text_quote"], F.lit("-")))), ",").alias("locations"), ids("evidence").alias("evidence"), ids("reasons").alias("reasons"),
+        F.array_join(F.transform("fixes", lambda x: x["text"]), ",").alias("fixes"), ids("numeric_checks").alias("numeric_checks"),
+        F.array_join(F.transform("source_objects", lambda x: F.concat(x["id"].cast("string"), F.lit("/"), x["source_object"]["id"])), ",").alias("source_objects"), ids("links").alias("links"),
+    )
+
+
 @query(r"""SELECT p_partkey, 'table:' || (p_partkey % 30 + 1) || ';equation:' || (p_size % 9 + 1) || 'a;question:' || (p_size % 7 + 1) AS places,
 CASE WHEN p_size % 3 = 0 THEN '-' ELSE '' END || (p_partkey % 90 + 10) || '.5%;' || (p_size + 1000) || 'pp' AS numbers, CASE WHEN p_size % 2 = 0 THEN 'up' ELSE 'down' END AS directions FROM part""")
 def said_in_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
