@@ -81,16 +81,6 @@ def list_ranges(pages: DataFrame, paper: str = "paper_id", page: str = "page", t
     )
 
 
-def _located(pages: DataFrame, found: Column, window: int) -> DataFrame:
-    rows = pages.select("paper_id", "page", "text", F.explode(found).alias("m"))
-    start, end = F.col("m.start"), F.col("m.end")
-    return rows.select(
-        "paper_id", "page", F.col("m.match").alias("match"), start.alias("match_start"), end.alias("match_end"),
-        T.line_number(F.col("text"), start).alias("line_number"), T.context(F.col("text"), start, end, window).alias("context"),
-        F.col("m.groups").alias("groups"),
-    )
-
-
 def citations(pages: DataFrame) -> DataFrame:
     """Citations of each page: a pattern's match stands unless it starts in a reference list or overlaps one of an earlier
     pattern. The precedence is fixed, so the plan is: one pass of all patterns over pages that a built-in test lets through,
@@ -111,9 +101,38 @@ def citations(pages: DataFrame) -> DataFrame:
     )
 
 
+#: The pattern of numbers as Java's expressions need it: letters, digits and white space are those of Unicode. Most characters
+#: fail the first look at what a number can begin with.
+_HEAD, _UNIT = NUMBER.replace(r"\w", r"\p{L}\p{N}_").replace(r"\d", r"\p{Nd}").replace(r"\s", T.SPACE).split("(?:" + T.SPACE + "?(?:%", 1)
+NUMBER_BUILT_IN = r"(?=[0-9.$€£\-−\p{Nd}])" + _HEAD + "(?:" + T.SPACE + "?(?iu:(?:%" + _UNIT.replace("))?(?!", ")))?(?!")
+#: Private characters: one marks the ends of matches, the other stands for it where a text holds it.
+MARK, STAND_IN = "\ue000", "\ue001"
+
+
+def located(text: Column, pattern: str) -> Column:
+    """array of (match, start, end), offsets in characters from 0, of a pattern of built-in expressions. The text's matches
+    are marked in one pass, so that its parts are what stands between matches and matches by turns; the lengths of the
+    parts before a match are its offset."""
+    parts = F.split(F.regexp_replace(F.translate(text, MARK, STAND_IN), pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    kind = "struct<at:int,found:array<struct<match:string,start:int,end:int>>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().alias("found")).cast(kind)
+
+    def step(s: Column, x: Column) -> Column:
+        ends = s["at"] + F.length(x["part"])
+        one = F.struct(x["part"].alias("match"), s["at"].alias("start"), ends.alias("end"))
+        return F.struct(ends.alias("at"), F.when(x["i"] % 2 == 1, F.array_append(s["found"], one)).otherwise(s["found"]).alias("found")).cast(kind)
+
+    return F.aggregate(F.transform(parts, lambda x, i: F.struct(x.alias("part"), i.alias("i"))), start, step, lambda s: s["found"])
+
+
 def numbers(pages: DataFrame) -> DataFrame:
-    out = _located(pages, spans(F.col("text"), NUMBER, flags=re.IGNORECASE), 80)
-    return out.withColumn("number", F.trim("match")).drop("groups", "match")
+    """(paper_id, page, match_start, match_end, line_number, context, number) of the numbers of each page, with their units."""
+    rows = pages.where(F.col("text").rlike(r"\p{Nd}")).select("paper_id", "page", "text", F.explode(located(F.col("text"), NUMBER_BUILT_IN)).alias("m"))
+    start, end = F.col("m.start"), F.col("m.end")
+    return rows.select(
+        "paper_id", "page", start.alias("match_start"), end.alias("match_end"), T.line_number(F.col("text"), start).alias("line_number"),
+        T.context(F.col("text"), start, end, 80).alias("context"), F.trim("m.match").alias("number"),
+    )
 
 
 def crossrefs(pages: DataFrame, raw: str = "text") -> DataFrame:
@@ -171,10 +190,10 @@ def panel_label(line: Column) -> Column:
     return F.when(label != "", label)
 
 
-def table_or_axis_line(line: Column) -> Column:
+def table_or_axis_line(line: Column, squashed: bool = False) -> Column:
     """Whether a line is a table's or an axis's: a row of sample sizes, several panels' letters, a category repeated after
-    numbers, a caption, or three numbers among eight words at most."""
-    s = T.squash(line)
+    numbers, a caption, or three numbers among eight words at most. A squashed line is not squashed once more a test."""
+    s = line if squashed else T.squash(line)
     return F.coalesce(
         s.rlike(rf"(?i)^N(?:\s+{LINE_NUMBER}){{2,}}$")
         | (F.regexp_count(s, F.lit(r"(?:^|\s)[A-Z]\s+(?=[A-Z][A-Za-z])")) >= 2)
@@ -185,19 +204,20 @@ def table_or_axis_line(line: Column) -> Column:
     )
 
 
-def is_heading(line: Column) -> Column:
+def is_heading(line: Column, squashed: bool = False) -> Column:
     """Whether a line can head a section: a list's start or end, an appendix, a bare name such as Introduction, a roman or
     lettered number, a number from 1 to 9 with a title of twelve words at most, or two to twelve different capital words.
 
-    Most lines of prose fail the quick tests, so that the dear ones are left out."""
-    s = T.squash(line)
+    Most lines of prose fail the quick tests, so that the dear ones are left out. A squashed line is taken as it is: nothing
+    shares what the tests of a filter have in common."""
+    s = line if squashed else T.squash(line)
     words = F.size(F.split(s, " "))
     title = F.regexp_extract(s, r"^[0-9]+(?:\.[0-9]+)*\s+([A-Z].*)$", 1)
     capitals = F.regexp_extract_all(s, F.lit("([A-Z]+)"), 1)
     spaced = s.rlike(r"^(?:[A-Z]\s+){3,}[A-Z](?:\s|$)") | s.rlike(r"^(?:[A-Z]\s+)+[A-Z]$") | s.rlike(r"^(?:[A-Z]\.\s*){2,}")
     refused = (
         spaced | s.rlike(r"(?i)^(?:EDITED|REVIEWED|APPROVED)\s+BY$") | s.rlike(r"[=<>≤≥≈≠‰]")
-        | (s.rlike(APPENDIX_START) & (s.contains(",") | (words > 12))) | table_or_axis_line(s)
+        | (s.rlike(APPENDIX_START) & (s.contains(",") | (words > 12))) | table_or_axis_line(s, True)
     )
     numbered = s.rlike(r"^0*[1-9](?:\.[0-9]+)*\s") & (F.size(F.split(title, " ")) <= 12) & ~title.rlike(r"\.\s+\S") & ~title.rlike(r"^(?:NOK|USD|EUR|GBP)\b")
     shout = (s == F.upper(s)) & s.rlike(r"\p{Lu}") & words.between(2, 12) & (F.size(F.array_distinct(capitals)) == F.size(capitals))
@@ -217,7 +237,7 @@ def continues_heading(heading: Column, line: Column) -> Column:
     """Whether a line goes on with a heading: short, no heading or table line itself, after a colon or in lower case."""
     s = T.squash(line)
     good = F.length(s).between(1, 80) & (F.rtrim(heading).endswith(":") | s.rlike(r"^\p{Ll}"))
-    return F.coalesce(F.when(good, ~is_heading(s) & ~table_or_axis_line(s) & ~s.rlike("^[0-9]+$")), F.lit(False))
+    return F.coalesce(F.when(good, ~is_heading(s, True) & ~table_or_axis_line(s, True) & ~s.rlike("^[0-9]+$")), F.lit(False))
 
 
 #: Points that a heading's number and title may differ in height, and lie apart.
@@ -260,7 +280,7 @@ def sections(pages: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
     c, rows = F.col, _squashed(pages)
     after = F.when(T.squash(F.coalesce("a", F.lit(""))) == "", F.coalesce("b", F.lit(""))).otherwise(c("a"))
     if numbered is None:
-        found = rows.where(is_heading(c("s"))).withColumn("after", after)
+        found = rows.where(is_heading(c("s"), True)).withColumn("after", after)
     else:
         some = numbered.groupBy("paper_id", "page").agg(F.collect_set(F.struct("number", "title")).alias("numbered"))
         order = Window.partitionBy("paper_id", "page").orderBy("line")
@@ -268,7 +288,7 @@ def sections(pages: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
         told = full.join(some, ["paper_id", "page"], "left")
         own = c("s").rlike(HEADING_NUMBER) & F.exists("numbered", lambda n: (n["number"] == c("s")) & (n["title"] == c("_next")))
         taken = F.exists("numbered", lambda n: (n["title"] == c("s")) & (n["number"] == c("_before")))
-        told = told.withColumn("own", F.coalesce(own, F.lit(False))).where(c("own") | ~F.coalesce(taken, F.lit(False)) & is_heading(c("s")))
+        told = told.withColumn("own", F.coalesce(own, F.lit(False))).where(c("own") | ~F.coalesce(taken, F.lit(False)) & is_heading(c("s"), True))
         found = told.withColumn("s", F.when(c("own"), F.concat_ws(" ", "s", "_next")).otherwise(c("s"))).withColumn("after", F.when(~c("own"), c("after")))
     longer = F.when(continues_heading(c("s"), F.coalesce("after", F.lit(""))), F.concat(F.lit(" "), T.squash(c("after")))).otherwise("")
     heads = found.select("paper_id", "page", "line", F.concat("s", longer).alias("heading"))
@@ -395,7 +415,7 @@ def captioned_rows(lines: DataFrame, keys: list[str], content: str = "content",
     rows = lines.select(*keys, line, s.alias("_s")).where("_s <> ''").withColumn("_note", note)
     rows = rows.withColumn("_t", trailing_cells(c("_s"))).withColumn("_caption", c("_s").rlike(CAPTION) & c("_s").rlike(r"(?i)^table\b"))
     rows = rows.withColumn("_own", ~c("_caption") & ((F.size("_t.cells") > 0) | c("_s").startswith("Panel ") | (words <= 10)))
-    rows = rows.withColumn("_end", F.when(~c("_caption") & (F.size("_t.cells") == 0), figure | is_heading(c("_s"))).otherwise(False))
+    rows = rows.withColumn("_end", F.when(~c("_caption") & (F.size("_t.cells") == 0), figure | is_heading(c("_s"), True)).otherwise(False))
     order = Window.partitionBy(*keys).orderBy(line)
     here, above = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_noted", F.max("_note").over(here))
