@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import predicates as P
 from ..functions import text as T
 from . import extract as X
 
@@ -383,6 +384,48 @@ def run_metrics(runs: DataFrame) -> DataFrame:
     return out.withColumn("overall", sum(F.col(p) for p in parts) / len(parts))
 
 
+#: Lists of a quality summary that tell the pages where a count of the record is above zero, or a flag of it holds.
+COUNTED = {
+    "unresolved_control_glyph_pages": "unresolved_control_glyphs", "soft_hyphen_pages": "soft_hyphens", "layout_artifact_pages": "layout_artifacts",
+    "known_font_glyph_repair_pages": "font_glyph_repairs", "positioned_accent_composition_pages": "accent_compositions",
+    "unresolved_math_glyph_pages": "unresolved_math_glyphs", "residual_control_character_pages": "control_characters",
+}
+FLAGGED = {"ocr_recommended_pages": "ocr_recommended", "two_column_pages": "two_column", "landscape_pages": "landscape"}
+_LINE_ENDS = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def quality_summary(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, the page lists of a paper's quality summary, strategies (how many pages each has) and ratio_median (of normalised
+    to raw lengths), in one grouping.
+
+    pages: page, raw_text, normalized_text, strategy, similarity (of raw and sorted text), scanned, label_source, and the columns
+    of COUNTED and FLAGGED. Counts and flags that are null count as none, a null strategy as coordinate_sorted, a null
+    similarity as 1. A page with under 250 characters is sparse where that is plausible, else low in text, unless it is scanned."""
+    c = F.col
+    text = lambda x: F.coalesce(x, F.lit(""))
+    bare = F.length(F.regexp_replace(text("raw_text"), f"^{T.SPACE}+|{T.SPACE}+$", ""))
+    full = lambda x: F.greatest(F.lit(1), F.size(F.filter(F.split(x, _LINE_ENDS, -1), lambda y: y.rlike("[^" + T.SPACE[1:]))))
+    rows = pages.withColumn("strategy", F.coalesce("strategy", F.lit("coordinate_sorted"))).withColumn("_alike", F.coalesce("similarity", F.lit(1.0)))
+    rows = rows.withColumn("_bare", bare).withColumn("_both", (text("raw_text") != "") & (text("normalized_text") != ""))
+    flag = lambda x: F.coalesce(c(x), F.lit(False))
+    fallback = c("strategy") == "native_content_order_font_fidelity"
+    unsure = (flag("two_column") & (c("strategy") != "native_content_order_two_column")) | fallback | flag("landscape")
+    first = (c("page") == 1) & (c("strategy") == "coordinate_sorted") & (c("_bare") >= 1000) & (c("_alike") < 0.5)
+    thin = (c("_bare") < 250) & ~flag("scanned")
+    sparse = P.sparse_page(text("raw_text"))
+    lists = {name: F.coalesce(c(x), F.lit(0)) > 0 for name, x in COUNTED.items()} | {name: flag(x) for name, x in FLAGGED.items()}
+    lists |= {
+        "rejected_geometric_page_label_pages": c("label_source") == "geometric_candidate_rejected", "font_fidelity_order_fallback_pages": fallback,
+        "reading_order_review_pages": (unsure & (c("_alike") < 0.9)) | first, "low_text_pages": thin & ~sparse, "sparse_plausible_pages": thin & sparse,
+        "suspicious_order_pages": c("_both") & (full("normalized_text") > full("raw_text") * 2.25) & (F.length("normalized_text") > 1000),
+    }
+    listed = [F.array_sort(F.collect_list(F.when(F.coalesce(v, F.lit(False)), c("page")))).alias(k) for k, v in lists.items()]
+    ratio = F.when(c("_both"), F.length("normalized_text") / F.length("raw_text"))
+    out = rows.groupBy(*keys).agg(*listed, F.collect_list("strategy").alias("_s"), F.round(F.percentile(ratio, F.lit(0.5)), 3).alias("ratio_median"))
+    counts = F.transform(F.array_sort(F.array_distinct("_s")), lambda s: F.struct(s, F.size(F.filter("_s", lambda x: x == s))))
+    return out.withColumn("strategies", F.map_from_entries(counts)).drop("_s")
+
+
 def quality_pages(pages: DataFrame, keys: list[str]) -> DataFrame:
     """keys and page lists: those whose reading order needs review, and those of suspicious line counts; the median ratio
     of lengths. pages has raw_text, normalized_text, strategy, two_column, landscape, similarity."""

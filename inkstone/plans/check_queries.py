@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import checks as C
+from ..operators import documents as D
 from ..operators import layout as L
 from ..operators import numeric as N
 from ..operators import resolve as S
-from ..sources.views import Relations, oracle
+from ..sources.views import PAGES, Relations, oracle
 from .registry import query
 
 
@@ -163,6 +164,37 @@ def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.page_quality(pages, ["paper_id"])
 
 
+#: Records of pages with all that a quality summary counts.
+PAGE_RECORDS = """SELECT paper_id, page, text AS raw_text, CASE WHEN doc_id % 7 = 0 THEN replace(text, ' ', chr(10)) WHEN doc_id % 11 = 0 THEN '' ELSE concat(text, substring(text, 1, CAST(doc_id % 50 AS INT))) END AS normalized_text,
+ CASE doc_id % 5 WHEN 0 THEN 'native_content_order_two_column' WHEN 1 THEN 'native_content_order_font_fidelity' WHEN 2 THEN NULL ELSE 'coordinate_sorted' END AS strategy, CASE WHEN doc_id % 9 = 8 THEN NULL ELSE CAST(doc_id % 10 AS DOUBLE) / 10 END AS similarity,
+ doc_id % 13 = 0 AS scanned, CASE WHEN doc_id % 6 = 0 THEN 'geometric_candidate_rejected' ELSE 'native' END AS label_source, CAST(doc_id % 3 AS INT) AS soft_hyphens, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(doc_id % 8 AS INT) END AS layout_artifacts,
+ CAST(doc_id % 17 AS INT) - 15 AS unresolved_control_glyphs, CAST(doc_id % 19 AS INT) - 16 AS font_glyph_repairs, CAST(doc_id % 23 AS INT) - 20 AS accent_compositions, CAST(doc_id % 29 AS INT) - 27 AS unresolved_math_glyphs,
+ length(text) - length(replace(text, '&', '')) AS control_characters, doc_id % 31 = 1 AS ocr_recommended, doc_id % 4 = 1 AS two_column, CASE WHEN doc_id % 10 = 9 THEN NULL ELSE doc_id % 10 = 3 END AS landscape FROM ({pages}) p""".format(pages=PAGES)
+_SPARSE = r"""(trim(raw_text) = '' OR regexp_matches(trim(regexp_replace(raw_text, '\s+', ' ', 'g')), '(?i)^(?:table|figure|fig\.) (?:[A-Z]\.?)?\d+(?:\.\d+)?[A-Za-z]?(?: ?:|$)') OR (len(l) <= 3 AND len(list_filter(l, lambda x: length(x) >= 90)) = 0)
+ OR (length(s) < 250 AND regexp_matches(s, '(?i)\b(?:table|figure|appendix|survey|question|note)\b')) OR (length(s) < 250 AND length(s) - length(replace(s, '%', '')) >= 2))"""
+_FULL = "greatest(1, len(list_filter(string_split({}, chr(10)), lambda x: trim(x) <> '')))"
+_SUMMARY = {
+    "unresolved_control_glyph_pages": "unresolved_control_glyphs > 0", "soft_hyphen_pages": "soft_hyphens > 0", "layout_artifact_pages": "layout_artifacts > 0", "known_font_glyph_repair_pages": "font_glyph_repairs > 0",
+    "positioned_accent_composition_pages": "accent_compositions > 0", "unresolved_math_glyph_pages": "unresolved_math_glyphs > 0", "residual_control_character_pages": "control_characters > 0",
+    "ocr_recommended_pages": "ocr_recommended", "two_column_pages": "two_column", "landscape_pages": "landscape", "rejected_geometric_page_label_pages": "label_source = 'geometric_candidate_rejected'",
+    "font_fidelity_order_fallback_pages": "strategy = 'native_content_order_font_fidelity'",
+    "reading_order_review_pages": "CASE WHEN strategy = 'native_content_order_font_fidelity' OR (two_column AND strategy IS DISTINCT FROM 'native_content_order_two_column') OR coalesce(landscape, FALSE) THEN similarity < 0.9 ELSE FALSE END OR (page = 1 AND coalesce(strategy, 'coordinate_sorted') = 'coordinate_sorted' AND n >= 1000 AND similarity < 0.5)",
+    "low_text_pages": f"n < 250 AND NOT scanned AND NOT {_SPARSE}", "sparse_plausible_pages": f"n < 250 AND NOT scanned AND {_SPARSE}",
+    "suspicious_order_pages": f"raw_text <> '' AND normalized_text <> '' AND length(normalized_text) > 1000 AND {_FULL.format('normalized_text')} > {_FULL.format('raw_text')} * 2.25",
+}
+
+
+@query(f"""WITH r AS ({PAGE_RECORDS}), p AS (SELECT *, length(trim(raw_text)) AS n, list_filter(list_transform(string_split(raw_text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l, trim(regexp_replace(raw_text, '\\s+', ' ', 'g')) AS s FROM (SELECT * FROM r WHERE raw_text IS NOT NULL)),
+k AS (SELECT paper_id, string_agg(s || '=' || n, ',' ORDER BY s) AS strategies FROM (SELECT paper_id, coalesce(strategy, 'coordinate_sorted') AS s, count(*) AS n FROM p GROUP BY 1, 2) GROUP BY 1)
+SELECT p.paper_id, {", ".join(f"coalesce(string_agg(page, ',' ORDER BY page) FILTER ({rule}), '') AS {name}" for name, rule in _SUMMARY.items())},
+ round(quantile_cont(CASE WHEN raw_text <> '' AND normalized_text <> '' THEN length(normalized_text) / length(raw_text) END, 0.5), 3) AS ratio_median, any_value(strategies) AS strategies FROM p JOIN k ON p.paper_id = k.paper_id GROUP BY p.paper_id""")
+def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every list, the strategies and the median of papers' quality summaries."""
+    out = D.quality_summary(Relations(spark, sf_dir).sql(PAGE_RECORDS).where("raw_text IS NOT NULL"), ["paper_id"])
+    told = F.array_join(F.transform(F.map_entries("strategies"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("strategies")
+    return out.select("paper_id", *(F.array_join(n, ",").alias(n) for n in _SUMMARY), "ratio_median", told)
+
+
 @query("""SELECT p_partkey, greatest(0.0, least(100.0, 100.0 - 4.0 * (p_size % 7) - 3.0 * (p_size % 5) - 1.5 * (p_size % 3) - CASE WHEN p_retailprice / 1000 < 0.65 OR p_retailprice / 1000 > 1.35 THEN 20.0 ELSE 0.0 END)) AS score FROM part""")
 def run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_size")
