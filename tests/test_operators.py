@@ -11,6 +11,7 @@ from inkstone.functions import text as T
 from inkstone.operators import benchmark as B
 from inkstone.operators import checks as C
 from inkstone.operators import coverage as V
+from inkstone.operators import documents as D
 from inkstone.operators import editorial as E
 from inkstone.operators import extract as X
 from inkstone.operators import layout as L
@@ -166,6 +167,50 @@ def test_supported_captions(spark):
     assert [one(spark, X.panel_label(F.col("c")), c=c) for c in ("Panel B: x", "panel 2", "Panels", "x")] == ["b", "2", None, None]
 
 
+def test_positioned_items(spark):
+    """Titles beside and below labels, lines that go on with them, crops within the page; the page without margins for the rest."""
+    line = lambda n, text, x0, y0, bold=True, block=1, size=9.0: ("p", 1, n, text, x0, y0, x0 + 100.0, y0 + 10.0, size, bold, block)
+    rows = [
+        line(10, "Some words", 50.0, 5.0), line(20, "Table 1", 50.0, 20.0), line(30, "Effects on wages", 50.0, 32.0), line(40, "of all firms", 50.0, 43.0), line(50, "1 2 3", 200.0, 60.0, False, 2),
+        line(60, "Figure 2: Shares of", 10.0, 100.0, block=3), line(70, "the market", 10.0, 112.0, block=4), line(80, "Words below", 10.0, 140.0, block=5),
+        line(90, "Figure 3", 10.0, 160.0, False), line(95, "Table 4", 10.0, 190.0, False, 7), line(97, "Too far away", 10.0, 230.0, False, 7),
+    ]
+    lines = spark.createDataFrame(rows, "paper_id string, page int, line int, content string, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, block int")
+    items = D.positioned_items(lines, ["paper_id", "page"], 310, 240)
+    got = {r["label"]: (r["caption"], r["n_caption"], r["n_lines"], [r[c] for c in ("cx0", "cy0", "cx1", "cy1")], [r[c] for c in ("x0", "y0", "x1", "y1")]) for r in items.collect()}
+    assert got == {
+        "1": ("Table 1: Effects on wages of all firms", 3, 4, [50.0, 20.0, 150.0, 53.0], [26.0, 10.0, 310.0, 80.0]),
+        "2": ("Figure 2: Shares of the market", 2, 3, [10.0, 100.0, 110.0, 122.0], [0.0, 90.0, 134.0, 160.0]),
+    }
+    text = "Table 1: Told again\nFigure 9: Only in the text"
+    raw = D.captioned_items(spark.createDataFrame([("p", 1, text)], "paper_id string, page int, text string"))
+    every = {r["label"]: (r["source"], r["x0"], r["y0"], r["x1"], r["y1"]) for r in D.all_items(items, raw, 310, 240).collect()}
+    assert {k: v[0] for k, v in every.items()} == {"1": "positioned_lines", "2": "positioned_lines", "9": "raw_text"} and every["9"][1:] == (48.0, 64.0, 262.0, 198.0)
+
+
+def test_quality_summary(spark):
+    columns = "paper string, page int, raw_text string, normalized_text string, strategy string, similarity double, scanned boolean, label_source string, ocr_recommended boolean, two_column boolean, landscape boolean"
+    counted = sorted(D.COUNTED.values())
+    long = "word " * 300
+    rows = [
+        ("p", 2, long, long, "native_content_order_two_column", 0.1, False, "native", True, True, None), ("p", 1, long, long, None, 0.4, None, None, None, None, None),
+        ("p", 3, long, long.replace(" ", "\r\n"), "native_content_order_font_fidelity", 0.8, False, "geometric_candidate_rejected", False, False, False),
+        ("p", 4, "Short one. " * 30 + "x" * 300, None, "coordinate_sorted", 0.1, False, None, False, True, False), ("p", 5, "  Table 2: x ", "y", "coordinate_sorted", None, False, None, False, False, True),
+        ("p", 6, "", "", "coordinate_sorted", 1.0, True, None, False, False, False), ("q", 1, None, None, None, None, None, None, None, None, None),
+    ]
+    frame = spark.createDataFrame(rows, columns).select("*", *((F.when(F.col("page") == k + 1, 2) if k else F.lit(None).cast("int")).alias(n) for k, n in enumerate(counted)))
+    got = {r["paper"]: r.asDict() for r in D.quality_summary(frame, ["paper"]).collect()}
+    p = got["p"]
+    lists = {k: v for k, v in p.items() if k.endswith("_pages") and k not in D.COUNTED}
+    assert lists == {
+        "ocr_recommended_pages": [2], "two_column_pages": [2, 4], "landscape_pages": [5], "rejected_geometric_page_label_pages": [3], "font_fidelity_order_fallback_pages": [3],
+        "reading_order_review_pages": [1, 3, 4], "low_text_pages": [], "sparse_plausible_pages": [5], "suspicious_order_pages": [3],
+    }
+    assert {k: p[k] for k in D.COUNTED} == {k: ([counted.index(v) + 1] if 0 < counted.index(v) < 6 else []) for k, v in D.COUNTED.items()}
+    assert p["strategies"] == {"coordinate_sorted": 4, "native_content_order_font_fidelity": 1, "native_content_order_two_column": 1}
+    assert p["ratio_median"] == 1.0 and got["q"]["ratio_median"] is None and got["q"]["sparse_plausible_pages"] == [1]
+
+
 def test_rows_of_captioned_tables(spark):
     lines = {
         1: ["Table 1: Wages by sex in 2010", "Panel A", "Men 10 20", "Women  30 (0.5)", "Notes: based on 120 rows 30 40", "Men 1 2"],
