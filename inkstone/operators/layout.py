@@ -87,18 +87,18 @@ def images_in_crops(crops: DataFrame, images: DataFrame) -> DataFrame:
     return counts.withColumn("status", F.when(c("n_images") > 0, "embedded_image").otherwise("page_crop"))
 
 
-def label_by_place(words: DataFrame, keys: list[str], width: float, height: float) -> DataFrame:
+def label_by_place(words: DataFrame, keys: list[str], width: float | Column, height: float | Column) -> DataFrame:
     """keys and label: the word in the footer or header band that could be a page label and is nearest to an edge and,
     after that, to the middle; a header's counts as farther."""
     label = T.plausible_label(F.col("label"))
     foot, head = F.col("y0") >= height * 0.88, F.col("y1") <= height * 0.08
-    middle = F.abs((F.col("x0") + F.col("x1")) / 2 - width / 2) / max(width, 1.0)
+    middle = F.abs((F.col("x0") + F.col("x1")) / 2 - width / 2) / F.greatest(F.lit(width), F.lit(1.0))
     score = F.when(foot, height - F.col("y1")).otherwise(F.col("y0") + height * 0.05) + middle
     some = words.withColumn("_label", label).where(F.col("_label").isNotNull() & (foot | head)).withColumn("_score", score)
     return some.groupBy(*keys).agg(F.min(F.struct("_score", "box", "_label")).alias("m")).select(*keys, F.col("m._label").alias("label"))
 
 
-def two_columns(blocks: DataFrame, keys: list[str], width: float, least: int = 2, characters: int = 180) -> DataFrame:
+def two_columns(blocks: DataFrame, keys: list[str], width: float | Column, least: int = 2, characters: int = 180) -> DataFrame:
     """keys, two_columns and column_major: enough blocks and text on both sides; then whether the left side's blocks all
     come before the right side's (its last before the other's first)."""
     left = F.col("x1") <= width * 0.55

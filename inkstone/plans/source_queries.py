@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from ..sources import files, reports
-from ..sources.views import Relations, oracle
+from ..sources import files, records, reports
+from ..sources.views import PAGES, Relations, oracle
 from .registry import query
 
 
@@ -145,6 +145,40 @@ def corpus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.corpus(pages).select(F.col("paper").alias("paper_id"), "page", "n_removed", F.sha2("text", 256).alias("sha"))
 
 
+#: Pages of papers with the parts that a reader of PDF files gives: a head that recurs, a number at the foot, body blocks in one
+#: or two columns, and images. The text is the head, the body's lines and the number.
+_SHEET = """SELECT paper_id AS paper, page, doc_id, CASE WHEN doc_id % 4 = 1 THEN 800.0 ELSE 600.0 END AS width, CASE WHEN doc_id % 4 = 1 THEN 600.0 ELSE 800.0 END AS height, CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('Journal of Sums ', CAST(page AS VARCHAR(9))) END AS head,
+ CASE WHEN doc_id % 9 = 5 THEN '' WHEN doc_id % 17 = 3 THEN '7' ELSE CAST(page + 10 AS VARCHAR(9)) END AS foot, replace(text, chr(10), ' ') AS body FROM ({pages}) p WHERE text IS NOT NULL""".format(pages=PAGES)
+
+
+@query(rf"""WITH s AS ({_SHEET}), h AS (SELECT paper FROM s WHERE head <> '' GROUP BY 1 HAVING count(DISTINCT page) >= 3),
+l AS (SELECT *, TRY_CAST(foot AS INT) AS v, lag(TRY_CAST(foot AS INT)) OVER o AS before, lag(page) OVER o AS behind FROM s WINDOW o AS (PARTITION BY paper ORDER BY page)),
+r AS (SELECT *, sum(CASE WHEN v = before + 1 AND page = behind + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY paper ORDER BY page) AS run FROM l),
+k AS (SELECT *, count(v) OVER (PARTITION BY paper, run) >= 3 AND v IS NOT NULL AS accepted FROM r),
+x AS (SELECT k.*, head <> '' AND h.paper IS NOT NULL AS gone, length(trim(concat_ws(chr(10), nullif(head, ''), nullif(body, ''), nullif(foot, '')))) AS n, length(body) >= 180 AND doc_id % 2 = 0 AS two FROM k LEFT JOIN h ON k.paper = h.paper)
+SELECT paper, page, CASE WHEN two THEN 'native_content_order_two_column' ELSE 'coordinate_sorted' END AS strategy, CASE WHEN accepted THEN foot END AS page_label, CASE WHEN accepted THEN 'geometric' WHEN v IS NOT NULL THEN 'geometric_candidate_rejected' END AS label_source,
+ CAST(CASE WHEN gone THEN 1 ELSE 0 END AS INT) AS layout_artifacts, CASE WHEN doc_id % 5 = 0 AND n < 1500 THEN 'large_embedded_images_with_limited_native_text' END AS ocr_reason, two AS two_column, width > height AS landscape,
+ sha256(trim(regexp_replace(regexp_replace(replace(replace(concat(CASE WHEN gone THEN '' ELSE head || chr(10) END, body, chr(10), foot), chr(173), ''), chr(160), ' '), '[ 	]+', ' ', 'g'), '\s+$', ''), ' ' || chr(10)) || chr(10)) AS sha FROM x""")
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of papers' pages: heads that recur taken out, labels by their runs, columns, images, the order of the text."""
+    c = F.col
+    sheets = Relations(spark, sf_dir).sql(_SHEET)
+    word = lambda x0, y0, x1, y1, label, line: F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), label.alias("label"), line.alias("block"), line.alias("line"), F.lit(0).alias("word"))
+    block = lambda x0, y0, x1, y1, label: F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), label.alias("label"), F.lit(0).alias("block"), F.lit(True).alias("is_text"))
+    f, w, h = F.lit, c("width"), c("height")
+    three = [("head", w * 0.3, f(5.0), w * 0.5, f(20.0), 0), ("body", w * 0.2, f(300.0), w * 0.8, f(320.0), 1), ("foot", w * 0.45, h - 20, w * 0.55, h - 8, 2)]
+    words = F.filter(F.array(*(word(a, b, d, e, c(n), f(k)) for n, a, b, d, e, k in three)), lambda x: x["label"] != "")
+    wide = F.array(block(w * 0.2, f(200.0), w * 0.8, f(500.0), c("body")))
+    sides = F.array(*(block(w * a, f(y), w * b, f(y + 90.0), c("body")) for a, b, y in ((0.1, 0.45, 100.0), (0.1, 0.45, 300.0), (0.55, 0.9, 100.0), (0.55, 0.9, 300.0))))
+    body = F.when((c("doc_id") % 2 == 0) & (F.length("body") >= 180), sides).otherwise(wide)
+    head = F.when(c("head") != "", F.array(block(w * 0.3, f(5.0), w * 0.5, f(20.0), c("head")))).otherwise(F.slice(wide, 1, 0))
+    image = F.struct(f(1).cast("long").alias("xref"), f(9).alias("width"), f(9).alias("height"), F.array(F.array(w * 0.1, h * 0.1, w * 0.6, h * 0.6)).alias("boxes"))
+    text = F.concat_ws("\n", *(F.when(c(n) != "", c(n)) for n in ("head", "body", "foot")))
+    pages = sheets.select("paper", "page", "width", "height", text.alias("raw_text"), words.alias("words"), F.concat(head, body).alias("blocks"), F.when(c("doc_id") % 5 == 0, F.array(image)).alias("images"))
+    out = records.page_records(pages)
+    return out.select("paper", "page", "strategy", "page_label", "label_source", "layout_artifacts", "ocr_reason", "two_column", "landscape", F.sha2("normalized_text", 256).alias("sha"))
+
+
 @query(r"""SELECT p_partkey, '<html><body><h1>' || p_name || '</h1>' || chr(10) || '<p>Size <b>' || p_size || '</b> &amp; <i>' || p_type || '</i> of <code>a|b</code> &lt;' || p_brand || '&gt;</p>' || chr(10) || '<p class="item">- first item</p>' || chr(10)
  || '<p class="cell row-start"><b>Key:</b> ' || p_partkey || '</p>' || chr(10) || '<p class="cell"><b>Link:</b> <a href="https://a.org/' || p_partkey || '">here</a> (https://a.org/' || p_partkey || ')</p>' || chr(10) || '<hr></body></html>' AS html,
 regexp_replace(p_name || 'Size' || p_size || '&' || p_type || 'ofa|b<' || p_brand || '>-firstitemKey:' || p_partkey || 'Link:here(https://a.org/' || p_partkey || ')', '\s', '', 'g') AS visible_text, CASE WHEN p_partkey % 4 = 0 THEN 'text differs' WHEN p_partkey % 4 = 1 THEN 'too many pages' END AS error FROM part""")

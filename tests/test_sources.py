@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from inkstone.functions import predicates as P
 from inkstone.operators import benchmark as B
 from inkstone.operators import checks as C
+from inkstone.operators import documents as D
 from inkstone.operators import glyphs as G
-from inkstone.sources import files, reports
+from inkstone.sources import files, records, reports
 from inkstone.streaming import runs, tasks
 
 
@@ -79,6 +80,27 @@ def test_stream_of_attempts(spark, tmp_path):
     assert {(r["kind"], r["attempts"]) for r in spark.table("attempt_rates").collect()} == {("start", 1), ("fail", 4), ("accept", 1)}
 
 
+def test_page_records(spark):
+    """Recurring heads go, labels stand in runs, sorted words give the text; scans, images and control characters are counted."""
+    word = lambda label, x, y, line: (x, y, x + 30.0, y + 10.0, label, line, line, 0)
+    head = lambda n: (10.0, 5.0, 200.0, 20.0, f"Journal {n}", 0, True)
+    pages = []
+    for n in (1, 2, 3):
+        words = [word("second", 300.0, 200.0, 2), word("first", 10.0, 100.0, 1), word("half", 50.0, 100.0, 1), word(f"Journal {n}", 10.0, 5.0, 0), word(str(n + 4), 290.0, 780.0, 9)]
+        pages.append(("p", n, 600.0, 800.0, f"Journal {n}\nfirst ha\u00adlf\x01\nsecond\n{n + 4}", words, [head(n), (10.0, 100.0, 400.0, 300.0, "text", 1, True)], [(1, 9, 9, [[0.0, 0.0, 600.0, 400.0]])] if n == 2 else None))
+    pages += [("p", 4, 600.0, 800.0, "", None, None, None), ("p", 5, 800.0, 600.0, None, [], [], []), ("p", 6, 600.0, 800.0, "only raw", None, [], []), ("q", 1, 600.0, 800.0, "Journal 1", [word("9", 290.0, 780.0, 0)], [head(1)], [])]
+    schema = f"paper string, page int, width double, height double, raw_text string, words array<{files.WORD}>, blocks array<{files.BLOCK}>, images array<{files.IMAGE}>"
+    got = {(r["paper"], r["page"]): r for r in records.page_records(spark.createDataFrame(pages, schema)).collect()}
+    assert len(got) == 7
+    one = got["p", 1]
+    assert (one["normalized_text"], one["strategy"], one["page_label"], one["label_source"]) == ("first half\nsecond\n5\n", "coordinate_sorted", "5", "geometric")
+    assert (one["layout_artifacts"], one["artifact_reasons"], one["control_characters"], one["soft_hyphens"]) == (1, ["repeated_header"], 1, 0)
+    assert got["p", 2]["ocr_reason"] == "large_embedded_images_with_limited_native_text" and got["p", 2]["coverage"] == 0.5
+    assert (got["p", 4]["ocr_reason"], got["p", 4]["scanned"], got["p", 5]["landscape"], got["p", 5]["ocr_recommended"]) == ("no_native_text", True, True, True)
+    assert got["p", 6]["normalized_text"] == "only raw\n" and got["q", 1]["layout_artifacts"] == 0 and got["q", 1]["label_source"] == "geometric_candidate_rejected"
+    assert D.quality_summary(spark.createDataFrame(list(got.values())), ["paper"]).count() == 2
+
+
 def told(profile, *events):
     """Errors, pauses, jobs and states after each event (kind, task, value), a minute apart unless a time is given."""
     run, out = runs.Run(profile), []
