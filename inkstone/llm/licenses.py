@@ -2,8 +2,9 @@
 identifiers, in order, are matched against rules that are ordered sequences of identifiers.
 
 Only built-in functions within a row, so nothing is shuffled. A known sentence may be wrapped over lines, stand behind
-comment marks, and hold : and ; between its words. The same rules give the SQL statement of the scan, which knows a sentence
-only where none of these stands within it; on texts without such sentences both give the same rows.
+comment marks or a list's mark, and hold : and ; between its words; names of programs and holders may stand in it, if they
+hold no stop. The same rules give the SQL statement of the scan, which knows a sentence only where no line's end, : or ; stands
+within it, and no expression of several licences; on texts without such sentences both give the same rows.
 """
 
 import re
@@ -25,7 +26,12 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "GPL3-NAME": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
     "GPL2-NAME": ("this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
     "GPL-FREE": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
-    "GPL2-FREE": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",),
+    "GPL2-FREE": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+        "this program is free software you can redistribute it and or modify it under the terms of version 2 of the gnu general public license as published by the free software foundation",
+    ),
     "LGPL21-FREE": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",),
     "LGPL3-FREE": ("this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
     "AGPL3-FREE": ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
@@ -122,10 +128,50 @@ _BREAK = r"[.!?]+([ \t\r]|$)|[.!?]*\n+|[;:]"
 #: No sentence goes over . ! ? before white space or the text's end, nor over an empty line.
 _STOP = r"[.!?]+([ \t\r\n]|$)|\n[ \t\r]*\n"
 #: Every known sentence holds one of these.
-_CUE = r"(?i)licen|permission|copyright|warranty|redistribut|reserved|unencumbered|anyone is|of the mpl|cc[^a-z0-9]+by"
-_LONGEST = sorted((words for some in SENTENCES.values() for words in some), key=len, reverse=True)
+_CUE = r"(?i)licen|permission|copyright|warranty|redistribut|reserved|unencumbered|anyone is|of the mpl|cc[^a-z0-9]+by|neither the name"
+#: What sentences may hold beside their fixed words: a list's mark before them; the name of the program in notices of the GNU
+#: licences; the holder's name in the third rule of BSD; what is licensed before a licence's name, and where to see it. Each is
+#: a pattern of words and what stands for it in the table; of a sentence with `not` no licence's name is told.
+_MARK = "(?:[0-9]{1,2}|[a-z]|[ivx]{2,4}) "
+_NAMED = "mit license|apache license version 2 0|gnu general public license version [23]|cc by nc 4 0|cc by 4 0|creative commons attribution noncommercial 4 0 international license"
+_SEE = "(?: see(?: [a-z0-9]+){1,8})?"
+_FORMS = (
+    ("(?:[a-z0-9]+ ){1,8}?(is free software you can redistribute it .*)", "this program {1}"),
+    ("(?:[a-z0-9]+ ){1,8}?(is distributed in the hope that it will be useful .*)", "this program {1}"),
+    ("neither the name of (?:[a-z0-9]+ ){1,12}?nor the names of (?:its )?contributors (may be used .*)", "neither the name of the copyright holder nor the names of its contributors {1}"),
+    ("(?:[a-z0-9]+ ){0,8}?(?:released|licensed|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?(" + _NAMED + ")" + _SEE, "licensed under the {1}"),
+)
+
+
+def _plain(words: str) -> str:
+    """A sentence of the table with what stands for names."""
+    for pattern, new in _FORMS:
+        if (m := re.fullmatch(pattern, words)) and not re.search(r"\bnot\b.* under ", words):
+            return new.replace("{1}", m[1])
+    return words
+
+
+#: Plain sentences and their identifiers; several sentences of the table may come to one.
+TABLE = {_plain(words): name for name, some in SENTENCES.items() for words in some}
+_SPDX_START = "spdx license identifier "
+_SPDX = "|".join(sorted((w.removeprefix(_SPDX_START) for w in TABLE if w.startswith(_SPDX_START)), key=len, reverse=True))
+_EXPRESSION = f"{_SPDX_START}(?:{_SPDX})(?: (?:or|and) (?:{_SPDX}))+"
+_LONGEST = sorted({words for some in SENTENCES.values() for words in some} | {*TABLE}, key=len, reverse=True)
+
+
+def _spread() -> str:
+    """The forms as parts of the pattern of known sentences: what is free in them is any words, what is fixed is the table's."""
+    ends = lambda start: "|".join(w[len(start) :] for w in sorted(TABLE, key=len, reverse=True) if w.startswith(start))
+    holder = "neither the name of the copyright holder nor the names of its contributors "
+    some = [
+        f"(?:[a-z0-9]+ ){{1,8}}?(?:{ends('this program ')})", f"neither the name of (?:[a-z0-9]+ ){{1,12}}?nor the names of (?:its )?contributors (?:{ends(holder)})",
+        f"(?:(?!not )[a-z0-9]+ ){{0,8}}?(?:released|licensed|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?(?:{_NAMED}){_SEE}",
+    ]
+    return "|".join([_EXPRESSION, *some])
+
+
 #: A known sentence in a text whose lines and parts at : and ; are set off by |.
-_KNOWN = r"(?<=\|)(?:" + "|".join(re.sub(" ", "[ |]", words) for words in _LONGEST) + r")(?=\|)"
+_KNOWN = r"(?<=\|)(?:" + re.sub(" (?!\\?)", "[ |]", f"(?:{_MARK})?(?:" + _spread() + "|" + "|".join(_LONGEST) + ")") + r")(?=\|)"
 
 
 def marked(block: Column) -> Column:
@@ -140,11 +186,26 @@ def sentence_ids(text: Column) -> Column:
 
     Of known sentences that begin at one place the longest counts, and none that begins within another.
     """
-    fixed = F.create_map(*[F.lit(x) for name, some in SENTENCES.items() for words in some for x in (words, name)])
+    fixed = F.create_map(*[F.lit(x) for pair in TABLE.items() for x in pair])
     blocks = F.filter(F.split(text, _STOP), lambda b: b.rlike(_CUE))
     found = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(marked(b), F.lit(_KNOWN), F.lit(0))))
-    names = F.transform(found, lambda x: F.element_at(fixed, F.translate(x, "|", " ")))
-    return F.coalesce(F.when(text.rlike(_CUE), names), F.array().cast("array<string>"))
+    names = F.flatten(F.transform(found, lambda x: F.transform(_sentences(F.translate(x, "|", " ")), lambda w: F.try_element_at(fixed, w))))
+    return F.coalesce(F.when(text.rlike(_CUE), F.array_compact(names)), F.array().cast("array<string>"))
+
+
+def _sentences(words: Column) -> Column:
+    """The plain sentences of a known one: without its mark, with what stands for names; an expression of several licences is
+    a sentence for each."""
+    bare = F.when(F.lit(False), words)
+    for pattern, new in _FORMS:
+        bare = bare.when(_own(words).rlike(f"^{pattern}$"), F.regexp_replace(_own(words), f"^{pattern}$", new.replace("{1}", "$1")))
+    several = F.transform(F.regexp_extract_all(_own(words), F.lit(f"(?<= )(?:{_SPDX})(?= |$)"), F.lit(0)), lambda n: F.concat(F.lit(_SPDX_START), n))
+    return F.when(_own(words).rlike(f"^{_EXPRESSION}$"), several).otherwise(F.array(bare.otherwise(_own(words))))
+
+
+def _own(words: Column) -> Column:
+    """The words without a list's mark, unless they are known with it."""
+    return F.when(words.isin(*TABLE), words).otherwise(F.regexp_replace(words, f"^{_MARK}", ""))
 
 
 def _pattern(parts: tuple[str, ...], unless: str | None) -> str:
@@ -176,7 +237,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def scan_sql() -> str:
     """DuckDB SQL for scan() over the table documents; what must not come after is put as all that may."""
-    fixed = ", ".join(f"('{words}', '{name}')" for name, some in SENTENCES.items() for words in some)
+    fixed = ", ".join(f"('{words}', '{name}')" for words, name in TABLE.items())
+    known = ", ".join(f"'{words}'" for words in TABLE)
+    plain_form = "CASE " + " ".join(f"WHEN regexp_full_match(w, '{p}') AND NOT regexp_matches(w, '(^| )not .* under ') THEN regexp_replace(w, '^{p}$', '{n.replace('{1}', chr(92) + '1')}')" for p, n in _FORMS) + " ELSE w END"
     after = lambda unless: "($|(" + "|".join(n.replace(".", "[.]") for n in SENTENCES if n != unless) + "),)" if unless else ""
     plain = lambda parts: "," + ",([^,]+,)*".join(p.replace(".", "[.]") for p in parts) + ","
     rules = ", ".join(f"({k}, '{rule}', '{name}', '{plain(parts) + after(unless)}')" for k, (rule, name, parts, unless) in enumerate(RULES))
@@ -185,8 +248,10 @@ def scan_sql() -> str:
     cut AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(text, '{_BREAK}', chr(10), 'g'), chr(10)) AS parts
             FROM documents WHERE text IS NOT NULL),
     sentences AS (SELECT r, doc_id, unnest(range(len(parts))) AS place, unnest(parts) AS sentence FROM cut),
-    found AS (SELECT r, doc_id, place, sentence_id FROM sentences JOIN fixed
-              ON fixed.words = trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g'))),
+    spelled AS (SELECT r, doc_id, place, trim(regexp_replace(lower(sentence), '[^a-z0-9]+', ' ', 'g')) AS v FROM sentences WHERE regexp_matches(sentence, '{_CUE}')),
+    own AS (SELECT r, doc_id, place, CASE WHEN v IN ({known}) THEN v ELSE regexp_replace(v, '^{_MARK}', '') END AS w FROM spelled),
+    each AS (SELECT r, doc_id, place, w FROM (SELECT r, doc_id, place, {plain_form} AS w FROM own)),
+    found AS (SELECT r, doc_id, place, sentence_id FROM each JOIN fixed ON fixed.words = w),
     marked AS (SELECT *, sentence_id IS DISTINCT FROM lag(sentence_id) OVER (PARTITION BY r ORDER BY place) AS fresh FROM found),
     lines AS (SELECT r, doc_id, count(*)::BIGINT AS n_sentences, string_agg(sentence_id, ',' ORDER BY place) FILTER (fresh) AS sentence_ids FROM marked GROUP BY r, doc_id),
     hits AS (SELECT r, rule, name FROM lines JOIN rules ON regexp_matches(',' || sentence_ids || ',', pattern) QUALIFY k = max(k) OVER (PARTITION BY r, name)),

@@ -385,6 +385,35 @@ def test_rejection_lies_between_known_and_other_languages():
     assert not langid.beyond(model, np.array([3]), np.array([99.0])).any()
 
 
+LICENCE_FORMS = {
+    "Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\n"
+    "Foo is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.": "GPL-3.0",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.\n"
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.": "GPL-2.0",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.\n"
+    "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.": "LGPL-2.1",
+    "This library is released under the MIT license.": "MIT",
+    "Distributed under the terms of the MIT license, see LICENSE.": "MIT",
+    "The whole of this code is available under the Apache License, Version 2.0": "Apache-2.0",
+    "SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT",
+    "# SPDX-License-Identifier: GPL-2.0-or-later AND MIT": "GPL-2.0,MIT",
+    "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+    "(1) Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+    "(2) Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    "(3) Neither the name of the Foo Bar project nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "BSD-3-Clause",
+    "This is not released under the MIT license.": None,
+    "We talk of free software: you can redistribute it at will.": None,
+    "See the MIT license text in the file of that name, which is long.": None,
+}
+
+
+def test_licence_sentences_with_names_and_marks(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(LICENCE_FORMS)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()}
+    assert [got.get(i) for i in range(len(LICENCE_FORMS))] == [*LICENCE_FORMS.values()]
+
+
 def test_language_model(spark, awkward):
     rnd = random.Random(4)
     chain = {"a": "b", "b": "c", "c": "d", "d": "a"}
