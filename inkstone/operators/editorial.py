@@ -57,6 +57,15 @@ def material(severity: Column, issue_class: Column) -> Column:
     return F.coalesce(severity.isin("high", "medium") & issue_class.isin("manuscript_issue", "reference_integrity", "cannot_verify"), F.lit(False))
 
 
+def identity_errors(artifacts: DataFrame, bundles: DataFrame) -> DataFrame:
+    """(paper_id, subject, error) of editorial artifacts (paper_id of the run, version, told, the paper that the artifact names)
+    whose version is not 1, or that name another paper than the bundle of findings (paper_id, bundle) does; subject is null, as
+    it is the whole artifact."""
+    wrong = ~F.col("version").eqNullSafe(F.lit(1)) | ~F.col("told").eqNullSafe(F.col("bundle"))
+    rows = artifacts.join(bundles.select("paper_id", "bundle"), "paper_id", "left").where(wrong)
+    return rows.select("paper_id", F.lit(None).cast("string").alias("subject"), F.lit("version or paper").alias("error"))
+
+
 def decision_errors(findings: DataFrame, blocks: DataFrame, decisions: DataFrame, verdicts: DataFrame, assessor: str = "editor_model") -> DataFrame:
     """(paper_id, subject, error), each once, of editorial decisions that break a rule; subject is a block or a finding.
 

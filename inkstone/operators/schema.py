@@ -174,6 +174,38 @@ def review_schema() -> dict:
     return whole_review | {"$defs": {"quantity": quantity, "source": source, "link": link}}
 
 
+def roster_schema() -> dict:
+    """The schema of a roster of raters: names, values and defaults are fixed; members that are not named here may stand."""
+    some, flag = _text(1), {"type": "boolean"}
+    rater = {
+        "type": "object", "required": ["name", "prompt", "output", "id_prefix", "normalization_role"],
+        "properties": dict.fromkeys(("name", "prompt", "output", "id_prefix"), some) | {
+            "normalization_role": _one_of("manuscript", "crossref", "reference", "copyedit"), "stage": _one_of("preflight", "review"),
+            "selection_policy": _one_of("mandatory", "optional"), "search": flag, "enabled": flag,
+        },
+    }
+    return {"type": "object", "required": ["reviewers"], "properties": {"reviewers": _list(rater, minItems=1)}}
+
+
+def roster_errors(rosters: DataFrame) -> DataFrame:
+    """(roster, place, error) of rosters (roster, document as JSON text): what breaks the schema; else names, prompts, outputs and
+    prefixes that are blank or, ends trimmed, stand twice, at each place but the first, and a roster without an enabled rater."""
+    c = F.col
+    broken = cut(rosters.select("roster", F.explode(schema_errors(c("document"), roster_schema())).alias("e")))
+    out = broken.select("roster", c("e.path").alias("place"), F.concat_ws(" ", "e.rule", "e.detail").alias("error"))
+    shape = "reviewers array<struct<name:string,prompt:string,output:string,id_prefix:string,enabled:boolean>>"
+    sound = rosters.join(broken.select("roster").distinct(), "roster", "left_anti").select("roster", F.from_json("document", shape)["reviewers"].alias("r"))
+    each = sound.select("roster", F.posexplode("r").alias("i", "x"))
+    parts = ("name", "prompt", "output", "id_prefix")
+    values = each.select("roster", "i", F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.trim(f"x.{p}").alias("value")) for p in parts))).alias("v")).select("roster", "i", "v.*")
+    first = values.groupBy("roster", "part", "value").agg(F.min("i").alias("first"))
+    error = F.when(c("value") == "", "blank").when(c("i") > c("first"), "duplicate")
+    unsound = values.join(first, ["roster", "part", "value"]).where(error.isNotNull())
+    out = out.unionByName(unsound.select("roster", F.concat_ws(".", F.lit("reviewers"), c("i").cast("string"), "part").alias("place"), error.alias("error")))
+    idle = sound.where(~F.exists("r", lambda x: F.coalesce(x["enabled"], F.lit(True))))
+    return out.unionByName(idle.select("roster", F.lit("reviewers").alias("place"), F.lit("none enabled").alias("error")))
+
+
 _FINDING = (
     "id:string,category:string,finding_summary:string,issue_type:string,severity:string,confidence:string,assessment:string,cannot_verify_reason:string,"
     "location:struct<page:int,page_label:string,section:string,text_quote:string,precision:string>,numeric_check:string,"

@@ -213,6 +213,33 @@ def review_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.review_errors(reviews, spark.createDataFrame([("numerical_auditor", "N")], "rater string, id_prefix string"), pages)
 
 
+#: Raters of rosters, one roster a customer: blank, missing, unknown and repeated values, flags that are none.
+_RATERS = """SELECT o_custkey AS roster, o_orderkey AS k, CONCAT('{"name":"', CASE WHEN o_orderkey % 61 = 0 THEN ' ' WHEN o_orderkey % 37 = 1 THEN 'twice' ELSE CONCAT('r', CAST(o_orderkey AS VARCHAR(20))) END, '","prompt":"p', CAST(o_orderkey AS VARCHAR(20)), '","output":"', CASE WHEN o_orderkey % 41 = 2 THEN 'out ' WHEN o_orderkey % 41 = 3 THEN 'out' ELSE CONCAT('o', CAST(o_orderkey AS VARCHAR(20))) END,
+ '"', CASE WHEN o_orderkey % 97 = 4 THEN '' ELSE CONCAT(',"id_prefix":"X', CAST(o_orderkey AS VARCHAR(20)), '"') END, ',"normalization_role":"', CASE WHEN o_orderkey % 89 = 5 THEN 'other' ELSE 'manuscript' END, '"', CASE WHEN o_orderkey % 83 = 6 THEN ',"search":"yes"' ELSE '' END, CASE WHEN o_custkey % 19 = 7 THEN ',"enabled":false' ELSE '' END, CASE WHEN o_orderkey % 79 = 8 THEN ',"stage":"late"' ELSE '' END, ',"note":1}') AS rater FROM orders"""
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY roster ORDER BY k) - 1 AS i FROM ({_RATERS})),
+e AS (SELECT roster, 'reviewers.' || i AS place, 'required id_prefix' AS error FROM r WHERE json_extract(rater, '$.id_prefix') IS NULL UNION ALL SELECT roster, 'reviewers.' || i || '.normalization_role', 'enum' FROM r WHERE json_extract_string(rater, '$.normalization_role') NOT IN ('manuscript', 'crossref', 'reference', 'copyedit')
+ UNION ALL SELECT roster, 'reviewers.' || i || '.search', 'type' FROM r WHERE coalesce(json_type(rater, '$.search'), 'BOOLEAN') <> 'BOOLEAN' UNION ALL SELECT roster, 'reviewers.' || i || '.stage', 'enum' FROM r WHERE coalesce(json_extract_string(rater, '$.stage'), 'review') NOT IN ('preflight', 'review')),
+s AS (SELECT * FROM r WHERE roster NOT IN (SELECT roster FROM e)), v AS (SELECT roster, i, p, trim(json_extract_string(rater, '$.' || p)) AS x FROM s, (VALUES ('name'), ('prompt'), ('output'), ('id_prefix')) t(p)),
+d AS (SELECT roster, 'reviewers.' || i || '.' || p AS place, CASE WHEN x = '' THEN 'blank' WHEN i > min(i) OVER (PARTITION BY roster, p, x) THEN 'duplicate' END AS error FROM v)
+SELECT * FROM e UNION ALL SELECT * FROM d WHERE error IS NOT NULL UNION ALL SELECT roster, 'reviewers', 'none enabled' FROM s GROUP BY roster HAVING bool_and(coalesce(json_extract_string(rater, '$.enabled'), 'true') = 'false')""")
+def roster_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rosters as JSON documents, held against their schema and their rules."""
+    rows = Relations(spark, sf_dir).sql(_RATERS)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "rater"))), lambda x: x["rater"])
+    document = F.concat(F.lit('{"reviewers":['), F.array_join(ordered, ","), F.lit("]}"))
+    return J.roster_errors(rows.groupBy("roster").agg(document.alias("document")))
+
+
+@query("""SELECT 'p' || a.p_partkey AS paper_id, CAST(NULL AS VARCHAR) AS subject, 'version or paper' AS error FROM part a WHERE p_size % 5 = 0 OR p_size IS NULL OR p_partkey % 7 = 3 OR p_partkey % 11 = 4""")
+def identity_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Editorial artifacts of another version, or of another paper than their findings."""
+    rows = Relations(spark, sf_dir).table("part").selectExpr("concat('p', p_partkey) AS paper_id", "p_partkey AS k", "CASE WHEN p_size % 5 = 0 THEN 2 WHEN p_size IS NOT NULL THEN 1 END AS version")
+    artifacts = rows.selectExpr("paper_id", "version", "CASE WHEN k % 7 = 3 THEN NULL ELSE paper_id END AS told")
+    return E.identity_errors(artifacts, rows.selectExpr("paper_id", "CASE WHEN k % 11 = 4 THEN 'another' ELSE paper_id END AS bundle"))
+
+
 LOOKS = "SELECT DISTINCT o_custkey AS packet, CASE WHEN o_custkey % 11 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN o_custkey % 13 = 0 THEN 'failed' ELSE 'complete' END AS status, 'x' AS packet_sha, CASE WHEN o_custkey % 17 = 0 THEN 'y' ELSE 'x' END AS expected_sha FROM orders"
 PICKED = "SELECT o_custkey AS packet, CAST(o_orderkey AS VARCHAR(20)) AS id FROM orders WHERE o_orderkey % 5 <> 0"
 RESULTS = """SELECT o_custkey AS packet, CAST(CASE WHEN o_orderkey % 29 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS VARCHAR(20)) AS id, CASE o_orderkey % 6 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'narrowed' WHEN 2 THEN 'rejected' WHEN 3 THEN 'unresolved' WHEN 4 THEN 'odd' ELSE 'confirmed' END AS outcome,

@@ -156,3 +156,18 @@ def test_whole_reviews(spark):
     pages = spark.createDataFrame([(k, 5) for k in cases], "paper_id string, page_count int")
     found = S.review_errors(reviews, spark.createDataFrame([("numerical_auditor", "N")], "rater string, id_prefix string"), pages).collect()
     assert {k: {(r["stage"], r["place"], r["error"]) for r in found if r["paper_id"] == k} for k in cases} == {k: want for k, (_, want) in cases.items()}
+
+
+def test_rosters(spark):
+    rater = lambda n, **more: {"name": f"r{n}", "prompt": f"p{n}", "output": f"o{n}", "id_prefix": f"X{n}", "normalization_role": "manuscript"} | more
+    cases = {
+        "sound": ({"reviewers": [rater(1, stage="preflight", search=True, note=3), rater(2, enabled=False)]}, set()),
+        "empty": ({"reviewers": []}, {("reviewers", "minItems")}),
+        "none": ({}, {("", "required reviewers")}),
+        "values": ({"reviewers": [rater(1, normalization_role="x", selection_policy="some", search=1, output="")]}, {(f"reviewers.0.{k}", e) for k, e in (("normalization_role", "enum"), ("selection_policy", "enum"), ("search", "type"), ("output", "minLength"))}),
+        "twice": ({"reviewers": [rater(1), rater(2, name=" r1", id_prefix="X1"), rater(3, prompt="  ")]}, {("reviewers.1.name", "duplicate"), ("reviewers.1.id_prefix", "duplicate"), ("reviewers.2.prompt", "blank")}),
+        "idle": ({"reviewers": [rater(1, enabled=False)]}, {("reviewers", "none enabled")}),
+    }
+    frame = spark.createDataFrame([(k, json.dumps(d)) for k, (d, _) in cases.items()], "roster string, document string")
+    found = S.roster_errors(frame).collect()
+    assert {k: {(r["place"], r["error"]) for r in found if r["roster"] == k} for k in cases} == {k: want for k, (_, want) in cases.items()}
