@@ -157,3 +157,32 @@ def test_links_across_many_shards(spark):
         rows = embedding_dedup.near_duplicates(frame, settings=settings).collect()
         links = np.array([r["n_links"] for r in sorted(rows, key=lambda r: r["vec_id"])])
         assert (links <= true).all() and links.sum() >= 0.98 * true.sum()
+
+
+@pytest.mark.parametrize("scale", [1e-6, 1e25])
+def test_neighbours_of_any_scale(spark, scale):
+    """Three thousand vectors whose products lie under any fixed tolerance or beyond single precision."""
+    x = np.random.default_rng(3).normal(size=(3000, 64)) * scale
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = ann.nearest(frame, F.col("vec_id") % 50 == 0, settings=ann.Settings(rerank=24)).toPandas()
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20]) & set(own.vec_id))
+    assert hits >= 0.93 * 20 * 60
+
+
+def test_audit_counts_ties_by_the_smaller_id(spark):
+    """Vectors of zeros and ones: the twentieth score is that of hundreds, of which the smallest ids are due."""
+    x = (np.random.default_rng(6).random((4000, 16)) < 0.3).astype(float)
+    x[:, 15] = 1
+    rows = [(i, [*r, i * 1e-300]) for i, r in enumerate(x.tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(frame, F.col("vec_id") % 50 == 0, settings=ann.Settings(rerank=24)).toPandas()
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(len(x)), -score))[:20]) & set(own.vec_id))
+    assert hits >= 0.93 * 20 * 80
