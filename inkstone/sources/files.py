@@ -105,12 +105,15 @@ def page_parts(spark: SparkSession, path: str, read: Callable[[bytes], list[dict
 
 
 def sorted_text(pages: DataFrame) -> DataFrame:
-    """pages with sorted_text: words line by line from top to bottom and left to right; the raw text where there are none."""
-    rows = F.array_sort(F.transform("words", lambda w: F.struct(w["block"].alias("b"), w["line"].alias("l"), w["y0"].alias("y"), w["x0"].alias("x"), w["label"].alias("t"))))
-    tops = F.array_distinct(F.transform(rows, lambda r: F.struct(r["b"], r["l"])))
-    line = lambda k: F.filter(rows, lambda r: (r["b"] == k["b"]) & (r["l"] == k["l"]))
-    told = F.array_sort(F.transform(tops, lambda k: F.struct(F.array_min(F.transform(line(k), lambda r: r["y"])).alias("y"), F.array_min(F.transform(line(k), lambda r: r["x"])).alias("x"),
-        F.array_join(F.transform(F.array_sort(F.transform(line(k), lambda r: F.struct(r["x"], r["t"]))), lambda r: r["t"]), " ").alias("t"))))
+    """pages with sorted_text: words line by line from top to bottom and left to right; the raw text where there are none. Words
+    are sorted by line and place once, and a line is a stretch of them, so a page costs what sorting its words does."""
+    let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    rows = F.sort_array(F.transform("words", lambda w: F.struct(w["block"].alias("b"), w["line"].alias("l"), w["x0"].alias("x"), w["label"].alias("t"), w["y0"].alias("y"))))
+    opens = lambda r, i: (i == 0) | ~F.struct(F.get(r, i)["b"], F.get(r, i)["l"]).eqNullSafe(F.struct(F.get(r, i - 1)["b"], F.get(r, i - 1)["l"]))
+    starts = lambda r: F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: opens(r, i))
+    part = lambda r, s, k: F.slice(r, F.get(s, k) + 1, F.coalesce(F.get(s, k + 1), F.size(r)) - F.get(s, k))
+    line = lambda own: F.struct(F.array_min(F.transform(own, lambda w: w["y"])).alias("y"), F.get(own, F.lit(0))["x"].alias("x"), F.array_join(F.transform(own, lambda w: w["t"]), " ").alias("t"))
+    told = let(rows, lambda r: let(starts(r), lambda s: F.sort_array(F.transform(s, lambda _, k: let(part(r, s, k), line)))))
     text = F.array_join(F.transform(told, lambda r: r["t"]), "\n")
     return pages.withColumn("sorted_text", F.when(F.coalesce(F.size("words"), F.lit(0)) > 0, text).otherwise(F.col("raw_text")))
 

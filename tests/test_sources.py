@@ -222,3 +222,17 @@ def test_trailing_text_is_no_json(spark):
     texts = ['{"a": 1}', '{"a": 1} x', "1, 2", "1] , [2", "1}", '1, "b": 2', "[1]", "null", "", "NaN", '"s"']
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r["t"] for r in frame.where(files.strict_json(F.col("t")).isNotNull()).collect()] == ['{"a": 1}', "[1]", "null", '"s"']
+
+
+def test_sorted_text_of_a_long_page(spark):
+    """A page of 4,000 lines of three words: each line is found once, not by going through the page again."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    word = lambda i: F.struct((i % 3).cast("double").alias("x0"), (-F.floor(i / 3)).cast("double").alias("y0"), i.cast("string").alias("label"), F.lit(0).alias("block"), F.floor(i / 3).cast("int").alias("line"))
+    page = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(11_999)), word).alias("words"), F.lit("raw").alias("raw_text"))
+    began = time.perf_counter()
+    got = files.sorted_text(page).collect()[0]["sorted_text"]
+    assert got == "\n".join(f"{3 * k} {3 * k + 1} {3 * k + 2}" for k in reversed(range(4000)))
+    assert time.perf_counter() - began < 30
