@@ -1,7 +1,8 @@
 """Repairs of extracted text: known font glyphs, and accents that stand apart from their letters."""
 
 import unicodedata
-from difflib import SequenceMatcher
+from bisect import bisect_right
+from difflib import Match, SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,18 +54,41 @@ def accent_repairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out.where((F.col("put").isNotNull()) & (F.length("put") == 1))
 
 
+def common_letters(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of its table as the bits of one number."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    every = left = (1 << len(a)) - 1
+    for c in b:
+        met = left & places.get(c, 0)
+        left = (left + met | left - met) & every
+    return len(a) - left.bit_count()
+
+
 def align(source: str, target: str, repairs: list[tuple[int, str]], least: float = 0.9) -> tuple[str, int]:
     """The target with the source's repairs (place, put) at the characters that correspond to their places, and how many
-    there are; the target as it is where the two are less alike than `least`."""
-    matcher = SequenceMatcher(None, source, target, autojunk=False)
-    if not repairs or matcher.ratio() < least:
+    there are; the target as it is where the two are less alike than `least`.
+
+    Matched characters are a common subsequence, so texts whose longest one is too short are not matched at all; equal texts
+    are one block."""
+    if not repairs:
         return target, 0
-    blocks = [b for b in matcher.get_matching_blocks() if b.size]
-    put = {}
+    if source == target:
+        blocks = [Match(0, 0, len(source))]
+    else:
+        size = len(source) + len(target)
+        if 2.0 * min(len(source), len(target)) / size < least or 2.0 * common_letters(source, target) / size < least:
+            return target, 0
+        matcher = SequenceMatcher(None, source, target, autojunk=False)
+        if matcher.ratio() < least:
+            return target, 0
+        blocks = [b for b in matcher.get_matching_blocks() if b.size]
+    starts, put = [b.a for b in blocks], {}
     for place, new in repairs:
-        block = next((b for b in blocks if b.a <= place < b.a + b.size), None)
-        if block:
-            put[block.b + place - block.a] = new
+        k = bisect_right(starts, place) - 1
+        if k >= 0 and place < blocks[k].a + blocks[k].size:
+            put[blocks[k].b + place - blocks[k].a] = new
     return "".join(put.get(i, c) for i, c in enumerate(target)), len(put)
 
 

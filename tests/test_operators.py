@@ -554,3 +554,26 @@ def test_repairs_and_leases(spark):
     r = frame.select(Y.resolved_choice(F.col("e"), F.col("s"), F.col("p"), ("a", "b"), "a").alias("r")).collect()
     assert [(x["r"]["choice"], x["r"]["error"]) for x in r] == [("a", None), ("a", None), ("b", None), (None, "differs from saved run"), (None, "unknown explicit choice")]
     assert [one(spark, Y.portable(F.col("c"), F.lit("/a/b/")), c=c) for c in ("/a/b/c/d", "/a/bc", "/a/b")] == ["c/d", "/a/bc", "."]
+
+
+def test_unlike_texts_are_not_matched(monkeypatch):
+    """Texts whose common letters are too few, and equal texts, are told without block matching; others as before."""
+    import random
+
+    from inkstone.operators import glyphs
+
+    rng = random.Random(5)
+    real = glyphs.SequenceMatcher
+    for _ in range(200):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 60)))
+        b = "".join(c for c in a if rng.random() > 0.08) + rng.choice(["", "x", "ab"])
+        repairs = [(i, "é") for i, c in enumerate(a) if c == "a"]
+        matcher, put = real(None, a, b, autojunk=False), {}
+        if repairs and matcher.ratio() >= 0.9:
+            for m in matcher.get_matching_blocks():
+                put |= {m.b + i - m.a: x for i, x in repairs if m.a <= i < m.a + m.size}
+        assert glyphs.align(a, b, repairs) == ("".join(put.get(i, c) for i, c in enumerate(b)), len(put))
+    monkeypatch.setattr(glyphs, "SequenceMatcher", None)
+    text = "".join(rng.choice("etaoin shrdlu") for _ in range(2000))
+    assert glyphs.align(text, text[::-1], [(0, "é")]) == (text[::-1], 0)
+    assert glyphs.align(text, text, [(3, "é")]) == (text[:3] + "é" + text[4:], 1)
