@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import findings as N
-from ..session import cut
+from ..session import cut, spread
 from ..sources.files import strict_json
 from . import checks as C
 from . import numeric as A
@@ -265,6 +265,7 @@ def review_errors(reviews: DataFrame, roster: DataFrame, pages: DataFrame) -> Da
     A document that breaks the schema is told of that alone; one that keeps it is held against its identity and the contract
     of findings (roster (rater, id_prefix), pages (paper_id, page_count)), and one that keeps that against its numbers."""
     c, key = F.col, ["paper_id", "rater"]
+    reviews = spread(reviews, *key)
     broken = cut(reviews.select(*key, F.explode(schema_errors(c("document"), review_schema())).alias("e")))
     rule = F.concat_ws(" ", "e.rule", "e.detail")
     out = broken.select(*key, F.lit("schema").alias("stage"), c("e.path").alias("place"), rule.alias("error"))
