@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut, release
+from ..session import cut, release, spread
 
 KEYS = ["paper_id", "issue_class"]
 #: Least shared stems of summaries, and of summaries with claims: a pair under both reaches no floor on stems.
@@ -100,7 +100,7 @@ def letter_pairs(texts: DataFrame, least: float) -> DataFrame:
             right += [ids[k]] * len(near)
         return pd.DataFrame({"paper_id": group["paper_id"].iat[0], "issue_class": group["issue_class"].iat[0], "a": np.array(left, np.int64), "b": np.array(right, np.int64)})
 
-    return dealt.groupBy(*KEYS, "i", "j").applyInPandas(bounded, "paper_id string, issue_class string, a long, b long")
+    return spread(dealt, *KEYS, "i", "j").groupBy(*KEYS, "i", "j").applyInPandas(bounded, "paper_id string, issue_class string, a long, b long")
 
 
 def _counts(texts: pd.Series, n: int) -> np.ndarray:

@@ -577,3 +577,26 @@ def test_unlike_texts_are_not_matched(monkeypatch):
     text = "".join(rng.choice("etaoin shrdlu") for _ in range(2000))
     assert glyphs.align(text, text[::-1], [(0, "é")]) == (text[::-1], 0)
     assert glyphs.align(text, text, [(3, "é")]) == (text[:3] + "é" + text[4:], 1)
+
+
+def test_repeated_texts_are_matched_once(monkeypatch):
+    """A fold over findings that say the same few things matches each pair of texts once, in each order."""
+    import pandas as pd
+
+    from inkstone.operators import resolve
+
+    made, real = [], resolve.SequenceMatcher
+    monkeypatch.setattr(resolve, "SequenceMatcher", lambda *a, **k: made.append(a[1:3]) or real(*a, **k))
+    said = {"places": [], "numbers": [], "directions": []}
+    texts = ["standard errors of the main table are missing", "standard errors of the main tables are missing"]
+    rows = [(f"r{i}", 1.0, texts[i % 2], "a claim", texts[i % 2].split(), texts[i % 2].split(), said, said) for i in range(40)]
+    frame = pd.DataFrame(rows, columns=["rater", "page", "summary", "claim", "short", "long", "summary_says", "claim_says"])
+    assert resolve.grouped(frame).tolist() == [0] * 40
+    assert 0 < len(made) <= 6
+
+
+def test_dear_rows_are_dealt_out(spark):
+    from inkstone.session import spread
+
+    dealt = spread(spark.range(1000).coalesce(1), "id")
+    assert len([n for n in dealt.rdd.glom().map(len).collect() if n]) >= 12
