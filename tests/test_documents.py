@@ -1,5 +1,7 @@
 """Whole-paper operators on small literals."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from inkstone.operators import documents as D
@@ -27,6 +29,15 @@ def test_hanging_references(spark):
     assert got == [(1, "Becker, G. (1973). A long-winded title."), (1, ", and (1974). Again."), (2, "Clark, A. (2001).")]
 
 
+def test_headers_of_long_tables(spark):
+    """A table's width is found once, not once a row, so the time of a long table grows with its rows."""
+    rows = spark.range(8000).select(F.lit(1).alias("t"), F.col("id").alias("line"), F.when(F.col("id") == 0, F.array(F.lit("a"), F.lit("b"), F.lit("c"))).when(F.col("id") % 2 == 0, F.array(F.lit("1"))).otherwise(F.array(F.lit("1"), F.lit("2"))).alias("cells"))
+    begun = time.monotonic()
+    row = D.promoted_header(rows, ["t"]).first()
+    assert row["header"] == ["a", "b", "c"] and row["body"] == [["1", "2"] if k % 2 else ["1", ""] for k in range(1, 8000)]
+    assert time.monotonic() - begun < 30
+
+
 def test_headers_pairs_and_pages(spark):
     rows = spark.createDataFrame([(1, 1, ["Group", "Mean", "SD"]), (1, 2, ["1.0", "2.0"]), (1, 3, ["3.0"]), (2, 1, ["1", "2"]), (2, 2, ["3", "4"])], "t int, line int, cells array<string>")
     got = {r["t"]: (r["header"], r["body"]) for r in D.promoted_header(rows, ["t"]).collect()}
