@@ -171,15 +171,20 @@ def merge_rectangles(rows: list[tuple[float, float, float, float]], gap: float =
 
 def merged_regions(boxes: DataFrame, page: str = "page", least: float = 12.0, gap: float = 18.0) -> DataFrame:
     """(page, region, x0, y0, x1, y1): a page's boxes of `least` points a side, merged by nearness; the closure depends on
-    grown boxes, so it is a fold over a page, which bounds a group."""
+    grown boxes, so it is a fold over a page. Pages are small, so a batch holds many, each as one list of corners."""
     big = boxes.where((F.col("x1") - F.col("x0") >= least) & (F.col("y1") - F.col("y0") >= least))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["y0", "x0", "y1", "x1"])[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)
-        out = pd.DataFrame(merge_rectangles(list(rows), gap), columns=["x0", "y0", "x1", "y1"])
-        return out.assign(page=group[page].iloc[0], region=range(1, len(out) + 1))[["page", "region", "x0", "y0", "x1", "y1"]]
-
-    return big.groupBy(page).applyInPandas(fold, "page int, region int, x0 double, y0 double, x1 double, y1 double")
+    ordered = F.sort_array(F.collect_list(F.struct("y0", "x0", "y1", "x1")))
+    corners = F.flatten(F.transform(ordered, lambda b: F.array(b["x0"], b["y0"], b["x1"], b["y1"])))
+
+    @F.pandas_udf("array<double>")
+    def merged(pages: pd.Series) -> pd.Series:
+        some = (x.tolist() for x in pages)
+        return pd.Series([[v for r in merge_rectangles(list(zip(*[iter(x)] * 4, strict=True)), gap) for v in r] for x in some])
+
+    done = big.groupBy(page).agg(corners.alias("c")).select(F.col(page).alias("page"), merged("c").alias("c"))
+    at = lambda k, i: F.get("c", 4 * k + i)
+    rows = F.transform(F.sequence(F.lit(0), F.expr("size(c) div 4 - 1").cast("int")), lambda k: F.struct((k + 1).alias("region"), *(at(k, i).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1")))))
+    return done.select("page", F.inline(rows))
 
 
 def line_similarity(raw: Column, sorted_text: Column) -> Column:
