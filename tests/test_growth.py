@@ -10,6 +10,10 @@ def plan(frame) -> str:
     return frame._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_lines_are_squashed_once(spark):
+    assert plan(registry.queries()["line_kinds"](spark, DATA)).count("regexp_replace") <= 4
+
+
 def test_pages_are_merged_in_batches(spark):
     """No data frame a page, and the same regions as page by page."""
     rows = [(p, float(x % 300), float(x * 7 % 400), float(x % 300 + 5 + x % 30), float(x * 7 % 400 + 5 + x % 25)) for p in range(40) for x in range(p, p * 37 + 1, 36 + p)]
