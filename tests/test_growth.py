@@ -29,3 +29,11 @@ def test_pages_are_merged_in_batches(spark):
         some = sorted((r[1:] for r in rows if r[0] == p and r[3] - r[1] >= 12 and r[4] - r[2] >= 12), key=lambda b: (b[1], b[0], b[3], b[2]))
         want += [(p, k, *r) for k, r in enumerate(L.merge_rectangles(some), 1)]
     assert want and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_whole_texts_come_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for query in ("citation_mentions", "order_similarity"):
+        spark.conf.unset(name)
+        registry.queries()[query](spark, DATA)
+        assert int(spark.conf.get(name)) <= 1000
