@@ -37,3 +37,12 @@ def test_whole_texts_come_in_small_batches(spark):
         spark.conf.unset(name)
         registry.queries()[query](spark, DATA)
         assert int(spark.conf.get(name)) <= 1000
+
+
+def test_crossrefs_search_texts_once(spark):
+    got = plan(registry.queries()["crossref_mentions"](spark, DATA))
+    assert got.count("ArrowEvalPython") == 2 and got.count("Join") == 0
+
+
+def test_split_words_search_texts_once(spark):
+    assert plan(registry.queries()["split_crossrefs"](spark, DATA)).count("ArrowEvalPython") == 2
