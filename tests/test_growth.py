@@ -46,3 +46,7 @@ def test_crossrefs_search_texts_once(spark):
 
 def test_split_words_search_texts_once(spark):
     assert plan(registry.queries()["split_crossrefs"](spark, DATA)).count("ArrowEvalPython") == 2
+
+
+def test_texts_of_sources_are_cleaned_once(spark):
+    assert plan(registry.queries()["source_errors"](spark, DATA)).count("(?<=[A-Za-z])") == 2
