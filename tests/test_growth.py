@@ -50,3 +50,7 @@ def test_split_words_search_texts_once(spark):
 
 def test_texts_of_sources_are_cleaned_once(spark):
     assert plan(registry.queries()["source_errors"](spark, DATA)).count("(?<=[A-Za-z])") == 2
+
+
+def test_forms_are_made_once(spark):
+    assert plan(registry.queries()["page_text_forms"](spark, DATA)).count("regexp_replace") == 4
