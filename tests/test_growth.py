@@ -54,3 +54,8 @@ def test_texts_of_sources_are_cleaned_once(spark):
 
 def test_forms_are_made_once(spark):
     assert plan(registry.queries()["page_text_forms"](spark, DATA)).count("regexp_replace") == 4
+
+
+def test_lines_of_sections_are_squashed_once(spark):
+    """Once for lines, and for numbers and titles and what follows a heading before they are tested."""
+    assert plan(registry.queries()["numbered_sections"](spark, DATA)).count("regexp_replace") <= 6
