@@ -56,6 +56,12 @@ def test_forms_are_made_once(spark):
     assert plan(registry.queries()["page_text_forms"](spark, DATA)).count("regexp_replace") == 4
 
 
+def test_captions_of_lines_meet_once(spark):
+    """What follows a caption is looked up on its page; no table of lines is joined with itself."""
+    for query in ("positioned_captions", "positioned_items"):
+        assert plan(registry.queries()[query](spark, DATA)).count("Join") == 0
+
+
 def test_lines_of_sections_are_squashed_once(spark):
     """Once for lines, and for numbers and titles and what follows a heading before they are tested."""
     assert plan(registry.queries()["numbered_sections"](spark, DATA)).count("regexp_replace") <= 6
