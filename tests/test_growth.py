@@ -65,3 +65,9 @@ def test_captions_of_lines_meet_once(spark):
 def test_lines_of_sections_are_squashed_once(spark):
     """Once for lines, and for numbers and titles and what follows a heading before they are tested."""
     assert plan(registry.queries()["numbered_sections"](spark, DATA)).count("regexp_replace") <= 6
+
+
+def test_rows_and_captions_of_a_page_meet_once(spark):
+    """Rows aren't copied for each caption and side, and their kinds are told from text that is squashed once."""
+    got = plan(registry.queries()["table_regions"](spark, DATA))
+    assert got.count("Join") == 0 and got.count("regexp_replace") <= 2
