@@ -71,3 +71,8 @@ def test_rows_and_captions_of_a_page_meet_once(spark):
     """Rows aren't copied for each caption and side, and their kinds are told from text that is squashed once."""
     got = plan(registry.queries()["table_regions"](spark, DATA))
     assert got.count("Join") == 0 and got.count("regexp_replace") <= 2
+
+
+def test_items_of_a_page_stay_in_its_row(spark):
+    got = plan(registry.queries()["captioned_items"](spark, DATA))
+    assert got.count("Join") == 0 and got.count("Window") == 0 and got.count("Aggregate") == 0
