@@ -4,11 +4,11 @@ is found block by block. Findings that no pair links cannot come together, so la
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut, release, spread
+from ..session import cut, once, release, spread
 
 KEYS = ["paper_id", "issue_class"]
 #: Least shared stems of summaries, and of summaries with claims: a pair under both reaches no floor on stems.
@@ -29,12 +29,14 @@ def distinct_texts(findings: DataFrame) -> DataFrame:
     )
 
 
-def counted(rows: DataFrame, keys: list[str], tokens: str) -> DataFrame:
-    """(keys, id, token, n): how often each row has each of its tokens."""
-    return rows.select(*keys, "id", F.explode(tokens).alias("token")).groupBy(*keys, "id", "token").agg(F.count("*").alias("n"))
+def counted(texts: DataFrame) -> DataFrame:
+    """(paper_id, issue_class, kind, id, token, n): how often each text has each stem, of its kinds short and long."""
+    kinds = F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("tokens")) for k in ("short", "long"))))
+    each = once(texts, short=F.col("short"), long=F.col("long")).select(*KEYS, "id", kinds)
+    return each.select(*KEYS, "kind", "id", F.explode("tokens").alias("token")).groupBy(*KEYS, "kind", "id", "token").agg(F.count("*").alias("n"))
 
 
-def sharing(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
+def sharing(counts: DataFrame, keys: list[str], least: Column) -> DataFrame:
     """(keys, a, b), a before b, of rows of the same keys that may share `least` different tokens; no such pair is missed.
 
     Two rows that share so many have one in common among the rarest of each, all but the last least - 1; only those are
@@ -43,31 +45,42 @@ def sharing(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
     ranked = counts.join(often, [*keys, "token"])
     row = Window.partitionBy(*keys, "id")
     place, size = F.row_number().over(row.orderBy("rows", "token")), F.count("*").over(row)
-    index = ranked.withColumn("place", place).withColumn("size", size).where(F.col("place") <= F.col("size") - (least - 1)).where("rows > 1")
+    index = ranked.withColumn("place", place).withColumn("size", size).where(F.col("place") <= F.col("size") - least + 1).where("rows > 1")
     left, right = (index.select(*keys, "token", F.col("id").alias(side)) for side in ("a", "b"))
     return left.join(right, [*keys, "token"]).where("a < b").select(*keys, "a", "b").distinct()
 
 
-def measured(pairs: DataFrame, counts: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """pairs with {name}_cosine of their token counts and {name}_shared, the number of tokens that both have."""
-    norms = counts.groupBy(*keys, "id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    side = lambda x, v: counts.select(*keys, F.col("id").alias(x), "token", F.col("n").alias(v))
-    both = pairs.select(*keys, "a", "b").join(side("a", "n"), [*keys, "a"]).join(side("b", "m"), [*keys, "b", "token"])
-    sums = both.groupBy(*keys, "a", "b").agg(F.sum(F.col("n") * F.col("m")).alias("dot"), F.count("*").alias("shared"))
-    for x in ("a", "b"):
-        sums = sums.join(norms.select(*keys, F.col("id").alias(x), F.col("norm").alias(f"norm_{x}")), [*keys, x])
-    cosine = F.col("dot") / (F.col("norm_a") * F.col("norm_b"))
-    found = pairs.join(sums.select(*keys, "a", "b", cosine.alias("_c"), F.col("shared").alias("_s")), [*keys, "a", "b"], "left")
-    return found.withColumns({f"{name}_cosine": F.coalesce("_c", F.lit(0.0)), f"{name}_shared": F.coalesce("_s", F.lit(0).cast("long"))}).drop("_c", "_s")
+def vectors(counts: DataFrame) -> DataFrame:
+    """(paper_id, issue_class, id, and of short and long: tokens, more, norm) of counted() stems, a row a text; more is a map of
+    the stems that a text has more than once."""
+    out = []
+    for k in ("short", "long"):
+        own = F.col("kind") == k
+        more = F.map_from_entries(F.collect_list(F.when(own & (F.col("n") > 1), F.struct("token", "n"))))
+        norm = F.sqrt(F.sum(F.when(own, F.col("n") * F.col("n"))))
+        out.append(F.struct(F.collect_list(F.when(own, F.col("token"))).alias("tokens"), more.alias("more"), norm.alias("norm")).alias(k))
+    return counts.groupBy(*KEYS, "id").agg(*out)
 
 
 def stem_pairs(texts: DataFrame) -> DataFrame:
     """(paper_id, issue_class, a, b, short_cosine, short_shared, long_cosine, long_shared) of all pairs of distinct_texts()
-    that share four stems of their summaries or eight of summaries and claims."""
-    short, long = (cut(counted(texts, KEYS, t)) for t in ("short", "long"))
-    pairs = cut(sharing(short, KEYS, SHORT).union(sharing(long, KEYS, LONG)).distinct())
-    out = measured(measured(pairs, short, KEYS, "short"), long, KEYS, "long")
-    return out.where((F.col("short_shared") >= SHORT) | (F.col("long_shared") >= LONG))
+    that share four stems of their summaries or eight of summaries and claims. A pair meets its two texts' stems as one row
+    each, so what is joined grows with pairs and not with their stems."""
+    c = F.col
+    counts = cut(counted(texts))
+    pairs = sharing(counts, [*KEYS, "kind"], F.when(c("kind") == "short", SHORT).otherwise(LONG)).select(*KEYS, "a", "b").distinct()
+    told = vectors(counts)
+    side = lambda x: told.select(*KEYS, c("id").alias(x), F.struct("short", "long").alias(f"_{x}"))
+    rows = pairs.join(side("a"), [*KEYS, "a"]).join(side("b"), [*KEYS, "b"])
+    both = {k: F.array_intersect(f"_a.{k}.tokens", f"_b.{k}.tokens") for k in ("short", "long")}
+    rows = once(rows, **{f"_{k}": v for k, v in both.items()}).where((F.size("_short") >= SHORT) | (F.size("_long") >= LONG))
+    times = lambda x, k, t: F.coalesce(F.try_element_at(c(f"_{x}.{k}.more"), t), F.lit(1).cast("long"))
+    dots = lambda k: F.aggregate(f"_{k}", F.lit(0).cast("long"), lambda s, t: s + times("a", k, t) * times("b", k, t))
+    out = []
+    for k in ("short", "long"):
+        cosine = F.coalesce(dots(k) / (c(f"_a.{k}.norm") * c(f"_b.{k}.norm")), F.lit(0.0))
+        out += [cosine.alias(f"{k}_cosine"), F.size(f"_{k}").cast("long").alias(f"{k}_shared")]
+    return rows.select(*KEYS, "a", "b", *out)
 
 
 def letter_pairs(texts: DataFrame, least: float) -> DataFrame:

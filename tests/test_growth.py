@@ -76,3 +76,8 @@ def test_rows_and_captions_of_a_page_meet_once(spark):
 def test_items_of_a_page_stay_in_its_row(spark):
     got = plan(registry.queries()["captioned_items"](spark, DATA))
     assert got.count("Join") == 0 and got.count("Window") == 0 and got.count("Aggregate") == 0
+
+
+def test_pairs_meet_texts_and_not_stems(spark):
+    """Joins find pairs, and two bring their texts' stems as one row each."""
+    assert plan(registry.queries()["candidate_pairs"](spark, DATA)).count("Join") <= 5
