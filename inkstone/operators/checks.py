@@ -184,19 +184,20 @@ def guarded_selection(roster: DataFrame, selection: DataFrame) -> DataFrame:
 
 def terminals(decisions: DataFrame) -> DataFrame:
     """(id, terminal, steps, error) of merged decisions (id, disposition, destination): the end of each merge chain, by
-    doubling, so a chain of n takes log n joins, each on a checkpointed table. Chains are followed until none moves, or
-    for as many steps as there are merges, after which what still moves is a ring. One that ends nowhere, in a rejection
-    or in a ring has an error and no terminal."""
+    doubling, so a chain of n takes log n joins, each on a checkpointed table. Chains are followed until a round brings none
+    to its end: a chain that is longer has a part that ends in that round, so what still moves is led into a ring, and rounds
+    grow with the longest chain and not with the rows. One that ends nowhere, in a rejection or in a ring has an error and no
+    terminal."""
     c = F.col
     merged = decisions.where(c("disposition") == "merged")
     jump = cut(merged.select("id", c("destination").alias("at"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moved")))
-    for _ in range(jump.count().bit_length() + 1):
+    moving, left = None, jump.select("id").distinct().count()
+    while left and left != moving:
         far = jump.select(c("id").alias("at"), c("at").alias("far"), c("steps").alias("more"))
         on = F.coalesce("far", "at").alias("at"), (c("steps") + F.coalesce("more", F.lit(0))).alias("steps"), c("far").isNotNull().alias("moved")
         before, jump = jump, cut(jump.join(far, "at", "left").select("id", *on))
         release(before)
-        if jump.where("moved").isEmpty():
-            break
+        moving, left = left, jump.where("moved").select("id").distinct().count()
     ends = decisions.select(c("id").alias("at"), c("disposition").alias("_d"))
     out = jump.join(ends, "at", "left")
     error = F.when(c("_d").isNull(), "unknown destination").when(c("_d") == "merged", "cycle").when(c("_d") == "rejected", "rejected")

@@ -1,7 +1,9 @@
 """Plans whose work grows with the rows alone."""
 
+from inkstone.operators import checks as C
 from inkstone.operators import layout as L
 from inkstone.plans import registry
+from inkstone.session import cut
 
 DATA = "/root/testdata/sf0.001"
 
@@ -81,3 +83,12 @@ def test_items_of_a_page_stay_in_its_row(spark):
 def test_pairs_meet_texts_and_not_stems(spark):
     """Joins find pairs, and two bring their texts' stems as one row each."""
     assert plan(registry.queries()["candidate_pairs"](spark, DATA)).count("Join") <= 5
+
+
+def test_rings_take_no_more_rounds(spark, monkeypatch):
+    """Merge chains are followed as often as the longest needs, however many rows end in rings."""
+    rounds = []
+    monkeypatch.setattr(C, "cut", lambda df: rounds.append(1) or cut(df))
+    rows = [(i, "merged", i ^ 1) for i in range(2000)] + [(5000, "merged", 5001), (5001, "merged", 5002), (5002, "included", None)]
+    got = C.terminals(spark.createDataFrame(rows, "id long, disposition string, destination long")).groupBy("error", "terminal").count().collect()
+    assert sorted(map(tuple, got), key=str) == [("cycle", None, 2000), (None, 5002, 2)] and len(rounds) <= 5
