@@ -1,6 +1,8 @@
 """Layout: recurring artifacts, page-label runs, caption and region joins, line groups, merged rectangles."""
 
 from difflib import SequenceMatcher
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -87,17 +89,31 @@ def images_in_crops(crops: DataFrame, images: DataFrame) -> DataFrame:
     return counts.withColumn("status", F.when(c("n_images") > 0, "embedded_image").otherwise("page_crop"))
 
 
+def _label_place(w: str | Column, width: float | Column, height: float | Column) -> tuple[Column, Column]:
+    """Whether a word (its column, or "" for columns of that name) stands in the footer or header band, and how far it is from
+    an edge and from the middle; a header's counts as farther."""
+    x0, y0, x1, y1 = (F.col(n) if isinstance(w, str) else w[n] for n in ("x0", "y0", "x1", "y1"))
+    foot, head = y0 >= height * 0.88, y1 <= height * 0.08
+    middle = F.abs((x0 + x1) / 2 - width / 2) / F.greatest(F.lit(width), F.lit(1.0))
+    return foot | head, F.when(foot, height - y1).otherwise(y0 + height * 0.05) + middle
+
+
 def label_by_place(words: DataFrame, keys: list[str], width: float | Column, height: float | Column) -> DataFrame:
     """keys and label: the word in the footer or header band that could be a page label and is nearest to an edge and,
     after that, to the middle; a header's counts as farther."""
-    label = T.plausible_label(F.col("label"))
-    foot, head = F.col("y0") >= height * 0.88, F.col("y1") <= height * 0.08
-    middle = F.abs((F.col("x0") + F.col("x1")) / 2 - width / 2) / F.greatest(F.lit(width), F.lit(1.0))
-    score = F.when(foot, height - F.col("y1")).otherwise(F.col("y0") + height * 0.05) + middle
-    some = words.withColumn("_label", label).where(F.col("_label").isNotNull() & (foot | head)).withColumn("_score", score)
+    near, score = _label_place("", width, height)
+    some = words.withColumn("_label", T.plausible_label(F.col("label"))).where(F.col("_label").isNotNull() & near).withColumn("_score", score)
     return some.groupBy(*keys).agg(F.min(F.struct("_score", "box", "_label")).alias("m")).select(*keys, F.col("m._label").alias("label"))
 
 
+def label_in_words(words: Column, width: Column, height: Column) -> Column:
+    """What label_by_place() tells of a page whose words are one array: a struct (score, box, label), its least the label. Only
+    words in the bands are read as labels."""
+    placed = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("box"))), lambda p: _label_place(p["w"], width, height)[0])
+    told = F.transform(placed, lambda p: F.struct(_label_place(p["w"], width, height)[1].alias("score"), p["box"].alias("box"), T.plausible_label(p["w"]["label"]).alias("label")))
+    return F.array_min(F.filter(told, lambda t: t["label"].isNotNull()))
+
+
 def two_columns(blocks: DataFrame, keys: list[str], width: float | Column, least: int = 2, characters: int = 180) -> DataFrame:
     """keys, two_columns and column_major: enough blocks and text on both sides; then whether the left side's blocks all
     come before the right side's (its last before the other's first)."""
@@ -111,6 +127,23 @@ def two_columns(blocks: DataFrame, keys: list[str], width: float | Column, least
     return out.withColumn("column_major", F.coalesce(F.col("column_major") & F.col("two_columns"), F.lit(False)))
 
 
+def block_sides(blocks: Column, width: Column) -> Column:
+    """array of (box, left, n) of a page's text blocks that stand on one side: what column_flags() needs, without texts."""
+    left = lambda b: b["x1"] <= width * 0.55
+    side = lambda b: F.when(left(b), True).when((b["x0"] >= width * 0.45) & ~left(b), False)
+    told = F.transform(blocks, lambda b, i: F.struct(i.alias("box"), F.when(b["is_text"], side(b)).alias("left"), F.length(b["label"]).alias("n")))
+    return F.filter(told, lambda s: s["left"].isNotNull())
+
+
+def column_flags(sides: Column, least: int = 2, characters: int = 180) -> tuple[Column, Column]:
+    """two_columns and column_major as two_columns() has them, of a page's blocks as block_sides() gives them."""
+    own = {k: F.filter(sides, (lambda s: s["left"]) if k else (lambda s: ~s["left"])) for k in (True, False)}
+    letters = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, s: n + F.coalesce(s["n"], F.lit(0)))
+    two = F.coalesce(reduce(and_, ((F.size(a) >= least) & (letters(a) >= characters) for a in own.values())), F.lit(False))
+    box = lambda a: F.transform(a, lambda s: s["box"])
+    return two, two & F.coalesce(F.array_max(box(own[True])) < F.array_min(box(own[False])), F.lit(False))
+
+
 def coverage(images: DataFrame, keys: list[str], page_area: float) -> DataFrame:
     """keys and coverage: the images' summed share of the page, one at most, to three places."""
     area = F.greatest(F.lit(0.0), (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
@@ -188,14 +221,17 @@ def merged_regions(boxes: DataFrame, page: str = "page", least: float = 12.0, ga
 
 
 def line_similarity(raw: Column, sorted_text: Column) -> Column:
-    """Ratcliff-Obershelp similarity of two texts' lines that are not blank, in order; 1 where both have none."""
+    """Ratcliff-Obershelp similarity of two texts' lines that are not blank, in order; 1 where both have none. Texts that are
+    equal don't go to a Python worker."""
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         lines = lambda x: [" ".join(y.split()) for y in (x or "").split("\n") if y.strip()]
-        return pd.Series([SequenceMatcher(None, lines(x), lines(y), autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+        some = ((x, y) for x, y in zip(a, b, strict=True))
+        return pd.Series([1.0 if x is None and y is None else SequenceMatcher(None, lines(x), lines(y), autojunk=False).ratio() for x, y in some])
 
-    return ratio(raw, sorted_text)
+    differ = ~raw.eqNullSafe(sorted_text)
+    return ratio(F.when(differ, raw), F.when(differ, sorted_text))
 
 
 def remove_artifacts(text: Column, artifacts: Column) -> Column:

@@ -1,9 +1,14 @@
 """Plans whose work grows with the rows alone."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from inkstone.operators import checks as C
 from inkstone.operators import layout as L
 from inkstone.plans import registry
 from inkstone.session import cut
+from inkstone.sources import files, records
 
 DATA = "/root/testdata/sf0.001"
 
@@ -92,3 +97,34 @@ def test_rings_take_no_more_rounds(spark, monkeypatch):
     rows = [(i, "merged", i ^ 1) for i in range(2000)] + [(5000, "merged", 5001), (5001, "merged", 5002), (5002, "included", None)]
     got = C.terminals(spark.createDataFrame(rows, "id long, disposition string, destination long")).groupBy("error", "terminal").count().collect()
     assert sorted(map(tuple, got), key=str) == [("cycle", None, 2000), (None, 5002, 2)] and len(rounds) <= 5
+
+
+def test_words_and_blocks_stay_in_their_page(spark):
+    """Edge blocks meet, labels and what recurs meet their pages; no word or body block is a row."""
+    got = plan(registry.queries()["page_records"](spark, DATA))
+    assert got.count("Join") == 3 and "posexplode" not in got
+
+
+def test_a_page_that_is_told_twice_keeps_its_text(spark):
+    words = [(10.0, 100.0, 40.0, 110.0, "first", 0, 1, 0), (50.0, 100.0, 80.0, 110.0, "half", 0, 1, 1)]
+    schema = f"paper string, page int, width double, height double, raw_text string, words array<{files.WORD}>, blocks array<{files.BLOCK}>, images array<{files.IMAGE}>"
+    pages = spark.createDataFrame([("p", 1, 600.0, 800.0, "half first", words, [], [])] * 2, schema)
+    assert [r["normalized_text"] for r in records.page_records(pages).collect()] == ["first half\n"] * 2
+
+
+def test_arrays_of_a_page_like_its_rows(spark):
+    """Labels and columns of pages whose words and blocks are arrays are those of words and blocks as rows."""
+    rng = random.Random(5)
+    label = lambda: rng.choice(["7", "iv", "301", "word", None, " 12 ", "x" * 200])
+    box = lambda: (float(rng.randrange(0, 500, 50)), float(rng.randrange(0, 800, 20)), float(rng.randrange(100, 600, 50)), float(rng.randrange(20, 800, 20)), label(), rng.random() < 0.9)
+    part = "struct<x0:double,y0:double,x1:double,y1:double,label:string,is_text:boolean>"
+    pages = spark.createDataFrame([(p, [box() for _ in range(rng.randrange(12))]) for p in range(300)], f"page int, a array<{part}>")
+    rows = pages.select("page", F.posexplode("a").alias("box", "b")).select("page", "box", "b.*")
+    width, height = F.lit(600.0), F.lit(800.0)
+    want = {r["page"]: r["label"] for r in L.label_by_place(rows, ["page"], 600.0, 800.0).collect()}
+    got = {r["page"]: r["m"]["label"] for r in pages.select("page", L.label_in_words(F.col("a"), width, height).alias("m")).collect() if r["m"]}
+    assert got == want and len(want) > 30
+    two, major = L.column_flags(L.block_sides(F.col("a"), width))
+    want = {r["page"]: (r["two_columns"], r["column_major"]) for r in L.two_columns(rows.where("is_text"), ["page"], 600.0).collect()}
+    got = {r["page"]: (r["two"], r["major"]) for r in pages.select("page", two.alias("two"), major.alias("major")).collect()}
+    assert {p: got[p] for p in want} == want and {got[p] for p in got.keys() - want.keys()} <= {(False, False)} and len(set(want.values())) == 3
