@@ -7,13 +7,13 @@ it goes to a Python worker."""
 
 import json
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import findings as N
-from ..session import cut, spread
+from ..session import cut, once, spread
 from ..sources.files import strict_json
 from . import checks as C
 from . import numeric as A
@@ -62,24 +62,31 @@ def _errors(value: Column, schema: dict, path: list, defs: dict) -> Column:
     if "anyOf" in schema:
         return _let(value, lambda v: _told([(reduce(and_, (F.size(_errors(v, s, path, defs)) > 0 for s in schema["anyOf"])), _error(path, "anyOf"))]))
     if "properties" in schema or "items" in schema:
-        return _let(value, lambda v: F.concat(*_scalar(v, schema, path), *_inner(v, schema, path, defs)))
+        told = schema | ({"type": []} if _by_members(schema) else {})
+        return _let(value, lambda v: F.concat(*_scalar(v, told, path), *_inner(v, schema, path, defs)))
     return _scalar(value, schema, path)[0] if len(schema) else F.array().cast(_ERRORS)
 
 
+def _by_members(schema: dict) -> bool:
+    """Whether a value's type is told by its members or items being there, so that it needn't be written as text."""
+    return schema.get("type") == ("object" if "properties" in schema else "array") and not ("properties" in schema and "items" in schema)
+
+
 def _scalar(value: Column, schema: dict, path: list) -> list[Column]:
     """Errors of a value's type, text and length."""
     kinds = schema.get("type", [])
     kinds, length = [kinds] if isinstance(kinds, str) else kinds, schema.get("minLength", 0)
 
     def rules(text: Column) -> Column:
-        out = [(~text.rlike(f"^(?:{'|'.join(_TYPES[k] for k in kinds)})"), _error(path, "type"))] if kinds else []
+        is_a = text.startswith('"') if kinds == ["string"] else text.rlike(f"^(?:{'|'.join(_TYPES[k] for k in kinds)})")
+        out = [(~is_a, _error(path, "type"))] if kinds else []
         if "enum" in schema:
             out.append((~text.isin(*(json.dumps(x, ensure_ascii=False) for x in schema["enum"])), _error(path, "enum")))
         if length == 1:
             out.append((text == '""', _error(path, "minLength")))
         elif length:
             out.append((text.startswith('"') & (F.length(F.try_variant_get(value, "$", "string")) < length), _error(path, "minLength")))
-        return _told(out)
+        return F.when(reduce(or_, (broken for broken, _ in out)), _told(out)).otherwise(F.array().cast(_ERRORS))
 
     n = bool(kinds) + ("enum" in schema) + bool(length)
     text = F.to_json(value)
@@ -89,6 +96,7 @@ def _scalar(value: Column, schema: dict, path: list) -> list[Column]:
 def _inner(value: Column, schema: dict, path: list, defs: dict) -> list[Column]:
     """Errors of an object's members and of an array's items."""
     none, out = F.array().cast(_ERRORS), []
+    other = F.when(value.isNotNull(), F.array(_error(path, "type")).cast(_ERRORS)).otherwise(none) if _by_members(schema) else none
     if known := schema.get("properties"):
 
         def members(m: Column) -> Column:
@@ -99,7 +107,7 @@ def _inner(value: Column, schema: dict, path: list, defs: dict) -> list[Column]:
                 extra = F.array_join(F.array_sort(F.array_except(keys, all_names)), " ")
                 parts.append(_told([(F.size(F.array_except(keys, all_names)) > 0, _error(path, "additionalProperties", extra))]))
             parts += [_errors(F.try_element_at(m, F.lit(name)), own, [*path, name], defs) for name, own in known.items() if own]
-            return F.when(m.isNotNull(), F.concat(*parts)).otherwise(none)
+            return F.when(m.isNotNull(), F.concat(*parts)).otherwise(other)
 
         out.append(_let(F.try_variant_get(value, "$", "map<string,variant>"), members))
     if "items" in schema:
@@ -108,7 +116,7 @@ def _inner(value: Column, schema: dict, path: list, defs: dict) -> list[Column]:
             parts = [F.flatten(F.transform(a, lambda x, i: _errors(x, schema["items"], [*path, i.cast("string")], defs)))]
             sizes = [(F.size(a) < schema["minItems"], _error(path, "minItems"))] if "minItems" in schema else []
             sizes += [(F.size(a) > schema["maxItems"], _error(path, "maxItems"))] if "maxItems" in schema else []
-            return F.when(a.isNotNull(), F.concat(*parts, *([_told(sizes)] if sizes else []))).otherwise(none)
+            return F.when(a.isNotNull(), F.concat(*parts, *([_told(sizes)] if sizes else []))).otherwise(other)
 
         out.append(_let(F.try_variant_get(value, "$", "array<variant>"), items))
     return out
@@ -189,21 +197,25 @@ def roster_schema() -> dict:
 
 def roster_errors(rosters: DataFrame) -> DataFrame:
     """(roster, place, error) of rosters (roster, document as JSON text): what breaks the schema; else names, prompts, outputs and
-    prefixes that are blank or, ends trimmed, stand twice, at each place but the first, and a roster without an enabled rater."""
-    c = F.col
-    broken = cut(rosters.select("roster", F.explode(schema_errors(c("document"), roster_schema())).alias("e")))
-    out = broken.select("roster", c("e.path").alias("place"), F.concat_ws(" ", "e.rule", "e.detail").alias("error"))
-    shape = "reviewers array<struct<name:string,prompt:string,output:string,id_prefix:string,enabled:boolean>>"
-    sound = rosters.join(broken.select("roster").distinct(), "roster", "left_anti").select("roster", F.from_json("document", shape)["reviewers"].alias("r"))
-    each = sound.select("roster", F.posexplode("r").alias("i", "x"))
+    prefixes that are blank or, ends trimmed, stand twice, at each place but the first, and a roster without an enabled rater.
+    All of it is told in the document's row."""
+    c, told = F.col, lambda place, error: F.struct(place.alias("place"), error.alias("error"))
     parts = ("name", "prompt", "output", "id_prefix")
-    values = each.select("roster", "i", F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.trim(f"x.{p}").alias("value")) for p in parts))).alias("v")).select("roster", "i", "v.*")
-    first = values.groupBy("roster", "part", "value").agg(F.min("i").alias("first"))
-    error = F.when(c("value") == "", "blank").when(c("i") > c("first"), "duplicate")
-    unsound = values.join(first, ["roster", "part", "value"]).where(error.isNotNull())
-    out = out.unionByName(unsound.select("roster", F.concat_ws(".", F.lit("reviewers"), c("i").cast("string"), "part").alias("place"), error.alias("error")))
-    idle = sound.where(~F.exists("r", lambda x: F.coalesce(x["enabled"], F.lit(True))))
-    return out.unionByName(idle.select("roster", F.lit("reviewers").alias("place"), F.lit("none enabled").alias("error")))
+    shape = "reviewers array<struct<name:string,prompt:string,output:string,id_prefix:string,enabled:boolean>>"
+
+    def unsound(r: Column, part: str) -> Column:
+        """Values sorted with their places, so that a value stands after its first."""
+        rows = F.array_sort(F.transform(r, lambda x, i: F.struct(F.trim(x[part]).alias("value"), i.alias("i"))))
+        error = lambda a, x, k: F.when(x["value"] == "", "blank").when((k > 0) & (x["value"] == F.get(a, k - 1)["value"]), "duplicate")
+        place = lambda x: F.concat_ws(".", F.lit("reviewers"), x["i"].cast("string"), F.lit(part))
+        return F.filter(_let(rows, lambda a: F.transform(a, lambda x, k: told(place(x), error(a, x, k)))), lambda e: e["error"].isNotNull())
+
+    rows = once(rosters.select("roster", "document"), e=schema_errors(c("document"), roster_schema()))
+    rows = once(rows, r=F.when(F.size("e") == 0, F.from_json("document", shape)["reviewers"]))
+    broken = F.transform("e", lambda e: told(e["path"], F.concat_ws(" ", e["rule"], e["detail"])))
+    idle = F.when(~F.exists("r", lambda x: F.coalesce(x["enabled"], F.lit(True))), F.array(told(F.lit("reviewers"), F.lit("none enabled"))))
+    held = F.concat(*(unsound(c("r"), p) for p in parts), F.coalesce(idle, F.array().cast("array<struct<place:string,error:string>>")))
+    return once(rows, all=F.when(F.size("e") > 0, broken).otherwise(held)).select("roster", F.inline("all"))
 
 
 _FINDING = (
@@ -266,7 +278,7 @@ def review_errors(reviews: DataFrame, roster: DataFrame, pages: DataFrame) -> Da
     of findings (roster (rater, id_prefix), pages (paper_id, page_count)), and one that keeps that against its numbers."""
     c, key = F.col, ["paper_id", "rater"]
     reviews = spread(reviews, *key)
-    broken = cut(reviews.select(*key, F.explode(schema_errors(c("document"), review_schema())).alias("e")))
+    broken = cut(once(reviews, e=schema_errors(c("document"), review_schema())).select(*key, F.explode("e").alias("e")))
     rule = F.concat_ws(" ", "e.rule", "e.detail")
     out = broken.select(*key, F.lit("schema").alias("stage"), c("e.path").alias("place"), rule.alias("error"))
     shape = f"reviewer string, paper_id string, findings array<struct<{_FINDING}>>"

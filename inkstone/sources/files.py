@@ -28,8 +28,8 @@ def strict_json(text: Column) -> Column:
     lone = text.rlike(r"(?i)\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2}")
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     keyed = F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}")))
-    alone = listed.isNotNull() & keyed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.when(~lone & alone, F.try_parse_json(text))
+    only = lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant"))
+    return F.when(~lone & keyed.isNotNull(), F.element_at(F.transform(F.array(listed), only), 1))
 
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:

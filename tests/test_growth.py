@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkstone.operators import checks as C
 from inkstone.operators import layout as L
+from inkstone.operators import schema as J
 from inkstone.plans import registry
 from inkstone.session import cut
 from inkstone.sources import files, records
@@ -128,3 +129,23 @@ def test_arrays_of_a_page_like_its_rows(spark):
     want = {r["page"]: (r["two_columns"], r["column_major"]) for r in L.two_columns(rows.where("is_text"), ["page"], 600.0).collect()}
     got = {r["page"]: (r["two"], r["major"]) for r in pages.select("page", two.alias("two"), major.alias("major")).collect()}
     assert {p: got[p] for p in want} == want and {got[p] for p in got.keys() - want.keys()} <= {(False, False)} and len(set(want.values())) == 3
+
+
+def test_rosters_are_held_in_their_row(spark):
+    """A document is put together once and read once: by the schema, then as raters. Nothing of it meets other rosters'."""
+    got = plan(registry.queries()["roster_documents"](spark, DATA))
+    assert got.count("Aggregate") == 1 and got.count("Join") == 0 and got.count("from_json") + got.count("jsontostructs") == 1 and got.count("parseJson") == 2
+
+
+def test_members_tell_objects_and_arrays(spark):
+    """Their types are told without writing them as text; a value of another kind, a null or a missing one is as before."""
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "array", "items": {"type": "string", "minLength": 1}}}}
+    documents = ['{"a": ["x", "", 3]}', '{"a": {}}', '{"a": null}', '{"a": "[]"}', "{}", "[]", "null", '"{}"', '{"a": []}', '{"a": [1]} ', "1], [2"]
+    frame = spark.createDataFrame(list(enumerate(documents)), "i int, d string")
+    errors = J.schema_errors(F.col("d"), schema)
+    got = {r["i"]: [tuple(e) for e in r["e"]] for r in frame.select("i", errors.alias("e")).collect()}
+    no_array, no_object = [("a", "type", None)], [("", "type", None)]
+    assert got == {
+        0: [("a.1", "minLength", None), ("a.2", "type", None)], 1: no_array, 2: no_array, 3: no_array, 4: [("", "required", "a")], 5: no_object, 6: no_object, 7: no_object, 8: [],
+        9: [("a.0", "type", None)], 10: [("", "json", None)],
+    }
