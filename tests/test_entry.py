@@ -40,6 +40,20 @@ def test_rows_like_sql(spark, tables, name):
     assert sorted((tuple(plain(r[c]) for c in sorted(names)) for r in got.collect()), key=repr) == want
 
 
+def test_odd_sources_like_sql(spark, tmp_path):
+    """Texts that are null, blank or open oddly, and documents that are told twice, give the SQL's rows too."""
+    blank = [" " * 25 + "late", "\u2003" * 30, "\xa0", "\x0b", "", " ", None]
+    texts = [*blank, "plain text", "co\xad\noperate now", "A\xad\r\nB c", "\xad\nx", "\x85nel word", "\xa0 wide", "a\\Eb c", "-5% up", "x" * 30 + " y"]
+    rows = [(5005 * k + r, t, "en") for k, t in enumerate(texts) for r in (0, 1, 7, 11, 13, 14, 26, 77, 91)]
+    rows += [(7, "again", "en"), (7, "again", "en"), (7, "again", "de"), (-7, "below", "en"), (-121, "below", "en"), (None, "none", "en"), (14, "none", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["source_errors"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(registry.oracle_sql()["source_errors"]).fetchall()
+    assert sorted((r["source_id"], r["errors"]) for r in got) == sorted(want) and len(want) > 100
+
+
 def test_works_without_optional_folders(tmp_path):
     """The rest of the library imports, and its tests pass, where the training-data folders and the pipeline are gone."""
     root = Path(__file__).resolve().parents[1]

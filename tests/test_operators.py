@@ -78,6 +78,14 @@ def test_quotes(spark, quote, text, want):
     assert one(spark, T.quote_stands(F.col("q"), F.col("t")), q=quote, t=text) is want
 
 
+@pytest.mark.parametrize(
+    ("quote", "text", "want"), [("a\\Eb", "so a\\Eb c", True), ("\\Q\\E(", "x \\Q\\E( y", True), ("a\\Eb", "ab", False), ("a b a", "1a b a b a", True)]
+)
+def test_quotes_of_any_signs(spark, quote, text, want):
+    """Marks of a regular expression's quotes are letters like others; a place that overlaps one that doesn't stand counts."""
+    assert one(spark, T.quote_stands(F.col("q"), F.col("t")), q=quote, t=text) is want
+
+
 PAGES = [
     ("p", 1, "1 Data and Methods\nBecker (1973, 1974) and (Becker, 1973, 1974); see Figures 2 and 3 and Table A.1.\nBrown (2022) found 1,234.50 or -3.5% of x2 in 2SLS."),
     ("p", 2, "THE RESULTS\nSee equa-"),
