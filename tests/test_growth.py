@@ -60,6 +60,14 @@ def test_texts_of_sources_are_cleaned_once(spark):
     assert plan(registry.queries()["source_errors"](spark, DATA)).count("(?<=[A-Za-z])") == 2
 
 
+def test_records_search_no_pairs(spark, monkeypatch):
+    """Findings of orders are few in a class, so their records' clusters need no search for pairs and no rounds."""
+    from inkstone.operators import resolve
+
+    monkeypatch.setattr(resolve, "linked", None)
+    assert registry.queries()["canonical_records"](spark, DATA).count() > 100
+
+
 def test_forms_are_made_once(spark):
     assert plan(registry.queries()["page_text_forms"](spark, DATA)).count("regexp_replace") == 4
 
